@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe
+from labelwright.llm import bpe, simhash
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10_bpe(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_bpe,)}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op4_simhash(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_simhash, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
