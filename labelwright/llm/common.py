@@ -97,13 +97,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words (runs of other than ASCII white space) of a text column as arrays.
+    """Words (runs of other than ASCII white space; with ``letters``: of ASCII letters and other than ASCII) of a text column as arrays.
 
     ``data``: the bytes, A-Z in lower case if asked; ``off``: text bounds in them; ``start``, ``end``: word bounds;
     ``doc``: each word's row; ``count``: words a row.  Null and empty texts have no words.
     """
 
-    def __init__(self, col: pa.Array, lower: bool = True):
+    def __init__(self, col: pa.Array, lower: bool = True, letters: bool = False):
         arr = col.cast(pa.large_string())
         off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
         body = arr.buffers()[2]
@@ -113,7 +113,7 @@ class Words:
         if lower:
             up = (raw - np.uint8(65)) < 26
             self.data = raw + (up * np.uint8(32)).astype(np.uint8)
-        blank = (raw == 32) | ((raw - np.uint8(9)) < 5)
+        blank = ((raw | np.uint8(32)) - np.uint8(97) >= 26) & (raw < 128) if letters else (raw == 32) | ((raw - np.uint8(9)) < 5)
         edge = np.zeros(len(raw) + 1, bool)
         edge[self.off] = True
         before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
