@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe, quality, simhash, toxicity
+from labelwright.llm import bpe, quality, secrets, simhash, toxicity
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10_bpe(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op3_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_simhash, op6_toxicity, op9_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secrets, op4_simhash, op6_toxicity, op9_quality, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
