@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe, decontaminate, quality, secrets, simhash, toxicity
+from labelwright.llm import bpe, decontaminate, quality, secrets, simhash, sketch, toxicity
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10_bpe(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.op1_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op3_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op9_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op9_quality, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
