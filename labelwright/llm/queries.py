@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe, decontaminate, quality, secrets, simhash, sketch, toxicity
+from labelwright.llm import bpe, decontaminate, quality, secrets, simhash, sketch, toxicity, warc
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.op1_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2_warc(table(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op3_secrets(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op9_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op9_quality, op10_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL}
