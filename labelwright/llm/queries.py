@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe, decontaminate, quality, secrets, simhash, sketch, toxicity, warc
+from labelwright.llm import bpe, decontaminate, extract, quality, secrets, simhash, sketch, toxicity, warc
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.op8_extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op9_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op8_extract, op9_quality, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL}
