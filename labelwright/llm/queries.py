@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe, decontaminate, extract, quality, secrets, simhash, sketch, toxicity, warc
+from labelwright.llm import bpe, decontaminate, extract, passages, quality, secrets, simhash, sketch, toxicity, warc
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.op5_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op6_toxicity, op7_decontaminate, op8_extract, op9_quality, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op5_passages, op6_toxicity, op7_decontaminate, op8_extract, op9_quality, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL}
