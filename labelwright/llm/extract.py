@@ -367,8 +367,11 @@ def _path_labels(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
 def fit(pages: DataFrame, column: str = "html", limit: int = TRAIN_PAGES) -> Labeller:
     """A labeller for the table; at most ``limit`` of its pages come to the driver, each cut to ``TRAIN_CHARS`` for training only."""
     key = F.xxhash64(column)
-    some = pages.select(F.substring(column, 1, TRAIN_CHARS).alias("h"), key.alias("k")).where("h IS NOT NULL").orderBy("k").limit(limit)
-    seen = [blocks(r.h) for r in some.collect()]
+    # the bound on the hash first, so that no task sends pages which others replace
+    bound = pages.where(F.col(column).isNotNull()).select(key.alias("k")).distinct().orderBy("k").limit(limit).agg(F.max("k")).first()[0]
+    some = pages.where(key <= bound) if bound is not None else pages.limit(0)
+    some = some.select(F.substring(column, 1, TRAIN_CHARS).alias("h"), key.alias("k")).dropDuplicates(["k"]).orderBy("k")
+    seen = [blocks(r.h) for r in some.collect()]  # a page that is there more than once counts once
     made, labels = [], []
     texts, short = [], []
     for found in seen:
