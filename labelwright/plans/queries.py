@@ -437,7 +437,7 @@ def _resolved(r: Relations) -> DataFrame:
     name = F.when(k % 5 == 2, F.concat(F.lit("Supplier"), (s % 30).cast("string"))).otherwise(F.concat(F.lit(" NEW"), (o % 400).cast("string")))
     refs = r.lineitem.select(k.cast("string").alias("item_id"), F.col("l_linenumber").cast("long").alias("pos"), F.when(k % 5 == 0, s.cast("string")).alias("stored_id"), F.when(k % 5 == 1, F.concat(F.lit("R"), s.cast("string"))).alias("remote_id"), name.alias("name"))
     refs = tx.with_folded(refs, "name", "norm", tx.fold_name)
-    known = r.supplier.select(s_id := F.col("s_suppkey").cast("string").alias("entity_id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("R"), F.col("s_suppkey").cast("string"))).alias("remote_id"), F.concat(F.lit("supplier"), (F.col("s_suppkey") % 40).cast("string")).alias("norm"))
+    known = r.supplier.select(F.col("s_suppkey").cast("string").alias("entity_id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("R"), F.col("s_suppkey").cast("string"))).alias("remote_id"), F.concat(F.lit("supplier"), (F.col("s_suppkey") % 40).cast("string")).alias("norm"))
     return entities.resolved(refs, known, 50)
 
 
@@ -451,6 +451,561 @@ def a21_creation_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.creation_need({"contributor": _resolved(Relations(spark, sf_dir))}, {"contributor": 50})
 
 
-@query(f"+{REFS}, {KNOWN}, {RESOLVED} SELECT item_id, string_agg(coalesce(entity_id, 'new:' || norm), ',' ORDER BY pos) AS ids FROM final GROUP BY 1 HAVING bool_and(outcome IN ('stored', 'remote', 'name', 'create'))")
+@query(f"+{REFS}, {KNOWN}, {RESOLVED} SELECT item_id, string_agg(coalesce(entity_id, 'new:' || norm), ',' ORDER BY pos, coalesce(entity_id, 'new:' || norm)) AS ids FROM final GROUP BY 1 HAVING bool_and(outcome IN ('stored', 'remote', 'name', 'create'))")
 def j7_whole_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.whole_lists(_resolved(Relations(spark, sf_dir))).select("item_id", F.array_join("ids", ",").alias("ids"))
+
+
+# --- scopes and runs -------------------------------------------------------------------------------------------------
+
+RAN = "last_successful_run_id IS NOT NULL AND last_successful_run_id <> ''"
+STALE = "last_successful_run_id IS NOT NULL AND NOT (coalesce(rules_sha, '') = 'cur' AND coalesce(provider_fp, '') = 'fp')"
+
+
+def _scope(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = Relations(spark, sf_dir)
+        keys = r.dict_rules.where("disposition = 'defer'").select("key")
+        return execute.in_scope(r.items, r.item_state, name, "cur", "fp", r.keyed(), keys).select("item_id")
+
+    run.__name__ = f"p1_scope_{name}"
+    return run
+
+
+query("SELECT item_id FROM items")(_scope("all"))
+query(f"SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM item_state WHERE {RAN})")(_scope("never_processed"))
+query(f"SELECT item_id FROM item_state WHERE {STALE}")(_scope("stale_rules"))
+query("SELECT item_id FROM item_state WHERE status = 'failed'")(_scope("failed"))
+query(f"+{KEYED} SELECT DISTINCT item_id FROM keyed JOIN dict_rules USING (key) WHERE disposition = 'defer'")(_scope("affected_by_mapping"))
+
+
+@query(f"+{KEYED} SELECT DISTINCT item_id FROM keyed WHERE key IN (SELECT key FROM dict_rules WHERE disposition = 'ignore')")
+def j13_affected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return execute.affected_items(r.keyed(), r.dict_rules.where("disposition = 'ignore'"))
+
+
+@query(
+    f"""+{WANTED}, {REASONS}, n AS (SELECT item_id, string_agg(name, '; ' ORDER BY part, name) AS names FROM wanted GROUP BY 1),
+    k AS (SELECT item_id, string_agg(CASE WHEN reason = 'added' THEN name END, '; ' ORDER BY name) AS added, string_agg(CASE WHEN reason = 'removed_managed' THEN name END, '; ' ORDER BY name) AS removed FROM reasons GROUP BY 1)
+    SELECT item_id, coalesce(names, '') AS names, coalesce(added, '') AS added, coalesce(removed, '') AS removed, added IS NOT NULL OR removed IS NOT NULL AS has_change FROM auth LEFT JOIN n USING (item_id) LEFT JOIN k USING (item_id)"""
+)
+def x0_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proposed(Relations(spark, sf_dir))
+
+
+def _proposed(r: Relations) -> DataFrame:
+    p = execute.proposed(_wanted(r), _reasons(r), r.authority(), "run", "set", F.to_timestamp(F.lit("2024-01-01T00:00:00Z")))
+    text = lambda c: F.array_join(c, "; ")
+    return p.select("item_id", text("names").alias("names"), text("added").alias("added"), text("removed_managed").alias("removed"), "has_change")
+
+
+PRESENT = "present AS (SELECT item_id, 'same' AS labels_fp, 'same' AS ledger_fp FROM items)"
+
+
+@query(
+    f"""+{PRESENT}, prop AS (SELECT *, CAST(target_key AS STRING) AS target FROM proposals)
+    SELECT target AS item_id, CASE WHEN pr.item_id IS NULL THEN 'missing' WHEN status = 'deferred' THEN 'deferred' WHEN NOT coalesce(TRY_CAST(expires_at AS TIMESTAMPTZ) > TIMESTAMPTZ '2024-01-01 00:00:00+00', false) THEN 'expired'
+    WHEN NOT (mode IN ('replace', 'acquire') AND seen_ledger_fp <> '') THEN 'no_contract' WHEN seen_labels_fp <> labels_fp THEN 'labels_changed' WHEN seen_ledger_fp <> ledger_fp THEN 'ledger_changed'
+    WHEN target_key % 47 = 0 THEN 'missing_labels' WHEN NOT has_change THEN 'noop' ELSE 'apply' END AS outcome FROM prop LEFT JOIN present pr ON pr.item_id = target"""
+)
+def x1_revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _revalidated(Relations(spark, sf_dir)).select("item_id", "outcome")
+
+
+def _revalidated(r: Relations) -> DataFrame:
+    p = r.proposals.withColumn("item_id", F.col("target_key").cast("string"))
+    present = r.items.select("item_id", F.lit("same").alias("labels_fp"), F.lit("same").alias("ledger_fp"))
+    bad = p.where("target_key % 47 = 0").select("item_id")
+    return execute.revalidated(p, present, bad, F.to_timestamp(F.lit("2024-01-01T00:00:00Z")))
+
+
+@query(
+    """+here AS (SELECT item_id, 'set' || CAST(CAST(item_id AS BIGINT) % 4 AS STRING) AS labels_fp, 'base' AS ledger_fp FROM items),
+    p AS (SELECT p.*, labels_fp, ledger_fp, coalesce(after_fp = labels_fp, false) AS hit FROM pending p LEFT JOIN here USING (item_id)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY item_id, hit ORDER BY created_at DESC, run_id DESC, event_id DESC) AS nth, bool_or(hit) OVER (PARTITION BY item_id) AS any_hit FROM p)
+    SELECT item_id, event_id, CASE WHEN labels_fp IS NULL THEN 'gone' WHEN NOT any_hit THEN 'reverted' WHEN NOT hit OR nth > 1 THEN 'superseded' WHEN baseline_fp IS NULL THEN 'refused_unknown' WHEN baseline_fp <> ledger_fp THEN 'refused_stale' ELSE 'adopted' END AS outcome FROM q"""
+)
+def x3_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    here = r.items.select("item_id", F.concat(F.lit("set"), (F.col("item_id").cast("long") % 4).cast("string")).alias("labels_fp"), F.lit("base").alias("ledger_fp"))
+    pending = r.pending.withColumn("run_id", F.concat(F.rpad("run_id", 8, " "), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+    return execute.reconciled(pending, here).select("item_id", "event_id", "outcome")
+
+
+WRITES = "w AS (SELECT item_id, CAST(item_id AS BIGINT) AS k FROM items)"
+
+
+@query(f"+{WRITES} SELECT item_id, CASE WHEN k % 11 > 2 THEN 'applied' WHEN k % 11 = 0 THEN 'rejected' ELSE 'pending' END AS journal, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS state FROM w WHERE k % 2 = 0")
+def x4b_write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(Relations(spark, sf_dir)).select("item_id", "journal", "state")
+
+
+def _written(r: Relations) -> DataFrame:
+    k = F.col("item_id").cast("long")
+    results = r.items.where(k % 11 != 1).select("item_id", (k % 11 > 2).alias("ok"), F.when(k % 11 == 0, "auth").when(k % 11 == 2, "network").alias("error_kind"))
+    return execute.write_outcomes(r.items.where(k % 2 == 0).select("item_id"), results)
+
+
+@query(
+    f"""+{WRITES}, new AS (SELECT item_id, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS status, CASE WHEN k % 11 > 2 THEN 'runX' END AS run, CASE WHEN k % 11 > 2 THEN 'cur' END AS sha, CASE WHEN k % 11 > 2 THEN 'fp' END AS fp FROM w WHERE k % 2 = 0)
+    SELECT item_id, status, run AS last_successful_run_id, sha AS rules_sha, fp AS provider_fp FROM new UNION ALL SELECT item_id, status, last_successful_run_id, rules_sha, provider_fp FROM item_state WHERE item_id NOT IN (SELECT item_id FROM new)"""
+)
+def k3_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return upserted(r.item_state, execute.state_rows(_written(r), "runX", "cur", "fp"), ["item_id"])
+
+
+@query(
+    """+new AS (SELECT DISTINCT item_id, provider, upper(raw_label) AS raw_label FROM raw_labels WHERE CAST(item_id AS BIGINT) % 4 = 0)
+    SELECT item_id, provider, raw_label FROM new UNION ALL SELECT DISTINCT item_id, provider, raw_label FROM raw_labels r WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.item_id = r.item_id AND n.provider = r.provider)"""
+)
+def k4_replace_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = Relations(spark, sf_dir).raw_labels
+    new = raw.where("cast(item_id AS long) % 4 = 0").select("item_id", "provider", F.upper("raw_label").alias("raw_label"))
+    return current_after(raw.select("item_id", "provider", "raw_label").distinct(), new)
+
+
+@query(
+    """+old AS (SELECT item_id, label_id FROM item_labels WHERE managed), want AS (SELECT item_id, label_id FROM item_labels WHERE CAST(item_id AS BIGINT) % 3 = 0 AND CAST(substr(label_id, 2) AS BIGINT) % 4 <> 1),
+    cur AS (SELECT item_id, label_id FROM item_labels WHERE CAST(substr(label_id, 2) AS BIGINT) % 2 = 0),
+    stay AS (SELECT o.* FROM old o WHERE item_id NOT IN (SELECT item_id FROM want) OR EXISTS (SELECT 1 FROM want w WHERE w.item_id = o.item_id AND w.label_id = o.label_id)),
+    new AS (SELECT * FROM want EXCEPT SELECT * FROM cur)
+    SELECT item_id, label_id, 'run0' AS acquired_run_id FROM stay UNION ALL SELECT item_id, label_id, 'run1' FROM (SELECT * FROM new EXCEPT SELECT * FROM stay) AS z"""
+)
+def k6_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    il, n = r.item_labels, F.substring("label_id", 2, 20).cast("long")
+    old = il.where("managed").select("item_id", "label_id", F.to_timestamp(F.lit("2020-01-01")).alias("acquired_at"), F.lit("run0").alias("acquired_run_id"))
+    want = il.where((F.col("item_id").cast("long") % 3 == 0) & (n % 4 != 1)).select("item_id", "label_id")
+    cur = il.where(n % 2 == 0).select("item_id", "label_id")
+    out = ledger_rows(old, "replace", want, cur, "run1", F.to_timestamp(F.lit("2024-01-01")))
+    return out.select("item_id", "label_id", "acquired_run_id")
+
+
+@query("SELECT run_id, CASE status WHEN 'running' THEN 'interrupted' ELSE status END AS status FROM runs UNION ALL SELECT 'run99', 'running'")
+def k10_start_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return started(Relations(spark, sf_dir).runs, "run99", F.to_timestamp(F.lit("2024-01-01"))).select("run_id", "status")
+
+
+@query("SELECT item_id, CASE WHEN status = 'proposed' AND CAST(item_id AS BIGINT) % 7 = 0 THEN 'skipped' ELSE status END AS status FROM proposals")
+def k14_settle_vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    here = r.items.where("cast(item_id AS long) % 7 <> 0")
+    return execute.settled(r.proposals.select("item_id", "status"), here)
+
+
+@query("SELECT item_id FROM item_state WHERE CAST(item_id AS BIGINT) % 7 = 0")
+def j8_vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return execute.vanished(r.item_state.select("item_id"), r.items.where("cast(item_id AS long) % 7 <> 0"))
+
+
+@query()
+def a15_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _revalidated(Relations(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+ORACLE_SQL["a15_outcomes"] = ORACLE_SQL["x1_revalidate"].replace("SELECT target AS item_id, CASE", "SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE") + ") AS o GROUP BY 1"
+
+
+# --- cleanup ---------------------------------------------------------------------------------------------------------
+
+USED = "used AS (SELECT l.label_id, l.name, CAST((SELECT count(*) FROM item_labels i WHERE i.label_id = l.label_id) AS BIGINT) AS n FROM labels l)"
+
+
+def _usage(r: Relations) -> DataFrame:
+    return cleanup.usage(r.labels, r.item_labels.select("label_id", F.lit("item").alias("kind")))
+
+
+@query(f"+{USED} SELECT label_id, name, n AS item_count FROM used")
+def s3_label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _usage(Relations(spark, sf_dir)).select("label_id", "name", "item_count")
+
+
+@query(f"+{USED} SELECT label_id, name FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND name NOT IN (SELECT name FROM dict_canonical)")
+def p7a_global_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return cleanup.global_orphans(_usage(r), r.dict_canonical.select("name"), ["Keep: "]).select("label_id", "name")
+
+
+@query(f"+{USED} SELECT label_id, name, 'retired name' AS reason FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND split_part(name, ':', 1) IN ('theme', 'group') AND name NOT IN (SELECT name FROM dict_canonical)")
+def p7b_own_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own_orphans(Relations(spark, sf_dir)).select("label_id", "name", "reason")
+
+
+def _prefixes(r: Relations) -> DataFrame:
+    return r.dict_canonical.select("axis", F.concat("axis", F.lit(": ")).alias("prefix")).distinct()
+
+
+def _own_orphans(r: Relations) -> DataFrame:
+    axes = dictionary.axis_of(r.labels, r.dictionary(), _prefixes(r))
+    return cleanup.own_orphans(_usage(r), axes, r.dict_canonical, "Curation: ", ["Curation: Ambiguous"], ["Keep: "])
+
+
+@query(f"+{USED}, o AS (SELECT label_id FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND split_part(name, ':', 1) IN ('theme', 'group') AND name NOT IN (SELECT name FROM dict_canonical)) SELECT label_id, name FROM labels WHERE label_id NOT IN (SELECT label_id FROM o WHERE CAST(substr(label_id, 2) AS BIGINT) % 5 <> 0)")
+def x8_remove_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    keep = r.labels.where(F.substring("label_id", 2, 20).cast("long") % 5 == 0)
+    gone = cleanup.removable(_own_orphans(r), keep, r.dict_canonical)
+    stay, _ = cleanup.removed(r.labels, gone, "run", F.to_timestamp(F.lit("2024-01-01")))
+    return stay
+
+
+@query("SELECT l.label_id, l.name, coalesce(c.axis, CASE WHEN split_part(l.name, ': ', 1) IN ('theme', 'group') AND l.name LIKE '%: %' THEN split_part(l.name, ': ', 1) END) AS axis FROM labels l LEFT JOIN dict_canonical c USING (name)")
+def j5_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return dictionary.axis_of(r.labels, r.dictionary(), _prefixes(r)).select("label_id", "name", "axis")
+
+
+VOCAB = """vocab AS (SELECT name FROM dict_canonical UNION SELECT output FROM dict_outputs UNION SELECT unnest(['Curation: Ambiguous', 'Curation: No Match', 'Age: Young', 'Age: Old', 'Signal'])
+    UNION SELECT b || ' (' || c || ')' FROM (SELECT unnest(['Age: Young', 'Age: Old']) AS b), (SELECT unnest(['F', 'M', 'X', 'U']) AS c) UNION SELECT r_name FROM region UNION SELECT r_name || ' (' || w || ')' FROM region, (SELECT unnest(['Female', 'Male']) AS w)
+    UNION SELECT CASE WHEN m > 0 THEN m || 'M' ELSE '' END || CASE WHEN f > 0 THEN f || 'F' ELSE '' END FROM (SELECT unnest(range(0, 3)) AS m), (SELECT unnest(range(0, 3)) AS f) WHERE m + f BETWEEN 1 AND 3)"""
+
+
+def _vocabulary(r: Relations) -> DataFrame:
+    return cleanup.vocabulary(r.dict_canonical, r.dict_outputs, ["Curation: Ambiguous", "Curation: No Match"], ["Age: Young", "Age: Old"], ["F", "M", "X", "U"], r.region.select(F.col("r_name").alias("label")), ["Female", "Male"], cleanup.notations(("M", "F"), 4, 3), ["Signal"])
+
+
+@query(f"+{VOCAB} SELECT name FROM vocab")
+def t7_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(Relations(spark, sf_dir))
+
+
+@query(f"+{VOCAB} SELECT name FROM vocab WHERE lower(name) NOT IN (SELECT lower(name) FROM labels)")
+def j21_missing_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return cleanup.missing_vocabulary(_vocabulary(r), r.labels)
+
+
+# --- the dictionary as data ------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'axis' AS kind, axis AS name, CAST(count(*) AS BIGINT) AS n FROM dict_canonical GROUP BY 2 UNION ALL SELECT 'disposition', disposition, CAST(count(*) AS BIGINT) FROM dict_rules GROUP BY 2")
+def a12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.audit(Relations(spark, sf_dir).dictionary())
+
+
+@query("SELECT axis, name FROM dict_canonical WHERE name NOT IN (SELECT output FROM dict_outputs)")
+def a24_unreached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.unreached(Relations(spark, sf_dir).dictionary())
+
+
+EDITS = "edits AS (SELECT key, CASE WHEN r % 4 = 0 THEN 'ignore' WHEN r % 4 = 1 THEN 'map' END AS disposition, CASE WHEN r % 4 = 1 THEN 'theme: edited' END AS output, r % 4 = 2 AS gone FROM dict_keys WHERE r % 3 = 0)"
+OUTS = "outs AS (SELECT key, string_agg(output, '; ' ORDER BY pos) AS outputs FROM dict_outputs GROUP BY 1)"
+EDITED = f"""{EDITS}, {OUTS}, after AS (SELECT key, d AS disposition, CASE WHEN d = 'ignore' THEN '' ELSE coalesce(output, outputs, '') END AS outputs FROM (
+    SELECT coalesce(r.key, e.key) AS key, coalesce(e.disposition, r.disposition) AS d, e.output, o.outputs, coalesce(e.gone, false) AS gone FROM dict_rules r FULL JOIN edits e ON r.key = e.key LEFT JOIN outs o ON o.key = coalesce(r.key, e.key)) AS z WHERE NOT gone)"""
+
+
+def _edited(r: Relations) -> Dictionary:
+    n = F.col("r")
+    edits = r.dict_keys.where(n % 3 == 0).select(F.upper("key").alias("key"), F.when(n % 4 == 0, "ignore").when(n % 4 == 1, "map").alias("disposition"), F.when(n % 4 == 1, F.array(F.lit("theme: edited"))).alias("outputs"), (n % 4 == 2).alias("remove"))
+    names = edits.where("outputs IS NOT NULL").select(F.lit("theme").alias("axis"), F.explode("outputs").alias("name"))
+    return dictionary.edited(r.dictionary(), edits, names)
+
+
+@query(f"+{EDITED} SELECT key, disposition, outputs FROM after")
+def x6_edit_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(Relations(spark, sf_dir)).lookup().select("key", "disposition", F.array_join("outputs", "; ").alias("outputs"))
+
+
+@query(
+    f"""+{EDITED} SELECT key, change FROM (SELECT coalesce(b.key, a.key) AS key, CASE WHEN b.disposition IS NULL AND b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' WHEN b.disposition IS DISTINCT FROM a.disposition OR coalesce(o.outputs, '') <> a.outputs THEN 'changed' END AS change
+    FROM dict_rules b LEFT JOIN outs o ON o.key = b.key FULL JOIN after a ON a.key = b.key) AS z WHERE change IS NOT NULL"""
+)
+def x9_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return dictionary.compared(r.dictionary(), _edited(r)).select("key", "change")
+
+
+@query("SELECT 'theme' AS axis, 'theme: edited' AS added, '' AS removed")
+def t8_compare_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    out = dictionary.compared_axes(r.dict_canonical, _edited(r).canonical)
+    return out.select("axis", F.array_join("added", "; ").alias("added"), F.array_join("removed", "; ").alias("removed"))
+
+
+@query("SELECT '/' || replace(replace(p_brand, '~', '~0'), '/', '~1') || '/a~1b' AS pointer, CAST(count(*) AS STRING) AS before, CAST(count(*) FILTER (p_size > 5) AS STRING) AS after FROM part GROUP BY p_brand HAVING count(*) <> count(*) FILTER (p_size > 5)")
+def t9_compare_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = Relations(spark, sf_dir).part
+    side = lambda n: part.groupBy("p_brand").agg(n.cast("string").alias("value")).select(F.array(F.col("p_brand"), F.lit("a/b")).alias("path"), "value")
+    return dictionary.compared_settings(side(F.count("*")), side(F.count_if(F.col("p_size") > 5)))
+
+
+@query("SELECT key, CASE WHEN r % 2 = 0 THEN 'map' WHEN r % 5 = 0 THEN 'detail' ELSE 'ignore' END AS disposition, CASE WHEN r % 2 = 0 THEN 'axis' WHEN r % 5 = 0 THEN 'details' ELSE 'blocked' END AS origin FROM dict_keys WHERE r % 2 = 0 OR r % 5 = 0 OR r % 3 = 0")
+def t10_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = Relations(spark, sf_dir).dict_keys
+    part = lambda where, d, out: k.where(where).select("key", F.lit(d).alias("disposition"), (F.array(F.concat(F.lit("x: "), "key")) if out else F.array().cast("array<string>")).alias("outputs"))
+    built = dictionary.built([("axis", part("r % 2 = 0", "map", True)), ("details", part("r % 5 = 0", "detail", True)), ("blocked", part("r % 3 = 0", "ignore", False))])
+    return built.select("key", "disposition", "origin")
+
+
+@query("SELECT key FROM dict_keys WHERE r % 2 = 0 AND r % 3 = 0 AND r % 4 <> 0")
+def t10_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = Relations(spark, sf_dir).dict_keys
+    return dictionary.collisions(k.where("r % 2 = 0"), k.where("r % 3 = 0"), k.where("r % 4 = 0")).select("key")
+
+
+@query(f"+{KEYED} SELECT key, min(raw_label) AS first_form, CAST(count(DISTINCT raw_label) AS BIGINT) AS forms FROM keyed GROUP BY 1 HAVING count(DISTINCT raw_label) > 1")
+def q4_key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = Relations(spark, sf_dir).raw_labels.select(F.col("raw_label").alias("raw"))
+    parts = F.split("message", r" \| ")
+    return quality.key_collisions(raw).select(F.col("location").alias("key"), parts[0].alias("first_form"), F.size(parts).cast("long").alias("forms"))
+
+
+@query("SELECT raw_label AS location, CAST(count(*) AS STRING) AS message FROM raw_labels GROUP BY 1 HAVING count(*) > 1")
+def q12_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicate_keys(Relations(spark, sf_dir).raw_labels.select(F.col("raw_label").alias("raw"))).select("location", "message")
+
+
+@query("SELECT key AS location, output AS message FROM dict_outputs JOIN dict_rules USING (key) WHERE disposition IN ('map', 'defer') AND output LIKE 'theme: %' AND length(key) % 3 = 0")
+def q5_unknown_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    outputs = r.dict_outputs.withColumn("output", F.when(F.startswith("output", F.lit("theme: ")) & (F.length("key") % 3 == 0), F.concat("output", F.lit("!"))).otherwise(F.col("output")))
+    found = quality.unknown_outputs(outputs, r.dict_rules, r.dict_canonical, ["era"])
+    return found.select("location", F.rtrim(F.replace("message", F.lit("!"))).alias("message"))
+
+
+@query("SELECT r.key AS location, r.disposition || ' has ' || CAST(count(o.key) AS STRING) || ' outputs' AS message FROM dict_rules r LEFT JOIN dict_outputs o ON o.key = r.key AND length(o.key) % 4 <> 0 GROUP BY r.key, r.disposition HAVING r.disposition IN ('map', 'detail') AND count(o.key) = 0")
+def q6_wrong_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return quality.wrong_outputs(r.dict_rules, r.dict_outputs.where("length(key) % 4 <> 0")).select("location", "message")
+
+
+BUCKETS = "b AS (SELECT p_brand AS kind, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS pos, CAST(p_size AS BIGINT) AS min, CAST(p_size + p_partkey % 4 - 1 AS BIGINT) AS max, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE p_name END AS label FROM part)"
+
+
+def _buckets(r: Relations) -> DataFrame:
+    r.part
+    return r._at[0].sql("WITH " + BUCKETS + " SELECT * FROM b")
+
+
+@query(f"+{BUCKETS}, w AS (SELECT *, lag(max) OVER (PARTITION BY kind ORDER BY min, max, pos) AS before FROM b) SELECT 'bucket_bounds' AS \"check\", CAST(count(*) AS BIGINT) AS n FROM w WHERE min > max UNION ALL SELECT 'bucket_overlap', CAST(count(*) AS BIGINT) FROM w WHERE before >= min")
+def q1_bucket_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.bucket_overlaps(_buckets(Relations(spark, sf_dir))).groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query(f"+{BUCKETS}, w AS (SELECT *, lag(max) OVER (PARTITION BY kind ORDER BY pos) AS before FROM b) SELECT 'bucket_order' AS \"check\", kind || '/' || CAST(pos AS STRING) AS location FROM w WHERE min <> before + 1 UNION ALL SELECT 'bucket_label', kind || '/' || CAST(pos AS STRING) FROM w WHERE trim(label) = ''")
+def q2_bucket_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.bucket_gaps(_buckets(Relations(spark, sf_dir))).select("check", "location")
+
+
+@query(
+    """+e AS (SELECT CASE WHEN r % 10 = 0 THEN ' ' ELSE key END AS key, CASE WHEN r % 4 = 0 THEN 'drop' WHEN r % 4 = 1 THEN 'map' END AS d, r % 6 = 1 AS gone FROM dict_keys)
+    SELECT 'required' AS "check", 'edits' AS location FROM e WHERE trim(key) = '' UNION SELECT 'enum', key FROM e WHERE d = 'drop' UNION SELECT 'exclusive', key FROM e WHERE gone AND d IS NOT NULL"""
+)
+def q11_edit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("r")
+    k = Relations(spark, sf_dir).dict_keys
+    edits = k.select(F.when(n % 10 == 0, " ").otherwise(F.col("key")).alias("key"), F.when(n % 4 == 0, "drop").when(n % 4 == 1, "map").alias("disposition"), F.array().cast("array<string>").alias("outputs"), (n % 6 == 1).alias("remove"))
+    return quality.edit_issues(edits).select("check", "location").distinct()
+
+
+@query("SELECT 'enum' AS \"check\", key AS location FROM dict_rules WHERE disposition = 'detail' UNION SELECT 'unique', 'theme' FROM dict_canonical WHERE axis = 'theme' AND pos <= 2")
+def q9_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    rules = r.dict_rules.withColumn("disposition", F.when(F.col("disposition") == "detail", "wrong").otherwise(F.col("disposition")))
+    twice = r.dict_canonical.unionByName(r.dict_canonical.where("axis = 'theme' AND pos <= 2"))
+    found = quality.all_issues([quality.structure(rules, r.dict_outputs, twice), quality.duplicate_keys(r.dict_rules.select(F.col("key").alias("raw")))])
+    return found.select("check", "location").distinct()
+
+
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT raw_label, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items FROM raw_labels GROUP BY 1")
+def a7_items_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.items_per_label(Relations(spark, sf_dir).raw_labels)
+
+
+@query(f"+{KEYED} SELECT key, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items FROM keyed WHERE key IN (SELECT key FROM dict_rules WHERE disposition = 'map') GROUP BY 1")
+def a8_items_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.items_per_key(r.raw_labels, r.dict_rules.where("disposition = 'map'"))
+
+
+@query(
+    f"""SELECT (SELECT count(*) FROM items) AS total, count(*) FILTER ({RAN}) AS processed, count(*) FILTER ({STALE}) AS stale, count(*) FILTER (status = 'failed') AS failed, count(*) AS inspected,
+    greatest(0, (SELECT count(*) FROM items) - count(*) FILTER ({RAN})) AS never_processed FROM item_state"""
+)
+def a9_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    out = reports.dashboard(r.items, r.item_state, "cur", "fp")
+    return out.select("total", "processed", "stale", "failed", "inspected", "never_processed")
+
+
+MISS = f"{LOOKED}, miss AS (SELECT raw_label, item_id, key FROM looked WHERE disposition IS NULL)"
+
+
+@query(f"+{MISS} SELECT CAST(count(DISTINCT raw_label) AS BIGINT) AS labels, CAST(count(DISTINCT item_id) AS BIGINT) AS items FROM miss")
+def a10_unmapped_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.unmapped_totals(r.raw_labels, r.dictionary())
+
+
+@query(f"+{MISS} SELECT raw_label, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items FROM miss GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def o1_top_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.top_unmapped(r.raw_labels, r.dictionary(), 20)
+
+
+REPORT = f"""{KEYED}, {OUTS}, seen AS (SELECT key, count(DISTINCT item_id) AS n FROM keyed WHERE key <> '' GROUP BY 1),
+    report AS (SELECT coalesce(s.key, r.key) AS key, CAST(coalesce(n, 0) AS BIGINT) AS n_items, CASE r.disposition WHEN 'map' THEN 'mapped' WHEN 'detail' THEN 'mapped_detail' WHEN 'ignore' THEN 'ignored' WHEN 'defer' THEN 'deferred' ELSE 'needs_decision' END AS status, coalesce(o.outputs, '') AS outputs
+    FROM seen s FULL JOIN dict_rules r ON r.key = s.key LEFT JOIN outs o ON o.key = r.key)"""
+
+
+@query(f"+{REPORT} SELECT key, n_items, status, outputs FROM report")
+def j12_dictionary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.dictionary_report(r.raw_labels, r.dictionary())
+
+
+@query(f"+{REPORT} SELECT status, CAST(count(*) AS BIGINT) AS n FROM report GROUP BY 1")
+def a11_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.status_counts(reports.dictionary_report(r.raw_labels, r.dictionary()))
+
+
+@query(f"+{REPORT} SELECT key, status, outputs FROM report WHERE status = 'mapped' AND (lower(key) LIKE '%re%' OR lower(outputs) LIKE '%re%')")
+def p14_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.browse(reports.dictionary_report(r.raw_labels, r.dictionary()), "mapped", "RE").select("key", "status", "outputs")
+
+
+@query("SELECT axis, name FROM dict_canonical WHERE lower(name) LIKE '%br%' ORDER BY axis, pos LIMIT 8")
+def p15_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.typeahead(Relations(spark, sf_dir).dict_canonical, "BR").select("axis", "name")
+
+
+@query(
+    f"""+{KEYED}, k AS (SELECT * FROM keyed WHERE key <> ''), s AS (SELECT key, string_agg(item_id, ',' ORDER BY item_id) AS samples FROM (SELECT key, item_id, row_number() OVER (PARTITION BY key ORDER BY item_id) AS n FROM (SELECT DISTINCT key, item_id FROM k) AS d) AS z WHERE n <= 3 GROUP BY 1)
+    SELECT key, min(raw_label) AS display, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, samples FROM k JOIN s USING (key) GROUP BY key, samples"""
+)
+def a23_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.catalogue(Relations(spark, sf_dir).raw_labels)
+
+
+@query("SELECT 'http://' || string_agg(DISTINCT split_part(split_part(url, '//', 2), '/', 1), ',http://' ORDER BY split_part(split_part(url, '//', 2), '/', 1)) AS fingerprint FROM items WHERE url IS NOT NULL")
+def a22_provider_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
+    urls = Relations(spark, sf_dir).items.where("url IS NOT NULL").select(F.concat(F.lit("http://"), host).alias("url")).distinct()
+    return reports.provider_fingerprint(urls)
+
+
+@query("SELECT proposed_run_id FROM proposals ORDER BY created_at DESC, proposed_run_id DESC LIMIT 1")
+def w2_latest_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.latest_set(Relations(spark, sf_dir).proposals)
+
+
+@query("SELECT run_id FROM runs WHERE status = 'success' ORDER BY ended_at DESC, run_id DESC LIMIT 1")
+def w3_last_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.last_successful_run(Relations(spark, sf_dir).runs).select("run_id")
+
+
+ERRORS = "errs AS (SELECT attempt_id, run_id, message FROM attempts WHERE status = 'failed' AND run_id = (SELECT run_id FROM attempts ORDER BY attempted_at DESC, attempt_id DESC LIMIT 1) ORDER BY attempted_at DESC, attempt_id DESC LIMIT 20)"
+
+
+@query(f"+{ERRORS} SELECT attempt_id, run_id, message, regexp_extract(message, '[0-9]{{3}}') AS code FROM errs")
+def w4_recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = reports.recent_errors(Relations(spark, sf_dir).attempts)
+    return errors.select("attempt_id", "run_id", "message", tx.status_code(F.col("message")).alias("code"))
+
+
+@query(f"+{ERRORS} SELECT message, CAST(count(*) AS BIGINT) AS n FROM errs GROUP BY 1")
+def a17_error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.error_groups(reports.recent_errors(Relations(spark, sf_dir).attempts))
+
+
+@query(
+    """+root AS (SELECT run_id, coalesce(parent_run_id, run_id) AS root FROM runs), n AS (SELECT root, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM attempts JOIN root USING (run_id) GROUP BY 1)
+    SELECT run_id, r.status, CAST(success AS BIGINT) AS success, CAST(failed AS BIGINT) AS failed, CAST(skipped AS BIGINT) AS skipped FROM runs r LEFT JOIN n ON n.root = r.run_id WHERE parent_run_id IS NULL ORDER BY started_at DESC, run_id DESC LIMIT 10"""
+)
+def o4_run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.run_history(r.runs, r.attempts, 10).select("run_id", "status", "success", "failed", "skipped")
+
+
+@query("SELECT s.proposed_run_id, CAST(count(p.item_id) AS BIGINT) AS total, CAST(count(*) FILTER (has_change) AS BIGINT) AS changed FROM (SELECT DISTINCT 'set' || CAST(o_orderkey % 8 AS STRING) AS proposed_run_id FROM orders) s LEFT JOIN proposals p USING (proposed_run_id) GROUP BY 1")
+def a14_set_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    expected = r.orders.select(F.concat(F.lit("set"), (F.col("o_orderkey") % 8).cast("string")).alias("proposed_run_id")).distinct()
+    return reports.set_totals(r.proposals, expected)
+
+
+@query(
+    """+ph AS (SELECT DISTINCT proposed_run_id, CAST(substr(proposed_run_id, 4) AS BIGINT) AS phase_pos FROM proposals), t AS (SELECT proposed_run_id, count(*) AS set_total FROM proposals GROUP BY 1),
+    page AS (SELECT p.item_id, p.proposed_run_id, has_change, phase_pos FROM proposals p JOIN ph USING (proposed_run_id) ORDER BY has_change DESC, phase_pos, item_id LIMIT 300),
+    shown AS (SELECT proposed_run_id, count(*) AS shown FROM page GROUP BY 1) SELECT item_id, proposed_run_id, has_change, phase_pos, CAST(set_total AS BIGINT) AS set_total, shown < set_total AS truncated FROM page JOIN t USING (proposed_run_id) JOIN shown USING (proposed_run_id)"""
+)
+def o6_proposal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    phases = r.proposals.select("proposed_run_id", F.substring("proposed_run_id", 4, 9).cast("long").alias("phase_pos")).distinct()
+    return reports.proposal_page(r.proposals, phases, 300).select("item_id", "proposed_run_id", "has_change", "phase_pos", "set_total", "truncated")
+
+
+@query(
+    f"""+{WANTED}, {REASONS}, m AS (SELECT item_id FROM auth WHERE CAST(item_id AS BIGINT) % 3 = 0), page AS (SELECT item_id FROM m ORDER BY item_id LIMIT 200),
+    k AS (SELECT item_id, string_agg(reason || ': ' || name, '; ' ORDER BY reason || ': ' || name) AS reasons FROM reasons WHERE reason IS NOT NULL GROUP BY 1)
+    SELECT item_id, CAST((SELECT count(*) FROM m) AS BIGINT) AS total, coalesce(reasons, '') AS reasons, (SELECT count(*) FROM m) > 200 AS truncated FROM page LEFT JOIN k USING (item_id)"""
+)
+def j10_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    after = _wanted(r).groupBy("item_id").agg(F.array_sort(F.collect_set("name")).alias("after_names"))
+    none = F.array().cast("array<string>")
+    m = r.authority().join(after, "item_id", "left").where("cast(item_id AS long) % 3 = 0").select("item_id", F.lit("run1").alias("run_id"), F.coalesce("after_names", none).alias("after_names"), none.alias("before_names"))
+    out = reports.run_changes(m, _reasons(r), "run1", 200)
+    return out.select("item_id", "total", F.coalesce(F.array_join("reasons", "; "), F.lit("")).alias("reasons"), "truncated")
+
+
+@query("SELECT DISTINCT 'set' || CAST(o_orderkey % 9 AS STRING) AS proposed_run_id FROM orders WHERE o_orderkey % 9 > 5")
+def j20_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    expected = r.orders.select(F.concat(F.lit("set"), (F.col("o_orderkey") % 9).cast("string")).alias("proposed_run_id")).distinct()
+    return reports.uncovered(expected, r.proposals)
+
+
+@query("SELECT a.run_id, 'phase' || CAST(event_id % 3 AS STRING) AS phase FROM (SELECT DISTINCT run_id, attempt_id % 3 AS event_id FROM attempts WHERE run_id <> 'run7') a WHERE run_id = (SELECT run_id FROM runs WHERE run_id <> 'run7' ORDER BY started_at DESC, run_id DESC LIMIT 1)")
+def w8_newest_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    sets = r.attempts.where("run_id <> 'run7'").select("run_id", F.concat(F.lit("phase"), (F.col("attempt_id") % 3).cast("string")).alias("phase")).distinct()
+    return reports.newest_phases(r.runs, sets)
+
+
+@query(f"+{KEYED} SELECT CAST(count(DISTINCT item_id) AS BIGINT) AS items FROM keyed JOIN dict_rules USING (key) WHERE disposition = 'ignore'")
+def a25_save_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.save_result(r.raw_labels, r.dict_rules.where("disposition = 'ignore'"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total FROM items")
+def a26_total_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.total_items(r.items, r.item_state, r.proposals)
+
+
+@query()
+def j16_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a twin: DuckDB has no such similarity; tests hold it against plain difflib over all pairs."""
+    r = Relations(spark, sf_dir)
+    undecided = reports.dictionary_report(r.raw_labels, r.dictionary()).where("status = 'needs_decision'").select("key")
+    return reports.suggestions(undecided, r.dict_rules.select(F.col("key").alias("text")), "key")
+
+
+@query()
+def a18_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a twin: the digest is over Spark's JSON; tests hold its invariances."""
+    return dictionary.fingerprint(Relations(spark, sf_dir).dictionary())
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, CASE WHEN TRY_CAST(substr(props, 7, length(props) - 7) AS INT) > 0 THEN CAST(substr(props, 7, length(props) - 7) AS INT) ELSE 9 END AS n, event_type IN ('click', 'view') AS flag, CASE WHEN event_type = 'error' THEN '[REDACTED]' ELSE event_type END AS said FROM events"""
+)
+def f_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Relations(spark, sf_dir).events
+    k = F.get_json_object("props", "$.k")
+    flag = F.when(F.col("event_type") == "click", " YES ").when(F.col("event_type") == "view", "1").otherwise("nope")
+    said = F.when(F.col("event_type") == "error", "api_key=abc").otherwise(F.col("event_type"))
+    return redacted(e.select("event_id", tx.positive_int(k, 9).alias("n"), tx.loose_bool(flag).alias("flag"), said.alias("said"), F.lit("x").alias("token")))
