@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelwright.llm.common import string_rows, text_pieces
+from labelwright.llm.common import give_back, string_rows, text_pieces
 
 _NONE = 1 << 60
 _SHIFT = 20
@@ -43,7 +43,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p
 BLANKS = regex.compile("[" + WHITE + "]+")
 ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
 #: Entries of a memo before it is emptied.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -314,11 +314,6 @@ class _Memo:
                 self.runs[r] = b"".join([x for x, _ in found]), " ".join([y for _, y in found])
 
 
-@lru_cache(maxsize=4)
-def _memo(path: str) -> _Memo:
-    return _Memo(merge_table(path))
-
-
 def normalized(text: str) -> str:
     """NFC, then lower case character by character (a final sigma is no exception)."""
     if not text.isascii():
@@ -331,9 +326,9 @@ def _runs(text: str) -> list[str]:
     return [x for x in BLANKS.split(text) if x] if ODD_BLANKS.search(text) else text.split()
 
 
-def encode_texts(path: str, texts: list[str]) -> list[tuple[bytes, str]]:
+def encode_texts(path: str, texts: list[str], memo: _Memo | None = None) -> list[tuple[bytes, str]]:
     """Of each text: ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
-    memo = _memo(path)
+    memo = memo or _Memo(merge_table(path))
     split = memo.table.split_special
     plans: list[list[list[str] | str]] = []
     for text in texts:
@@ -368,14 +363,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the memo's many small tuples hold no cycles
+        memo = _Memo(merge_table(path))  # the task's own: it goes with the task
         for batch in text_pieces(batches, text):
             rows = []
-            for ids, decoded in encode_texts(path, string_rows(batch.column(batch.schema.get_field_index(text)))):
+            for ids, decoded in encode_texts(path, string_rows(batch.column(batch.schema.get_field_index(text))), memo):
                 more = (np.frombuffer(ids, "<u4").astype(np.int32), decoded) if keep_ids else ()
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *more))
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + cols, names=[*kept, *new])
+        del memo
+        gc.enable()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

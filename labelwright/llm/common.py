@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task turns into arrays at once; one longer text is taken alone.
-PIECE_BYTES = 1 << 21
+#: Text bytes and rows that a task turns into arrays at once; one longer text is taken alone.
+PIECE_BYTES, PIECE_ROWS = 1 << 21, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,18 @@ def text_pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         off = np.frombuffer(col.buffers()[1], wide)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+            to = min(at + PIECE_ROWS, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: an executor's idle Python workers count against its memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
