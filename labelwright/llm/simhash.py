@@ -290,7 +290,7 @@ def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
                 keys[some, b] = mix64(keys[some, b] * np.uint64(0x8CB92BA72F3D8DD7) + np.minimum.reduceat(s * odd, first[some]))
     power = np.cumprod(np.full(int(w.count.max(initial=0)) + 1, 0x8CB92BA72F3D8DD7, np.uint64))
     begin = np.concatenate([[0], np.cumsum(w.count)])[:-1]
-    sums = np.concatenate([[0], np.cumsum(h * power[np.arange(len(h)) - begin[w.doc]])]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[np.arange(len(h)) - begin[w.doc]], dtype=np.uint64)])
     return fps, keys, mix64(sums[begin + w.count] - sums[begin] + w.count.astype(np.uint64))
 
 
