@@ -369,7 +369,7 @@ def fit(pages: DataFrame, column: str = "html", limit: int = TRAIN_PAGES) -> Lab
     key = F.xxhash64(column)
     # the bound on the hash first, so that no task sends pages which others replace
     bound = pages.where(F.col(column).isNotNull()).select(key.alias("k")).distinct().orderBy("k").limit(limit).agg(F.max("k")).first()[0]
-    some = pages.where(key <= bound) if bound is not None else pages.limit(0)
+    some = pages.where(F.col(column).isNotNull() & (key <= bound)) if bound is not None else pages.limit(0)
     some = some.select(F.substring(column, 1, TRAIN_CHARS).alias("h"), key.alias("k")).dropDuplicates(["k"]).orderBy("k")
     seen = [blocks(r.h) for r in some.collect()]  # a page that is there more than once counts once
     made, labels = [], []
