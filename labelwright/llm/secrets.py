@@ -11,9 +11,10 @@ the forest.
 
 from __future__ import annotations
 
-import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -169,17 +170,48 @@ class Scanner:
         return self.forest.score(np.array([self.features(*r) for r in rows], float)) if rows else np.zeros(0)
 
 
+def example_findings(each: int = 12, seed: int = 3) -> list[tuple[str, str, str, str, str, int]]:
+    """Made-up labelled findings of every known format, so that the forest knows those that a table hardly has.
+
+    (candidate, name, path, before, after, label); the strings are random, the formats those of the rules above.
+    """
+    r = random.Random(seed)
+    some = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    upper, hexes, mixed = string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits
+    word = lambda: some(r.randint(2, 9), string.ascii_lowercase)
+    secret = [
+        lambda: ("AKIA" + some(16, upper), ""), lambda: ("ghp_" + some(36, mixed), ""), lambda: ("sk_live_" + some(24, mixed), ""), lambda: ("xoxb-" + some(11, string.digits) + "-" + some(24, mixed), ""), lambda: ("AIza" + some(35, mixed), ""),
+        lambda: (f"eyJ{some(17, mixed)}.eyJ{some(40, mixed)}.{some(43, mixed)}", ""), lambda: (some(r.choice((16, 18, 24, 32, 40)), hexes), r.choice(KEYWORDS)), lambda: (some(r.randint(20, 40), mixed), r.choice(KEYWORDS)),
+    ]
+    harmless = [
+        lambda: f"{word()}.{r.randint(1, 99)}@{word()}.example", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: some(16, string.digits), lambda: f"555-{some(4, string.digits)}-{some(3, string.digits)}", lambda: f"20{some(2, '012')}-0{r.randint(1, 9)}-1{r.randint(0, 9)}",
+        lambda: f"http://{word()}.example/{word()}{r.randint(1, 99)}", lambda: f"{word()}{word()}{r.randint(1, 999)}", lambda: f"{word()}_{word()}_{r.randint(1, 9)}", lambda: f"v{r.randint(1, 9)}.{r.randint(1, 20)}.{r.randint(1, 99)}-{word()}", lambda: f"{some(5, string.digits)},{some(3, string.digits)}",
+    ]
+    out = []
+    for make in secret:
+        for _ in range(each):
+            value, name = make()
+            inline = bool(name) and r.random() < 0.5
+            before = f"{word()} {word()} " + (f'{name} = "' if name and not inline else "")
+            out.append((value, name if inline else "", "", before, f" {word()} {word()}", 1))
+    for make in harmless:
+        out += [(make(), "", "", f"{word()} {word()} ", f" {word()} {word()}", 0) for _ in range(each)]
+    return out
+
+
 def fit(findings: DataFrame, label: str = "label", limit: int = TRAIN_FINDINGS) -> Scanner:
     """A scanner of at most ``limit`` labelled findings (columns of ``FINDING``, path and a 0/1 label; null labels are left out).
 
     Half of the bound is kept for either label, so that rare secrets are not crowded out.  The dictionary and the letter
-    pairs come from the same findings' neighbouring words.  Without findings of both labels every score is their share.
+    pairs come from the same findings' neighbouring words.  ``example_findings`` come on top.
     """
     key = F.xxhash64("candidate", "name", "before", "after", "path")
     cols = ["candidate", "name", "path", "before", "after", label]
     part = lambda v: findings.where(F.col(label) == v).select(*cols, key.alias("k")).dropDuplicates(["k"]).orderBy("k").limit(limit // 2)
     rows = [tuple(r)[:6] for r in part(1).collect()] + [tuple(r)[:6] for r in part(0).collect()]
-    words = Counter(x for r in rows for s in (r[3], r[4]) for x in re.findall(r"[^\W\d_]+", s.lower()) if len(x) >= 2)
+    own = len(rows)
+    rows += example_findings()
+    words = Counter(x for r in rows[:own] for s in (r[3], r[4]) for x in re.findall(r"[^\W\d_]+", s.lower()) if len(x) >= 2)
     dictionary = frozenset(x for x, _ in sorted(words.items(), key=lambda p: (-p[1], p[0]))[:DICTIONARY])
     seen = np.ones((27, 27))
     for x, n in words.items():
