@@ -167,3 +167,29 @@ def test_rerun_changes_nothing(spark, tiny):
 def test_buckets(spark):
     b = [Bucket(None, 9, "low"), Bucket(10, 19, "mid"), Bucket(20, None, "high")]
     assert [x for (x,) in values(spark, [(-5,), (9,), (10,), (99,), (None,)], "v int", derive.bucket_of(F.col("v"), b))] == ["low", "low", "mid", "high", None]
+
+
+def test_library_run_is_idempotent(spark, tmp_path):
+    from labelwright.plans.curate import Inputs, curate
+
+    s = Store(spark, f"file://{tmp_path}")
+    make = spark.createDataFrame
+    s.replace("item_labels", make([("1", "L9", "Mine"), ("2", "L9", "Mine"), ("1", "L5", "theme: gone")], "item_id string, label_id string, name string"))
+    s.replace("ownership", make([("1", "L5", None, "run0")], "item_id string, label_id string, acquired_at timestamp, acquired_run_id string"))
+    s.replace("item_state", make([], "item_id string, status string, last_successful_run_id string, rules_sha string, provider_fp string"))
+    s.replace("raw_current", make([], "item_id string, provider string, raw_label string"))
+    d = dictionary.Dictionary(make([("foo", "map"), ("bar", "ignore")], "key string, disposition string"), make([("foo", "theme: foo", 1)], "key string, output string, pos long"), make([("theme", "theme: foo", 1)], "axis string, name string, pos long"))
+    inputs = Inputs(
+        make([("1",), ("2",), ("3",)], "item_id string"), make([("1", "p", "Foo,", 1), ("1", "p", "bar", 2), ("2", "p", "foo", 1), ("3", "p", "foo", 1)], "item_id string, provider string, raw_label string, pos long"),
+        make([("1", "p", "UNIQUE"), ("2", "p", "NO_MATCH"), ("3", "p", "UNIQUE")], "item_id string, provider string, status string"),
+        make([("L1", "theme: foo"), ("L2", "Curation: No Match"), ("L5", "theme: gone"), ("L9", "Mine")], "label_id string, name string"), make([], "item_id string, name string"), d,
+    )
+    first = {p.item_id: p for p in curate(s, inputs, "run1", "sha", "fp", [], preview=True, phases=("never_processed",))["never_processed"].collect()}
+    assert first["1"].added == ["theme: foo"] and first["1"].removed_managed == ["theme: gone"] and s.read("item_labels").count() == 3
+    curate(s, inputs, "run1", "sha", "fp", [], phases=("never_processed",))
+    assert sorted((r.item_id, r.name) for r in s.read("item_labels").collect()) == [("1", "Mine"), ("1", "theme: foo"), ("2", "Curation: No Match"), ("2", "Mine"), ("3", "theme: foo")]
+    assert sorted((r.item_id, r.label_id) for r in s.read("ownership").collect()) == [("1", "L1"), ("2", "L2"), ("3", "L1")]
+    assert {r.status for r in s.read("item_state").collect()} == {"success"}
+    again = curate(s, inputs, "run2", "sha2", "fp", [], phases=("never_processed", "stale_rules"))
+    assert again["never_processed"].count() == 0 and again["stale_rules"].count() == 3
+    assert all(p.where("has_change").count() == 0 for p in again.values())
