@@ -95,10 +95,21 @@ def with_clause(names: tuple[str, ...] | None = None) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in list(RELATIONS.items())[: last + 1]) + "\n"
 
 
+_views: dict[str, str] = {}
+
+
+def _register(spark: SparkSession, sf_dir: str) -> None:
+    """The folder's tables as views of the session; they are read anew only when the folder changes."""
+    session = f"{spark.sparkContext.applicationId}/{id(spark._jsparkSession)}"
+    if _views.get(session) != sf_dir:
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _views[session] = sf_dir
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation, or a table of the driver by its own name."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    _register(spark, sf_dir)
     if name not in RELATIONS:
         return spark.table(name)
     return spark.sql(with_clause((name,)) + f"SELECT * FROM {name}")
