@@ -27,7 +27,7 @@ from labelwright.llm.graph import components
 #: Fingerprints of a shard that meet in one task.
 CHUNK = 1024
 #: Pairs of a shard that one numpy pass may visit.
-VISITS = 4_000_000
+VISITS = 1_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SEGMENT = 1 << 20
 
@@ -95,10 +95,15 @@ def shard_keys(fp: Column) -> list[Column]:
     return keys
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints in one or more 64-bit words each."""
-    d = np.bitwise_count(a ^ b)
-    return (d if d.ndim == 1 else d.sum(1, dtype=np.int64)).astype(np.int64)
+def distances(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints a[at_a] and b[at_b], in one or more 64-bit words each; wide ones a part at a time."""
+    if a.ndim == 1:
+        return np.bitwise_count(a[at_a] ^ b[at_b]).astype(np.int64)
+    out = np.empty(len(at_a), np.int64)
+    for k in range(0, len(out), 1 << 16):
+        s = slice(k, k + (1 << 16))
+        out[s] = np.bitwise_count(a[at_a[s]] ^ b[at_b[s]]).sum(1, dtype=np.int64)
+    return out
 
 
 class BKForest:
@@ -113,7 +118,7 @@ class BKForest:
         rest = np.setdiff1d(np.arange(len(fp)), first, assume_unique=True)
         at = at[rest]
         while len(rest):
-            edge, lead, which = np.unique(at * (self.top + 1) + distance(fp[rest], fp[at]), return_index=True, return_inverse=True)
+            edge, lead, which = np.unique(at * (self.top + 1) + distances(fp, rest, fp, at), return_index=True, return_inverse=True)
             keys.append(edge)
             children.append(rest[lead])
             stay = np.ones(len(rest), bool)
@@ -132,7 +137,7 @@ class BKForest:
         node = self.roots[slot[q]]
         found_q, found_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(q):
-            d = distance(fp[q], self.fp[node])
+            d = distances(fp, q, self.fp, node)
             hit = d <= radius
             found_q.append(q[hit])
             found_n.append(node[hit])
