@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of an edge but the roots: root is the least node that the node reaches.
 
     ``edges``: (u, v) of one ordered type without nulls; loops and repeats do no harm.  Large-star and small-star steps
-    alternate until nothing changes, each written to the shared folder.  The least neighbour is an aggregate that is
+    alternate until nothing changes, each pair of them written to the shared folder.  The least neighbour is an aggregate that is
     joined back, so that a node with very many neighbours is combined on the map side and its join can be split.
     """
     now, seen = checkpointed(_ordered(edges)), None
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(_ordered(large))
+        large = _ordered(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
