@@ -5,12 +5,13 @@ gives each token c the widest window (l, c, r) of which it has the least value:
 [c, r] has c as its min-hash.  Only windows of at least ``LEAST_WORDS`` words matter, about two for each such length of
 text; they are found as the distinct minima of a sliding window, and a stack over those gives the tree's exact spans.
 
-Windows of different texts with one min-hash meet by a shuffle on (function, min-hash).  In each such group every text is
-laid against the group's first and last, so that a group of n texts gives at most 2n candidates, not all pairs.  The candidates of two
-texts, from all functions, give intervals along which they may run alike; these are verified on the shingles
-themselves: a passage is a union of windows of ``LEAST_WORDS`` words of which a share of shingles that makes a Jaccard
-similarity of ``SIMILARITY`` lies on one diagonal of both texts.  A passage of that similarity is met with probability
-1 - (1 - SIMILARITY) ** FUNCTIONS for each window's length of it, a passage that is equal always.
+Windows of different texts with one min-hash meet by a shuffle on (function, min-hash); each carries the tokens about its
+place, so that the texts of a group are compared where they meet.  All are laid against the group's first; every text
+outside the largest class so found is then laid against all texts of other classes, until no two texts of different
+classes are unmet.  Texts run alike if a window of ``LEAST_WORDS`` words about the place has, on one diagonal of both but
+for ``SHIFT``, a share of shingles that makes a Jaccard similarity of ``SIMILARITY``.  One meeting under any function is
+enough: a passage of that similarity is met with probability 1 - (1 - SIMILARITY) ** FUNCTIONS for each window's length
+of it, a passage that is equal always.
 
 Equal texts are one text throughout, known by a digest of their words.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.llm.common import Words, arrow_rows, checkpointed, fresh_path, mix64, text_pieces
@@ -34,11 +35,15 @@ FUNCTIONS = 4
 WIDTH = 5
 #: Tokens by which the diagonal of two passages may shift within a window (words left out or put in).
 SHIFT = 6
-#: Texts up to which a min-hash is rare: one such meeting is enough, others take two functions.
-RARE, _RARE_BIT = 4, 1 << 16
-#: Pairs of texts that go to Python at once: each has both texts' tokens.
-PAIR_ROWS = 250
+#: Windows of a group that meet in one task, and texts up to which a passage's pairs are counted one by one.
+CHUNK, COMMON = 1024, 64
+#: Rows that go to Python at once: texts with all their tokens, or windows with those about their place.
+PYTHON_ROWS = 500
 _SPAN = LEAST_WORDS - WIDTH + 1
+_REACH = _SPAN - 1 + SHIFT
+#: Tokens of a window that must be alike, pairs that are compared at once, and rows of which all pairs are.
+NEED = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * _SPAN - 1e-9))
+_PART, _SMALL = 2048, 24
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -112,59 +117,34 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
-def lay(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(candidates a, b, d, x, y, functions; rows of each key's first and last text) of windows key, node, c, l, r, f.
-
-    Every text of a key is laid against the first one, and all between also against the last.
-    """
-    key, node, c, l, r, f = rows
-    order = np.lexsort([c, node, key])
-    key, node, c, l, r, f = (x[order] for x in (key, node, c, l, r, f))
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (c[1:] != c[:-1])]) if len(key) else np.zeros(0, bool)
-    key, node, c, l, r, f = (x[fresh] for x in (key, node, c, l, r, f))
-    start, size = _groups(key)
-    first = np.repeat(start, size)
-    ends = start + size - 1
-    run = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])) if len(key) else start
-    last_run = run[np.searchsorted(run, ends, "right") - 1] if len(ends) else ends
-    last = np.repeat(last_run, size)
-    texts = np.bincount(np.searchsorted(start, run, "right") - 1, minlength=len(start)) if len(start) else start
-    rare = np.repeat(np.where(texts <= RARE, _RARE_BIT, 0), size)
-    place = np.arange(len(key))
-    pairs = [(place[node != node[first]], first[node != node[first]])]
-    between = (node != node[first]) & (node != node[last])
-    pairs.append((place[between], last[between]))
-    b, a = (np.concatenate(x) for x in zip(*pairs))
-    d = c[b] - c[a]
-    x, y = np.maximum(l[a], l[b] - d), np.minimum(r[a], r[b] - d)
-    wide = y - x >= _SPAN - 1 - SHIFT
-    found = [node[a][wide], node[b][wide], d[wide], x[wide], y[wide], np.left_shift(1, f[b][wide]) | rare[b][wide]]
-    order = np.lexsort([found[2], found[1], found[0]])
-    found = [v[order] for v in found]
-    head = np.flatnonzero(np.concatenate([[True], (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1]) | (found[2][1:] != found[2][:-1])])) if len(order) else order
-    if len(head):
-        found = [found[0][head], found[1][head], found[2][head], np.minimum.reduceat(found[3], head), np.maximum.reduceat(found[4], head), np.bitwise_or.reduceat(found[5], head)]
-    ahead = np.unique(np.concatenate([start, last_run])) if len(key) else start
-    return found, [v[ahead] for v in (key, node, c, l, r, f)]
-
-
-#: Window rows that a task lays out before it sends on what is left.
+#: Keys that a task holds before it sends on the different ones.
 _BATCH = 150_000
 
 
-def windows(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """Rows of three kinds: 0 windows (k1 key, k2 node, n1 c, n2 l, n3 r, n4 function), 1 candidates (k1 a, k2 b, n1 d, n2 x, n3 y,
-    n4 functions as bits), 2 texts (k2 node, n1 words, id).
+def _keys(t: Tokens) -> list[np.ndarray]:
+    """key, node, place of the least token in its text: a row for each compact window of the texts under each function."""
+    held = []
+    for f in range(FUNCTIONS):
+        _, c, _ = compact_windows(t.tokens, t.first, t.size, f)
+        row = np.searchsorted(t.first, c, "right") - 1
+        held.append([mix64(t.tokens[c] ^ np.uint64(f + 1)).astype(np.int64), t.node[row], c - t.first[row]])
+    return [np.concatenate(x) for x in zip(*held)]
 
-    A task lays its own windows out first and sends on a key's first and last text only: of a passage in very many texts,
-    two rows a task are shuffled.
-    """
-    schema = f"kind int, k1 long, k2 long, n1 int, n2 int, n3 int, n4 int, id {docs.schema[doc].dataType.simpleString()}"
 
-    def table(kind: int, cols: list[np.ndarray], ids: pa.Array | None, id_type: pa.DataType) -> pa.RecordBatch:
-        n = len(cols[1])
-        arrays = [pa.array(np.full(n, kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in cols[:2]), *(pa.array(x.astype(np.int32)) for x in cols[2:])]
-        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, id_type) if ids is None else ids], names=["kind", "k1", "k2", "n1", "n2", "n3", "n4", "id"])
+def _distinct(cols: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.lexsort(cols[::-1])
+    cols = [x[order] for x in cols]
+    new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in cols], axis=0)]) if len(order) else np.zeros(0, bool)
+    return [x[new] for x in cols]
+
+
+def windows(docs: DataFrame, text: str, doc: str) -> DataFrame:
+    """Rows of two kinds: 0 windows (k1 key, k2 node, n place of the least token), 2 texts (k2 node, n words, id)."""
+    schema = f"kind int, k1 long, k2 long, n int, id {docs.schema[doc].dataType.simpleString()}"
+
+    def table(kind: int, k1: np.ndarray, k2: np.ndarray, n: np.ndarray, ids: pa.Array | None, id_type: pa.DataType) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(len(k2), kind, np.int32)), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(k2), id_type) if ids is None else ids], names=["kind", "k1", "k2", "n", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -172,73 +152,19 @@ def windows(docs: DataFrame, text: str, doc: str) -> DataFrame:
         for batch in text_pieces(batches, text):
             t = Tokens(batch.column(batch.schema.get_field_index(text)))
             ids = batch.column(batch.schema.get_field_index(doc))
-            kind, none = ids.type, np.zeros(batch.num_rows)
-            yield table(2, [none, t.node, t.words, none, none, none], ids, kind)
-            for f in range(FUNCTIONS):
-                l, c, r = compact_windows(t.tokens, t.first, t.size, f)
-                row = np.searchsorted(t.first, c, "right") - 1
-                base = t.first[row]
-                held.append([mix64(t.tokens[c] ^ np.uint64(f + 1)).astype(np.int64), t.node[row], c - base, l - base, r - base, np.full(len(c), f)])
-                kept += len(c)
+            kind = ids.type
+            yield table(2, np.zeros(batch.num_rows), t.node, t.words, ids, kind)
+            held.append(_keys(t))
+            kept += len(held[-1][0])
             if kept > _BATCH:
-                found, rest = lay([np.concatenate(x) for x in zip(*held)])
-                yield table(1, found, None, kind)
-                yield table(0, rest, None, kind)
+                yield table(0, *_distinct([np.concatenate(x) for x in zip(*held)]), None, kind)
                 held, kept = [], 0
         if held:
-            found, rest = lay([np.concatenate(x) for x in zip(*held)])
-            yield table(1, found, None, kind)
-            yield table(0, rest, None, kind)
+            yield table(0, *_distinct([np.concatenate(x) for x in zip(*held)]), None, kind)
 
     return docs.select(doc, text).mapInArrow(run, schema)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """a, b, segments array<(d, x, y)>: two texts and the stretches [x, y] of a's tokens that may run like [x + d, y + d] of b's.
-
-    Texts that meet under one function only, and there with more than a few others, are left out: at the least similarity
-    that has a probability of at most 0.03.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-            found, _ = lay(cols)
-            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in found[:2]), *(pa.array(x.astype(np.int32)) for x in found[2:])], names=["a", "b", "d", "x", "y", "f"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k1", "k2", "n1", "n2", "n3", "n4")]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield flush([x[:cut] for x in cols])
-            held = [x[cut:] for x in cols]
-            if len(held[0]) > _BATCH:  # one key: its first and last texts stand for those seen so far
-                found, rest = lay(held)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in found[:2]), *(pa.array(x.astype(np.int32)) for x in found[2:])], names=["a", "b", "d", "x", "y", "f"])
-                held = rest
-        if held is not None and len(held[0]):
-            yield flush(held)
-
-    sent = rows.where("kind = 0").select("k1", "k2", "n1", "n2", "n3", "n4").repartition("k1").sortWithinPartitions("k1")
-    far = sent.mapInArrow(run, "a long, b long, d int, x int, y int, f int")
-    near = rows.where("kind = 1").selectExpr("k1 AS a", "k2 AS b", "n1 AS d", "n2 AS x", "n3 AS y", "n4 AS f")
-    # one pair, whichever text was laid against the other
-    met = far.unionByName(near)
-    turn = F.col("a") > F.col("b")
-    met = met.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, -F.col("d")).otherwise(F.col("d")).alias("d"),
-        F.when(turn, F.col("x") + F.col("d")).otherwise(F.col("x")).alias("x"), F.when(turn, F.col("y") + F.col("d")).otherwise(F.col("y")).alias("y"), "f",
-    )
-    each = met.groupBy("a", "b", "d").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.bit_or("f").alias("f"))
-    pairs = each.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("d", "x", "y"))).alias("segments"), F.bit_or("f").alias("f"))
-    return pairs.where("bit_count(f) >= 2").drop("f")
-
-
 def contents(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
     """node, tokens array<int> of the texts whose digest is in the bitmap (and of a few others)."""
 
@@ -255,92 +181,238 @@ def contents(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "node long, tokens array<int>").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def alike(a: np.ndarray, b: np.ndarray, d: int, span: int = _SPAN) -> np.ndarray:
-    """Which windows of ``span`` tokens of b run like a, where b[i] lies near a[i - d]; the share of shingles decides exactly."""
-    need = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * span - 1e-9))
-    if len(b) < span or not len(a):
-        return np.zeros(0, bool)
-    same = np.zeros(len(b), bool)
-    i = np.arange(len(b))
-    for shift in range(-SHIFT, SHIFT + 1):
-        j = i - d + shift
-        ok = (j >= 0) & (j < len(a))
-        same[ok] |= a[j[ok]] == b[ok]
-    run = np.concatenate([[0], np.cumsum(same)])
-    return run[span:] - run[:-span] >= need
-
-
-def passages(a: np.ndarray, b: np.ndarray, segments: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(first token in b, last, diagonal) of every maximal passage of b that runs like a along the segments."""
-    found = np.zeros(max(len(b) - _SPAN + 1, 0), bool)
-    where = np.zeros(len(found), np.int64)
-    for d, x, y in segments:
-        lo, hi = max(x + d - SHIFT, 0), min(y + d + SHIFT, len(b) - 1)
-        ok = alike(a, b[lo : hi + 1], d - lo)
-        at = np.flatnonzero(ok) + lo
-        at = at[~found[at]]
-        found[at] = True
-        where[at] = d
-    start = np.flatnonzero(found)
-    if not len(start):
-        return []
-    cut = np.flatnonzero(np.diff(start) > _SPAN)
-    firsts, lasts = start[np.concatenate([[0], cut + 1])], start[np.concatenate([cut, [len(start) - 1]])]
-    return [(int(f), int(l) + _SPAN - 1, int(where[f])) for f, l in zip(firsts, lasts)]
+def meetings(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """key, chunks, node, c, left, right, near of every window whose key stands in another text too.
 
-
-def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
-    """a, b, first_word, n_words, a_first_word of every verified passage of b."""
-    lo = F.greatest(F.array_min(F.transform("segments", lambda s: s.x)) - SHIFT, F.lit(0))
-    hi = F.array_max(F.transform("segments", lambda s: s.y)) + SHIFT
-    one = pairs.join(body.withColumnRenamed("node", "a"), "a").select("a", "b", "segments", lo.alias("lo"), F.slice("tokens", lo + 1, hi - lo + 1).alias("ta"))
-    ends = F.transform("segments", lambda s: s.x + s.d), F.transform("segments", lambda s: s.y + s.d)
-    lo_b, hi_b = F.greatest(F.array_min(ends[0]) - SHIFT, F.lit(0)), F.array_max(ends[1]) + SHIFT
-    two = one.join(body.select(F.col("node").alias("b"), "tokens"), "b").withColumn("lo_b", lo_b).withColumn("tb", F.slice("tokens", F.col("lo_b") + 1, hi_b - F.col("lo_b") + 1))
+    chunks: into how many the key's windows are to be dealt.
+    near: the tokens about place c that a passage with it may reach (binary, four bytes each); left, right: how many of
+    them lie in the text on either side.
+    """
+    sent = rows.where("kind = 0").select(F.col("k1").alias("key"), F.col("k2").alias("node"), F.col("n").alias("c")).distinct()
+    shared = sent.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    wanted = sent.join(shared.where("lo < hi").select("key", "chunks"), "key").groupBy("node").agg(F.collect_list(F.struct("key", "c", "chunks")).alias("at"))
+    wanted = checkpointed(wanted)
+    bits = bitmap(wanted.select(F.col("node").alias("h")))
+    body = wanted.join(contents(docs, bits, text), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "segments", "lo", "lo_b", "ta", "tb")}
-            out: list[tuple] = []
+            node, at, tokens = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "at", "tokens"))
             for i in range(batch.num_rows):
-                ta, tb = (cols[c][i].values.to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
-                lo, lo_b = cols["lo"][i].as_py(), cols["lo_b"][i].as_py()
-                segments = [(s["d"] + lo - lo_b, s["x"] - lo, s["y"] - lo) for s in cols["segments"][i].as_py()]
-                for f, l, d in passages(ta, tb, segments):
-                    out.append((cols["a"][i].as_py(), cols["b"][i].as_py(), f + lo_b, l - f + WIDTH, f - d + lo))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["a", "b", "first_word", "n_words", "a_first_word"])
+                key, c, chunks = (at[i].values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                t = tokens[i].values.to_numpy(zero_copy_only=False)
+                padded = np.concatenate([np.zeros(_REACH, np.int32), t, np.zeros(_REACH, np.int32)])
+                for lo in range(0, len(key), 2048):
+                    k, p = key[lo : lo + 2048], c[lo : lo + 2048]
+                    near = np.ascontiguousarray(padded[p[:, None] + np.arange(2 * _REACH + 1)])
+                    cut = pa.array(np.arange(len(k) + 1, dtype=np.int32) * near.shape[1] * 4)
+                    data = pa.Array.from_buffers(pa.binary(), len(k), [None, cut.buffers()[1], pa.py_buffer(near)])
+                    sides = (pa.array(np.minimum(x, _REACH).astype(np.int32)) for x in (p, len(t) - 1 - p))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(chunks[lo : lo + 2048].astype(np.int32)), pa.array(np.full(len(k), node[i].as_py())), pa.array(p.astype(np.int32)), *sides, data], names=["key", "chunks", "node", "c", "left", "right", "near"])
+
+    return body.select("node", "at", "tokens").mapInArrow(run, "key long, chunks int, node long, c int, left int, right int, near binary")
+
+
+class Around:
+    """Tokens about places: ``near`` (n x 2 _REACH + 1), and how many of them lie in the text to the left and right."""
+
+    def __init__(self, near: np.ndarray, left: np.ndarray, right: np.ndarray):
+        self.near, self.left, self.right = near, left, right
+
+    def _same(self, a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which tokens of b at lo..hi from its place lie in a at most SHIFT off, and how far off)"""
+        there = self.near[b, _REACH + lo : _REACH + hi + 1]
+        here = self.near[a, _REACH + lo - SHIFT : _REACH + hi + SHIFT + 1]
+        same, off = np.zeros(there.shape, bool), np.zeros(there.shape, np.int8)
+        for s in sorted(range(-SHIFT, SHIFT + 1), key=abs):
+            new = there == here[:, SHIFT + s : SHIFT + s + there.shape[1]]
+            off[new & ~same] = s
+            same |= new
+        place = np.arange(lo, hi + 1)
+        return same & (place >= -self.left[b][:, None]) & (place <= self.right[b][:, None]), off
+
+    def _whole(self, same: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the windows about the place, from the leftmost on, lie in b and have the needed share of tokens."""
+        run = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+        i = np.arange(_SPAN)
+        return (run[:, _SPAN:] - run[:, :_SPAN] >= NEED) & (i - _SPAN + 1 >= -self.left[b][:, None]) & (i <= self.right[b][:, None])
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of rows, which have a window about the place that runs alike in both."""
+        out = np.zeros(len(a), bool)
+        few = _SPAN - NEED + 1
+        for k in range(0, len(a), _PART):
+            p, q = a[k : k + _PART], b[k : k + _PART]
+            # such a window has all of the next few tokens on one side or the other, and not all of them can be missing
+            some = np.flatnonzero(self._same(p, q, 1, few)[0].any(1) | self._same(p, q, -few, -1)[0].any(1))
+            if len(some):
+                out[k + some] = self._whole(self._same(p[some], q[some], 1 - _SPAN, _SPAN - 1)[0], q[some]).any(1)
+        return out
+
+    def extent(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        """Of pairs that are alike: first and last token of the passage in a, and in b, counted from the place."""
+        parts = [np.zeros((4, 0), np.int64)]
+        for k in range(0, len(a), _PART):
+            p, q = a[k : k + _PART], b[k : k + _PART]
+            same, off = self._same(p, q, 1 - _SPAN, _SPAN - 1)
+            ok = self._whole(same, q)
+            i, place = np.arange(len(p)), np.arange(same.shape[1])
+            begin, end = ok.argmax(1), 2 * _SPAN - 2 - ok[:, ::-1].argmax(1)
+            same &= (place >= begin[:, None]) & (place <= end[:, None])
+            first, last = same.argmax(1), same.shape[1] - 1 - same[:, ::-1].argmax(1)
+            b0, b1 = first - _SPAN + 1, last - _SPAN + 1
+            a0, a1 = b0 + off[i, first], b1 + off[i, last]
+            parts.append(np.stack([np.minimum(a0, a1), np.maximum(a0, a1), b0, b1]))
+        return list(np.concatenate(parts, axis=1))
+
+
+def _joined(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Further links of a group's rows, those at ``at`` on, so that ``label`` tells just what verified links connect.
+
+    ``label`` says what the first row's links have joined.  Every row outside the largest class is laid against all rows
+    of other classes: two rows of different classes have met then.
+    """
+    m, out = len(label), []
+    done = np.zeros(m, bool)
+    done[0] = True
+    known = None
+    if m <= _SMALL:
+        i, j = np.triu_indices(m, 1)
+        known = np.zeros((m, m), bool)
+        known[i, j] = around.alike(i + at, j + at)
+        known |= known.T
+    while True:
+        names, n = np.unique(label, return_counts=True)
+        rest = np.flatnonzero((label != names[n.argmax()]) & ~done)
+        if not len(rest):
+            return out
+        x = int(rest[0])
+        done[x] = True
+        y = np.flatnonzero((label != label[x]) & ~done & (node != node[x]))
+        if len(y):
+            y = y[known[x, y] if known is not None else around.alike(np.minimum(x, y) + at, np.maximum(x, y) + at)]
+        for name, lead in zip(*np.unique(label[y], return_index=True)):
+            out.append((min(x, int(y[lead])) + at, max(x, int(y[lead])) + at))
+            label[label == name] = label[x]
+
+
+def links(met: DataFrame) -> DataFrame:
+    """u, v, u_first, u_words, v_first, v_words: verified passages that connect, in each key's group, all texts that have one in common there.
+
+    A group of over CHUNK windows is dealt into chunks, each pair of which meets in a task.
+    """
+    rows = met.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 OR chunk <> other")
+    rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "c", "left", "right", "near")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node", "c")
+    names = ("key", "lo", "hi", "node", "c", "left", "right")
+
+    def gathered(batches: Iterator[pa.RecordBatch], rows: int = 8 * PYTHON_ROWS) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            some += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in some) >= rows:
+                yield pa.concat_batches(some)
+                some = []
+        if some:
+            yield pa.concat_batches(some)
+
+    def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
+        key, lo, hi, node, c, left, right, near = cols
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        start, size = _groups(group)
+        around = Around(near, left, right)
+        first = np.repeat(start, size)
+        q = np.flatnonzero(node != node[first])
+        q = q[around.alike(first[q], q)]
+        label = np.arange(len(key))
+        label[q] = first[q]
+        pairs = [(first[q], q)]
+        for g in np.flatnonzero((np.bincount(group[q], minlength=len(start)) < size - 1) & (size > 2)):
+            s = slice(start[g], start[g] + size[g])
+            more = _joined(around, node[s], int(start[g]), label[s])
+            if more:
+                pairs.append(tuple(np.array(x) for x in zip(*more)))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        a0, a1, b0, b1 = around.extent(a, b)
+        found = [node[a], node[b], c[a] + a0, a1 - a0 + WIDTH, c[b] + b0, b1 - b0 + WIDTH]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["u", "v", "u_first", "u_words", "v_first", "v_words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in gathered(batches):
+            cols = [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+            data = b"".join(batch.column(batch.schema.get_field_index("near")).to_pylist())
+            cols.append(np.frombuffer(data, np.int32).reshape(batch.num_rows, -1))
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield solve([x[:cut] for x in cols])
+            held = [x[cut:] for x in cols]
+        if held is not None and len(held[0]):
+            yield solve(held)
+
+    return rows.mapInArrow(run, "u long, v long, u_first long, u_words long, v_first long, v_words long").distinct()
+
 
-    return two.select("a", "b", "segments", "lo", "lo_b", "ta", "tb").mapInArrow(run, "a long, b long, first_word long, n_words long, a_first_word long")
+def partners(held: DataFrame) -> DataFrame:
+    """node, n_links: of (node, passage), the other nodes that have a passage of the node's, each counted once.
+
+    Nodes with the same common passages are counted together, so that a passage of n nodes makes no n * n rows.
+    """
+    held = checkpointed(held.distinct())
+    size = held.groupBy("passage").agg(F.count("*").alias("size"))
+    held = held.join(size, "passage")
+    sets = checkpointed(held.where(f"size > {COMMON}").groupBy("node").agg(F.array_sort(F.collect_list("passage")).alias("common")))
+    kinds = sets.groupBy("common").agg(F.count("*").alias("n"))
+    each = kinds.select(F.explode("common").alias("passage"), "common", "n")
+    met = each.join(each.select("passage", F.col("common").alias("with"), F.col("n").alias("m")), "passage").select("common", "with", "m").distinct()
+    many = sets.join(met.groupBy("common").agg((F.sum("m") - 1).alias("n_links")), "common").select("node", "n_links")
+    rare = held.where(f"size <= {COMMON}").select("passage", "node")
+    pairs = rare.join(rare.withColumnRenamed("node", "other"), "passage").where("node <> other").select("node", "other").distinct()
+    pairs = pairs.join(sets, "node", "left").join(sets.select(F.col("node").alias("other"), F.col("common").alias("with")), "other", "left")
+    few = pairs.where("NOT coalesce(arrays_overlap(common, with), false)").groupBy("node").agg(F.count("*").alias("n_links"))
+    return many.unionByName(few).groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """One row for each document that shares a passage with another: doc, class_id, n_links, n_copies, passages.
 
-    class_id is the least doc that the document reaches over shared passages; n_links counts the different texts that it
-    was found to share one with, n_copies the other documents of the very same words; passages lists first_word, n_words
-    and other_doc (the least with that other text), sorted.  Texts of under LEAST_WORDS words, null and empty ones have
-    no row.  Repeated rows with one id are one document; a passage that only one document repeats is none.
+    class_id is the least doc that the document reaches over shared passages; passages lists first_word, n_words and
+    other_doc (the least that it was found alike with) of its repeated stretches, those that overlap as one, sorted;
+    n_links counts the other texts that have one of these stretches too, whichever of them it was laid against; n_copies
+    the other documents of the very same words.  Texts of under LEAST_WORDS words, null and empty ones have no row.
+    Repeated rows with one id are one document; a passage that only one document repeats is none.
     """
     out = fresh_path(docs.sparkSession, "windows")
     made = windows(docs, text, doc)
     made.write.partitionBy("kind").parquet(out)
     rows = docs.sparkSession.read.schema(made.schema).parquet(out)
-    texts = rows.where(f"kind = 2 AND n1 >= {LEAST_WORDS}").select(F.col("id").alias(doc), F.col("k2").alias("node"), F.col("n1").alias("words")).distinct()
+    texts = rows.where(f"kind = 2 AND n >= {LEAST_WORDS}").select(F.col("id").alias(doc), F.col("k2").alias("node"), F.col("n").alias("words")).distinct()
     nodes = checkpointed(texts.groupBy("node").agg(F.min(doc).alias("least"), F.count("*").alias("n"), F.max("words").alias("words")))
-    pairs = checkpointed(candidates(rows))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    bits = bitmap(needed)
-    with arrow_rows(docs.sparkSession, PAIR_ROWS):
-        found = checkpointed(verified(pairs, contents(docs, bits, text)))
-    roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    ends = found.select(F.col("b").alias("node"), F.col("a").alias("other"), "first_word", "n_words").unionByName(
-        found.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("a_first_word").alias("first_word"), "n_words")
-    )
-    ends = ends.join(nodes.select(F.col("node").alias("other"), F.col("least").alias("other_doc")), "other")
-    # a text's passages with one other text are a list; those of a text that very many share are one row each until here
-    best = ends.groupBy("node", "first_word", "n_words").agg(F.min("other_doc").alias("other_doc"))
-    listed = best.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words", "other_doc"))).alias("passages"))
-    counted = ends.select("node", "other").distinct().groupBy("node").agg(F.count("*").alias("n_links"))
+    met = meetings(rows, docs, text)
+    with arrow_rows(docs.sparkSession, PYTHON_ROWS):
+        found = checkpointed(links(met))
+    roots = components(found.select("u", "v"))
+    # the stretches of each text that others have too; those that overlap are one
+    side = lambda a, b: found.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(f"{a}_first").alias("first_word"), F.col(f"{a}_words").alias("n_words"))
+    ends = side("u", "v").unionByName(side("v", "u")).join(nodes.select(F.col("node").alias("other"), F.col("least").alias("other_doc")), "other")
+    each = ends.groupBy("node", "first_word", "n_words").agg(F.min("other_doc").alias("other_doc"))
+    order = Window.partitionBy("node").orderBy("first_word", "n_words")
+    reach = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach > F.col("first_word"), 0).otherwise(1)
+    each = checkpointed(each.withColumn("new", new).withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    merged = each.groupBy("node", "nth").agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end"), F.min("other_doc").alias("other_doc"))
+    listed = merged.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "other_doc"))).alias("passages"))
+    stretch = each.select("node", "nth", F.xxhash64("node", "first_word", "n_words").alias("at"))
+    lead = stretch.groupBy("node", "nth").agg(F.min("at").alias("lead"))
+    stretch = checkpointed(stretch.join(lead, ["node", "nth"]).select("node", "at", "lead"))
+    alike = found.select(F.xxhash64("u", "u_first", "u_words").alias("u"), F.xxhash64("v", "v_first", "v_words").alias("v")).unionByName(stretch.select(F.col("at").alias("u"), F.col("lead").alias("v")))
+    same = components(alike)
+    held = stretch.select("node", F.col("lead").alias("at")).distinct().join(same, F.col("at") == same.node, "left").select(stretch.node, F.coalesce("root", "at").alias("passage"))
+    counted = partners(held)
     known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     top = known.groupBy("root").agg(F.min("least").alias("class_id"))
     known = known.join(top, "root").join(listed, "node", "left").join(counted, "node", "left").where("n > 1 OR n_links > 0")

@@ -313,6 +313,78 @@ def test_passages(spark, docs, none):
     assert {r.doc_id for r in passages.op5_passages(docs).collect()} == {8, 9}
 
 
+def brute_classes(rows, functions=range(4)):
+    """Classes of ids by plain comparison of all texts that meet under a function, wherever they meet."""
+    toks, met = {}, collections.defaultdict(list)
+    for i, t in rows:
+        x = passages.Tokens(pa.array([t]))
+        toks[i] = (x.tokens & np.uint64(0xFFFFFFFF)).tolist()
+        for f in functions:
+            for c in passages.compact_windows(x.tokens, x.first, x.size, f)[1].tolist():
+                met[f, int(x.tokens[c])].append((i, c))
+
+    def alike(a, p, b, q):
+        same = lambda k: any(0 <= p + k - q + s < len(a) and a[p + k - q + s] == b[k] for s in range(-6, 7))
+        return any(sum(same(k) for k in range(s, s + 46)) >= 41 for s in range(max(q - 45, 0), min(q, len(b) - 46) + 1))
+
+    parent = {i: i for i, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for at in met.values():
+        for k, (i, p) in enumerate(at):
+            for j, q in at[:k]:
+                if top(i) != top(j) and alike(toks[i], p, toks[j], q):
+                    u, v = sorted((top(i), top(j)))
+                    parent[v] = u
+    n = collections.Counter(map(top, parent))
+    return {i: top(i) for i in parent if n[top(i)] > 1}
+
+
+def common_shingle(r):
+    """Five words whose hash is the least of many under the first function, so that it is the min-hash of what is about it."""
+    some = [" ".join(r.choice(VOCAB) for _ in range(5)) for _ in range(20_000)]
+    h = mix64(passages.Tokens(pa.array([*some])).tokens + np.uint64(0x9E3779B97F4A7C15))
+    return some[int(h.argmin())]
+
+
+def test_passages_meet_in_common_keys(spark, monkeypatch):
+    r = random.Random(12)
+    words_ = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
+    common = common_shingle(r)
+    rows = [(i, f"{words_(90)} {common} {words_(90)}") for i in range(24)]
+    for k in range(8):
+        # 55 words about the common shingle, with nothing else alike
+        shared = f"{words_(25)} {common} {words_(25)}"
+        rows += [(100 + 10 * k + j, f"{words_(60)} {shared} {words_(60)}") for j in range(3)]
+    want = brute_classes(rows, [0])
+    assert want == {i: i - i % 10 for i, _ in rows if i >= 100}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, functions in ((1024, 1), (8, 1), (1024, 4)):
+        monkeypatch.setattr(passages, "CHUNK", chunk)
+        monkeypatch.setattr(passages, "FUNCTIONS", functions)
+        got = passages.op5_passages(d.repartition(3)).collect()
+        assert {x.doc_id: x.class_id for x in got} == want and {x.n_links for x in got} == {2}
+
+
+def test_passages_count_all_links(spark, monkeypatch):
+    r = random.Random(13)
+    words_ = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
+    p, q = words_(60), words_(60)
+    rows = [(i, f"{words_(60)} {p} {words_(60)}") for i in range(12)] + [(20 + i, f"{q} {words_(70)} {p}") for i in range(3)] + [(30, f"{words_(60)} {q}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for common, parts in ((64, 1), (64, 5), (5, 2), (2, 3)):
+        monkeypatch.setattr(passages, "COMMON", common)
+        got = passages.op5_passages(d.repartition(parts)).collect()
+        assert {x.doc_id: x.n_links for x in got} == {i: 14 if i < 20 else 15 if i < 30 else 3 for i, _ in rows}
+        seen.append(sorted((x.doc_id, x.class_id, x.n_links, str(x.passages)) for x in got))
+    assert all(x == seen[0] for x in seen)
+
+
 def test_trees():
     r = np.random.default_rng(0)
     x = r.normal(size=(1500, 6))
