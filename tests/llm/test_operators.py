@@ -370,6 +370,23 @@ def test_passages_meet_in_common_keys(spark, monkeypatch):
         assert {x.doc_id: x.class_id for x in got} == want and {x.n_links for x in got} == {2}
 
 
+def test_passages_need_one_meeting(spark):
+    """Passages that two texts meet in under one function only, by a shingle that many others hold."""
+    r = random.Random(14)
+    words_ = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
+    common = common_shingle(r)
+    rows = [(1000 + i, f"{words_(90)} {common} {words_(90)}") for i in range(6)]
+    for k in range(30):
+        x = words_(50).split()
+        y = list(x)
+        y[8] = "changed"
+        rows += [(10 * k + j, f"{words_(60)} {' '.join(v[:25])} {common} {' '.join(v[25:])} {words_(60)}") for j, v in enumerate((x, y))]
+    want = brute_classes(rows)
+    assert {i for i, _ in rows if i < 1000} <= want.keys()
+    got = passages.op5_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == want
+
+
 def test_passages_count_all_links(spark, monkeypatch):
     r = random.Random(13)
     words_ = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
