@@ -162,10 +162,42 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def similar(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of the sets (sorted distinct values) have a Jaccard similarity of at least ``SIMILARITY``."""
+    out = np.zeros(len(a), bool)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = sets[i], sets[j]
+        if min(len(x), len(y)) * 100 < round(SIMILARITY * 100) * max(len(x), len(y)) or not len(x):
+            continue
+        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        out[k] = both * 100 >= round(SIMILARITY * 100) * (len(x) + len(y) - both)
+    return out
+
+
+def verified(n: int, a: np.ndarray, b: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """``spanning`` over those of the pairs (a, b) whose sets are similar; pairs of items already joined are not compared."""
+    label = np.arange(n)
+    links = [np.zeros((2, 0), np.int64)]
+    order = np.lexsort([a, b])
+    a, b = a[order], b[order]
+    while True:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return label
+        lead = np.zeros(len(a), bool)
+        lead[np.unique(b, return_index=True)[1]] = True
+        ok = similar(sets, a[lead], b[lead])
+        links.append(np.stack([a[lead][ok], b[lead][ok]]))
+        a, b = a[~lead], b[~lead]
+        if ok.any():
+            label = spanning(n, *np.concatenate(links, axis=1))
+
+
 def _shard_links(radius: int, wide: bool = False):
-    """Rows of (key, lo, hi, node, chunk), sorted by shard, and bits binary if ``wide`` (else node is the fingerprint): links of nodes."""
+    """Rows of (key, lo, hi, node, chunk), sorted by shard, and bits and set binary if ``wide`` (else node is the fingerprint): links of nodes."""
 
-    def solve(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, chunk: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def solve(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, chunk: np.ndarray, bits: np.ndarray, sets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         change = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         group = np.concatenate([[0], np.cumsum(change)])
         sizes = np.bincount(group)
@@ -179,7 +211,7 @@ def _shard_links(radius: int, wide: bool = False):
             forest = BKForest(f[at], g[at])
             ask = np.flatnonzero(chunk[s] == hi[s])
             q, found = forest.search(f[ask], g[ask], radius)
-            label = spanning(len(f), ask[q], at[found])
+            label = spanning(len(f), ask[q], at[found]) if sets is None else verified(len(f), ask[q], at[found], sets[s])
             moved = np.flatnonzero(label != np.arange(len(f)))
             out.append((name[moved], name[label[moved]]))
             g0 = g1
@@ -201,6 +233,10 @@ def _shard_links(radius: int, wide: bool = False):
             if wide:
                 data = b"".join(batch.column(batch.schema.get_field_index("bits")).to_pylist())
                 rows.append(np.frombuffer(data, np.uint64).reshape(batch.num_rows, -1))
+                sets = np.empty(batch.num_rows, object)
+                for i, x in enumerate(batch.column(batch.schema.get_field_index("set")).to_pylist()):
+                    sets[i] = np.frombuffer(x, np.uint32)
+                rows.append(sets)
             else:
                 rows.append(rows[3].astype(np.uint64))
             if held is not None:
@@ -260,17 +296,17 @@ def op4_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: bits, and the radius at which the five-word shingles of two texts have a Jaccard similarity of about
-#: 0.8.  At 0.8 the cosine of the shingle sets is 0.89 and 78 of 512 bits differ, with a deviation of 8; at 0.85 66, at 0.7 98.
-WIDE_BITS, WIDE_RADIUS = 512, 88
+#: Wide fingerprints: bits, the similarity of the five-word shingle sets that links two texts, and the radius within which
+#: sets of that similarity lie.  Four shingles and the same with a fifth differ most: in 96 of 512 bits, with a deviation of 9.
+WIDE_BITS, SIMILARITY, WIDE_RADIUS = 512, 0.8, 136
 #: Shards of wide fingerprints: a text is in one for each band of min-hashes, and misses a text of similarity s in all of
 #: them with probability (1 - s ** ROWS) ** BANDS, a hundred-thousandth at 0.8.
 BANDS, ROWS = 16, 3
 _STEP = 16_384
 
 
-def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows x words fingerprints, rows x BANDS shard keys, rows digests) of the texts' shingles; no words: zeros."""
+def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(rows x words fingerprints, rows x BANDS shard keys, rows digests, sorted 32-bit set) of the texts' shingles; no words: zeros."""
     w = Words(col)
     h = w.hashes()
     at, s = w.shingles(width, h)
@@ -296,24 +332,27 @@ def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
     power = np.cumprod(np.full(int(w.count.max(initial=0)) + 1, 0x8CB92BA72F3D8DD7, np.uint64))
     begin = np.concatenate([[0], np.cumsum(w.count)])[:-1]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[np.arange(len(h)) - begin[w.doc]], dtype=np.uint64)])
-    return fps, keys, mix64(sums[begin + w.count] - sums[begin] + w.count.astype(np.uint64))
+    low = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    sets = [np.unique(low[a : a + k]) for a, k in zip(first, n)]
+    return fps, keys, mix64(sums[begin + w.count] - sums[begin] + w.count.astype(np.uint64)), sets
 
 
 def wide_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """(doc_id, component_id) of every row: ``near_duplicates`` by wide fingerprints of longer shingles, for a similarity rather than bits.
 
     Shards are bands of min-hashes, since blocks of bits guarantee nothing at such a radius.  Texts of the same words are
-    one from the start; null and empty texts are one another's copies.
+    one from the start; null and empty texts are one another's copies.  Fingerprints only choose the pairs to compare: two
+    texts link if their shingle sets have a Jaccard similarity of ``SIMILARITY``.
     """
-    schema = T.StructType([docs.schema["doc_id"]] + T._parse_datatype_string("node long, bits binary, keys array<long>").fields)
+    schema = T.StructType([docs.schema["doc_id"]] + T._parse_datatype_string("node long, bits binary, set binary, keys array<long>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches, text):
-            fps, keys, digest = wide_signatures(batch.column(batch.schema.get_field_index(text)), width)
+            fps, keys, digest, sets = wide_signatures(batch.column(batch.schema.get_field_index(text)), width)
             tagged = (keys & np.uint64((1 << 60) - 1)) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(60))
             flat = pa.array(tagged.astype(np.int64).ravel())
             at = pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32())
-            cols = [pa.array(digest.astype(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.ListArray.from_arrays(at, flat)]
+            cols = [pa.array(digest.astype(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.ListArray.from_arrays(at, flat)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *cols], names=schema.names)
 
     marked = docs.select("doc_id", text).mapInArrow(run, schema)
@@ -325,8 +364,8 @@ def wide_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, ra
     rows = nodes.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, "key")
-    bits = marked.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
-    rows = _dealt(rows.join(bits, "node")).select("key", "lo", "hi", "node", "chunk", "bits")
+    bits = marked.select("node", "bits", "set").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(F.struct("bits", "set")).alias("one")).select("node", "one.bits", "one.set")
+    rows = _dealt(rows.join(bits, "node")).select("key", "lo", "hi", "node", "chunk", "bits", "set")
     roots = components(rows.mapInArrow(_shard_links(radius, wide=True), "u long, v long"))
     nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     top = nodes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -172,6 +172,22 @@ def test_wide_near_duplicates(spark, docs, none):
     assert simhash.wide_near_duplicates(docs).count() == len(AWKWARD) and simhash.wide_near_duplicates(none).count() == 0
 
 
+def test_wide_near_duplicates_are_verified(spark):
+    r = random.Random(10)
+    rows, want = [], {}
+    for k in range(60):
+        w = [r.choice(VOCAB) for _ in range(10)]
+        # 6 shingles each: the last word changed leaves 5 of 7
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join([*w[:9], "changed"]))]
+        want |= {10 * k: 10 * k, 10 * k + 1: 10 * k + 1}
+        # 4 of 5 shingles, and 40 of 50
+        v, u = [r.choice(VOCAB) for _ in range(9)], [r.choice(VOCAB) for _ in range(54)]
+        rows += [(10 * k + 2, " ".join(v)), (10 * k + 3, " ".join(v[:8])), (10 * k + 4, " ".join(u)), (10 * k + 5, " ".join(u[:44]))]
+        want |= {10 * k + 2: 10 * k + 2, 10 * k + 3: 10 * k + 2, 10 * k + 4: 10 * k + 4, 10 * k + 5: 10 * k + 4}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.wide_near_duplicates(d).collect()} == want
+
+
 def test_sketch_differences():
     r = random.Random(2)
     a = [" ".join(r.choice("ab cd ef gh".split()) + str(r.randint(0, 300)) for _ in range(r.randint(0, 300))) for _ in range(80)]
