@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-A candidate is a word with a digit among its bytes, or a long one with mixed case, without the quotes and marks around
-it; the part after ``=`` or ``:`` if a name stands before.  Its features are length, character classes and transitions
+Candidates are issued keys wherever they stand, values assigned to a name of ``KEYWORDS`` whatever their characters, and
+the parts (between quotes, commas, ampersands, braces, and behind ``name=`` or ``name:``) of words with a digit or of long
+ones with mixed case.  Its features are length, character classes and transitions
 (shares of class changes, and how likely its letter pairs are in ordinary words), the share that dictionary words cover,
 hints in the path, and the words next to it.  The forest is fitted on labelled findings.  Where a caller has none of its
 own, ``rule_labels`` labels findings of well-known formats: issued key formats and assigned credentials as secrets,
@@ -11,6 +12,7 @@ the forest.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -37,35 +39,81 @@ LEAST = 8
 
 #: Words that tend to stand before a secret, and path parts that tend to hold made-up ones.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential", "private", "client_secret")
+PASSWORDS = ("password", "passwd", "pwd", "secret", "credential")
 PATH_HINTS = ("test", "example", "sample", "mock", "doc", "lock", "readme", ".env", "config", "secret")
 #: Formats of issued keys, and of common strings that are none.
 ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
 HARMLESS = re.compile(
     r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{1,3}(?:\.\d{1,3}){3}|\+?[\d() -]{7,15}|\d{13,19}|v?\d+(?:\.\d+)+\w*|\d{4}-\d\d-\d\d\S*|https?://\S+|www\.\S+|[^\W\d_]+[.,;:!?]*\d{0,2}|[\d.,%$€]+"
 )
-_NAME = re.compile(r"""^["'`({\[<]*([A-Za-z_][\w.-]{1,40})["']?[=:]+["'`]?(.{4,})$""", re.S)
-_EDGE = "\"'`()[]{}<>,;"
+_ISSUED = re.compile(ISSUED.pattern.encode())
+#: A name of KEYWORDS, what assigns, and the value: quoted, or up to white space or a mark.
+_ASSIGNED = re.compile(
+    rb"(?i)(?:passw(?:or)?d|pwd|secret|token|key|auth|bearer|credential|private)[\w.-]{0,40}[\"'`]?[ \t]{0,3}(?:=>|[=:]+)[ \t]{0,3}"
+    rb"(?:\"([^\"\n]{1,200})\"|'([^'\n]{1,200})'|`([^`\n]{1,200})`|[\"'`]?([^\s\"'`,;&{}<>()\[\]]+))"
+)
+_LEFT = re.compile(rb"[A-Za-z_][\w.-]*$")
+_PART = re.compile(rb"[^\"'`,;&?|{}\[\]()<>]+")
+_NAME = re.compile(rb"([A-Za-z_][\w.-]{0,40})[=:]+(?!//)(?=.)", re.S)
+_NAMED = re.compile(rb"([A-Za-z_][\w.-]{0,40})[\"'`]?[ \t]{0,3}[=:]+[ \t]{0,3}[\"'`]?$")
+#: Least length of a value that is assigned to a name of KEYWORDS.
+LEAST_ASSIGNED = 4
 
 FINDING = "start long, end long, candidate string, name string, before string, after string"
 
 
-def _finding(data: bytes, lo: int, hi: int, row_lo: int, row_hi: int) -> tuple[int, int, str, str, str, str] | None:
-    """(start and end in bytes, candidate, name, before, after) of the word in data[lo:hi]."""
-    word = data[lo:hi].decode("utf-8", "replace")
-    name = ""
-    m = _NAME.match(word)
-    if m and "//" not in m[0][:12]:
-        name, value = m[1], m[2]
-    else:
-        value = word
-    left = value.lstrip(_EDGE)
-    core = left.rstrip(_EDGE + ".!?")
-    if len(core) < LEAST:
-        return None
-    at = hi - len(left.encode())
-    before = data[max(row_lo, lo - CONTEXT) : lo].decode("utf-8", "ignore")
-    after = data[hi : min(row_hi, hi + CONTEXT // 2)].decode("utf-8", "ignore")
-    return at, at + len(core.encode()), core, name, before, after
+def _parts(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, name) of the values within the word data[lo:hi]."""
+    for part in _PART.finditer(data, lo, hi):
+        at, end = part.span()
+        m = _NAMED.search(data[max(lo, at - 44) : at])
+        name = m[1] if m else b""
+        while m := _NAME.match(data, at, end):
+            name, at = m[1], m.end()
+        at += len(data[at:end]) - len(data[at:end].lstrip(b"=:"))
+        yield at, end, name
+
+
+def _spans(data: bytes, lo: int, hi: int, words: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the candidates of the text data[lo:hi], sorted; none overlaps another.  words: those to be split."""
+    taken: list[tuple[int, int, bytes]] = []
+    for m in _ISSUED.finditer(data, lo, hi):
+        name = _NAMED.search(data[max(lo, m.start() - 50) : m.start()])
+        taken.append((*m.span(), name[1] if name else b""))
+    starts = [x[0] for x in taken]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)
+        return not k or taken[k - 1][1] <= a
+
+    for m in _ASSIGNED.finditer(data, lo, hi):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:
+            b -= len(data[a:b]) - len(data[a:b].rstrip(b".!?"))
+        if b - a >= LEAST_ASSIGNED and free(a, b):
+            left = _LEFT.search(data[max(lo, m.start() - 40) : m.start()])
+            name = re.match(rb"[\w.-]+", data[m.start() : m.end()])[0]
+            k = bisect.bisect_left(starts, a)
+            taken.insert(k, (a, b, (left[0] if left else b"") + name))
+            starts.insert(k, a)
+    more = []
+    for word in words:
+        for a, b, name in _parts(data, *word):
+            b -= len(data[a:b]) - len(data[a:b].rstrip(b".!?"))
+            # what an issued key or an assigned value leaves of a part
+            k = max(bisect.bisect_right(starts, a) - 1, 0)
+            while k < len(taken) and taken[k][0] < b:
+                if taken[k][1] > a:
+                    more.append((a, taken[k][0], name))
+                    a, name = taken[k][1], b""
+                k += 1
+            more.append((a, b, name))
+    found = [x for x in more if x[1] - x[0] >= LEAST and _telling(data[x[0] : x[1]])]
+    return [(a, b, name.decode("utf-8", "ignore")) for a, b, name in sorted(taken + found)]
+
+
+def _telling(value: bytes) -> bool:
+    return re.search(rb"[0-9]", value) is not None or (len(value) >= 20 and len(re.findall(rb"[A-Z]", value)) >= 3 and len(re.findall(rb"[a-z]", value)) >= 3)
 
 
 def candidates(col: pa.Array) -> list[tuple[int, tuple[int, int, str, str, str, str]]]:
@@ -80,13 +128,21 @@ def candidates(col: pa.Array) -> list[tuple[int, tuple[int, int, str, str, str,
     some = lambda c: c[w.end] - c[w.start]
     mixed = (size >= 20) & (some(upper) >= 3) & (some(lower) >= 3)
     data, out = raw.tobytes(), []
+    split: dict[int, list[tuple[int, int]]] = {}
     for i in np.flatnonzero((size >= LEAST) & ((some(digits) > 0) | mixed)):
-        row = int(w.doc[i])
+        split.setdefault(int(w.doc[i]), []).append((int(w.start[i]), int(w.end[i])))
+    for row in range(w.rows):
         row_lo, row_hi = int(w.off[row]), int(w.off[row + 1])
-        found = _finding(data, int(w.start[i]), int(w.end[i]), row_lo, row_hi)
-        if found:
-            a, b = (int(x - row_lo - (tails[x] - tails[row_lo])) for x in found[:2])
-            out.append((row, (a, b, *found[2:])))
+        for lo, hi, name in _spans(data, row_lo, row_hi, split.get(row, [])):
+            while lo < hi and data[lo] & 0xC0 == 0x80:
+                lo += 1
+            first = lo
+            while first > row_lo and lo - first < 80 and data[first - 1] not in b" \t\n\r\x0b\x0c":
+                first -= 1
+            before = data[max(row_lo, first - CONTEXT) : first].decode("utf-8", "ignore")
+            after = data[hi : min(row_hi, hi + CONTEXT // 2)].decode("utf-8", "ignore")
+            a, b = (int(x - row_lo - (tails[x] - tails[row_lo])) for x in (lo, hi))
+            out.append((row, (a, b, data[lo:hi].decode("utf-8", "replace"), name, before, after)))
     return out
 
 
@@ -122,6 +178,8 @@ def rule_label(candidate: str, name: str, before: str) -> int | None:
     said = (name or " ".join(re.findall(r"[A-Za-z_]+\s*[=:]\s*[\"']?$", before)[-1:])).lower()
     if any(k in said for k in KEYWORDS) and re.search(r"\d", candidate) and entropy(candidate) > 2.5:
         return 1
+    if name and any(k in said for k in PASSWORDS):
+        return None
     if HARMLESS.fullmatch(candidate) or (candidate.isdigit() and _luhn(candidate)):
         return 0
     if not name and not re.search(r"[=:]", before[-4:]) and re.fullmatch(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]*)*\d{0,4}", candidate):
@@ -182,6 +240,7 @@ def example_findings(each: int = 12, seed: int = 3) -> list[tuple[str, str, str,
     secret = [
         lambda: ("AKIA" + some(16, upper), ""), lambda: ("ghp_" + some(36, mixed), ""), lambda: ("sk_live_" + some(24, mixed), ""), lambda: ("xoxb-" + some(11, string.digits) + "-" + some(24, mixed), ""), lambda: ("AIza" + some(35, mixed), ""),
         lambda: (f"eyJ{some(17, mixed)}.eyJ{some(40, mixed)}.{some(43, mixed)}", ""), lambda: (some(r.choice((16, 18, 24, 32, 40)), hexes), r.choice(KEYWORDS)), lambda: (some(r.randint(20, 40), mixed), r.choice(KEYWORDS)),
+        lambda: (word().title() + word().title() + word(), r.choice(PASSWORDS)), lambda: (word() + word() + word(), r.choice(PASSWORDS)),
     ]
     harmless = [
         lambda: f"{word()}.{r.randint(1, 99)}@{word()}.example", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: some(16, string.digits), lambda: f"555-{some(4, string.digits)}-{some(3, string.digits)}", lambda: f"20{some(2, '012')}-0{r.randint(1, 9)}-1{r.randint(0, 9)}",
