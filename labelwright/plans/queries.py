@@ -988,7 +988,8 @@ def j16_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a twin: DuckDB has no such similarity; tests hold it against plain difflib over all pairs."""
     r = Relations(spark, sf_dir)
     undecided = reports.dictionary_report(r.raw_labels, r.dictionary()).where("status = 'needs_decision'").select("key")
-    return reports.suggestions(undecided, r.dict_rules.select(F.col("key").alias("text")), "key")
+    keys = r.dict_rules.where("disposition IN ('map', 'detail')").select(F.col("key").alias("text"))
+    return reports.all_suggestions(undecided, keys, r.dictionary().canonical.select(F.col("name").alias("text")))
 
 
 @query()

@@ -161,8 +161,8 @@ def newest_phases(runs: DataFrame, phase_sets: DataFrame) -> DataFrame:
     return phase_sets.join(F.broadcast(newest), "run_id", "left_semi")
 
 
-def suggestions(undecided: DataFrame, candidates: DataFrame, kind: str, limit: int = 3, cut_off: float = CUT_OFF) -> DataFrame:
-    """key, kind, candidate, score: at most ``limit`` candidates (column text) that are most like each undecided key.
+def suggestions(undecided: DataFrame, candidates: DataFrame, kind: str, limit: int = 3, cut_off: float = CUT_OFF, equal: bool = False) -> DataFrame:
+    """key, kind, candidate, score: at most ``limit`` candidates (column text) that are most like each undecided key; the key itself only if ``equal``.
 
     A ratio of 2 M / (a + b) of at least the cut-off needs lengths within cut / (2 - cut) of each other: keys and
     candidates meet on the length, and on a letter that both have much of, before the ratio is worked out.
@@ -170,7 +170,7 @@ def suggestions(undecided: DataFrame, candidates: DataFrame, kind: str, limit: i
     least = cut_off / (2 - cut_off)
     n = F.length("key")
     by_length = undecided.select("key", F.explode(F.sequence(F.ceil(n * least).cast("int"), F.floor(n / least).cast("int"))).alias("n"))
-    met = by_length.join(candidates.select(F.col("text").alias("candidate"), F.length("text").alias("n")).distinct(), "n").where("key <> candidate")
+    met = by_length.join(candidates.select(F.col("text").alias("candidate"), F.length("text").alias("n")).distinct(), "n").where(F.lit(equal) | (F.col("key") != F.col("candidate")))
     # a letter can match no more often than it occurs in either text
     letters = F.lit(list("abcdefghijklmnopqrstuvwxyz "))
     count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
@@ -187,6 +187,16 @@ def suggestions(undecided: DataFrame, candidates: DataFrame, kind: str, limit: i
     return scored.where(F.col("nth") <= limit).select("key", F.lit(kind).alias("kind"), "candidate", "score")
 
 
+def all_suggestions(undecided: DataFrame, keys: DataFrame, names: DataFrame, limit: int = 4) -> DataFrame:
+    """``suggestions`` of dictionary keys, then of canonical names that are none of those keys in lower case; ``limit`` a key."""
+    found = suggestions(undecided, keys, "key").unionByName(suggestions(undecided, names, "name", equal=True))
+    found = found.withColumn("said", F.when(F.col("kind") == "name", F.lower("candidate")).otherwise(F.col("candidate")))
+    order = (F.col("kind"), F.col("score").desc(), F.col("candidate").desc())
+    once = found.withColumn("nth", F.row_number().over(Window.partitionBy("key", "said").orderBy(*order))).where("nth = 1")
+    best = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+    return once.withColumn("nth", best).where(F.col("nth") <= limit).select("key", "kind", "candidate", "score")
+
+
 def provider_fingerprint(providers: DataFrame) -> DataFrame:
     return providers.agg(F.array_join(F.array_sort(F.collect_set("url")), ",").alias("fingerprint"))
 

@@ -110,6 +110,13 @@ def test_suggestions_equal_difflib_over_all_pairs(spark):
     assert {(g.key, g.candidate) for g in got} == want
 
 
+def test_suggestions_of_keys_and_names(spark):
+    texts = lambda *x: spark.createDataFrame([(v,) for v in x], "text string")
+    keys, names = texts("red house", "red horse", "red hose"), texts("Red house", "red house", "red houses", "blue")
+    got = reports.all_suggestions(spark.createDataFrame([("red houses",)], "key string"), keys, names).collect()
+    assert sorted((r.kind, r.candidate) for r in got) == [("key", "red horse"), ("key", "red hose"), ("key", "red house"), ("name", "red houses")]
+
+
 def test_metadata_fills_only_what_is_empty(spark):
     schema = "item_id string, title string, urls array<string>"
     items = spark.createDataFrame([("1", " ", []), ("2", "T", ["u"]), ("3", None, None)], schema)
