@@ -36,6 +36,8 @@ MEMO, PASS_BLOCKS = 50_000, 60_000
 #: Fixed values of HTML: elements within a line, without end tag, and whose content is no text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; any other tag ends it.
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
 UNSEEN = frozenset("head template textarea select iframe object svg math noframes".split())
 #: Words in tag names, classes and ids that tell article and boilerplate apart in the rule labels.
 ARTICLE_HINTS = ("article", "main", "articlebody", "post-body", "entry-content", "story")
@@ -116,6 +118,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     links -= name == "a"
                 del stack[depth:]
             continue
+        if tag not in IN_HEAD and (names := [x for x, _ in stack if x in ("head", "template")]) and names[-1] == "head":
+            depth = max(k for k, (x, _) in enumerate(stack) if x == "head")
+            for gone, _ in stack[depth:]:
+                unseen -= gone in UNSEEN
+                links -= gone == "a"
+            del stack[depth:]
         if tag in VOID:
             continue
         if tag not in INLINE:

@@ -482,6 +482,12 @@ def test_extract(spark):
     assert extract.op8_extract(pages).count() == len(rows) and extract.op8_extract(pages.limit(0)).count() == 0
 
 
+def test_extract_ends_an_open_head():
+    page = '<html><head><title>T</title><meta charset="x"><template><p>no</p></template><article><p>Some words.</p></article></html>'
+    assert [t for _, t, _ in extract.blocks(page)] == ["Some words."]
+    assert [t for _, t, _ in extract.blocks(PAGE)] == [t for _, t, _ in extract.blocks(PAGE.replace("</head><body>", ""))]
+
+
 def test_extract_held_out_layouts(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     labeller, vectors, r = extract.fit(pages), extract.Vectors(), np.random.default_rng(77)
