@@ -9,20 +9,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What stripping removes, 29 code points of which Spark's trim knows one.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What stripping removes, 29 code points of which Spark's trim by itself knows one.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 #: Words that stand for an absent value, and for true.
 ABSENT = ("none", "no", "n/a", "unknown")
 TRUE = ("1", "true", "yes", "on")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def dict_key(c: Column) -> Column:
     """The key under which the dictionary knows a raw label: stripped, lower case, without trailing commas; inner white space stays."""
-    return F.regexp_replace(F.lower(strip(c)), ",+$", "")
+    return F.rtrim(F.lower(strip(c)), F.lit(","))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -94,20 +96,50 @@ def not_expired(expires_at: Column, now: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(expires_at) > now, F.lit(False))
 
 
+def reason_lists(text: Column) -> Column:
+    """Ownership reasons of JSON text as four arrays of non-empty names; null if all are empty or the text cannot be read."""
+    kinds = ("added", "removed_managed", "preserved_external", "preserved_protected")
+    read = F.from_json(text, "struct<" + ",".join(f"{k}:array<string>" for k in kinds) + ">")
+    lists = {k: F.filter(F.coalesce(read[k], F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")) for k in kinds}
+    some = F.lit(0)
+    for c in lists.values():
+        some = some + F.size(c)
+    return F.when(some > 0, F.struct(*(c.alias(k) for k, c in lists.items())))
+
+
+def scope_name(text: Column) -> Column:
+    """The scope of JSON text: a string, or the string under ``name`` of an object; else null."""
+    plain = F.when(strip(text).startswith('"'), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]"))
+    return F.coalesce(plain, F.when(strip(text).startswith("{"), F.get_json_object(text, "$.name")))
+
+
+def joined_notes(notes: Column) -> Column:
+    """A list of notes as one text; empty notes are left out."""
+    return F.array_join(F.filter(notes, lambda x: x.isNotNull() & (x != "")), "; ")
+
+
+def iso_date(date: Column) -> Column:
+    return F.date_format(date, "yyyy-MM-dd")
+
+
 def qualified(label: Column, word: Column) -> Column:
     return F.concat(label, F.lit(" ("), word, F.lit(")"))
 
 
-#: Typographic dashes and quotes and their plain forms.
-_DASHES = str.maketrans(
-    {**dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d", "-"), **dict.fromkeys("\u2018\u2019\u201a\u201b\u2032\u02bc", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f\u2033\xab\xbb", '"')}
-)
+#: Typographic dashes, quotes and the low comma with their plain forms, and what is cut from both ends of a label.
+PLAIN_FORMS = {
+    "-": "\u00ad\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d",
+    "'": "\u2018\u2019\u201b\u2032",
+    '"': "\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb",
+    ",": "\u201a",
+}
+LABEL_EDGES = " \t\n\r\v\f\"'"
+_TO_PLAIN = str.maketrans({c: plain for plain, odd in PLAIN_FORMS.items() for c in odd})
 
 
 def _tidy(text: str) -> str:
-    text = re.sub(r"\s+", " ", text.translate(_DASHES)).strip()
-    text = text.rstrip(".,").strip()
-    return re.sub(r"-{2,}", "-", text)
+    text = re.sub(r"\s+", " ", text.translate(_TO_PLAIN)).strip(LABEL_EDGES)
+    return re.sub("--+", "-", text.rstrip(".,").strip(LABEL_EDGES))
 
 
 def fold_label(text: str) -> str:
@@ -124,14 +156,24 @@ def fold_name(text: str) -> str:
     return unicodedata.normalize("NFC", text.strip()).casefold()
 
 
-def fold_case(text: str) -> str:
-    return text.casefold()
+#: The dotless i, which stays itself, and a private character that stands for it meanwhile.
+_DOTLESS, _STAND_IN = "\u0131", "\ue0d1"
+
+
+def fold_case(c: Column) -> Column:
+    """Text under which names that differ in case alone are equal, sharp s and ligatures included; no UDF.
+
+    The upper case of the lower case writes such letters out; its lower case is then the same for all spellings.  A final
+    sigma is a sigma, and the dotless i keeps apart from the dotted one.
+    """
+    upper = F.translate(F.upper(F.translate(F.lower(c), _DOTLESS, _STAND_IN)), _STAND_IN, _DOTLESS)
+    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
 
 
 def with_folded(df: DataFrame, column: str, to: str, fold: Callable[[str], str]) -> DataFrame:
     """``df`` with column ``to``, the folded text: plain ASCII letters and digits by built-in functions, the rest by a
     pandas UDF over its distinct values, joined back.  Null stays null."""
-    simple = F.col(column).rlike(r"^[A-Za-z0-9:]+( [A-Za-z0-9:]+)*$")
+    simple = F.col(column).rlike("^[A-Za-z0-9:]+( [A-Za-z0-9:]+)*$")
     cased = F.lower(column) if fold is not fold_label_keep_case else F.col(column)
 
     @F.pandas_udf("string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import basename, present, qualified, slash_parts
@@ -129,13 +131,23 @@ def source_labels(items: DataFrame, prefix: str = "SOURCE:") -> DataFrame:
     return named.select("item_id", F.concat(F.lit(prefix + " "), "source_name").alias("name"))
 
 
-def derived(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(labels, issues) of all derivations: item_id, name without repeats; and derivation, item_id, contributor_id, failure."""
-    labels = issues = None
-    for name, df in parts.items():
-        rows = df.select("item_id", "name").where("name IS NOT NULL")
-        labels = rows if labels is None else labels.unionByName(rows)
+def derived(spark: SparkSession, parts: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(labels, issues) of all derivations: item_id, name without repeats; and derivation, item_id, contributor_id, failure.
+
+    A derivation whose plan cannot be made (a column that is not there) is an issue of its own, without item, and does not
+    keep the others from their labels.
+    """
+    labels = spark.range(0).select(F.lit("").alias("item_id"), F.lit("").alias("name"))
+    issues = spark.range(0).select(F.lit("").alias("derivation"), F.lit("").alias("item_id"), F.lit("").alias("contributor_id"), F.lit("").alias("failure"))
+    for name, make in parts.items():
+        try:
+            df = make()
+            rows = df.select("item_id", "name").where("name IS NOT NULL")
+        except AnalysisException as e:
+            none = F.lit(None).cast("string")
+            issues = issues.unionByName(spark.range(1).select(F.lit(name).alias("derivation"), none.alias("item_id"), none.alias("contributor_id"), F.lit(e.getCondition() or "failed").alias("failure")))
+            continue
+        labels = labels.unionByName(rows)
         if "failure" in df.columns:
-            bad = df.where("failure IS NOT NULL").select(F.lit(name).alias("derivation"), "item_id", "contributor_id", "failure")
-            issues = bad if issues is None else issues.unionByName(bad)
+            issues = issues.unionByName(df.where("failure IS NOT NULL").select(F.lit(name).alias("derivation"), "item_id", "contributor_id", "failure"))
     return labels.distinct(), issues

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import not_expired
+from labelwright.operators.dictionary import small
 
 #: Phases of a library run, in order.
 PHASES = ("never_processed", "stale_rules", "failed", "affected_by_mapping", "enrich_only")
@@ -30,18 +31,20 @@ def in_scope(items: DataFrame, state: DataFrame, scope: str, rules_sha: str = ""
 
 def affected_items(raw_current: DataFrame, keys: DataFrame) -> DataFrame:
     """item_id of items with a raw label under one of the edited keys (both have column key)."""
-    return raw_current.join(F.broadcast(keys.select("key").distinct()), "key", "left_semi").select("item_id").distinct()
+    return raw_current.join(small(keys.select("key").distinct()), "key", "left_semi").select("item_id").distinct()
 
 
-def proposed(wanted: DataFrame, reason: DataFrame, item_ids: DataFrame, run_id: str, set_id: str, created_at: Column, hours: int = 24) -> DataFrame:
-    """A proposal for each item: names in order of part and name, reasons by kind, whether anything changes, and when it expires."""
-    names = F.transform(F.array_sort(F.collect_list(F.struct("part", "name"))), lambda x: x["name"])
-    by_kind = [F.array_sort(F.collect_list(F.when(F.col("reason") == k, F.col("name")))).alias(k) for k in ("added", "removed_managed", "preserved_external", "preserved_protected")]
-    w = wanted.groupBy("item_id").agg(names.alias("names"))
-    r = reason.groupBy("item_id").agg(*by_kind)
-    out = item_ids.select("item_id").join(w, "item_id", "left").join(r, "item_id", "left")
+def proposed(explained: DataFrame, item_ids: DataFrame, run_id: str, set_id: str, created_at: Column, hours: int = 24) -> DataFrame:
+    """A proposal for each item: names in order of part and name, reasons by kind, whether anything changes, and when it expires.
+
+    ``explained``: ``labels.explained`` of the items' labels.
+    """
+    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part", F.col("want").alias("name"))))), lambda x: x["name"])
+    kinds = ("added", "removed_managed", "preserved_external", "preserved_protected")
+    by_kind = [F.array_sort(F.collect_list(F.when(F.col("reason") == k, F.col("name")))).alias(k) for k in kinds]
+    out = item_ids.select("item_id").join(explained.groupBy("item_id").agg(names.alias("names"), *by_kind), "item_id", "left")
     none = F.array().cast("array<string>")
-    out = out.withColumns({c: F.coalesce(c, none) for c in ("names", "added", "removed_managed", "preserved_external", "preserved_protected")})
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("names", *kinds)})
     change = (F.size("added") + F.size("removed_managed")) > 0
     return out.select(F.lit(run_id).alias("run_id"), F.lit(set_id).alias("proposed_run_id"), "*", change.alias("has_change"), created_at.alias("created_at"), (created_at + F.make_dt_interval(hours=F.lit(hours))).alias("expires_at"))
 
@@ -76,14 +79,14 @@ def same_inputs(proposals: DataFrame, rules_sha: str, provider_fp: str) -> DataF
 def reconciled(pending: DataFrame, present: DataFrame) -> DataFrame:
     """``pending`` with outcome for each open intent of an interrupted run.
 
-    ``pending``: item_id, run_id, created_at, after_fp, baseline_fp.  ``present``: item_id, labels_fp, ledger_fp.  Of an
+    ``pending``: event_id (unique), item_id, run_id, created_at, after_fp, baseline_fp; event_id decides ties of date and run.  ``present``: item_id, labels_fp, ledger_fp.  Of an
     item's intents whose result is there now, the newest is adopted if the ledger is as it was recorded (else refused as
     stale, or as unknown without a record) and the others are superseded; without any such intent all are reverted, and
     so are those of items that are gone.
     """
     p = pending.join(present, "item_id", "left")
     match = F.coalesce(F.col("after_fp") == F.col("labels_fp"), F.lit(False))
-    newest = F.row_number().over(Window.partitionBy("item_id", "_match").orderBy(F.col("created_at").desc(), F.col("run_id").desc()))
+    newest = F.row_number().over(Window.partitionBy("item_id", "_match").orderBy(F.col("created_at").desc(), F.col("run_id").desc(), F.col("event_id").desc()))
     p = p.withColumn("_match", match).withColumn("_nth", newest)
     has = p.where("_match").groupBy("item_id").agg(F.lit(True).alias("_any"))
     p = p.join(has, "item_id", "left")
@@ -111,6 +114,19 @@ def state_rows(outcomes: DataFrame, run_id: str, rules_sha: str, provider_fp: st
     return outcomes.select("item_id", F.col("state").alias("status"), F.when(ok, F.lit(run_id)).alias("last_successful_run_id"), F.when(ok, F.lit(rules_sha)).alias("rules_sha"), F.when(ok, F.lit(provider_fp)).alias("provider_fp"))
 
 
+def attempt_rows(outcomes: DataFrame, run_id: str, rules_sha: str, provider_fp: str, at: Column) -> DataFrame:
+    """A row for each item that a run looked at, whatever came of it: ``outcomes`` has item_id, state, status (of the match), message."""
+    fixed = {"run_id": run_id, "rules_sha": rules_sha, "provider_fp": provider_fp}
+    return outcomes.select("item_id", F.col("state").alias("status"), F.col("status").alias("match_status"), "message", *(F.lit(v).alias(k) for k, v in fixed.items()), at.alias("attempted_at"))
+
+
+def marked(checked: DataFrame, run_id: str) -> DataFrame:
+    """Revalidated proposals with the status that the run leaves them with, why if they were passed over, and the run."""
+    done = F.col("outcome").isin("apply", "noop")
+    status = F.when(done, "executed").when(F.col("outcome") == "deferred", "deferred").otherwise("skipped")
+    return checked.withColumn("status", status).withColumn("skip_reason", F.when(~done, F.col("outcome"))).withColumn("applied_run_id", F.when(done, F.lit(run_id)))
+
+
 def without_vanished(df: DataFrame, present: DataFrame) -> DataFrame:
     """Current-state rows of items that still exist."""
     return df.join(present.select("item_id").distinct(), "item_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.functions.text import id_set
+from labelwright.functions.text import fold_case, id_set
 
 #: Order of the parts of a desired set.
 KEPT, MAPPED, DERIVED, MARKER, PROTECTED = range(5)
@@ -13,18 +13,19 @@ KEPT, MAPPED, DERIVED, MARKER, PROTECTED = range(5)
 
 def is_protected(name: Column, exact: list[str], prefixes: list[str]) -> Column:
     """Protected by its whole name or its beginning, whatever the case."""
-    low = F.lower(name)
-    out = low.isin(*[x.lower() for x in exact]) if exact else F.lit(False)
+    low, out = fold_case(name), F.lit(False)
+    for x in exact:
+        out = out | (low == fold_case(F.lit(x)))
     for p in prefixes:
-        out = out | F.startswith(low, F.lit(p.lower()))
+        out = out | F.startswith(low, fold_case(F.lit(p)))
     return out
 
 
 def resolved(names: DataFrame, labels: DataFrame, item_labels: DataFrame) -> DataFrame:
     """``names`` (item_id, name) with label_id: of the label of that name, else of the item's own of that name, whatever the case."""
-    everywhere = labels.groupBy(F.lower("name").alias("_n")).agg(F.min("label_id").alias("_id"))
-    own = item_labels.groupBy("item_id", F.lower("label_name").alias("_n")).agg(F.min("label_id").alias("_own"))
-    keyed = names.withColumn("_n", F.lower("name"))
+    everywhere = labels.groupBy(fold_case(F.col("name")).alias("_n")).agg(F.min("label_id").alias("_id"))
+    own = item_labels.groupBy("item_id", fold_case(F.col("label_name")).alias("_n")).agg(F.min("label_id").alias("_own"))
+    keyed = names.withColumn("_n", fold_case(F.col("name")))
     out = keyed.join(everywhere, "_n", "left").join(own, ["item_id", "_n"], "left")
     return out.withColumn("label_id", F.coalesce("_id", "_own")).drop("_n", "_id", "_own")
 
@@ -50,31 +51,45 @@ def desired(current: DataFrame, mapped: DataFrame, derived: DataFrame, markers:
     new = add(mapped, MAPPED).unionByName(add(derived, DERIVED)).join(gains, "item_id", "left_semi")
     marks = add(markers, MARKER).join(authority.where("NOT additive").select("item_id"), "item_id", "left_semi")
     rows = kept.unionByName(saved).unionByName(new).unionByName(marks)
-    first = F.row_number().over(Window.partitionBy("item_id", F.lower("name")).orderBy("part", "name"))
+    first = F.row_number().over(Window.partitionBy("item_id", fold_case(F.col("name"))).orderBy("part", "name"))
     return rows.withColumn("n", first).where("n = 1").drop("n")
 
 
-def reasons(current: DataFrame, wanted: DataFrame) -> DataFrame:
-    """item_id, name, reason: added, removed_managed, preserved_external or preserved_protected; a managed label that stays has none."""
-    low = lambda df: df.withColumn("_n", F.lower("name"))
-    cur = low(current).select("item_id", "_n", F.col("name").alias("cur"), "managed", "protected")
-    want = low(wanted).select("item_id", "_n", F.col("name").alias("want"))
-    both = cur.join(want, ["item_id", "_n"], "full_outer")
+def explained(current: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item_id, name, part, reason: every label that an item has or should have; part is null for those that it should not.
+
+    reason: added, removed_managed, preserved_external or preserved_protected; null for a managed label that stays and for
+    an unmanaged one that would go.  Both sides meet in one aggregation, so that each is worked out once.
+    """
+    cur = current.select("item_id", F.col("name").alias("cur"), "managed", "protected", F.lit(None).cast("string").alias("want"), F.lit(None).cast("int").alias("part"))
+    new = wanted.select("item_id", F.lit(None).cast("string").alias("cur"), F.lit(None).cast("boolean").alias("managed"), F.lit(None).cast("boolean").alias("protected"), F.col("name").alias("want"), "part")
+    rows = cur.unionByName(new).withColumn("_n", fold_case(F.coalesce("cur", "want")))
+    both = rows.groupBy("item_id", "_n").agg(F.min("cur").alias("cur"), F.min("want").alias("want"), F.min("part").alias("part"), F.bool_or("managed").alias("managed"), F.bool_or("protected").alias("protected"))
     reason = (
         F.when(F.col("cur").isNull(), "added")
         .when(F.col("want").isNull() & F.col("managed") & ~F.col("protected"), "removed_managed")
         .when(F.col("want").isNotNull() & F.col("protected"), "preserved_protected")
         .when(F.col("want").isNotNull() & ~F.col("managed"), "preserved_external")
     )
-    return both.select("item_id", F.coalesce("cur", "want").alias("name"), reason.alias("reason")).where("reason IS NOT NULL")
+    return both.select("item_id", F.coalesce("cur", "want").alias("name"), F.col("want"), "part", reason.alias("reason"))
+
+
+def reasons(current: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item_id, name, reason of ``explained`` where there is one."""
+    return explained(current, wanted).where("reason IS NOT NULL").select("item_id", "name", "reason")
 
 
 def ledger_after(mode: Column, managed: Column, current: Column, wanted: Column) -> Column:
-    """Ids that the engine owns afterwards: replace keeps owned ones that stay and takes the new; acquire takes the new only."""
+    """Ids that the engine owns afterwards: replace keeps owned ones that stay and takes the new; acquire keeps all owned ones and takes the new."""
     new = F.array_except(wanted, current)
     return id_set(F.when(mode == "replace", F.array_union(F.array_intersect(managed, wanted), new)).otherwise(F.array_union(managed, new)))
 
 
+def noop_ledger(mode: Column, managed: Column, current: Column, wanted: Column) -> Column:
+    """Owned ids after a run that had nothing to write: only replace lets go of those that are not there any more."""
+    return id_set(F.when(mode == "replace", F.array_union(F.array_intersect(managed, wanted), F.array_except(wanted, current))).otherwise(managed))
+
+
 def without_owned(mapped: DataFrame, people: DataFrame, owned: DataFrame) -> DataFrame:
     """Mapped labels without those that a derivation owns, for items where any contributor has a text for it."""
     said = people.where("trim(coalesce(group_text, '')) <> ''").select("item_id").distinct()

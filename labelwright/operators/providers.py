@@ -18,7 +18,10 @@ def enabled(providers: DataFrame, tokens: list[str]) -> DataFrame:
     if not wanted or "all" in wanted:
         return providers
     said = F.lower(F.concat_ws(" ", "name", "url"))
-    return providers.where(F.exists(F.lit(wanted), lambda t: F.contains(said, t)))
+    hit = F.lit(False)
+    for t in wanted:
+        hit = hit | F.contains(said, F.lit(t))
+    return providers.where(hit)
 
 
 def ranked(providers: DataFrame, tokens: list[str]) -> DataFrame:
@@ -82,8 +85,21 @@ def merged_metadata(metadata: DataFrame, ranks: DataFrame, fields: tuple[str, ..
 
 
 def own_labels(item_labels: DataFrame) -> DataFrame:
-    """Local audit: an item's own labels as raw input of the provider ``local``."""
-    return item_labels.select("item_id", F.lit("local").alias("provider"), strip(F.col("label_name")).alias("raw_label"))
+    """Local audit: an item's own labels as raw input of the provider ``local``; blank names are dropped."""
+    return item_labels.select("item_id", F.lit("local").alias("provider"), strip(F.col("label_name")).alias("raw_label")).where("raw_label <> ''")
+
+
+def without_call(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Enrichment alone: (statuses, raw labels) as if every item had matched uniquely, with nothing to map."""
+    statuses = items.select("item_id", F.lit("enrichment").alias("provider"), F.lit("UNIQUE").alias("status"))
+    raw = statuses.select("item_id", "provider", F.lit("").alias("raw_label"), F.lit(0).cast("long").alias("pos")).where("false")
+    return statuses, raw
+
+
+def settled_and_waiting(statuses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statuses that lead to a proposal, those that a later run may change and that are only counted)."""
+    waiting = F.col("status").isin(*TRANSIENT)
+    return statuses.where(~waiting), statuses.where(waiting)
 
 
 def status_markers(status: Column, has_unmapped: Column, prefix: str = "Curation: ") -> Column:

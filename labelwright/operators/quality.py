@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelwright.functions.text import axis_prefix, dict_key, is_blank
+from labelwright.functions.text import axis_prefix, dict_key, is_blank, strip
 
 DISPOSITIONS = ("map", "detail", "ignore", "defer")
 
@@ -25,12 +26,13 @@ def bucket_overlaps(buckets: DataFrame) -> DataFrame:
 
 
 def bucket_gaps(buckets: DataFrame) -> DataFrame:
-    """The strict check: in the order listed each bucket begins right after the one before, and labels are not blank."""
+    """The strict check: in the order listed each bucket begins right after the one before, bounds are not crossed, and labels are not blank."""
     w = Window.partitionBy("kind").orderBy("pos")
     b = buckets.withColumn("before", F.lag("max").over(w))
     where = F.concat_ws("/", "kind", F.col("pos").cast("string"))
     gap = issue(b.where("min <> before + 1"), "bucket_order", where, F.lit("does not begin after the bucket before"))
-    return gap.unionByName(issue(b.where(is_blank(F.col("label"))), "bucket_label", where, F.lit("label is blank")))
+    crossed = issue(b.where("min > max"), "bucket_bounds", where, F.lit("min is over max"))
+    return gap.unionByName(crossed).unionByName(issue(b.where(is_blank(F.col("label"))), "bucket_label", where, F.lit("label is blank")))
 
 
 def era_overlaps(buckets: DataFrame) -> DataFrame:
@@ -74,25 +76,36 @@ def structure(rules: DataFrame, outputs: DataFrame, canonical: DataFrame) -> Dat
     return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e)
 
 
-def bad_patterns(patterns: dict[str, str]) -> list[tuple[str, str]]:
-    """(setting, error) of the settings' patterns that do not compile; they are a handful."""
+def bad_patterns(spark: SparkSession, patterns: dict[str, str]) -> list[tuple[str, str]]:
+    """(setting, error) of the settings' patterns that Python or Spark cannot compile; they are a handful."""
     out = []
     for name, p in patterns.items():
         try:
             re.compile(p)
-        except re.error as e:
-            out.append((name, str(e)))
+            spark.range(1).select(F.lit("").rlike(p)).first()
+        except (re.error, PySparkException) as e:
+            out.append((name, str(e).partition("\n")[0]))
     return out
 
 
+def new_name_issues(names: DataFrame, canonical: DataFrame) -> DataFrame:
+    """New canonical names (axis, name) that the axis has already, that come twice, or that have edge blanks or no text."""
+    have = names.join(canonical.select("axis", "name").distinct(), ["axis", "name"], "left_semi")
+    twice = names.groupBy("axis", "name").agg(F.count("*").alias("n")).where("n > 1")
+    odd = names.where(is_blank(F.col("name")) | (F.col("name") != strip(F.col("name"))))
+    a = issue(have, "duplicate_name", F.col("axis"), F.col("name")).unionByName(issue(twice, "duplicate_name", F.col("axis"), F.col("name")))
+    return a.unionByName(issue(odd, "name_pattern", F.col("axis"), F.col("name"))).distinct()
+
+
 def edit_issues(edits: DataFrame) -> DataFrame:
-    """Edits with a wrong disposition, a NUL byte, or a removal that comes with other changes."""
+    """Edits with a wrong disposition, a NUL byte in key or outputs, blank outputs, or a removal that comes with other changes."""
     key = F.coalesce("key", F.lit(""))
     a = issue(edits.where(is_blank(F.col("key"))), "required", F.lit("edits"), F.lit("key is blank"))
     b = issue(edits.where(F.col("disposition").isNotNull() & ~F.col("disposition").isin(*DISPOSITIONS)), "enum", key, F.col("disposition"))
-    c = issue(edits.where(F.contains(key, F.lit("\0"))), "nul", F.lit("edits"), F.lit("key holds a NUL"))
+    c = issue(edits.where(F.contains(key, F.lit("\0")) | F.coalesce(F.exists("outputs", lambda o: F.contains(o, F.lit("\0"))), F.lit(False))), "nul", F.lit("edits"), F.lit("key or output holds a NUL"))
+    blank = issue(edits.where(F.coalesce(F.exists("outputs", is_blank), F.lit(False))), "required", key, F.lit("output is blank"))
     d = issue(edits.where(F.col("remove") & (F.col("disposition").isNotNull() | (F.size("outputs") > 0))), "exclusive", key, F.lit("remove comes alone"))
-    return a.unionByName(b).unionByName(c).unionByName(d)
+    return a.unionByName(b).unionByName(c).unionByName(blank).unionByName(d)
 
 
 def all_issues(parts: list[DataFrame]) -> DataFrame:
@@ -101,3 +114,15 @@ def all_issues(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
+
+
+def ordered_issues(parts: list[DataFrame]) -> DataFrame:
+    """``all_issues`` with n: 1, 2, ... in the order of locations; of one location in the order of the checks that found them."""
+    numbered = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    out = numbered[0]
+    for p in numbered[1:]:
+        out = out.unionByName(p)
+    once = out.groupBy("check", "location", "message").agg(F.min("part").alias("part"))
+    # the issues of a dictionary that people edit; one task orders them, as a list to be read
+    order = Window.orderBy("location", "part", "check", "message")
+    return once.withColumn("n", F.row_number().over(order).cast("long")).drop("part")

@@ -11,10 +11,12 @@ from labelwright.functions import text as tx
 from labelwright.functions.redact import redacted
 from labelwright.operators import cleanup, derive, dictionary, entities, execute, labels, metadata, providers, quality
 from labelwright.operators.derive import Bucket
-from labelwright.operators.dictionary import Dictionary
-from labelwright.plans import reports
+from labelwright.operators.dictionary import Dictionary, small
+from labelwright.plans import curate, reports
+from labelwright.sources import journal
 from labelwright.sources.relations import relation, with_clause
-from labelwright.sources.tables import current_after, ledger_rows, started, upserted
+from labelwright.sources.shared import fresh_path
+from labelwright.sources.tables import Store, current_after, ledger_rows, started, upserted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +54,7 @@ class Relations:
 
     def people(self) -> DataFrame:
         """item_contributors with the contributor's attributes and the item's date."""
-        return self.item_contributors.join(self.contributors, "contributor_id").join(self.items.select("item_id", "item_date"), "item_id")
+        return self.item_contributors.join(small(self.contributors), "contributor_id").join(self.items.select("item_id", "item_date"), "item_id")
 
     def current(self) -> DataFrame:
         """item_labels as item_id, name, managed, protected."""
@@ -61,7 +63,8 @@ class Relations:
 
     def authority(self) -> DataFrame:
         merged = providers.merged_status(self.provider_outcomes)
-        return merged.select("item_id", (F.col("status") == "UNIQUE").alias("authoritative"), F.lit(False).alias("additive"))
+        additive = F.col("item_id").cast("long") % 5 == 3
+        return merged.select("item_id", ((F.col("status") == "UNIQUE") & ~additive).alias("authoritative"), additive.alias("additive"))
 
 
 #: The raw label's key, and J1, as DuckDB has them.
@@ -73,13 +76,25 @@ MERGED = """merged AS (SELECT item_id, CASE WHEN bool_or(status = 'AMBIGUOUS') T
     WHEN bool_or(status = 'NO_MATCH') THEN 'NO_MATCH' ELSE 'NO_IDENTIFIERS' END AS status FROM provider_outcomes GROUP BY 1)"""
 MAPPED = "mapped AS (SELECT DISTINCT l.item_id, o.output AS name FROM looked l JOIN dict_outputs o USING (key) WHERE l.disposition IN ('map', 'detail'))"
 CURRENT = "cur AS (SELECT item_id, label_name AS name, managed, lower(label_name) = 'group: x' OR lower(label_name) LIKE 'keep: %' AS protected FROM item_labels)"
-WANTED = (
-    f"{LOOKED}, {MERGED}, {MAPPED}, {CURRENT}, auth AS (SELECT item_id, status = 'UNIQUE' AS authoritative FROM merged), "
-    "allrows AS (SELECT c.item_id, name, 0 AS part FROM cur c JOIN auth a USING (item_id) WHERE NOT authoritative OR NOT managed "
-    "UNION ALL SELECT c.item_id, name, 4 FROM cur c JOIN auth a USING (item_id) WHERE authoritative AND managed AND protected "
-    "UNION ALL SELECT m.item_id, name, 1 FROM mapped m JOIN auth a USING (item_id) WHERE authoritative), "
-    "wanted AS (SELECT item_id, name, part FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(name) ORDER BY part, name) AS n FROM allrows) AS z WHERE n = 1)"
-)
+def wanted_sql(auth: str, answers: str = "looked") -> str:
+    """The CTEs of T1: ``auth`` selects item_id, authoritative, additive; ``answers`` are the looked-up labels that count."""
+    mapped = MAPPED.replace("FROM looked l", f"FROM {answers} l")
+    return (
+        f"{LOOKED}, {MERGED}, {mapped}, {CURRENT}, auth AS ({auth}), "
+        "derived AS (SELECT DISTINCT ic.item_id, 'Has Marks' AS name FROM item_contributors ic JOIN contributors c USING (contributor_id) JOIN items i USING (item_id) WHERE lower(trim(marks)) NOT IN ('none', 'no', 'n/a', 'unknown', '') "
+        "UNION ALL SELECT item_id, CASE WHEN year(item_date) <= 1993 THEN 'Era: Early' WHEN year(item_date) <= 1996 THEN 'Era: Middle' ELSE 'Era: Late' END FROM items WHERE item_date IS NOT NULL), "
+        "markers AS (SELECT item_id, CASE status WHEN 'AMBIGUOUS' THEN 'Curation: Ambiguous' WHEN 'NO_MATCH' THEN 'Curation: No Match' WHEN 'NO_IDENTIFIERS' THEN 'Curation: No Identifiers' WHEN 'UNIQUE' THEN CASE WHEN coalesce(un, false) THEN 'Curation: Unmapped' END END AS name "
+        f"FROM merged LEFT JOIN (SELECT item_id, bool_or(unmapped) AS un FROM {answers} GROUP BY 1) AS u USING (item_id)), "
+        "allrows AS (SELECT c.item_id, name, 0 AS part FROM cur c JOIN auth a USING (item_id) WHERE NOT authoritative OR NOT managed "
+        "UNION ALL SELECT c.item_id, name, 4 FROM cur c JOIN auth a USING (item_id) WHERE authoritative AND managed AND protected "
+        "UNION ALL SELECT m.item_id, name, 1 FROM mapped m JOIN auth a USING (item_id) WHERE authoritative OR additive "
+        "UNION ALL SELECT d.item_id, name, 2 FROM derived d JOIN auth a USING (item_id) WHERE authoritative OR additive "
+        "UNION ALL SELECT m.item_id, name, 3 FROM markers m JOIN auth a USING (item_id) WHERE NOT additive AND name IS NOT NULL), "
+        "wanted AS (SELECT item_id, name, part FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lower(name) ORDER BY part, name) AS n FROM allrows) AS z WHERE n = 1)"
+    )
+
+
+WANTED = wanted_sql("SELECT item_id, status = 'UNIQUE' AND CAST(item_id AS BIGINT) % 5 <> 3 AS authoritative, CAST(item_id AS BIGINT) % 5 = 3 AS additive FROM merged")
 PEOPLE = "people AS (SELECT ic.item_id, ic.contributor_id, ic.pos, c.name, c.category, c.birth_date, c.group_text, c.country, c.metric, c.marks, i.item_date FROM item_contributors ic JOIN contributors c USING (contributor_id) JOIN items i USING (item_id))"
 CODE = "CASE category WHEN 'FEMALE' THEN 'F' WHEN 'MALE' THEN 'M' WHEN 'OTHER' THEN 'X' ELSE 'U' END"
 AGES = [Bucket(18, 29, "Age: Young"), Bucket(30, 44, "Age: Middle"), Bucket(46, 70, "Age: Old")]
@@ -113,7 +128,14 @@ def t1_desired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wanted(r: Relations) -> DataFrame:
     mapped = dictionary.mapped_labels(r.raw_labels, r.dictionary()).select("item_id", F.col("output").alias("name"))
-    return labels.desired(r.current(), mapped, empty_names(mapped), empty_names(mapped), r.authority())
+    derived = derive.presence(r.people(), {"marks": "Has Marks"}).unionByName(derive.eras(r.items, ERAS))
+    return labels.desired(r.current(), mapped, derived, _markers(r), r.authority())
+
+
+def _markers(r: Relations) -> DataFrame:
+    un = dictionary.looked_up(r.raw_labels, r.dictionary()).groupBy("item_id").agg(F.bool_or("unmapped").alias("un"))
+    m = providers.merged_status(r.provider_outcomes).join(un, "item_id", "left")
+    return m.select("item_id", F.explode(providers.status_markers(F.col("status"), F.coalesce("un", F.lit(False)))).alias("name"))
 
 
 REASONS = """reasons AS (SELECT coalesce(c.item_id, w.item_id) AS item_id, coalesce(c.name, w.name) AS name,
@@ -121,8 +143,12 @@ REASONS = """reasons AS (SELECT coalesce(c.item_id, w.item_id) AS item_id, coale
     FROM (SELECT c.* FROM cur c JOIN auth USING (item_id)) c FULL JOIN wanted w ON c.item_id = w.item_id AND lower(c.name) = lower(w.name))"""
 
 
+def _explained(r: Relations) -> DataFrame:
+    return labels.explained(r.current().join(r.authority().select("item_id"), "item_id", "left_semi"), _wanted(r))
+
+
 def _reasons(r: Relations) -> DataFrame:
-    return labels.reasons(r.current().join(r.authority().select("item_id"), "item_id", "left_semi"), _wanted(r))
+    return _explained(r).where("reason IS NOT NULL")
 
 
 @query(f"+{WANTED}, {REASONS} SELECT item_id, name, reason FROM reasons WHERE reason IS NOT NULL")
@@ -138,7 +164,7 @@ def t2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
-    wanted = _wanted(r).join(F.broadcast(r.labels), "name").groupBy("item_id").agg(F.collect_set("label_id").alias("wanted"))
+    wanted = _wanted(r).join(small(r.labels), "name").groupBy("item_id").agg(F.collect_set("label_id").alias("wanted"))
     cur = r.item_labels.groupBy("item_id").agg(F.collect_set("label_id").alias("cur"), F.collect_set(F.when(F.col("managed"), F.col("label_id"))).alias("managed"))
     none = F.array().cast("array<string>")
     both = wanted.join(cur, "item_id", "left").withColumns({"cur": F.coalesce("cur", none), "managed": F.coalesce("managed", none)})
@@ -302,13 +328,13 @@ def d1_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _country_aliases(r: Relations) -> DataFrame:
     n = r.nation
-    return n.select(F.initcap(F.lower("n_name")).alias("canonical"), F.lower("n_name").alias("norm"), F.col("n_nationkey").alias("ord")).where("ord % 4 <> 0")
+    return n.select(F.initcap(F.lower("n_name")).alias("canonical"), F.lower("n_name").alias("norm"), F.col("n_nationkey").alias("ord"))
 
 
-@query(f"+{PEOPLE} SELECT DISTINCT item_id, 'Country: ' || upper(substr(country, 1, 1)) || lower(substr(country, 2)) AS name FROM people JOIN nation ON country = n_name WHERE n_nationkey % 4 <> 0 AND country NOT LIKE '% %'")
+@query(f"+{PEOPLE} SELECT DISTINCT item_id, 'Country: ' || upper(substr(country, 1, 1)) || lower(substr(country, 2)) AS name FROM people JOIN nation ON country = n_name")
 def d2_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
-    people = tx.with_folded(r.people().where("country NOT LIKE '% %'"), "country", "country_norm", tx.fold_label)
+    people = tx.with_folded(r.people(), "country", "country_norm", tx.fold_label)
     return derive.countries(people, _country_aliases(r))
 
 
@@ -376,18 +402,29 @@ def d10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""+{PEOPLE}, m AS (SELECT DISTINCT item_id, 'Has Marks' AS name FROM people WHERE lower(trim(marks)) NOT IN ('none', 'no', 'n/a', 'unknown', '')),
     s AS (SELECT item_id, contributor_id, CASE WHEN metric BETWEEN 145 AND 159 THEN 'Size: Short' WHEN metric BETWEEN 160 AND 179 THEN 'Size: Medium' WHEN metric BETWEEN 180 AND 199 THEN 'Size: Tall' END AS label, category FROM people)
-    SELECT item_id, name FROM m UNION SELECT item_id, label || ' (' || {CODE} || ')' FROM s WHERE label IS NOT NULL"""
+    SELECT item_id, name FROM m UNION SELECT item_id, label || ' (' || {CODE} || ')' FROM s WHERE label IS NOT NULL
+    UNION SELECT item_id, CASE WHEN year(item_date) <= 1993 THEN 'Era: Early' WHEN year(item_date) <= 1996 THEN 'Era: Middle' ELSE 'Era: Late' END FROM items WHERE item_date IS NOT NULL
+    UNION SELECT item_id, 'SOURCE: ' || source_name FROM items WHERE trim(coalesce(source_name, '')) <> ''
+    UNION SELECT item_id, CASE WHEN total >= 8 OR greatest(m, f, x, u) >= 5 THEN 'Cast: Group' ELSE 'Cast: ' || CASE WHEN m > 0 THEN m || 'M' ELSE '' END || CASE WHEN f > 0 THEN f || 'F' ELSE '' END || CASE WHEN x > 0 THEN x || 'X' ELSE '' END || CASE WHEN u > 0 THEN u || 'U' ELSE '' END END
+        FROM (SELECT item_id, count(*) AS total, count(*) FILTER (category = 'MALE') AS m, count(*) FILTER (category = 'FEMALE') AS f, count(*) FILTER (category = 'OTHER') AS x, count(*) FILTER (category IS NULL) AS u FROM people GROUP BY 1) AS n
+    UNION SELECT item_id, label || ' (' || {CODE} || ')' FROM (SELECT item_id, category, CASE WHEN a BETWEEN 18 AND 29 THEN 'Age: Young' WHEN a BETWEEN 30 AND 44 THEN 'Age: Middle' WHEN a BETWEEN 46 AND 70 THEN 'Age: Old' END AS label
+        FROM (SELECT *, date_sub('year', birth_date, item_date) AS a FROM people) AS y) AS z WHERE label IS NOT NULL"""
 )
 def d11_all_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = Relations(spark, sf_dir).people()
-    out, _ = derive.derived({"marks": derive.presence(people, {"marks": "Has Marks"}), "size": derive.metrics(people, "metric", METRICS, 145, 205)})
+    r = Relations(spark, sf_dir)
+    out, _ = derive.derived(spark, {
+        "marks": lambda: derive.presence(people, {"marks": "Has Marks"}), "size": lambda: derive.metrics(people, "metric", METRICS, 145, 205), "broken": lambda: derive.presence(people, {"no_such_column": "X"}),
+        "eras": lambda: derive.eras(r.items, ERAS), "sources": lambda: derive.source_labels(r.items), "cast": lambda: derive.composition(people),
+        "ages": lambda: derive.ages(people, AGES),
+    })
     return out
 
 
-@query(f"+{PEOPLE} SELECT 'size' AS derivation, CASE WHEN metric NOT BETWEEN 145 AND 205 THEN 'out of range' ELSE 'no bucket' END AS failure, CAST(count(*) AS BIGINT) AS n FROM people WHERE metric NOT BETWEEN 145 AND 199 GROUP BY 1, 2")
+@query(f"+{PEOPLE} SELECT 'size' AS derivation, CASE WHEN metric NOT BETWEEN 145 AND 205 THEN 'out of range' ELSE 'no bucket' END AS failure, CAST(count(*) AS BIGINT) AS n FROM people WHERE metric NOT BETWEEN 145 AND 199 GROUP BY 1, 2 UNION ALL SELECT 'broken', 'UNRESOLVED_COLUMN.WITH_SUGGESTION', 1")
 def q10_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = Relations(spark, sf_dir).people()
-    _, issues = derive.derived({"size": derive.metrics(people, "metric", METRICS, 145, 205)})
+    _, issues = derive.derived(spark, {"size": lambda: derive.metrics(people, "metric", METRICS, 145, 205), "broken": lambda: derive.presence(people, {"no_such_column": "X"})})
     return issues.groupBy("derivation", "failure").agg(F.count("*").alias("n"))
 
 
@@ -495,7 +532,7 @@ def x0_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _proposed(r: Relations) -> DataFrame:
-    p = execute.proposed(_wanted(r), _reasons(r), r.authority(), "run", "set", F.to_timestamp(F.lit("2024-01-01T00:00:00Z")))
+    p = execute.proposed(_explained(r), r.authority(), "run", "set", F.to_timestamp(F.lit("2024-01-01T00:00:00Z")))
     text = lambda c: F.array_join(c, "; ")
     return p.select("item_id", text("names").alias("names"), text("added").alias("added"), text("removed_managed").alias("removed"), "has_change")
 
@@ -529,14 +566,13 @@ def _revalidated(r: Relations) -> DataFrame:
 def x3_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
     here = r.items.select("item_id", F.concat(F.lit("set"), (F.col("item_id").cast("long") % 4).cast("string")).alias("labels_fp"), F.lit("base").alias("ledger_fp"))
-    pending = r.pending.withColumn("run_id", F.concat(F.rpad("run_id", 8, " "), F.lpad(F.col("event_id").cast("string"), 12, "0")))
-    return execute.reconciled(pending, here).select("item_id", "event_id", "outcome")
+    return execute.reconciled(r.pending, here).select("item_id", "event_id", "outcome")
 
 
 WRITES = "w AS (SELECT item_id, CAST(item_id AS BIGINT) AS k FROM items)"
 
 
-@query(f"+{WRITES} SELECT item_id, CASE WHEN k % 11 > 2 THEN 'applied' WHEN k % 11 = 0 THEN 'rejected' ELSE 'pending' END AS journal, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS state FROM w WHERE k % 2 = 0")
+@query(f"+{WRITES} SELECT item_id, CASE WHEN k % 11 > 2 THEN 'applied' WHEN k % 11 = 0 THEN 'rejected' ELSE 'pending' END AS journal, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS state FROM w")
 def x4b_write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(Relations(spark, sf_dir)).select("item_id", "journal", "state")
 
@@ -544,11 +580,11 @@ def x4b_write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(r: Relations) -> DataFrame:
     k = F.col("item_id").cast("long")
     results = r.items.where(k % 11 != 1).select("item_id", (k % 11 > 2).alias("ok"), F.when(k % 11 == 0, "auth").when(k % 11 == 2, "network").alias("error_kind"))
-    return execute.write_outcomes(r.items.where(k % 2 == 0).select("item_id"), results)
+    return execute.write_outcomes(r.items.select("item_id"), results)
 
 
 @query(
-    f"""+{WRITES}, new AS (SELECT item_id, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS status, CASE WHEN k % 11 > 2 THEN 'runX' END AS run, CASE WHEN k % 11 > 2 THEN 'cur' END AS sha, CASE WHEN k % 11 > 2 THEN 'fp' END AS fp FROM w WHERE k % 2 = 0)
+    f"""+{WRITES}, new AS (SELECT item_id, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS status, CASE WHEN k % 11 > 2 THEN 'runX' END AS run, CASE WHEN k % 11 > 2 THEN 'cur' END AS sha, CASE WHEN k % 11 > 2 THEN 'fp' END AS fp FROM w)
     SELECT item_id, status, run AS last_successful_run_id, sha AS rules_sha, fp AS provider_fp FROM new UNION ALL SELECT item_id, status, last_successful_run_id, rules_sha, provider_fp FROM item_state WHERE item_id NOT IN (SELECT item_id FROM new)"""
 )
 def k3_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -567,9 +603,9 @@ def k4_replace_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """+old AS (SELECT item_id, label_id FROM item_labels WHERE managed), want AS (SELECT item_id, label_id FROM item_labels WHERE CAST(item_id AS BIGINT) % 3 = 0 AND CAST(substr(label_id, 2) AS BIGINT) % 4 <> 1),
+    """+old AS (SELECT item_id, label_id FROM item_labels WHERE managed), run AS (SELECT item_id FROM items WHERE CAST(item_id AS BIGINT) % 3 <> 1), want AS (SELECT item_id, label_id FROM item_labels JOIN run USING (item_id) WHERE CAST(item_id AS BIGINT) % 3 = 0 AND CAST(substr(label_id, 2) AS BIGINT) % 4 <> 1),
     cur AS (SELECT item_id, label_id FROM item_labels WHERE CAST(substr(label_id, 2) AS BIGINT) % 2 = 0),
-    stay AS (SELECT o.* FROM old o WHERE item_id NOT IN (SELECT item_id FROM want) OR EXISTS (SELECT 1 FROM want w WHERE w.item_id = o.item_id AND w.label_id = o.label_id)),
+    stay AS (SELECT o.* FROM old o WHERE item_id NOT IN (SELECT item_id FROM run) OR EXISTS (SELECT 1 FROM want w WHERE w.item_id = o.item_id AND w.label_id = o.label_id)),
     new AS (SELECT * FROM want EXCEPT SELECT * FROM cur)
     SELECT item_id, label_id, 'run0' AS acquired_run_id FROM stay UNION ALL SELECT item_id, label_id, 'run1' FROM (SELECT * FROM new EXCEPT SELECT * FROM stay) AS z"""
 )
@@ -579,7 +615,8 @@ def k6_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = il.where("managed").select("item_id", "label_id", F.to_timestamp(F.lit("2020-01-01")).alias("acquired_at"), F.lit("run0").alias("acquired_run_id"))
     want = il.where((F.col("item_id").cast("long") % 3 == 0) & (n % 4 != 1)).select("item_id", "label_id")
     cur = il.where(n % 2 == 0).select("item_id", "label_id")
-    out = ledger_rows(old, "replace", want, cur, "run1", F.to_timestamp(F.lit("2024-01-01")))
+    items = r.items.where(F.col("item_id").cast("long") % 3 != 1).select("item_id")
+    out = ledger_rows(old, "replace", items, want, cur, "run1", F.to_timestamp(F.lit("2024-01-01")))
     return out.select("item_id", "label_id", "acquired_run_id")
 
 
@@ -611,16 +648,19 @@ ORACLE_SQL["a15_outcomes"] = ORACLE_SQL["x1_revalidate"].replace("SELECT target
 
 # --- cleanup ---------------------------------------------------------------------------------------------------------
 
-USED = "used AS (SELECT l.label_id, l.name, CAST((SELECT count(*) FROM item_labels i WHERE i.label_id = l.label_id) AS BIGINT) AS n FROM labels l)"
+USED = """counted AS (SELECT label_id, count(*) FILTER (kind = 'item') AS i, count(*) FILTER (kind = 'marker') AS m, count(*) FILTER (kind = 'parent') AS p, count(*) AS n FROM assignments GROUP BY 1),
+    used AS (SELECT l.label_id, l.name, CAST(coalesce(i, 0) AS BIGINT) AS item_count, CAST(coalesce(m, 0) AS BIGINT) AS marker_count, CAST(coalesce(p, 0) AS BIGINT) AS parent_count, coalesce(n, 0) AS n FROM labels l LEFT JOIN counted USING (label_id)),
+    own AS (SELECT label_id, name, concat_ws('; ', CASE WHEN name LIKE 'Curation: %' THEN 'marker' END, CASE WHEN split_part(name, ':', 1) IN ('theme', 'group') AND name NOT IN (SELECT name FROM dict_canonical) THEN 'retired name' END) AS reason
+        FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND name <> 'Curation: Stale Brand#1')"""
 
 
 def _usage(r: Relations) -> DataFrame:
-    return cleanup.usage(r.labels, r.item_labels.select("label_id", F.lit("item").alias("kind")))
+    return cleanup.usage(r.labels, r.assignments)
 
 
-@query(f"+{USED} SELECT label_id, name, n AS item_count FROM used")
+@query(f"+{USED} SELECT label_id, name, item_count, marker_count, parent_count FROM used")
 def s3_label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _usage(Relations(spark, sf_dir)).select("label_id", "name", "item_count")
+    return _usage(Relations(spark, sf_dir)).select("label_id", "name", "item_count", "marker_count", "parent_count")
 
 
 @query(f"+{USED} SELECT label_id, name FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND name NOT IN (SELECT name FROM dict_canonical)")
@@ -629,7 +669,7 @@ def p7a_global_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleanup.global_orphans(_usage(r), r.dict_canonical.select("name"), ["Keep: "]).select("label_id", "name")
 
 
-@query(f"+{USED} SELECT label_id, name, 'retired name' AS reason FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND split_part(name, ':', 1) IN ('theme', 'group') AND name NOT IN (SELECT name FROM dict_canonical)")
+@query(f"+{USED} SELECT label_id, name, reason FROM own WHERE reason <> ''")
 def p7b_own_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _own_orphans(Relations(spark, sf_dir)).select("label_id", "name", "reason")
 
@@ -640,10 +680,10 @@ def _prefixes(r: Relations) -> DataFrame:
 
 def _own_orphans(r: Relations) -> DataFrame:
     axes = dictionary.axis_of(r.labels, r.dictionary(), _prefixes(r))
-    return cleanup.own_orphans(_usage(r), axes, r.dict_canonical, "Curation: ", ["Curation: Ambiguous"], ["Keep: "])
+    return cleanup.own_orphans(_usage(r), axes, r.dict_canonical, "Curation: ", ["Curation: Stale Brand#1"], ["Keep: "])
 
 
-@query(f"+{USED}, o AS (SELECT label_id FROM used WHERE n = 0 AND name NOT LIKE 'Keep: %' AND split_part(name, ':', 1) IN ('theme', 'group') AND name NOT IN (SELECT name FROM dict_canonical)) SELECT label_id, name FROM labels WHERE label_id NOT IN (SELECT label_id FROM o WHERE CAST(substr(label_id, 2) AS BIGINT) % 5 <> 0)")
+@query(f"+{USED} SELECT label_id, name FROM labels WHERE label_id NOT IN (SELECT label_id FROM own WHERE reason <> '' AND CAST(substr(label_id, 2) AS BIGINT) % 5 <> 0)")
 def x8_remove_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
     keep = r.labels.where(F.substring("label_id", 2, 20).cast("long") % 5 == 0)
@@ -672,6 +712,14 @@ def t7_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocabulary(Relations(spark, sf_dir))
 
 
+@query(f"+{USED} SELECT label_id, name, split_part(name, ':', 1) AS axis FROM own WHERE reason = 'retired name' AND CAST(substr(label_id, 2) AS BIGINT) % 5 <> 0 UNION ALL SELECT label_id, name, NULL FROM own WHERE reason = 'marker' AND CAST(substr(label_id, 2) AS BIGINT) % 5 <> 0")
+def k8_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    keep = r.labels.where(F.substring("label_id", 2, 20).cast("long") % 5 == 0)
+    _, audit = cleanup.removed(r.labels, cleanup.removable(_own_orphans(r), keep, r.dict_canonical), "run", F.to_timestamp(F.lit("2024-01-01")))
+    return audit.select("label_id", "name", "axis")
+
+
 @query(f"+{VOCAB} SELECT name FROM vocab WHERE lower(name) NOT IN (SELECT lower(name) FROM labels)")
 def j21_missing_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
@@ -693,6 +741,11 @@ def a24_unreached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDITS = "edits AS (SELECT key, CASE WHEN r % 4 = 0 THEN 'ignore' WHEN r % 4 = 1 THEN 'map' END AS disposition, CASE WHEN r % 4 = 1 THEN 'theme: edited' END AS output, r % 4 = 2 AS gone FROM dict_keys WHERE r % 3 = 0)"
 OUTS = "outs AS (SELECT key, string_agg(output, '; ' ORDER BY pos) AS outputs FROM dict_outputs GROUP BY 1)"
+#: The dictionary's fingerprint: sums of the parts of its rows' digests.
+SHA = """ord AS (SELECT key, output, min(pos) AS pos FROM dict_outputs GROUP BY 1, 2), joined AS (SELECT key, string_agg(output, chr(30) ORDER BY pos) AS outputs FROM ord GROUP BY 1),
+    digests AS (SELECT sha256(concat_ws(chr(31), 'rule', key, disposition, coalesce(outputs, ''))) AS d FROM dict_rules LEFT JOIN joined USING (key) UNION ALL SELECT sha256(concat_ws(chr(31), 'name', axis, name, CAST(pos AS STRING))) FROM dict_canonical),
+    parts AS (SELECT sum(CAST('0x' || substr(d, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(d, 16, 15) AS HUGEINT)) AS b, sum(CAST('0x' || substr(d, 31, 15) AS HUGEINT)) AS c, sum(CAST('0x' || substr(d, 46, 15) AS HUGEINT)) AS e FROM digests),
+    fp AS (SELECT sha256(concat_ws('|', CAST(a AS STRING), CAST(b AS STRING), CAST(c AS STRING), CAST(e AS STRING))) AS sha FROM parts)"""
 EDITED = f"""{EDITS}, {OUTS}, after AS (SELECT key, d AS disposition, CASE WHEN d = 'ignore' THEN '' ELSE coalesce(output, outputs, '') END AS outputs FROM (
     SELECT coalesce(r.key, e.key) AS key, coalesce(e.disposition, r.disposition) AS d, e.output, o.outputs, coalesce(e.gone, false) AS gone FROM dict_rules r FULL JOIN edits e ON r.key = e.key LEFT JOIN outs o ON o.key = coalesce(r.key, e.key)) AS z WHERE NOT gone)"""
 
@@ -701,12 +754,20 @@ def _edited(r: Relations) -> Dictionary:
     n = F.col("r")
     edits = r.dict_keys.where(n % 3 == 0).select(F.upper("key").alias("key"), F.when(n % 4 == 0, "ignore").when(n % 4 == 1, "map").alias("disposition"), F.when(n % 4 == 1, F.array(F.lit("theme: edited"))).alias("outputs"), (n % 4 == 2).alias("remove"))
     names = edits.where("outputs IS NOT NULL").select(F.lit("theme").alias("axis"), F.explode("outputs").alias("name"))
-    return dictionary.edited(r.dictionary(), edits, names)
+    edits = edits.withColumn("notes", F.when(F.length("key") % 2 == 0, F.array(F.lit("edited"), F.lit("twice"))))
+    return dictionary.edited(_noted(r), edits, names)
+
+
+def _noted(r: Relations) -> Dictionary:
+    """The dictionary with notes."""
+    rules = r.dict_rules.select("key", "disposition", F.array(F.concat(F.lit("note "), "key")).alias("notes"))
+    return Dictionary(rules, r.dict_outputs, r.dict_canonical)
 
 
-@query(f"+{EDITED} SELECT key, disposition, outputs FROM after")
+@query(f"+{EDITED} SELECT key, disposition, outputs, CASE WHEN key IN (SELECT key FROM edits) AND length(key) % 2 = 0 THEN 'edited; twice' ELSE CASE WHEN key IN (SELECT key FROM dict_rules) THEN 'note ' || key END END AS notes FROM after")
 def x6_edit_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edited(Relations(spark, sf_dir)).lookup().select("key", "disposition", F.array_join("outputs", "; ").alias("outputs"))
+    after = _edited(Relations(spark, sf_dir))
+    return after.lookup().join(after.rules.select("key", tx.joined_notes(F.col("notes")).alias("notes")), "key").select("key", "disposition", F.array_join("outputs", "; ").alias("outputs"), "notes")
 
 
 @query(
@@ -718,10 +779,16 @@ def x9_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.compared(r.dictionary(), _edited(r)).select("key", "change")
 
 
-@query("SELECT 'theme' AS axis, 'theme: edited' AS added, '' AS removed")
+@query(
+    """+a AS (SELECT axis, name FROM dict_canonical WHERE pos % 3 <> 0 UNION SELECT 'group', name FROM dict_canonical WHERE axis = 'theme' AND pos % 5 = 0 UNION SELECT 'theme', 'theme: edited')
+    SELECT axis, coalesce(string_agg(CASE WHEN s = 'a' THEN name END, '; ' ORDER BY name), '') AS added, coalesce(string_agg(CASE WHEN s = 'b' THEN name END, '; ' ORDER BY name), '') AS removed
+    FROM (SELECT 'a' AS s, * FROM (SELECT * FROM a EXCEPT SELECT axis, name FROM dict_canonical) AS x UNION ALL SELECT 'b', * FROM (SELECT axis, name FROM dict_canonical EXCEPT SELECT * FROM a) AS y) AS z GROUP BY 1"""
+)
 def t8_compare_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
-    out = dictionary.compared_axes(r.dict_canonical, _edited(r).canonical)
+    c = r.dict_canonical
+    after = c.where("pos % 3 <> 0").select("axis", "name").unionByName(c.where("axis = 'theme' AND pos % 5 = 0").select(F.lit("group").alias("axis"), "name")).unionByName(_edited(r).canonical.where("name = 'theme: edited'").select("axis", "name"))
+    out = dictionary.compared_axes(c, after)
     return out.select("axis", F.array_join("added", "; ").alias("added"), F.array_join("removed", "; ").alias("removed"))
 
 
@@ -785,7 +852,7 @@ def q1_bucket_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bucket_overlaps(_buckets(Relations(spark, sf_dir))).groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query(f"+{BUCKETS}, w AS (SELECT *, lag(max) OVER (PARTITION BY kind ORDER BY pos) AS before FROM b) SELECT 'bucket_order' AS \"check\", kind || '/' || CAST(pos AS STRING) AS location FROM w WHERE min <> before + 1 UNION ALL SELECT 'bucket_label', kind || '/' || CAST(pos AS STRING) FROM w WHERE trim(label) = ''")
+@query(f"+{BUCKETS}, w AS (SELECT *, lag(max) OVER (PARTITION BY kind ORDER BY pos) AS before FROM b) SELECT 'bucket_order' AS \"check\", kind || '/' || CAST(pos AS STRING) AS location FROM w WHERE min <> before + 1 UNION ALL SELECT 'bucket_bounds', kind || '/' || CAST(pos AS STRING) FROM w WHERE min > max UNION ALL SELECT 'bucket_label', kind || '/' || CAST(pos AS STRING) FROM w WHERE trim(label) = ''")
 def q2_bucket_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bucket_gaps(_buckets(Relations(spark, sf_dir))).select("check", "location")
 
@@ -879,10 +946,13 @@ def p15_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""+{KEYED}, k AS (SELECT * FROM keyed WHERE key <> ''), s AS (SELECT key, string_agg(item_id, ',' ORDER BY item_id) AS samples FROM (SELECT key, item_id, row_number() OVER (PARTITION BY key ORDER BY item_id) AS n FROM (SELECT DISTINCT key, item_id FROM k) AS d) AS z WHERE n <= 3 GROUP BY 1)
-    SELECT key, min(raw_label) AS display, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, samples FROM k JOIN s USING (key) GROUP BY key, samples"""
+    , split AS (SELECT key, string_agg(provider || '=' || CAST(n AS STRING), ',' ORDER BY provider || '=' || CAST(n AS STRING)) AS by_provider FROM (SELECT key, provider, count(DISTINCT item_id) AS n FROM k GROUP BY 1, 2) AS y GROUP BY 1)
+    SELECT key, min(raw_label) AS display, min(item_date) AS first_seen, max(item_date) AS last_seen, CAST(count(DISTINCT k.item_id) AS BIGINT) AS n_items, by_provider, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, samples
+    FROM k JOIN s USING (key) JOIN split USING (key) JOIN items USING (item_id) GROUP BY key, samples, by_provider"""
 )
 def a23_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.catalogue(Relations(spark, sf_dir).raw_labels)
+    r = Relations(spark, sf_dir)
+    return reports.catalogue(r.raw_labels.join(r.items.select("item_id", F.col("item_date").alias("observed_at")), "item_id"))
 
 
 @query("SELECT 'http://' || string_agg(DISTINCT split_part(split_part(url, '//', 2), '/', 1), ',http://' ORDER BY split_part(split_part(url, '//', 2), '/', 1)) AS fingerprint FROM items WHERE url IS NOT NULL")
@@ -925,11 +995,14 @@ def o4_run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.run_history(r.runs, r.attempts, 10).select("run_id", "status", "success", "failed", "skipped")
 
 
-@query("SELECT s.proposed_run_id, CAST(count(p.item_id) AS BIGINT) AS total, CAST(count(*) FILTER (has_change) AS BIGINT) AS changed FROM (SELECT DISTINCT 'set' || CAST(o_orderkey % 8 AS STRING) AS proposed_run_id FROM orders) s LEFT JOIN proposals p USING (proposed_run_id) GROUP BY 1")
+@query(
+    """+t AS (SELECT s.proposed_run_id, CAST(count(p.item_id) AS BIGINT) AS total, CAST(count(*) FILTER (has_change) AS BIGINT) AS changed, CAST(count(p.item_id) FILTER (status = 'deferred') AS BIGINT) AS without_reasons FROM (SELECT DISTINCT 'set' || CAST(o_orderkey % 8 AS STRING) AS proposed_run_id FROM orders) s LEFT JOIN proposals p USING (proposed_run_id) GROUP BY 1)
+    SELECT * FROM t UNION ALL SELECT NULL, CAST(sum(total) AS BIGINT), CAST(sum(changed) AS BIGINT), CAST(sum(without_reasons) AS BIGINT) FROM t"""
+)
 def a14_set_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
     expected = r.orders.select(F.concat(F.lit("set"), (F.col("o_orderkey") % 8).cast("string")).alias("proposed_run_id")).distinct()
-    return reports.set_totals(r.proposals, expected)
+    return reports.set_totals(r.proposals.withColumn("has_reasons", F.col("status") != "deferred"), expected)
 
 
 @query(
@@ -944,7 +1017,7 @@ def o6_proposal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""+{WANTED}, {REASONS}, m AS (SELECT item_id FROM auth WHERE CAST(item_id AS BIGINT) % 3 = 0), page AS (SELECT item_id FROM m ORDER BY item_id LIMIT 200),
+    f"""+{WANTED}, {REASONS}, m AS (SELECT item_id FROM auth), page AS (SELECT item_id FROM m ORDER BY item_id LIMIT 200),
     k AS (SELECT item_id, string_agg(reason || ': ' || name, '; ' ORDER BY reason || ': ' || name) AS reasons FROM reasons WHERE reason IS NOT NULL GROUP BY 1)
     SELECT item_id, CAST((SELECT count(*) FROM m) AS BIGINT) AS total, coalesce(reasons, '') AS reasons, (SELECT count(*) FROM m) > 200 AS truncated FROM page LEFT JOIN k USING (item_id)"""
 )
@@ -952,7 +1025,7 @@ def j10_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
     after = _wanted(r).groupBy("item_id").agg(F.array_sort(F.collect_set("name")).alias("after_names"))
     none = F.array().cast("array<string>")
-    m = r.authority().join(after, "item_id", "left").where("cast(item_id AS long) % 3 = 0").select("item_id", F.lit("run1").alias("run_id"), F.coalesce("after_names", none).alias("after_names"), none.alias("before_names"))
+    m = r.authority().join(after, "item_id", "left").select("item_id", F.lit("run1").alias("run_id"), F.coalesce("after_names", none).alias("after_names"), none.alias("before_names"))
     out = reports.run_changes(m, _reasons(r), "run1", 200)
     return out.select("item_id", "total", F.coalesce(F.array_join("reasons", "; "), F.lit("")).alias("reasons"), "truncated")
 
@@ -964,10 +1037,10 @@ def j20_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.uncovered(expected, r.proposals)
 
 
-@query("SELECT a.run_id, 'phase' || CAST(event_id % 3 AS STRING) AS phase FROM (SELECT DISTINCT run_id, attempt_id % 3 AS event_id FROM attempts WHERE run_id <> 'run7') a WHERE run_id = (SELECT run_id FROM runs WHERE run_id <> 'run7' ORDER BY started_at DESC, run_id DESC LIMIT 1)")
+@query("SELECT a.run_id, 'phase' || CAST(event_id % 3 AS STRING) AS phase FROM (SELECT DISTINCT run_id, attempt_id % 3 AS event_id FROM attempts WHERE status <> 'success') a WHERE run_id = (SELECT run_id FROM runs WHERE run_id IN (SELECT run_id FROM attempts WHERE status <> 'success') ORDER BY started_at DESC, run_id DESC LIMIT 1)")
 def w8_newest_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
-    sets = r.attempts.where("run_id <> 'run7'").select("run_id", F.concat(F.lit("phase"), (F.col("attempt_id") % 3).cast("string")).alias("phase")).distinct()
+    sets = r.attempts.where("status <> 'success'").select("run_id", F.concat(F.lit("phase"), (F.col("attempt_id") % 3).cast("string")).alias("phase")).distinct()
     return reports.newest_phases(r.runs, sets)
 
 
@@ -987,14 +1060,13 @@ def a26_total_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j16_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a twin: DuckDB has no such similarity; tests hold it against plain difflib over all pairs."""
     r = Relations(spark, sf_dir)
-    undecided = reports.dictionary_report(r.raw_labels, r.dictionary()).where("status = 'needs_decision'").select("key")
+    undecided = reports.most_wanted(reports.dictionary_report(r.raw_labels, r.dictionary())).select("key")
     keys = r.dict_rules.where("disposition IN ('map', 'detail')").select(F.col("key").alias("text"))
     return reports.all_suggestions(undecided, keys, r.dictionary().canonical.select(F.col("name").alias("text")))
 
 
-@query()
+@query(f"+{SHA} SELECT sha FROM fp")
 def a18_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without a twin: the digest is over Spark's JSON; tests hold its invariances."""
     return dictionary.fingerprint(Relations(spark, sf_dir).dictionary())
 
 
@@ -1010,3 +1082,180 @@ def f_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("event_type") == "click", " YES ").when(F.col("event_type") == "view", "1").otherwise("nope")
     said = F.when(F.col("event_type") == "error", "api_key=abc").otherwise(F.col("event_type"))
     return redacted(e.select("event_id", tx.positive_int(k, 9).alias("n"), tx.loose_bool(flag).alias("flag"), said.alias("said"), F.lit("x").alias("token")))
+
+
+@query(
+    """SELECT event_id, regexp_replace(regexp_replace(trim(lower(event_type) || ' x'), '[.,]+$', ''), '-+', '-') AS folded, 'strasse' AS cased, CASE WHEN event_id % 3 = 0 THEN 'all' WHEN event_id % 3 = 1 THEN event_type END AS scope, CASE WHEN event_id % 2 = 0 THEN event_type || '; b' ELSE '' END AS notes,
+    CAST(ts AS DATE) || '' AS day, CASE WHEN event_id % 2 = 0 THEN event_type END AS first_added, CASE WHEN event_id % 4 = 1 THEN '[REDACTED]' ELSE event_type END AS said FROM events"""
+)
+def f_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = Relations(spark, sf_dir).events, F.col("event_id")
+    kind = F.col("event_type")
+    said = F.when(n % 4 == 1, F.when(n % 8 == 1, F.concat(F.lit("at /home/x/"), kind)).otherwise(F.concat(kind, F.lit(" session_cookie")))).otherwise(kind)
+    scope = F.when(n % 3 == 0, F.lit('"all"')).when(n % 3 == 1, F.to_json(F.struct(kind.alias("name"), F.lit(1).alias("n")))).otherwise(F.lit("nothing"))
+    why = F.to_json(F.struct(F.when(n % 2 == 0, F.array(F.lit(""), kind)).alias("added"), F.array().cast("array<string>").alias("removed_managed")))
+    rows = e.select("event_id", F.concat(F.lit("\u201c"), F.upper(kind), F.lit("\u2003x.,\u201d")).alias("odd"), scope.alias("scope_text"), F.when(n % 2 == 0, F.array(kind, F.lit(""), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("list"), F.to_date("ts").alias("at"), why.alias("why"), said.alias("said"), F.lit("v").alias("client_secret"))
+    rows = tx.with_folded(rows, "odd", "folded", tx.fold_label)
+    out = rows.select("event_id", "folded", tx.fold_case(F.lit("STRA\u1e9eE")).alias("cased"), tx.scope_name(F.col("scope_text")).alias("scope"), tx.joined_notes(F.col("list")).alias("notes"), tx.iso_date(F.col("at")).alias("day"), tx.reason_lists(F.col("why"))["added"][0].alias("first_added"), "said", "client_secret")
+    return redacted(out)
+
+
+# --- the journal and whole runs ---------------------------------------------------------------------------------------
+
+
+def _journal(r: Relations) -> DataFrame:
+    """``pending`` as the journal's rows, with a result for two of three."""
+    return r.pending.select(F.concat_ws(":", "run_id", F.col("event_id").cast("string")).alias("event_id"), "item_id", "run_id", F.lit("pending").alias("status"), (F.col("event_id") % 3).alias("k"))
+
+
+@query("SELECT run_id || ':' || CAST(event_id AS STRING) AS event_id, item_id, CASE event_id % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM pending")
+def k2_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _journal(Relations(spark, sf_dir))
+    results = rows.select("event_id", F.when(F.col("k") == 0, "applied").when(F.col("k") == 1, "rejected").otherwise("pending").alias("journal"))
+    return journal.finalised(rows.drop("k"), results).select("event_id", "item_id", "status")
+
+
+@query("SELECT run_id || ':' || CAST(event_id AS STRING) AS event_id, item_id FROM pending WHERE event_id % 3 = 2 AND run_id = 'run3'")
+def p19_open_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    rows = _journal(r)
+    decided = rows.where("k < 2").select("event_id", F.lit("applied").alias("status"))
+    return journal.of_run(journal.still_open(journal.with_status(rows.drop("k"), decided)), "run3").select("event_id", "item_id")
+
+
+@query(f"+{MERGED} SELECT i.item_id, CASE WHEN k % 11 > 2 THEN 'success' ELSE 'failed' END AS status, m.status AS match_status, 'runX' AS run_id FROM (SELECT item_id, CAST(item_id AS BIGINT) AS k FROM items) i LEFT JOIN merged m USING (item_id)")
+def k9_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    done = _written(r).select("item_id", "state", F.lit(None).cast("string").alias("message")).join(providers.merged_status(r.provider_outcomes), "item_id", "left")
+    return execute.attempt_rows(done, "runX", "cur", "fp", F.to_timestamp(F.lit("2024-01-01"))).select("item_id", "status", "match_status", "run_id")
+
+
+@query(
+    """+c AS (SELECT run_id, CASE status WHEN 'success' THEN 'changed' WHEN 'failed' THEN 'failed' ELSE CASE attempt_id % 3 WHEN 0 THEN 'already_correct' WHEN 1 THEN 'unmapped' ELSE 'skipped' END END AS total, attempt_id % 7 AS n FROM attempts)
+    SELECT run_id, CAST(coalesce(sum(n) FILTER (total = 'changed'), 0) AS BIGINT) AS changed, CAST(coalesce(sum(n) FILTER (total = 'already_correct'), 0) AS BIGINT) AS already_correct, CAST(coalesce(sum(n) FILTER (total = 'skipped'), 0) AS BIGINT) AS skipped, CAST(coalesce(sum(n) FILTER (total = 'failed'), 0) AS BIGINT) AS failed,
+    CAST(coalesce(sum(n) FILTER (total = 'unmapped'), 0) AS BIGINT) AS unmapped, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS proposed FROM c GROUP BY 1"""
+)
+def a13_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, k = Relations(spark, sf_dir).attempts, F.col("attempt_id")
+    odd = F.when(k % 3 == 0, "idempotent_noop").when(k % 3 == 1, "unmapped_labels").otherwise("a reason of its own")
+    counter = F.when(F.col("status") == "success", "mutations_applied").when(F.col("status") == "failed", F.when(k % 2 == 0, "mutation_failure").otherwise("transient")).otherwise(odd)
+    return reports.run_totals(a.select("run_id", (k % 4).alias("report"), counter.alias("counter"), (k % 7).alias("n")))
+
+
+@query(f"+{MISS} SELECT DISTINCT 'run' || CAST(CAST(item_id AS BIGINT) % 5 AS STRING) AS run_id, raw_label FROM miss")
+def a16_unmapped_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.unmapped_of_runs(r.raw_labels.withColumn("run_id", F.concat(F.lit("run"), (F.col("item_id").cast("long") % 5).cast("string"))), r.dictionary())
+
+
+@query(f"+{REPORT} SELECT key, n_items FROM report ORDER BY n_items DESC, key LIMIT 50")
+def o2_report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.report_page(reports.dictionary_report(r.raw_labels, r.dictionary()), 50).select("key", "n_items")
+
+
+@query(f"+{REPORT} SELECT key, n_items FROM report WHERE status = 'needs_decision' ORDER BY n_items DESC, key LIMIT 5")
+def o3_most_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    return reports.most_wanted(reports.dictionary_report(r.raw_labels, r.dictionary()), 5).select("key", "n_items")
+
+
+@query("SELECT 'enum' AS \"check\", key AS location, CAST(row_number() OVER (ORDER BY key) AS BIGINT) AS n FROM dict_rules WHERE disposition = 'detail'")
+def o7_ordered_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    rules = r.dict_rules.withColumn("disposition", F.when(F.col("disposition") == "detail", "wrong").otherwise(F.col("disposition")))
+    found = quality.structure(rules, r.dict_outputs, r.dict_canonical)
+    return quality.ordered_issues([found, quality.duplicate_keys(r.dict_rules.select(F.col("key").alias("raw"))), found]).select("check", "location", "n")
+
+
+@query("SELECT item_id, title, code, source_id, (SELECT string_agg(contributor_id, ',' ORDER BY pos) FROM item_contributors c WHERE c.item_id = i.item_id) AS contributors FROM items i")
+def p8_current_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    people = r.item_contributors.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "contributor_id"))), lambda p: F.struct(p["contributor_id"].alias("id"))).alias("contributors"))
+    items = r.items.join(people, "item_id", "left").withColumn("urls", F.array("url")).withColumn("source", F.struct(F.col("source_id").alias("id")))
+    out = metadata.current(items, ("title", "code"))
+    return out.select("item_id", "title", "code", "source_id", F.nullif(F.array_join("contributor_ids", ","), F.lit("")).alias("contributors"))
+
+
+@query("SELECT item_id, 'UNIQUE' AS status, CAST(0 AS BIGINT) AS n_labels FROM items")
+def p12_without_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statuses, raw = providers.without_call(Relations(spark, sf_dir).items)
+    n = raw.groupBy("item_id").agg(F.count("*").alias("n"))
+    return providers.merged_status(statuses).join(n, "item_id", "left").select("item_id", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n_labels"))
+
+
+@query(
+    """+o AS (SELECT item_id, label_id, managed, CAST(substr(label_id, 2) AS BIGINT) % 3 = 0 AS want, CAST(item_id AS BIGINT) % 2 = 0 AS rep FROM item_labels)
+    SELECT item_id, string_agg(label_id, ',' ORDER BY label_id) AS owned FROM o WHERE managed AND (want OR NOT rep) GROUP BY 1"""
+)
+def t4_noop_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    il = Relations(spark, sf_dir).item_labels
+    some = lambda c: F.collect_set(F.when(c, F.col("label_id")))
+    each = il.groupBy("item_id").agg(some(F.col("managed")).alias("m"), some(F.lit(True)).alias("c"), some(F.substring("label_id", 2, 20).cast("long") % 3 == 0).alias("w"))
+    mode = F.when(F.col("item_id").cast("long") % 2 == 0, "replace").otherwise("acquire")
+    return each.select("item_id", F.array_join(labels.noop_ledger(mode, F.col("m"), F.col("c"), F.col("w")), ",").alias("owned")).where("owned <> ''")
+
+
+@query(f"+{EDITED}, ch AS (SELECT count(*) AS n FROM (SELECT coalesce(b.key, a.key) AS key FROM dict_rules b LEFT JOIN outs o ON o.key = b.key FULL JOIN after a ON a.key = b.key WHERE b.key IS NULL OR a.key IS NULL OR b.disposition <> a.disposition OR coalesce(o.outputs, '') <> a.outputs) AS z), {SHA} SELECT sha AS expected_sha, CAST(n AS BIGINT) AS change_count, '[{{\"axis\":\"theme\",\"name\":\"theme: edited\"}}]' AS canonical_additions FROM fp, ch")
+def k11_edit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    out = dictionary.edit_audit(_noted(r), _edited(r), "edit1", F.to_timestamp(F.lit("2024-01-01")))
+    return out.select("expected_sha", "change_count", "canonical_additions")
+
+
+@query(f"+{SHA} SELECT 1 AS version, sha, CAST((SELECT count(*) FROM dict_rules) AS BIGINT) AS rules FROM fp")
+def k12_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of an export that was read back."""
+    path = fresh_path(spark, "dictionary")
+    manifest = dictionary.export(_noted(Relations(spark, sf_dir)), path)
+    back = dictionary.read_export(spark, path)
+    return manifest.select(F.col("version").cast("int").alias("version"), "sha").join(back.rules.agg(F.count("*").alias("rules")))
+
+
+APPLIED = (
+    f"{WANTED}, named AS (SELECT w.item_id, w.name, coalesce(l.label_id, o.label_id) AS label_id FROM wanted w LEFT JOIN (SELECT lower(name) AS n, min(label_id) AS label_id FROM labels GROUP BY 1) l ON lower(w.name) = l.n "
+    "LEFT JOIN (SELECT item_id, lower(label_name) AS n, min(label_id) AS label_id FROM item_labels GROUP BY 1, 2) o ON o.item_id = w.item_id AND o.n = lower(w.name))"
+)
+
+
+@query(
+    f"""+{APPLIED}, done AS (SELECT item_id FROM auth WHERE item_id NOT IN (SELECT item_id FROM named WHERE label_id IS NULL))
+    SELECT item_id, label_id, name FROM named WHERE item_id IN (SELECT item_id FROM done) UNION SELECT item_id, label_id, label_name FROM item_labels WHERE item_id NOT IN (SELECT item_id FROM done)"""
+)
+def x4_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    named = labels.resolved(_wanted(r).select("item_id", "name"), r.labels, r.item_labels)
+    done = r.authority().select("item_id").join(labels.unresolved_items(named), "item_id", "left_anti")
+    return curate.label_rows(r.item_labels.withColumnRenamed("label_name", "name"), named, done)
+
+
+RUN = wanted_sql(
+    f"SELECT item_id, status = 'UNIQUE' AS authoritative, false AS additive FROM merged WHERE status NOT IN ('RATE_LIMITED', 'UNAVAILABLE') AND item_id IN (SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM item_state WHERE {RAN}) UNION SELECT item_id FROM item_state WHERE {STALE})",
+    "(SELECT k.* FROM looked k JOIN provider_outcomes p USING (item_id, provider) WHERE p.status = 'UNIQUE')",
+)
+
+
+@query(
+    f"""+{RUN}, known_labels AS (SELECT label_id, name FROM labels UNION ALL SELECT 'N' || name, name FROM (SELECT name FROM markers UNION SELECT name FROM derived) AS m WHERE name IS NOT NULL),
+    named AS (SELECT w.item_id, w.name, coalesce(l.label_id, o.label_id) AS label_id FROM wanted w LEFT JOIN (SELECT lower(name) AS n, min(label_id) AS label_id FROM known_labels GROUP BY 1) l ON lower(w.name) = l.n
+        LEFT JOIN (SELECT item_id, lower(label_name) AS n, min(label_id) AS label_id FROM item_labels GROUP BY 1, 2) o ON o.item_id = w.item_id AND o.n = lower(w.name)),
+    done AS (SELECT item_id FROM auth WHERE item_id NOT IN (SELECT item_id FROM named WHERE label_id IS NULL)),
+    after AS (SELECT item_id, label_id FROM named WHERE item_id IN (SELECT item_id FROM done) UNION SELECT item_id, label_id FROM item_labels WHERE item_id NOT IN (SELECT item_id FROM done))
+    SELECT item_id, string_agg(label_id, ',' ORDER BY label_id) AS label_ids FROM after GROUP BY 1"""
+)
+def x5_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every item after a library run of two phases over versioned state."""
+    r = Relations(spark, sf_dir)
+    store = Store(spark, fresh_path(spark, "library"))
+    at = F.to_timestamp(F.lit("2020-01-01"))
+    have = r.item_labels
+    store.commit({
+        "item_labels": have.select("item_id", "label_id", F.col("label_name").alias("name")), "ownership": have.where("managed").select("item_id", "label_id", at.alias("acquired_at"), F.lit("run0").alias("acquired_run_id")),
+        "item_state": r.item_state, "raw_current": r.raw_labels.limit(0).select("item_id", "provider", "raw_label"),
+    })
+    derived = derive.presence(r.people(), {"marks": "Has Marks"}).unionByName(derive.eras(r.items, ERAS))
+    made = derived.select("name").distinct().unionByName(spark.range(1).select(F.explode(F.lit(["Curation: Ambiguous", "Curation: No Match", "Curation: No Identifiers", "Curation: Unmapped"])).alias("name")))
+    known = r.labels.unionByName(made.select(F.concat(F.lit("N"), "name").alias("label_id"), "name"))
+    inputs = curate.Inputs(r.items.select("item_id"), r.raw_labels, r.provider_outcomes.select("item_id", "provider", "status"), known, derived, r.dictionary())
+    curate.curate(store, inputs, "run1", "cur", "fp", ["keep: "], phases=("never_processed", "stale_rules"))
+    return store.read("item_labels").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("label_id")), ",").alias("label_ids"))

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import dict_key
-from labelwright.operators.dictionary import DISPLAY, Dictionary, looked_up
+from labelwright.operators.dictionary import DISPLAY, Dictionary, looked_up, small
 
 STATUSES = ("mapped", "mapped_detail", "ignored", "deferred", "needs_decision")
+#: States of a run that ended well.
+SUCCESS = ("completed", "success", "succeeded", "finished", "done")
 #: Similarity that a suggestion needs.
 CUT_OFF = 0.75
 
@@ -23,7 +25,7 @@ def items_per_label(raw_current: DataFrame) -> DataFrame:
 
 def items_per_key(raw_current: DataFrame, keys: DataFrame) -> DataFrame:
     """key, n_items for the given keys (null keys in neither)."""
-    k = F.broadcast(keys.select("key").distinct())
+    k = small(keys.select("key").distinct())
     return raw_current.select(dict_key(F.col("raw_label")).alias("key"), "item_id").join(k, "key", "left_semi").groupBy("key").agg(F.countDistinct("item_id").alias("n_items"))
 
 
@@ -59,13 +61,15 @@ def top_unmapped(raw_current: DataFrame, dictionary: Dictionary, limit: int = 10
 
 
 def catalogue(raw_history: DataFrame, samples: int = 3) -> DataFrame:
-    """key, n_items, providers, samples: facts of every raw label that was ever seen."""
-    each = raw_history.select(dict_key(F.col("raw_label")).alias("key"), "raw_label", "item_id", "provider").where("key <> ''")
-    facts = each.groupBy("key").agg(F.min("raw_label").alias("display"), F.countDistinct("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
+    """key, display, n_items, first_seen, last_seen, by_provider (provider=items), providers, samples of every raw label ever seen."""
+    each = raw_history.select(dict_key(F.col("raw_label")).alias("key"), "raw_label", "item_id", "provider", "observed_at").where("key <> ''")
+    one = each.groupBy("key", "provider").agg(F.countDistinct("item_id").alias("n"))
+    split = one.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "provider", F.col("n").cast("string")))), ",").alias("by_provider"))
+    facts = each.groupBy("key").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.min("raw_label").alias("display"), F.countDistinct("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
     # the first few items of a key are kept by rank after a partial distinct, not by collecting the key's items
     nth = F.row_number().over(Window.partitionBy("key").orderBy("item_id"))
     some = each.select("key", "item_id").distinct().withColumn("n", nth).where(F.col("n") <= samples)
-    return facts.join(some.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("samples")), "key")
+    return facts.join(split, "key").join(some.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("samples")), "key")
 
 
 def display_status(disposition: Column) -> Column:
@@ -82,6 +86,16 @@ def dictionary_report(raw_current: DataFrame, dictionary: Dictionary) -> DataFra
     return both.select("key", F.coalesce("n", F.lit(0)).alias("n_items"), display_status(F.col("disposition")).alias("status"), F.coalesce(F.array_join("outputs", "; "), F.lit("")).alias("outputs"))
 
 
+def report_page(report: DataFrame, limit: int = 5000) -> DataFrame:
+    """The entries of most items first, ties by key."""
+    return report.orderBy(F.col("n_items").desc(), "key").limit(limit)
+
+
+def most_wanted(report: DataFrame, limit: int = 500) -> DataFrame:
+    """The undecided entries of most items, ties by key: those that get suggestions."""
+    return report_page(report.where("status = 'needs_decision'"), limit)
+
+
 def status_counts(report: DataFrame) -> DataFrame:
     """status, n with every status present."""
     every = report.sparkSession.range(1).select(F.explode(F.lit(list(STATUSES))).alias("status"))
@@ -105,7 +119,7 @@ def latest_set(proposals: DataFrame) -> DataFrame:
 
 
 def last_successful_run(runs: DataFrame) -> DataFrame:
-    return runs.where("status = 'success'").agg(F.max_by(F.struct("run_id", "started_at", "ended_at"), F.struct("ended_at", "run_id")).alias("r")).where("r IS NOT NULL").select("r.*")
+    return runs.where(F.col("status").isin(*SUCCESS)).agg(F.max_by(F.struct("run_id", "started_at", "ended_at"), F.struct("ended_at", "run_id")).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def recent_errors(attempts: DataFrame, limit: int = 20) -> DataFrame:
@@ -122,21 +136,50 @@ def run_history(runs: DataFrame, attempts: DataFrame, limit: int = 50) -> DataFr
     """The newest parent runs with the totals of their and their children's attempts."""
     parents = runs.where("parent_run_id IS NULL")
     root = runs.select("run_id", F.coalesce("parent_run_id", "run_id").alias("root"))
-    n = attempts.join(F.broadcast(root), "run_id").groupBy("root").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("success", "failed", "skipped")))
+    n = attempts.join(small(root), "run_id").groupBy("root").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("success", "failed", "skipped")))
     out = parents.join(n, parents.run_id == n.root, "left").drop("root")
     return out.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(limit)
 
 
 def set_totals(proposals: DataFrame, expected: DataFrame) -> DataFrame:
-    """proposed_run_id, total, changed of every expected set, zero where it has no proposal."""
-    n = proposals.groupBy("proposed_run_id").agg(F.count("*").alias("t"), F.count_if("has_change").alias("c"))
-    return expected.join(n, "proposed_run_id", "left").select("proposed_run_id", F.coalesce("t", F.lit(0)).alias("total"), F.coalesce("c", F.lit(0)).alias("changed"))
+    """proposed_run_id, total, changed, without_reasons of every expected set, zero where it has no proposal; and of all under null.
+
+    ``proposals``: proposed_run_id, has_change, has_reasons.
+    """
+    n = proposals.groupBy("proposed_run_id").agg(F.count("*").alias("total"), F.count_if("has_change").alias("changed"), F.count_if(~F.coalesce("has_reasons", F.lit(False))).alias("without_reasons"))
+    sums = ("total", "changed", "without_reasons")
+    sets = expected.select("proposed_run_id").distinct().join(n, "proposed_run_id", "left").select("proposed_run_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in sums))
+    return sets.unionByName(sets.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums)).withColumn("proposed_run_id", F.lit(None).cast("string")))
+
+
+#: What a run's reports are counted under, and the counters of a child report that each sums.
+RUN_TOTALS = {
+    "changed": ("mutations_applied",), "already_correct": ("idempotent_noop",), "skipped": ("other_skips", "item_missing"),
+    "failed": ("mutation_failure", "transient", "cleanup_failed"), "unmapped": ("unmapped_labels",), "deleted": ("destroyed",), "proposed": ("proposals_written",),
+}
+
+
+def run_totals(children: DataFrame) -> DataFrame:
+    """run_id and the seven totals, from the counters (run_id, report, counter, n) of every report nested in a run.
+
+    A counter is one of ``RUN_TOTALS``; unknown ones count as skipped, as further reasons of skipping do.
+    """
+    named = F.lit("skipped")
+    for total, counters in RUN_TOTALS.items():
+        named = F.when(F.col("counter").isin(*counters), total).otherwise(named)
+    each = children.select("run_id", named.alias("total"), F.coalesce("n", F.lit(0)).alias("n"))
+    return each.groupBy("run_id").agg(*(F.coalesce(F.sum(F.when(F.col("total") == t, F.col("n"))), F.lit(0)).cast("long").alias(t) for t in RUN_TOTALS))
+
+
+def unmapped_of_runs(raw: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """run_id, raw_label: the distinct labels of each run that the dictionary does not map; ``raw`` has run_id."""
+    return looked_up(raw, dictionary, defer_is_unmapped=False).where("unmapped").select("run_id", "raw_label").distinct()
 
 
 def proposal_page(proposals: DataFrame, phases: DataFrame, limit: int = 500) -> DataFrame:
     """Proposals with their phase's place: changed ones first, then by phase and item; with each set's size and whether the page cuts it."""
     size = proposals.groupBy("proposed_run_id").agg(F.count("*").alias("set_total"))
-    page = proposals.join(F.broadcast(phases), "proposed_run_id").orderBy(F.col("has_change").desc(), "phase_pos", "item_id").limit(limit)
+    page = proposals.join(small(phases), "proposed_run_id").orderBy(F.col("has_change").desc(), "phase_pos", "item_id").limit(limit)
     shown = page.groupBy("proposed_run_id").agg(F.count("*").alias("shown"))
     return page.join(shown, "proposed_run_id").join(size, "proposed_run_id").withColumn("truncated", F.col("shown") < F.col("set_total")).drop("shown")
 
@@ -203,5 +246,5 @@ def provider_fingerprint(providers: DataFrame) -> DataFrame:
 
 def save_result(raw_current: DataFrame, keys: DataFrame) -> DataFrame:
     """One row, items: how many items a set of edited keys touches, each counted once."""
-    k = F.broadcast(keys.select("key").distinct())
+    k = small(keys.select("key").distinct())
     return raw_current.select(dict_key(F.col("raw_label")).alias("key"), "item_id").join(k, "key", "left_semi").agg(F.countDistinct("item_id").alias("items"))

@@ -39,13 +39,17 @@ RELATIONS: dict[str, str] = {
         FROM (SELECT DISTINCT split_part(output, ':', 1) AS axis, output AS name FROM dict_outputs UNION SELECT 'theme', 'theme: unused') AS u""",
     "labels": """
         SELECT 'L' || CAST(row_number() OVER (ORDER BY name) AS STRING) AS label_id, name
-        FROM (SELECT name FROM dict_canonical WHERE pos % 11 <> 5 UNION SELECT 'manual ' || p_type FROM part UNION SELECT 'Keep: ' || p_brand FROM part UNION SELECT 'theme: retired ' || p_brand FROM part) AS u""",
+        FROM (SELECT name FROM dict_canonical WHERE pos % 11 <> 5 UNION SELECT 'manual ' || p_type FROM part UNION SELECT 'Keep: ' || p_brand FROM part UNION SELECT 'theme: retired ' || p_brand FROM part UNION SELECT 'theme: gone ' || p_brand FROM part UNION SELECT 'group: gone ' || p_brand FROM part UNION SELECT 'Curation: Stale ' || p_brand FROM part) AS u""",
     "item_labels": """
         SELECT DISTINCT CAST(l_orderkey AS STRING) AS item_id, label_id, name AS label_name, l_linestatus = 'O' AND name NOT LIKE 'manual%' AS managed
         FROM (SELECT l_orderkey, min(l_linestatus) AS l_linestatus,
                      CASE l_linenumber % 5 WHEN 0 THEN 'theme: ' || lower(p_name) WHEN 1 THEN 'Keep: ' || p_brand WHEN 2 THEN 'group: ' || split_part(lower(p_name), ' ', 1) WHEN 3 THEN 'theme: retired ' || p_brand ELSE 'manual ' || p_type END AS n
               FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 3) AS u
         JOIN labels ON name = n""",
+    "assignments": """
+        SELECT label_id, 'item' AS kind FROM item_labels
+        UNION ALL SELECT label_id, CASE p_partkey % 8 WHEN 0 THEN 'marker' WHEN 1 THEN 'image' WHEN 2 THEN 'gallery' WHEN 3 THEN 'contributor' WHEN 4 THEN 'source' WHEN 5 THEN 'group' WHEN 6 THEN 'parent' ELSE 'child' END
+        FROM part JOIN labels ON name = CASE WHEN p_partkey % 2 = 0 THEN 'theme: gone ' ELSE 'Curation: Stale ' END || p_brand WHERE p_brand LIKE 'Brand#1_'""",
     "provider_outcomes": """
         SELECT item_id, provider, CAST(h % 4 AS BIGINT) AS n_candidates,
                CASE WHEN h % 13 = 0 THEN 'RATE_LIMITED' WHEN h % 13 = 1 THEN 'UNAVAILABLE' WHEN h % 13 = 2 THEN 'NO_IDENTIFIERS' WHEN h % 4 = 0 THEN 'NO_MATCH' WHEN h % 4 = 1 THEN 'UNIQUE' WHEN h % 4 = 2 THEN 'AMBIGUOUS' ELSE 'UNIQUE' END AS status

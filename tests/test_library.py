@@ -16,7 +16,7 @@ from labelwright.sources.tables import Store
 from tests.oracle import differences
 
 #: A query of each group; all of them are compared by tests/oracle.py.
-SOME = ("t2_reasons", "t3_ledger", "a2_merge_status", "a4_merge_metadata", "d1_ages", "d3_groups", "x2_fill_empty", "j7_resolve_entities", "p1_scope_stale_rules", "x1_revalidate", "x3_reconcile", "k6_ledger", "p7b_own_orphans", "t7_vocabulary", "x6_edit_dictionary", "x9_compare", "j12_dictionary_report", "o6_proposal_page", "q2_bucket_gaps", "f_scalars")
+SOME = ("t2_reasons", "t3_ledger", "k2_journal", "k8_deletions", "k11_edit_audit", "x5_curate", "a18_fingerprint", "f_text", "a2_merge_status", "a4_merge_metadata", "d1_ages", "d3_groups", "x2_fill_empty", "j7_resolve_entities", "p1_scope_stale_rules", "x1_revalidate", "x3_reconcile", "k6_ledger", "p7b_own_orphans", "t7_vocabulary", "x6_edit_dictionary", "x9_compare", "j12_dictionary_report", "o6_proposal_page", "q2_bucket_gaps", "f_scalars")
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -46,6 +46,7 @@ def test_folding(spark):
     got = sorted((r.x or "", r.f or "") for r in tx.with_folded(df, "x", "f", tx.fold_label).collect())
     assert got == sorted([("Stra\u00dfe", "strasse"), ("STRASSE", "strasse"), ("plain one", "plain one"), ("plain one", "plain one"), ("\uff21b\u2014-c.", "ab-c"), ("", "")])
     assert tx.fold_label(tx.fold_label("\u201cX\u201d  y.,")) == tx.fold_label("\u201cX\u201d  y.,")
+    assert [tx.fold_label(x) for x in ('"Foo"', "\u2018Bar\u2019s\u2019,", "a\u00adb", "x\u201ay", "'z'.")] == ["foo", "bar's", "a-b", "x,y", "z"]
 
 
 def test_scalars(spark):
@@ -56,6 +57,8 @@ def test_scalars(spark):
 
 def test_redaction_reaches_nested_fields(spark):
     df = spark.createDataFrame([("ok", ("keep", "gone"), ["Bearer abc", "fine"])], "a string, s struct<x:string,api_key:string>, l array<string>")
+    odd = spark.createDataFrame([("under /home/me/x", "Session_Cookie=1", {"provider_api_key": "a", "ok": "/mnt/a"}, "fine")], "a string, b string, m map<string,string>, client_secret string")
+    assert redacted(odd).first().asDict() == {"a": "[REDACTED]", "b": "[REDACTED]", "m": {"ok": "[REDACTED]"}}
     r = redacted(df).first()
     assert r.s.asDict() == {"x": "keep"} and r.l == ["[REDACTED]", "fine"]
 
@@ -94,6 +97,16 @@ def test_desired_keeps_what_people_attached(spark):
     assert why["1", "old"] == "removed_managed" and why["1", "Mine"] == "preserved_external" and why["1", "Keep: x"] == "preserved_protected" and why["1", "new"] == "added" and ("3", "a") not in why
 
 
+def test_names_fold_as_unicode_says(spark):
+    names = ["Stra\u00dfe", "STRASSE", "stra\u1e9ee", "\ufb01n", "FIN", "\u03a3\u0391\u03a3", "\u03c3\u03b1\u03c2", "\u0131x", "Ix", "plain"]
+    got = dict(values(spark, [(n,) for n in names], "x string", F.col("x"), tx.fold_case(F.col("x"))))
+    assert all((got[a] == got[b]) == (a.casefold() == b.casefold()) for a in names for b in names)
+    cur = spark.createDataFrame([("1", "Stra\u00dfe", False, False)], "item_id string, name string, managed boolean, protected boolean")
+    mapped = spark.createDataFrame([("1", "STRASSE")], "item_id string, name string")
+    authority = spark.createDataFrame([("1", True, False)], "item_id string, authoritative boolean, additive boolean")
+    assert [r.name for r in labels.desired(cur, mapped, mapped.limit(0), mapped.limit(0), authority).collect()] == ["Stra\u00dfe"]
+
+
 def test_first_failing_check_decides(spark):
     p = spark.createDataFrame([("1", "replace", "x", "2999-01-01T00:00:00Z", "deferred", "a", True), ("2", "other", "", "1990-01-01T00:00:00Z", "proposed", "a", True), ("3", "replace", "[]", "2999-01-01T00:00:00Z", "proposed", "b", False), ("9", "replace", "[]", "2999-01-01T00:00:00Z", "proposed", "b", False)], "item_id string, mode string, seen_ledger_fp string, expires_at string, status string, seen_labels_fp string, has_change boolean")
     present = spark.createDataFrame([("1", "z", "z"), ("2", "z", "z"), ("3", "b", "[]")], "item_id string, labels_fp string, ledger_fp string")
@@ -176,27 +189,116 @@ def test_buckets(spark):
     assert [x for (x,) in values(spark, [(-5,), (9,), (10,), (99,), (None,)], "v int", derive.bucket_of(F.col("v"), b))] == ["low", "low", "mid", "high", None]
 
 
-def test_library_run_is_idempotent(spark, tmp_path):
-    from labelwright.plans.curate import Inputs, curate
+def library(spark, path):
+    from labelwright.plans.curate import Inputs
 
-    s = Store(spark, f"file://{tmp_path}")
-    make = spark.createDataFrame
-    s.replace("item_labels", make([("1", "L9", "Mine"), ("2", "L9", "Mine"), ("1", "L5", "theme: gone")], "item_id string, label_id string, name string"))
-    s.replace("ownership", make([("1", "L5", None, "run0")], "item_id string, label_id string, acquired_at timestamp, acquired_run_id string"))
-    s.replace("item_state", make([], "item_id string, status string, last_successful_run_id string, rules_sha string, provider_fp string"))
-    s.replace("raw_current", make([], "item_id string, provider string, raw_label string"))
+    s, make = Store(spark, f"file://{path}"), spark.createDataFrame
+    s.commit({
+        "item_labels": make([("1", "L9", "Mine"), ("2", "L9", "Mine"), ("1", "L5", "theme: gone")], "item_id string, label_id string, name string"),
+        "ownership": make([("1", "L5", None, "run0")], "item_id string, label_id string, acquired_at timestamp, acquired_run_id string"),
+        "item_state": make([], "item_id string, status string, last_successful_run_id string, rules_sha string, provider_fp string"),
+        "raw_current": make([], "item_id string, provider string, raw_label string"),
+        "item_metadata": make([("1", " ", None), ("2", "T", ["u"]), ("3", None, [])], "item_id string, title string, urls array<string>"),
+        "labels": make([("L1", "theme: foo"), ("L2", "Curation: No Match"), ("L5", "theme: gone"), ("L9", "Mine")], "label_id string, name string"),
+    })
     d = dictionary.Dictionary(make([("foo", "map"), ("bar", "ignore")], "key string, disposition string"), make([("foo", "theme: foo", 1)], "key string, output string, pos long"), make([("theme", "theme: foo", 1)], "axis string, name string, pos long"))
     inputs = Inputs(
-        make([("1",), ("2",), ("3",)], "item_id string"), make([("1", "p", "Foo,", 1), ("1", "p", "bar", 2), ("2", "p", "foo", 1), ("3", "p", "foo", 1)], "item_id string, provider string, raw_label string, pos long"),
-        make([("1", "p", "UNIQUE"), ("2", "p", "NO_MATCH"), ("3", "p", "UNIQUE")], "item_id string, provider string, status string"),
-        make([("L1", "theme: foo"), ("L2", "Curation: No Match"), ("L5", "theme: gone"), ("L9", "Mine")], "label_id string, name string"), make([], "item_id string, name string"), d,
+        make([("1",), ("2",), ("3",), ("4",)], "item_id string"), make([("1", "p", "Foo,", 1), ("1", "p", "bar", 2), ("2", "p", "foo", 1), ("3", "p", "foo", 1)], "item_id string, provider string, raw_label string, pos long"),
+        make([("1", "p", "UNIQUE"), ("2", "p", "NO_MATCH"), ("3", "p", "UNIQUE"), ("4", "p", "UNAVAILABLE")], "item_id string, provider string, status string"),
+        s.read("labels"), make([], "item_id string, name string"), d, make([("1", "New", ["v"]), ("3", "New", ["w"])], "item_id string, title string, urls array<string>"), ("title", "urls"),
     )
+    return s, inputs
+
+
+def rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_library_run_is_idempotent(spark, tmp_path):
+    from labelwright.plans.curate import curate
+
+    s, inputs = library(spark, tmp_path)
     first = {p.item_id: p for p in curate(s, inputs, "run1", "sha", "fp", [], preview=True, phases=("never_processed",))["never_processed"].collect()}
-    assert first["1"].added == ["theme: foo"] and first["1"].removed_managed == ["theme: gone"] and s.read("item_labels").count() == 3
+    assert first["1"].added == ["theme: foo"] and first["1"].removed_managed == ["theme: gone"] and s.read("item_labels").count() == 3 and "4" not in first
     curate(s, inputs, "run1", "sha", "fp", [], phases=("never_processed",))
-    assert sorted((r.item_id, r.name) for r in s.read("item_labels").collect()) == [("1", "Mine"), ("1", "theme: foo"), ("2", "Curation: No Match"), ("2", "Mine"), ("3", "theme: foo")]
-    assert sorted((r.item_id, r.label_id) for r in s.read("ownership").collect()) == [("1", "L1"), ("2", "L2"), ("3", "L1")]
-    assert {r.status for r in s.read("item_state").collect()} == {"success"}
+    assert rows(s.read("item_labels"), "item_id", "name") == [("1", "Mine"), ("1", "theme: foo"), ("2", "Curation: No Match"), ("2", "Mine"), ("3", "theme: foo")]
+    assert rows(s.read("ownership"), "item_id", "label_id") == [("1", "L1"), ("2", "L2"), ("3", "L1")]
+    assert dict(rows(s.read("item_state"), "item_id", "status")) == {"1": "success", "2": "success", "3": "success", "4": "failed"}
+    assert rows(s.read("attempts"), "item_id", "status", "message") == [("1", "success", None), ("2", "success", None), ("3", "success", None), ("4", "failed", "unavailable")]
+    assert rows(s.read("journal"), "item_id", "status") == [("1", "applied"), ("2", "applied"), ("3", "applied")]
+    assert rows(s.read("item_metadata"), "item_id", "title", "urls") == [("1", "New", ["v"]), ("2", "T", ["u"]), ("3", "New", ["w"])]
+    # the label that the library made and nothing uses any more is gone, with an audit row
+    assert rows(s.read("labels"), "name") == [("Curation: No Match",), ("Mine",), ("theme: foo",)] and rows(s.read("label_deletions"), "name", "axis") == [("theme: gone", "theme")]
     again = curate(s, inputs, "run2", "sha2", "fp", [], phases=("never_processed", "stale_rules"))
     assert again["never_processed"].count() == 0 and again["stale_rules"].count() == 3
-    assert all(p.where("has_change").count() == 0 for p in again.values())
+    assert all(p.where("has_change").count() == 0 for p in again.values()) and s.read("journal").count() == 3
+
+
+def test_a_label_that_people_attach_again_stays(spark, tmp_path):
+    from labelwright.plans.curate import curate
+
+    s, inputs = library(spark, tmp_path)
+    s.replace("ownership", spark.createDataFrame([("4", "L5", None, "run0")], s.read("ownership").schema))
+    s.replace("item_labels", spark.createDataFrame([("4", "L5", "theme: gone")], s.read("item_labels").schema))
+    nothing = inputs.statuses.where("item_id <> '4'").unionByName(spark.createDataFrame([("4", "p", "UNIQUE")], inputs.statuses.schema))
+    inputs.statuses, inputs.labels = nothing, s.read("labels")
+    curate(s, inputs, "run1", "sha", "fp", [], phases=("never_processed",))
+    assert s.read("item_labels").where("item_id = '4'").count() == 0 and s.read("ownership").where("item_id = '4'").count() == 0
+    s.replace("item_labels", s.read("item_labels").unionByName(spark.createDataFrame([("4", "L5", "theme: gone")], s.read("item_labels").schema)))
+    curate(s, inputs, "run2", "sha2", "fp", [], phases=("stale_rules",))
+    assert rows(s.read("item_labels").where("item_id = '4'"), "label_id") == [("L5",)] and s.read("ownership").where("item_id = '4'").count() == 0
+
+
+def test_an_interrupted_run_is_settled(spark, tmp_path):
+    from labelwright.plans.curate import recover
+    from labelwright.sources import journal
+
+    s, inputs = library(spark, tmp_path)
+    fp = lambda *ids: labels.set_fingerprint(F.lit(list(ids)))
+    made = spark.createDataFrame([("1",), ("2",)], "item_id string").select(
+        "item_id", F.lit("replace").alias("mode"), *(F.lit(["L5"]).alias(c) for c in ("before_ids", "before_names", "after_ids", "after_names", "owned_after")),
+        F.when(F.col("item_id") == "1", fp("L5", "L9")).otherwise(fp("L7")).alias("after_fp"), F.when(F.col("item_id") == "1", fp("L5")).alias("baseline_fp"),
+    )
+    s.commit({"journal@r": journal.intents(made, "r", F.current_timestamp())})
+    out = recover(s, inputs.items, F.current_timestamp())
+    assert rows(out, "item_id", "outcome") == [("1", "adopted"), ("2", "reverted")] and rows(s.read("journal"), "item_id", "status") == [("1", "applied"), ("2", "reverted")]
+    assert recover(s, inputs.items, F.current_timestamp()) is None
+
+
+def test_edits_keep_notes_and_are_refused_when_stale(spark, tmp_path):
+    make = spark.createDataFrame
+    d = dictionary.Dictionary(make([("a", "map", ["n"], ["p"]), ("b", "map", None, None)], "key string, disposition string, notes array<string>, provider array<string>"), make([("a", "theme: x", 1)], "key string, output string, pos long"), make([("theme", "theme: x", 1)], "axis string, name string, pos long"))
+    edits = make([("B", "ignore", None, False)], "key string, disposition string, outputs array<string>, remove boolean")
+    after = dictionary.edited(d, edits, expected=dictionary.fingerprint(d).first()[0])
+    assert rows(after.rules, "key", "disposition", "notes", "provider") == [("a", "map", ["n"], ["p"]), ("b", "ignore", None, None)]
+    with pytest.raises(ValueError):
+        dictionary.edited(d, edits, expected="another")
+    names = make([("theme", "theme: x")], "axis string, name string")
+    with pytest.raises(ValueError):
+        dictionary.edited(d, edits, names)
+    assert quality.new_name_issues(names, d.canonical).count() == 1
+    dictionary.export(d, f"file://{tmp_path}/e")
+    back = dictionary.read_export(spark, f"file://{tmp_path}/e")
+    assert rows(back.rules, "key", "notes") == rows(d.rules, "key", "notes")
+    spark.createDataFrame([("rule", '{"key":"z","disposition":"map"}')], "kind string, row string").write.mode("append").json(f"file://{tmp_path}/e/rows")
+    with pytest.raises(ValueError):
+        dictionary.read_export(spark, f"file://{tmp_path}/e")
+
+
+def test_total_falls_back(spark):
+    make = spark.createDataFrame
+    p = make([("s1", 1, "a"), ("s2", 2, "b"), ("s2", 2, "c")], "proposed_run_id string, created_at int, item_id string")
+    none = p.where("false")
+    assert [reports.total_items(a, b, p).first()[0] for a, b in ((p.limit(1), none), (none, p.limit(1)), (none, none))] == [1, 1, 2]
+    assert reports.total_items(none, none, none).first()[0] == 0
+
+
+def test_patterns_that_do_not_compile(spark):
+    assert [n for n, _ in quality.bad_patterns(spark, {"ok": "a+", "bad": "(", "python alone": "(?P<x>a)"})] == ["bad", "python alone"]
+
+
+def test_open_bounds_and_absent_columns(spark):
+    b = spark.createDataFrame([("era", 1, None, 1990, "a"), ("era", 2, 1990, None, "b")], "kind string, pos int, min int, max int, label string")
+    assert rows(quality.era_overlaps(b), "check", "location") == [("bucket_overlap", "era/2")]
+    out, issues = derive.derived(spark, {"bad": lambda: b.select("nothing"), "good": lambda: b.select(F.col("label").alias("item_id"), F.lit("n").alias("name"))})
+    assert rows(out, "item_id", "name") == [("a", "n"), ("b", "n")] and rows(issues, "derivation") == [("bad",)]
