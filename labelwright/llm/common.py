@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelwright.sources.shared import fresh_path, shared_dir  # noqa: F401
+
 #: Text bytes and rows that a task turns into arrays at once; one longer text is taken alone.
 PIECE_BYTES, PIECE_ROWS = 1 << 19, 2048
 
@@ -21,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        known = sc._jsc.sc().getCheckpointDir()
-        set_to = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return set_to.rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared folder, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -51,8 +41,22 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Rows of few narrow columns that may be broadcast.
+FEW = 200_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """``df`` from the shared folder, with a broadcast hint if it has at most ``limit`` rows, which are counted; narrow rows only."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def labelled(labels: DataFrame, column: str, hold_mod: int, hold_rest: int, limit: int) -> DataFrame:
@@ -158,6 +162,18 @@ class Words:
         s = self.sums()
         return mix64((s[end] - s[start]) * _powers[1][start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def digests(self, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit digests of each text's words, in order."""
+        h = self.hashes() if h is None else h
+        begin = np.concatenate([[0], np.cumsum(self.count)])[:-1]
+        place = np.arange(len(h)) - begin[self.doc]
+        out = []
+        for odd, words in ((0x8CB92BA72F3D8DD7, h), (0xD1B54A32D192ED03, mix64(h ^ np.uint64(0x9E3779B97F4A7C15)))):
+            power = np.cumprod(np.full(int(self.count.max(initial=0)) + 1, odd, np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[place], dtype=np.uint64)])
+            out.append(mix64(sums[begin + self.count] - sums[begin] + self.count.astype(np.uint64)))
+        return out[0], out[1]
+
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
 

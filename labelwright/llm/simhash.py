@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import Words, checkpointed, fresh_path, mix64, text_pieces
+from labelwright.llm.common import Words, checkpointed, few, fresh_path, mix64, spare, text_pieces
 from labelwright.llm.graph import components
 
 #: Fingerprints of a shard that meet in one task.
@@ -30,16 +30,19 @@ CHUNK = 1024
 VISITS = 1_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SEGMENT = 1 << 20
+_BLANKS = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def _segments(text: bytes) -> Iterator[bytes]:
     """A text in parts that end between words."""
     at = 0
     while len(text) - at > _SEGMENT:
-        cut = max(text.rfind(b, at, at + _SEGMENT) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        cut = cut + 1 if cut >= at else at + _SEGMENT + len(text[at + _SEGMENT :].split(None, 1)[0])
-        yield text[at:cut]
-        at = cut
+        cut = max(text.rfind(b, at, at + _SEGMENT) for b in _BLANKS)
+        if cut < at:  # a word longer than a segment ends at the next blank, or with the text
+            later = [k for b in _BLANKS if (k := text.find(b, at + _SEGMENT)) >= 0]
+            cut = min(later) if later else len(text) - 1
+        yield text[at : cut + 1]
+        at = cut + 1
     yield text[at:]
 
 
@@ -81,7 +84,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, keep: tupl
 
 
 def shard_keys(fp: Column) -> list[Column]:
-    """The 16 shards of a 64-bit fingerprint for radius 3."""
+    """(key, rest): the 16 shards of a 64-bit fingerprint for radius 3, and the 36 bits that a shard leaves open."""
     keys = []
     for block in range(4):
         at = 16 * block
@@ -91,10 +94,26 @@ def shard_keys(fp: Column) -> list[Column]:
         rest = low.bitwiseOR(high)
         for part in range(4):
             sub = F.shiftrightunsigned(rest, 12 * part).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.lit((4 * block + part) << 28).bitwiseOR(F.shiftleft(sub, 16)).bitwiseOR(value))
+            open_low = rest.bitwiseAND(F.lit((1 << 12 * part) - 1))
+            open_high = F.shiftleft(F.shiftrightunsigned(rest, 12 * (part + 1)), 12 * part) if part < 3 else F.lit(0).cast("long")
+            key = F.lit((4 * block + part) << 28).bitwiseOR(F.shiftleft(sub, 16)).bitwiseOR(value)
+            keys.append(F.struct(key.cast("long").alias("key"), open_low.bitwiseOR(open_high).cast("long").alias("rest")))
     return keys
 
 
+def finer(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, key, rest) of shards of two nodes or more, with n, how many; a shard of over ``CHUNK`` is divided once more.
+
+    Of the 36 open bits three may differ, so two linked fingerprints agree on one of four parts of nine: each node of a
+    large shard goes to the four shards that the parts name.
+    """
+    sized = lambda df: df.join(df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    all_ = sized(rows)
+    parts = F.array(*(F.xxhash64("key", F.lit(p), F.shiftrightunsigned("rest", 9 * p).bitwiseAND(F.lit(511))) for p in range(4)))
+    large = all_.where(F.col("n") > CHUNK).select("node", "rest", F.explode(parts).alias("key"))
+    return all_.where(F.col("n") <= CHUNK).select("node", "key", "n").unionByName(sized(large).select("node", "key", "n"))
+
+
 def distances(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints a[at_a] and b[at_b], in one or more 64-bit words each; wide ones a part at a time."""
     if a.ndim == 1:
@@ -265,9 +284,8 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(u, v): links of distinct fingerprints (fp long) that connect just what differs in at most 3 bits."""
     if radius > 3:
         raise ValueError("the 16 shards guarantee radius 3 at most")
-    rows = fps.select(F.col("fp").alias("node"), F.explode(F.array(*shard_keys(F.col("fp")))).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = _dealt(rows.join(sizes, "key")).select("key", "lo", "hi", "node", "chunk")
+    rows = fps.select(F.col("fp").alias("node"), F.explode(F.array(*shard_keys(F.col("fp")))).alias("s")).select("node", "s.*")
+    rows = _dealt(finer(rows)).select("key", "lo", "hi", "node", "chunk")
     return rows.mapInArrow(_shard_links(radius), "u long, v long")
 
 
@@ -282,11 +300,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 3, radius:
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, radius))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    top = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(top, "root").select("fp", "component_id")
+    named = with_least(nodes, "component_id").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def with_least(nodes: DataFrame, name: str) -> DataFrame:
+    """``nodes`` (root, least, ...) and the least of each root's; only roots of several nodes are joined, so that no root is hot."""
+    top = nodes.groupBy("root").agg(F.min("least").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return nodes.join(few(top), "root", "left").withColumn(name, F.coalesce("_least", "least")).drop("_least")
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -305,8 +328,8 @@ BANDS, ROWS = 16, 3
 _STEP = 16_384
 
 
-def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(rows x words fingerprints, rows x BANDS shard keys, rows digests, sorted 32-bit set) of the texts' shingles; no words: zeros."""
+def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(rows x words fingerprints, rows x BANDS shard keys, two digests of each row's words, sorted 32-bit set) of the texts' shingles; no words: zeros."""
     w = Words(col)
     h = w.hashes()
     at, s = w.shingles(width, h)
@@ -329,45 +352,52 @@ def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
             for r in range(ROWS):
                 odd = np.uint64(int(mix64(np.array([b * ROWS + r + 1], np.uint64))[0]) | 1)
                 keys[some, b] = mix64(keys[some, b] * np.uint64(0x8CB92BA72F3D8DD7) + np.minimum.reduceat(s * odd, first[some]))
-    power = np.cumprod(np.full(int(w.count.max(initial=0)) + 1, 0x8CB92BA72F3D8DD7, np.uint64))
-    begin = np.concatenate([[0], np.cumsum(w.count)])[:-1]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[np.arange(len(h)) - begin[w.doc]], dtype=np.uint64)])
+    node, check = w.digests(h)
     low = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     sets = [np.unique(low[a : a + k]) for a, k in zip(first, n)]
-    return fps, keys, mix64(sums[begin + w.count] - sums[begin] + w.count.astype(np.uint64)), sets
+    return fps, keys, node, check, sets
 
 
-def wide_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, component_id) of every row: ``near_duplicates`` by wide fingerprints of longer shingles, for a similarity rather than bits.
+def wide_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, radius: int = WIDE_RADIUS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and root long of every row: ``near_duplicates`` by wide fingerprints of longer shingles, for a similarity rather than bits.
 
-    Shards are bands of min-hashes, since blocks of bits guarantee nothing at such a radius.  Texts of the same words are
-    one from the start; null and empty texts are one another's copies.  Fingerprints only choose the pairs to compare: two
-    texts link if their shingle sets have a Jaccard similarity of ``SIMILARITY``.
+    Rows link if they have one root.  Shards are bands of min-hashes, since blocks of bits guarantee nothing at such a
+    radius.  Texts of the same words are one from the start; null and empty texts are one another's copies.  Fingerprints
+    only choose the pairs to compare: two texts link if their shingle sets have a Jaccard similarity of ``SIMILARITY``.
+    Repeated rows keep their places.  Texts are told apart by two 64-bit digests of their words.
     """
-    schema = T.StructType([docs.schema["doc_id"]] + T._parse_datatype_string("node long, bits binary, set binary, keys array<long>").fields)
+    kept = [spare(docs, "_c") + str(k) for k in range(len(keep))]
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(kept, keep)] + T._parse_datatype_string("node long, check long, bits binary, set binary, keys array<long>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches, text):
-            fps, keys, digest, sets = wide_signatures(batch.column(batch.schema.get_field_index(text)), width)
+            fps, keys, digest, check, sets = wide_signatures(batch.column(batch.schema.get_field_index(text)), width)
             tagged = (keys & np.uint64((1 << 60) - 1)) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(60))
             flat = pa.array(tagged.astype(np.int64).ravel())
             at = pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32())
-            cols = [pa.array(digest.astype(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.ListArray.from_arrays(at, flat)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *cols], names=schema.names)
+            cols = [pa.array(digest.astype(np.int64)), pa.array(check.astype(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.ListArray.from_arrays(at, flat)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *cols], names=schema.names)
 
-    marked = docs.select("doc_id", text).mapInArrow(run, schema)
+    marked = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(kept, keep)), F.col(text)).mapInArrow(run, schema)
     out = fresh_path(docs.sparkSession, "signatures")
     marked.write.parquet(out)
-    marked = docs.sparkSession.read.parquet(out)
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    nodes = checkpointed(nodes)
+    marked = told_apart(docs.sparkSession.read.parquet(out))
+    nodes = checkpointed(marked.groupBy("node").agg(F.first("keys").alias("keys")))
     rows = nodes.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes, "key")
     bits = marked.select("node", "bits", "set").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first(F.struct("bits", "set")).alias("one")).select("node", "one.bits", "one.set")
     rows = _dealt(rows.join(bits, "node")).select("key", "lo", "hi", "node", "chunk", "bits", "set")
-    roots = components(rows.mapInArrow(_shard_links(radius, wide=True), "u long, v long"))
-    nodes = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    top = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(top, "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    roots = few(components(rows.mapInArrow(_shard_links(radius, wide=True), "u long, v long")))
+    out = marked.select(*kept, "node").join(roots, "node", "left")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(kept, keep)), F.coalesce("root", "node").alias("root"))
+
+
+def told_apart(marked: DataFrame) -> DataFrame:
+    """``marked`` (node, check, ...) with another node for texts that share a first digest but not the second."""
+    same = marked.groupBy("node").agg((F.min("check") != F.max("check")).alias("differ")).where("differ").select("node")
+    same = few(same)
+    if not same.limit(1).count():
+        return marked
+    odd = same.withColumn("odd", F.lit(True))
+    return marked.join(odd, "node", "left").withColumn("node", F.when(F.col("odd"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("odd")
