@@ -5,15 +5,19 @@ gives each token c the widest window (l, c, r) of which it has the least value:
 [c, r] has c as its min-hash.  Only windows of at least ``LEAST_WORDS`` words matter, about two for each such length of
 text; they are found as the distinct minima of a sliding window, and a stack over those gives the tree's exact spans.
 
-Windows of different texts with one min-hash meet by a shuffle on (function, min-hash); each carries the tokens about its
-place, so that the texts of a group are compared where they meet.  All are laid against the group's first; every text
-outside the largest class so found is then laid against all texts of other classes, until no two texts of different
-classes are unmet.  Texts run alike if a window of ``LEAST_WORDS`` words about the place has, on one diagonal of both but
-for ``SHIFT``, a share of shingles that makes a Jaccard similarity of ``SIMILARITY``.  One meeting under any function is
-enough: a passage of that similarity is met with probability 1 - (1 - SIMILARITY) ** FUNCTIONS for each window's length
-of it, a passage that is equal always.
-
-Equal texts are one text throughout, known by a digest of their words.
+Windows of different texts with one min-hash meet by one shuffle on (function, min-hash).  Those whose key stands in one
+text only are passed over; the others get the tokens about their place, so that texts are compared where they meet.  Two
+texts run alike there if a run of ``LEAST_WORDS`` words over the place has, in both, a weighted Jaccard similarity of
+``SIMILARITY`` over shingles, which is worked out exactly.  One meeting under any function is enough, so a passage of
+just that similarity and length is met with probability 1 - (1 - SIMILARITY) ** FUNCTIONS, a longer one in more places,
+and one that is equal always.
+
+Within a group all texts are laid against the first.  What is then still apart meets by a prefix filter: such a run
+covers the ``SIDE`` tokens left or right of the place but for ``MISSED`` of them, so two texts that are alike share one of
+any ``MISSED`` + 1; the rarest of the group are looked for.  Nothing is lost by it.  Where even those are common, each text
+outside the largest class is laid against all texts of other classes.
+
+Equal texts are one text throughout, known by two 64-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -21,29 +25,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import Words, arrow_rows, checkpointed, fresh_path, mix64, text_pieces
+from labelwright.llm.common import Words, arrow_rows, checkpointed, few, mix64, text_pieces
 from labelwright.llm.decontaminate import BITMAP_BITS, bitmap
 from labelwright.llm.graph import components
+from labelwright.llm.simhash import spanning, with_least
 
 LEAST_WORDS = 50
 SIMILARITY = 0.8
 FUNCTIONS = 4
 WIDTH = 5
-#: Tokens by which the diagonal of two passages may shift within a window (words left out or put in).
-SHIFT = 6
 #: Windows of a group that meet in one task, and texts up to which a passage's pairs are counted one by one.
 CHUNK, COMMON = 1024, 64
 #: Rows that go to Python at once: texts with all their tokens, or windows with those about their place.
 PYTHON_ROWS = 500
 _SPAN = LEAST_WORDS - WIDTH + 1
-_REACH = _SPAN - 1 + SHIFT
-#: Tokens of a window that must be alike, pairs that are compared at once, and rows of which all pairs are.
+_REACH = _SPAN - 1
+#: Tokens that two runs of the least length must share.
 NEED = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * _SPAN - 1e-9))
-_PART, _SMALL = 2048, 24
+#: Tokens on the longer side of a run's place, and how many of them the other text may lack.
+SIDE, MISSED = _SPAN // 2, _SPAN - NEED
+#: Pairs that are compared at once, and candidates for each text of a group up to which they are listed.
+_PART, _LISTED = 2048, 64
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -94,9 +101,12 @@ def compact_windows(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, fun
 
 
 class Tokens:
-    """Shingle tokens of a text column: ``tokens``, ``first`` and ``size`` of each row's, and each row's digest."""
+    """Shingle tokens of a text column: ``tokens``, ``first`` and ``size`` of each row's, each row's digest and number of words.
 
-    def __init__(self, col: pa.Array):
+    ``twins``: sorted digests that different texts share; theirs are made from a second digest too.
+    """
+
+    def __init__(self, col: pa.Array, twins: np.ndarray | None = None):
         w = Words(col)
         h = w.hashes()
         at, s = w.shingles(WIDTH, h)
@@ -105,20 +115,15 @@ class Tokens:
         whole = np.repeat(w.count >= WIDTH, np.maximum(self.size, (w.count > 0).astype(np.int64)))
         self.tokens = s[whole]
         self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        begin = np.concatenate([[0], np.cumsum(w.count)])[:-1]
-        power = np.cumprod(np.full(int(w.count.max(initial=0)) + 1, 0x8CB92BA72F3D8DD7, np.uint64))
-        part = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[np.arange(len(h)) - begin[w.doc]], dtype=np.uint64)])
-        self.node = mix64(part[begin + w.count] - part[begin] + w.count.astype(np.uint64)).astype(np.int64)
+        self.node = digests(w, h, twins)[0]
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each run of equal values, length of the run)"""
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return start, np.diff(np.concatenate([start, [len(key)]]))
-
-
-#: Keys that a task holds before it sends on the different ones.
-_BATCH = 150_000
+def digests(w: Words, h: np.ndarray | None = None, twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    node, check = w.digests(h)
+    if twins is not None and len(twins):
+        odd = np.isin(node.astype(np.int64), twins)
+        node[odd] = mix64(node[odd] ^ check[odd])
+    return node.astype(np.int64), check.astype(np.int64)
 
 
 def _keys(t: Tokens) -> list[np.ndarray]:
@@ -138,79 +143,161 @@ def _distinct(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [x[new] for x in cols]
 
 
-def windows(docs: DataFrame, text: str, doc: str) -> DataFrame:
-    """Rows of two kinds: 0 windows (k1 key, k2 node, n place of the least token), 2 texts (k2 node, n words, id)."""
-    schema = f"kind int, k1 long, k2 long, n int, id {docs.schema[doc].dataType.simpleString()}"
+#: Windows that a task holds before it sends on the different ones.
+_BATCH = 150_000
+
+
+def _longs(cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in cols], names=names)
+
 
-    def table(kind: int, k1: np.ndarray, k2: np.ndarray, n: np.ndarray, ids: pa.Array | None, id_type: pa.DataType) -> pa.RecordBatch:
-        arrays = [pa.array(np.full(len(k2), kind, np.int32)), pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(n.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(k2), id_type) if ids is None else ids], names=["kind", "k1", "k2", "n", "id"])
+def texts(docs: DataFrame, text: str, doc: str) -> DataFrame:
+    """id, node, check, words of every row: ``doc``, two digests of the words, their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_pieces(batches, text):
+            w = Words(batch.column(batch.schema.get_field_index(text)))
+            cols = [batch.column(batch.schema.get_field_index(doc)), *map(pa.array, digests(w)), pa.array(w.count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "check", "words"])
+
+    return docs.select(doc, text).mapInArrow(run, f"id {docs.schema[doc].dataType.simpleString()}, node long, check long, words long")
+
+
+def second_node(node, check):  # noqa: ANN001, ANN201
+    """``digests`` of texts among the twins, as a column."""
+
+    @F.pandas_udf("long")
+    def mixed(a, b):  # noqa: ANN001, ANN202
+        return pd.Series(mix64(a.to_numpy().astype(np.uint64) ^ b.to_numpy().astype(np.uint64)).astype(np.int64))
+
+    return mixed(node, check)
+
+
+def shared_twins(rows: DataFrame) -> np.ndarray:
+    """Digests that different texts share, ascending: a few of any number of texts (two of a thousand million with a chance of 0.03)."""
+    same = rows.groupBy("node").agg((F.min("check") != F.max("check")).alias("differ")).where("differ").select("node")
+    found = [r.node for r in same.limit(100_001).collect()]
+    if len(found) > 100_000:
+        raise ValueError("digests of texts collide too often")
+    return np.sort(np.array(found, np.int64))
+
+
+def windows(docs: DataFrame, text: str, twins: np.ndarray) -> DataFrame:
+    """key, node, c (place of the least token) of every compact window; copies within a part of a task are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        kept, kind = 0, None
+        kept = 0
         for batch in text_pieces(batches, text):
-            t = Tokens(batch.column(batch.schema.get_field_index(text)))
-            ids = batch.column(batch.schema.get_field_index(doc))
-            kind = ids.type
-            yield table(2, np.zeros(batch.num_rows), t.node, t.words, ids, kind)
-            held.append(_keys(t))
+            held.append(_keys(Tokens(batch.column(batch.schema.get_field_index(text)), twins)))
             kept += len(held[-1][0])
             if kept > _BATCH:
-                yield table(0, *_distinct([np.concatenate(x) for x in zip(*held)]), None, kind)
+                yield _longs(_distinct([np.concatenate(x) for x in zip(*held)]), ["key", "node", "c"])
                 held, kept = [], 0
         if held:
-            yield table(0, *_distinct([np.concatenate(x) for x in zip(*held)]), None, kind)
+            yield _longs(_distinct([np.concatenate(x) for x in zip(*held)]), ["key", "node", "c"])
+
+    return docs.select(text).mapInArrow(run, "key long, node long, c long")
 
-    return docs.select(doc, text).mapInArrow(run, schema)
 
+def shared(rows: DataFrame) -> DataFrame:
+    """Of ``windows``, each once, those whose key stands in several texts, with chunk: the key's windows counted off by ``CHUNK``.
 
-def contents(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
-    """node, tokens array<int> of the texts whose digest is in the bitmap (and of a few others)."""
+    A key's windows pass by in order; only those of its first text are held back, until a second one shows.
+    """
+    rows = rows.repartition("key").sortWithinPartitions("key", "node", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # windows of the key at the end of what was seen, of one text so far
+        going, n, last = None, 0, None  # a key of several texts that may go on, how many it had, and its last window
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, c = (np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held))
+            new = np.concatenate([[last is None or (key[0], node[0], c[0]) != last], (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (c[1:] != c[:-1])])
+            key, node, c = key[new], node[new], c[new]
+            if not len(key):
+                continue
+            start, size = _groups(key)
+            several = np.logical_or.reduceat(np.concatenate([[False], (node[1:] != node[:-1]) & (key[1:] == key[:-1])]), start)
+            before = np.zeros(len(start), np.int64)
+            if key[0] == going:
+                several[0], before[0] = True, n
+            keep = np.repeat(several, size)
+            rank = np.arange(len(key)) - np.repeat(start - before, size)
+            if keep.any():
+                yield _longs([key[keep], node[keep], c[keep], rank[keep] // CHUNK], ["key", "node", "c", "chunk"])
+            at = start[-1]
+            if several[-1]:
+                held, going, n, last = [np.zeros(0, np.int64)] * 3, key[-1], int(rank[-1]) + 1, (key[-1], node[-1], c[-1])
+            else:
+                held, going, n, last = [key[at:], node[at:], c[at:]], None, 0, None
+
+    return rows.mapInArrow(run, "key long, node long, c long, chunk long")
+
+
+def contents(docs: DataFrame, bits: np.ndarray, text: str, twins: np.ndarray) -> DataFrame:
+    """node, tokens binary (four bytes each) of the texts whose digest is in the bitmap (and of a few others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_pieces(batches, text):
-            t = Tokens(batch.column(batch.schema.get_field_index(text)))
+            t = Tokens(batch.column(batch.schema.get_field_index(text)), twins)
             node, lead = np.unique(t.node, return_index=True)
             b = node.astype(np.uint64) & np.uint64(BITMAP_BITS - 1)
             hit = (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
-            low = (t.tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            lists = [low[t.first[i] : t.first[i] + t.size[i]] for i in lead[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(lists, pa.list_(pa.int32()))], names=["node", "tokens"])
+            low = (t.tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            found = [low[t.first[i] : t.first[i] + t.size[i]].tobytes() for i in lead[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(found, pa.binary())], names=["node", "tokens"])
 
-    return docs.select(text).mapInArrow(run, "node long, tokens array<int>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return docs.select(text).mapInArrow(run, "node long, tokens binary")
 
 
-def meetings(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """key, chunks, node, c, left, right, near of every window whose key stands in another text too.
+def surrounded(rows: DataFrame, docs: DataFrame, text: str, twins: np.ndarray) -> DataFrame:
+    """``shared`` rows with near: the tokens about the place (binary, 2 _REACH + 1 of four bytes), left, right: how many of them lie in the text on either side.
 
-    chunks: into how many the key's windows are to be dealt.
-    near: the tokens about place c that a passage with it may reach (binary, four bytes each); left, right: how many of
-    them lie in the text on either side.
+    A text's tokens go before its windows to the task of its digest, once for each part of a task that holds a copy.
     """
-    sent = rows.where("kind = 0").select(F.col("k1").alias("key"), F.col("k2").alias("node"), F.col("n").alias("c")).distinct()
-    shared = sent.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    wanted = sent.join(shared.where("lo < hi").select("key", "chunks"), "key").groupBy("node").agg(F.collect_list(F.struct("key", "c", "chunks")).alias("at"))
-    wanted = checkpointed(wanted)
-    bits = bitmap(wanted.select(F.col("node").alias("h")))
-    body = wanted.join(contents(docs, bits, text), "node")
+    bits = bitmap(rows.select(F.col("node").alias("h")))
+    wanted = rows.select("node", F.lit(None).cast("binary").alias("tokens"), "key", "c", "chunk", F.lit(1).alias("kind"))
+    none = F.lit(None).cast("long")
+    body = contents(docs, bits, text, twins).select("node", "tokens", none.alias("key"), none.alias("c"), none.alias("chunk"), F.lit(0).alias("kind"))
+    both = body.unionByName(wanted).repartition("node").sortWithinPartitions("node", "kind")
+    width = 2 * _REACH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, padded, size = None, None, 0
+
+        def around(node: int, key: np.ndarray, c: np.ndarray, chunk: np.ndarray) -> pa.RecordBatch:
+            near = np.ascontiguousarray(padded[c[:, None] + np.arange(width)])
+            cut = pa.py_buffer(np.arange(len(c) + 1, dtype=np.int32) * (width * 4))
+            data = pa.Array.from_buffers(pa.binary(), len(c), [None, cut, pa.py_buffer(near)])
+            sides = (pa.array(np.minimum(x, _REACH).astype(np.int32)) for x in (c, size - 1 - c))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(chunk), pa.array(np.full(len(c), node)), pa.array(c), *sides, data], names=["key", "chunk", "node", "c", "left", "right", "near"])
+
         for batch in batches:
-            node, at, tokens = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "at", "tokens"))
-            for i in range(batch.num_rows):
-                key, c, chunks = (at[i].values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                t = tokens[i].values.to_numpy(zero_copy_only=False)
-                padded = np.concatenate([np.zeros(_REACH, np.int32), t, np.zeros(_REACH, np.int32)])
-                for lo in range(0, len(key), 2048):
-                    k, p = key[lo : lo + 2048], c[lo : lo + 2048]
-                    near = np.ascontiguousarray(padded[p[:, None] + np.arange(2 * _REACH + 1)])
-                    cut = pa.array(np.arange(len(k) + 1, dtype=np.int32) * near.shape[1] * 4)
-                    data = pa.Array.from_buffers(pa.binary(), len(k), [None, cut.buffers()[1], pa.py_buffer(near)])
-                    sides = (pa.array(np.minimum(x, _REACH).astype(np.int32)) for x in (p, len(t) - 1 - p))
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(chunks[lo : lo + 2048].astype(np.int32)), pa.array(np.full(len(k), node[i].as_py())), pa.array(p.astype(np.int32)), *sides, data], names=["key", "chunks", "node", "c", "left", "right", "near"])
-
-    return body.select("node", "at", "tokens").mapInArrow(run, "key long, chunks int, node long, c int, left int, right int, near binary")
+            if not batch.num_rows:
+                continue
+            node, kind = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("node", "kind"))
+            start, length = _groups(node * 2 + kind)
+            tokens = batch.column(batch.schema.get_field_index("tokens"))
+            cols = [batch.column(batch.schema.get_field_index(x)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("key", "c", "chunk")]
+            for lo, n in zip(start.tolist(), length.tolist()):
+                if kind[lo] == 0:
+                    if node[lo] != have:
+                        body = np.frombuffer(tokens[lo].as_py(), np.uint32)
+                        have, size = node[lo], len(body)
+                        padded = np.concatenate([np.zeros(_REACH, np.uint32), body, np.zeros(_REACH, np.uint32)])
+                else:
+                    for k in range(lo, lo + n, 2048):
+                        yield around(int(node[lo]), *(x[k : min(k + 2048, lo + n)] for x in cols))
+
+    return both.mapInArrow(run, "key long, chunk long, node long, c long, left int, right int, near binary")
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each run of equal values, length of the run)"""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
 class Around:
@@ -218,69 +305,99 @@ class Around:
 
     def __init__(self, near: np.ndarray, left: np.ndarray, right: np.ndarray):
         self.near, self.left, self.right = near, left, right
-
-    def _same(self, a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """(which tokens of b at lo..hi from its place lie in a at most SHIFT off, and how far off)"""
-        there = self.near[b, _REACH + lo : _REACH + hi + 1]
-        here = self.near[a, _REACH + lo - SHIFT : _REACH + hi + SHIFT + 1]
-        same, off = np.zeros(there.shape, bool), np.zeros(there.shape, np.int8)
-        for s in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-            new = there == here[:, SHIFT + s : SHIFT + s + there.shape[1]]
-            off[new & ~same] = s
-            same |= new
-        place = np.arange(lo, hi + 1)
-        return same & (place >= -self.left[b][:, None]) & (place <= self.right[b][:, None]), off
-
-    def _whole(self, same: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of the windows about the place, from the leftmost on, lie in b and have the needed share of tokens."""
-        run = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+        place = np.arange(-_REACH, _REACH + 1)
+        self.inside = (place >= -left[:, None]) & (place <= right[:, None])
+        self._sorted = None
+
+    def keys(self, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """The rows' tokens, told apart by group; places outside the text have values of their own."""
+        t = (group[:, None].astype(np.int64) << 33) + self.near[rows]
+        return np.where(self.inside[rows], t, (group[:, None].astype(np.int64) << 33) + (1 << 32))
+
+    def _windows(self, same: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of each run over the place (_SPAN of them, the leftmost first): tokens of ``same`` in it; -1 if it is not in both texts."""
+        run = np.concatenate([np.zeros((len(same), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
         i = np.arange(_SPAN)
-        return (run[:, _SPAN:] - run[:, :_SPAN] >= NEED) & (i - _SPAN + 1 >= -self.left[b][:, None]) & (i <= self.right[b][:, None])
+        left, right = np.minimum(self.left[a], self.left[b]), np.minimum(self.right[a], self.right[b])
+        whole = (i - _SPAN + 1 >= -left[:, None]) & (i <= right[:, None])
+        return np.where(whole, run[:, _SPAN:] - run[:, :_SPAN], -1)
+
+    def _there(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which tokens of b stand anywhere about the place in a."""
+        if self._sorted is None:
+            self._sorted = np.sort(self.keys(np.arange(len(self.near)), np.arange(len(self.near))).ravel())
+        want = (a[:, None].astype(np.int64) << 33) + self.near[b]
+        at = np.minimum(np.searchsorted(self._sorted, want.ravel()), len(self._sorted) - 1)
+        return (self._sorted[at].reshape(want.shape) == want) & self.inside[b]
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of pairs of rows, which have a window about the place that runs alike in both."""
-        out = np.zeros(len(a), bool)
-        few = _SPAN - NEED + 1
+        """Of pairs of rows, the runs over the place that are alike in both, as first and last; -1 and -1 if none is."""
+        out = np.full((len(a), 2), -1)
         for k in range(0, len(a), _PART):
             p, q = a[k : k + _PART], b[k : k + _PART]
-            # such a window has all of the next few tokens on one side or the other, and not all of them can be missing
-            some = np.flatnonzero(self._same(p, q, 1, few)[0].any(1) | self._same(p, q, -few, -1)[0].any(1))
-            if len(some):
-                out[k + some] = self._whole(self._same(p[some], q[some], 1 - _SPAN, _SPAN - 1)[0], q[some]).any(1)
+            ok = self._windows((self.near[p] == self.near[q]) & self.inside[p] & self.inside[q], p, q) >= NEED
+            # what agrees token by token is settled; else no run can share more than the tokens of it that stand anywhere in the other
+            rest = np.flatnonzero(~ok.any(1))
+            if len(rest):
+                most = self._windows(self._there(p[rest], q[rest]), p[rest], q[rest]) >= NEED
+                for j in np.flatnonzero(most.any(1)):
+                    x, y = self.near[p[rest[j]]], self.near[q[rest[j]]]
+                    for i in np.flatnonzero(most[j]):
+                        ok[rest[j], i] = common(x[i : i + _SPAN], y[i : i + _SPAN]) >= NEED
+            hit = ok.any(1)
+            out[k : k + _PART][hit] = np.stack([ok[hit].argmax(1), _SPAN - 1 - ok[hit][:, ::-1].argmax(1)], axis=1)
         return out
 
-    def extent(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        """Of pairs that are alike: first and last token of the passage in a, and in b, counted from the place."""
-        parts = [np.zeros((4, 0), np.int64)]
-        for k in range(0, len(a), _PART):
-            p, q = a[k : k + _PART], b[k : k + _PART]
-            same, off = self._same(p, q, 1 - _SPAN, _SPAN - 1)
-            ok = self._whole(same, q)
-            i, place = np.arange(len(p)), np.arange(same.shape[1])
-            begin, end = ok.argmax(1), 2 * _SPAN - 2 - ok[:, ::-1].argmax(1)
-            same &= (place >= begin[:, None]) & (place <= end[:, None])
-            first, last = same.argmax(1), same.shape[1] - 1 - same[:, ::-1].argmax(1)
-            b0, b1 = first - _SPAN + 1, last - _SPAN + 1
-            a0, a1 = b0 + off[i, first], b1 + off[i, last]
-            parts.append(np.stack([np.minimum(a0, a1), np.maximum(a0, a1), b0, b1]))
-        return list(np.concatenate(parts, axis=1))
-
-
-def _joined(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> list[tuple[int, int]]:
-    """Further links of a group's rows, those at ``at`` on, so that ``label`` tells just what verified links connect.
-
-    ``label`` says what the first row's links have joined.  Every row outside the largest class is laid against all rows
-    of other classes: two rows of different classes have met then.
+    def extent(self, a: np.ndarray, b: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last token, counted from the place, of what the alike runs of each pair cover, without what stands apart at the ends."""
+        same = (self._there(a, b) | self._there(b, a)) if len(a) else np.zeros((0, 2 * _REACH + 1), bool)
+        i = np.arange(2 * _REACH + 1)
+        same &= (i >= runs[:, :1]) & (i < runs[:, 1:] + _SPAN)
+        return same.argmax(1) - _REACH, _REACH - same[:, ::-1].argmax(1)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """The tokens that two runs share, each as often as in both."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def _probed(around: Around, rows: np.ndarray, group: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, groups left out): pairs of a group's rows of which one is ``apart``, that share one of its rarest tokens on a side.
+
+    ``rows`` are row numbers, ``group`` theirs from 0 on.  Groups with too many such pairs are left out and named.
     """
-    m, out = len(label), []
-    done = np.zeros(m, bool)
-    done[0] = True
-    known = None
-    if m <= _SMALL:
-        i, j = np.triu_indices(m, 1)
-        known = np.zeros((m, m), bool)
-        known[i, j] = around.alike(i + at, j + at)
-        known |= known.T
+    keys = around.keys(rows, group)
+    every, at, n = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+    n = n[at].reshape(keys.shape)
+    ask = np.flatnonzero(apart)
+    probe_key, probe_row = [], []
+    for cut, whole in ((slice(_REACH - SIDE, _REACH), around.left[rows[ask]] >= SIDE), (slice(_REACH + 1, _REACH + 1 + SIDE), around.right[rows[ask]] >= SIDE)):
+        who = ask[whole]
+        rare = np.argpartition(n[who, cut], MISSED, axis=1)[:, : MISSED + 1]
+        probe_key.append(np.take_along_axis(keys[who, cut], rare, axis=1).ravel())
+        probe_row.append(np.repeat(who, MISSED + 1))
+    probe_key, probe_row = np.concatenate(probe_key), np.concatenate(probe_row)
+    flat = np.stack([keys.ravel(), np.repeat(np.arange(len(rows)), keys.shape[1])], axis=1)
+    order = np.lexsort([flat[:, 1], flat[:, 0]])
+    have, who = flat[order, 0], flat[order, 1]
+    lo, hi = np.searchsorted(have, probe_key), np.searchsorted(have, probe_key, "right")
+    cost = np.bincount(group[probe_row], hi - lo, group.max() + 1)
+    left_out = cost > _LISTED * np.bincount(group, minlength=len(cost))
+    listed = ~left_out[group[probe_row]]
+    lo, hi, probe_row = lo[listed], hi[listed], probe_row[listed]
+    size = hi - lo
+    a = np.repeat(probe_row, size)
+    b = who[np.repeat(lo - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())]
+    pair = np.unique(np.minimum(a, b) * len(rows) + np.maximum(a, b))
+    return pair // len(rows), pair % len(rows), np.flatnonzero(left_out)
+
+
+def _laid(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Links and their runs, of a group's rows from ``at`` on, that join what is alike: each row outside the largest class is laid against all of other classes."""
+    out, done = [], np.zeros(len(label), bool)
     while True:
         names, n = np.unique(label, return_counts=True)
         rest = np.flatnonzero((label != names[n.argmax()]) & ~done)
@@ -289,20 +406,57 @@ def _joined(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> lis
         x = int(rest[0])
         done[x] = True
         y = np.flatnonzero((label != label[x]) & ~done & (node != node[x]))
-        if len(y):
-            y = y[known[x, y] if known is not None else around.alike(np.minimum(x, y) + at, np.maximum(x, y) + at)]
+        runs = around.alike(np.full(len(y), x + at), y + at)
+        y, runs = y[runs[:, 0] >= 0], runs[runs[:, 0] >= 0]
         for name, lead in zip(*np.unique(label[y], return_index=True)):
-            out.append((min(x, int(y[lead])) + at, max(x, int(y[lead])) + at))
+            out.append((x + at, int(y[lead]) + at, *map(int, runs[lead])))
             label[label == name] = label[x]
 
 
+def solved(group: np.ndarray, node: np.ndarray, around: Around) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, runs): links of rows, sorted by group, that connect what is alike within each group, directly or over others."""
+    start, size = _groups(group)
+    number = np.repeat(np.arange(len(start)), size)
+    first = np.repeat(start, size)
+    label = np.arange(len(group))
+    q = np.flatnonzero(node != node[first])
+    runs = around.alike(first[q], q)
+    found = [(first[q][runs[:, 0] >= 0], q[runs[:, 0] >= 0], runs[runs[:, 0] >= 0])]
+    # windows of one text need not be laid against each other
+    same = np.flatnonzero(node[1:] == node[:-1]) + 1
+    same = same[group[same] == group[same - 1]]
+    label = spanning(len(group), np.concatenate([found[0][0], same - 1]), np.concatenate([found[0][1], same]))
+    whole = np.bincount(number, label == first, len(start)) == size
+    open_ = ~whole & (size > 2)
+    rows = np.flatnonzero(open_[number])
+    if len(rows):
+        own = np.unique(number[rows], return_inverse=True)[1]
+        apart = label[rows] != first[rows]
+        a, b, left = _probed(around, rows, own, apart)
+        a, b = rows[a], rows[b]
+        other = (label[a] != label[b]) & (node[a] != node[b])
+        a, b = a[other], b[other]
+        runs = around.alike(a, b)
+        hit = runs[:, 0] >= 0
+        found.append((a[hit], b[hit], runs[hit]))
+        names = np.flatnonzero(open_)
+        for g in names[left]:
+            s = slice(start[g], start[g] + size[g])
+            more = _laid(around, node[s], int(start[g]), label[s] - start[g])
+            if more:
+                u, v, i, j = (np.array(x) for x in zip(*more))
+                found.append((u, v, np.stack([i, j], axis=1)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def links(met: DataFrame) -> DataFrame:
     """u, v, u_first, u_words, v_first, v_words: verified passages that connect, in each key's group, all texts that have one in common there.
 
     A group of over CHUNK windows is dealt into chunks, each pair of which meets in a task.
     """
-    rows = met.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 OR chunk <> other")
+    large = few(met.where("chunk > 0").groupBy("key").agg((F.max("chunk") + 1).alias("chunks")))
+    rows = met.join(large, "key", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)))
+    rows = rows.where("chunks IS NULL OR chunk <> other")
     rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "c", "left", "right", "near")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node", "c")
     names = ("key", "lo", "hi", "node", "c", "left", "right")
@@ -320,30 +474,18 @@ def links(met: DataFrame) -> DataFrame:
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, lo, hi, node, c, left, right, near = cols
         group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        start, size = _groups(group)
         around = Around(near, left, right)
-        first = np.repeat(start, size)
-        q = np.flatnonzero(node != node[first])
-        q = q[around.alike(first[q], q)]
-        label = np.arange(len(key))
-        label[q] = first[q]
-        pairs = [(first[q], q)]
-        for g in np.flatnonzero((np.bincount(group[q], minlength=len(start)) < size - 1) & (size > 2)):
-            s = slice(start[g], start[g] + size[g])
-            more = _joined(around, node[s], int(start[g]), label[s])
-            if more:
-                pairs.append(tuple(np.array(x) for x in zip(*more)))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        a0, a1, b0, b1 = around.extent(a, b)
-        found = [node[a], node[b], c[a] + a0, a1 - a0 + WIDTH, c[b] + b0, b1 - b0 + WIDTH]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["u", "v", "u_first", "u_words", "v_first", "v_words"])
+        a, b, runs = solved(group, node, around)
+        lo_, hi_ = around.extent(a, b, runs)
+        words = hi_ - lo_ + WIDTH
+        return _longs([node[a], node[b], c[a] + lo_, words, c[b] + lo_, words], ["u", "v", "u_first", "u_words", "v_first", "v_words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in gathered(batches):
             cols = [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
             data = b"".join(batch.column(batch.schema.get_field_index("near")).to_pylist())
-            cols.append(np.frombuffer(data, np.int32).reshape(batch.num_rows, -1))
+            cols.append(np.frombuffer(data, np.uint32).reshape(batch.num_rows, -1))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -386,15 +528,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
     the other documents of the very same words.  Texts of under LEAST_WORDS words, null and empty ones have no row.
     Repeated rows with one id are one document; a passage that only one document repeats is none.
     """
-    out = fresh_path(docs.sparkSession, "windows")
-    made = windows(docs, text, doc)
-    made.write.partitionBy("kind").parquet(out)
-    rows = docs.sparkSession.read.schema(made.schema).parquet(out)
-    texts = rows.where(f"kind = 2 AND n >= {LEAST_WORDS}").select(F.col("id").alias(doc), F.col("k2").alias("node"), F.col("n").alias("words")).distinct()
-    nodes = checkpointed(texts.groupBy("node").agg(F.min(doc).alias("least"), F.count("*").alias("n"), F.max("words").alias("words")))
-    met = meetings(rows, docs, text)
+    known = checkpointed(texts(docs, text, doc))
+    twins = shared_twins(known)
+    if len(twins):
+        odd = F.col("node").isin([int(x) for x in twins])
+        known = known.withColumn("node", F.when(odd, second_node(F.col("node"), F.col("check"))).otherwise(F.col("node")))
+    texts_ = known.where(f"words >= {LEAST_WORDS}").select(F.col("id").alias(doc), "node", "words").distinct()
+    nodes = checkpointed(texts_.groupBy("node").agg(F.min(doc).alias("least"), F.count("*").alias("n"), F.max("words").alias("words")))
+    met = checkpointed(shared(windows(docs, text, twins)))
     with arrow_rows(docs.sparkSession, PYTHON_ROWS):
-        found = checkpointed(links(met))
+        found = checkpointed(links(surrounded(met, docs, text, twins)))
     roots = components(found.select("u", "v"))
     # the stretches of each text that others have too; those that overlap are one
     side = lambda a, b: found.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(f"{a}_first").alias("first_word"), F.col(f"{a}_words").alias("n_words"))
@@ -413,12 +556,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
     same = components(alike)
     held = stretch.select("node", F.col("lead").alias("at")).distinct().join(same, F.col("at") == same.node, "left").select(stretch.node, F.coalesce("root", "at").alias("passage"))
     counted = partners(held)
-    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    top = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = known.join(top, "root").join(listed, "node", "left").join(counted, "node", "left").where("n > 1 OR n_links > 0")
+    known = with_least(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "class_id")
+    known = known.join(listed, "node", "left").join(counted, "node", "left").where("n > 1 OR n_links > 0")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first_word"), F.col("words").cast("long").alias("n_words"), F.col("least").alias("other_doc")))
     known = known.select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"), F.coalesce("passages", whole).alias("passages"))
-    return texts.select(doc, "node").join(known, "node").drop("node")
+    return texts_.select(doc, "node").join(known, "node").drop("node")
 
 
 def op5_passages(documents: DataFrame) -> DataFrame:
