@@ -322,37 +322,51 @@ class Around:
         whole = (i - _SPAN + 1 >= -left[:, None]) & (i <= right[:, None])
         return np.where(whole, run[:, _SPAN:] - run[:, :_SPAN], -1)
 
-    def _there(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which tokens of b stand anywhere about the place in a."""
+    def _there(self, a: np.ndarray, b: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which tokens of b at these places stand anywhere about the place in a."""
         if self._sorted is None:
-            self._sorted = np.sort(self.keys(np.arange(len(self.near)), np.arange(len(self.near))).ravel())
-        want = (a[:, None].astype(np.int64) << 33) + self.near[b]
+            self._sorted = np.sort(self.keys(np.arange(len(self.near)), np.arange(len(self.near))), axis=1).ravel()
+        want = (a[:, None].astype(np.int64) << 33) + self.near[b[:, None], places]
         at = np.minimum(np.searchsorted(self._sorted, want.ravel()), len(self._sorted) - 1)
-        return (self._sorted[at].reshape(want.shape) == want) & self.inside[b]
+        return (self._sorted[at].reshape(want.shape) == want) & self.inside[b[:, None], places]
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of pairs of rows, the runs over the place that are alike in both, as first and last; -1 and -1 if none is."""
-        out = np.full((len(a), 2), -1)
+        """Of pairs of rows, the runs over the place that are alike in both, as first and last; -1 and -1 if none is.
+
+        The third column tells whether they agree place by place.  A run holds the ``MISSED`` + 1 tokens next to the place
+        on one side, of which the other text has one.
+        """
+        out = np.tile(np.array([-1, -1, 1]), (len(a), 1))
+        every = np.arange(2 * _REACH + 1)
+        beside = np.concatenate([np.arange(_REACH - MISSED - 1, _REACH), np.arange(_REACH + 1, _REACH + MISSED + 2)])
         for k in range(0, len(a), _PART):
-            p, q = a[k : k + _PART], b[k : k + _PART]
-            ok = self._windows((self.near[p] == self.near[q]) & self.inside[p] & self.inside[q], p, q) >= NEED
-            # what agrees token by token is settled; else no run can share more than the tokens of it that stand anywhere in the other
-            rest = np.flatnonzero(~ok.any(1))
+            p, q, part = a[k : k + _PART], b[k : k + _PART], out[k : k + _PART]
+            some = np.flatnonzero((self.near[p[:, None], beside] == self.near[q[:, None], beside]).any(1))
+            x, y = p[some], q[some]
+            ok = self._windows((self.near[x] == self.near[y]) & self.inside[x] & self.inside[y], x, y) >= NEED
+            self._note(part, some, ok, 1)
+            # what agrees place by place is settled; else no run can share more than the tokens of it that stand anywhere in the other
+            rest = np.flatnonzero(part[:, 0] < 0)
+            rest = rest[self._there(p[rest], q[rest], beside).any(1)]
             if len(rest):
-                most = self._windows(self._there(p[rest], q[rest]), p[rest], q[rest]) >= NEED
-                for j in np.flatnonzero(most.any(1)):
+                ok = self._windows(self._there(p[rest], q[rest], every), p[rest], q[rest]) >= NEED
+                for j in np.flatnonzero(ok.any(1)):
                     x, y = self.near[p[rest[j]]], self.near[q[rest[j]]]
-                    for i in np.flatnonzero(most[j]):
-                        ok[rest[j], i] = common(x[i : i + _SPAN], y[i : i + _SPAN]) >= NEED
-            hit = ok.any(1)
-            out[k : k + _PART][hit] = np.stack([ok[hit].argmax(1), _SPAN - 1 - ok[hit][:, ::-1].argmax(1)], axis=1)
+                    for i in np.flatnonzero(ok[j]):
+                        ok[j, i] = common(x[i : i + _SPAN], y[i : i + _SPAN]) >= NEED
+                self._note(part, rest, ok, 0)
         return out
 
+    @staticmethod
+    def _note(out: np.ndarray, rows: np.ndarray, ok: np.ndarray, straight: int) -> None:
+        hit = ok.any(1)
+        out[rows[hit]] = np.stack([ok[hit].argmax(1), _SPAN - 1 - ok[hit][:, ::-1].argmax(1), np.full(hit.sum(), straight)], axis=1)
+
     def extent(self, a: np.ndarray, b: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last token, counted from the place, of what the alike runs of each pair cover, without what stands apart at the ends."""
-        same = (self._there(a, b) | self._there(b, a)) if len(a) else np.zeros((0, 2 * _REACH + 1), bool)
+        """First and last token, counted from the place, of what the alike runs of each pair cover, without what differs at the ends."""
         i = np.arange(2 * _REACH + 1)
-        same &= (i >= runs[:, :1]) & (i < runs[:, 1:] + _SPAN)
+        same = (self.near[a] == self.near[b]) | (runs[:, 2:] == 0)
+        same &= (i >= runs[:, :1]) & (i < runs[:, 1:2] + _SPAN)
         return same.argmax(1) - _REACH, _REACH - same[:, ::-1].argmax(1)
 
 
@@ -395,7 +409,7 @@ def _probed(around: Around, rows: np.ndarray, group: np.ndarray, apart: np.ndarr
     return pair // len(rows), pair % len(rows), np.flatnonzero(left_out)
 
 
-def _laid(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> list[tuple[int, int, int, int]]:
+def _laid(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> list[tuple[int, ...]]:
     """Links and their runs, of a group's rows from ``at`` on, that join what is alike: each row outside the largest class is laid against all of other classes."""
     out, done = [], np.zeros(len(label), bool)
     while True:
@@ -444,8 +458,7 @@ def solved(group: np.ndarray, node: np.ndarray, around: Around) -> tuple[np.ndar
             s = slice(start[g], start[g] + size[g])
             more = _laid(around, node[s], int(start[g]), label[s] - start[g])
             if more:
-                u, v, i, j = (np.array(x) for x in zip(*more))
-                found.append((u, v, np.stack([i, j], axis=1)))
+                found.append((np.array([x[0] for x in more]), np.array([x[1] for x in more]), np.array([x[2:] for x in more])))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -549,12 +562,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
     each = checkpointed(each.withColumn("new", new).withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))))
     merged = each.groupBy("node", "nth").agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end"), F.min("other_doc").alias("other_doc"))
     listed = merged.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "other_doc"))).alias("passages"))
-    stretch = each.select("node", "nth", F.xxhash64("node", "first_word", "n_words").alias("at"))
-    lead = stretch.groupBy("node", "nth").agg(F.min("at").alias("lead"))
-    stretch = checkpointed(stretch.join(lead, ["node", "nth"]).select("node", "at", "lead"))
-    alike = found.select(F.xxhash64("u", "u_first", "u_words").alias("u"), F.xxhash64("v", "v_first", "v_words").alias("v")).unionByName(stretch.select(F.col("at").alias("u"), F.col("lead").alias("v")))
+    # links between whole stretches: many windows of two texts come to one
+    end = lambda x: each.select(F.col("node").alias(x), F.col("first_word").alias(f"{x}_first"), F.col("n_words").alias(f"{x}_words"), F.xxhash64("node", "nth").alias(f"{x}_at"))
+    alike = found.join(end("u"), ["u", "u_first", "u_words"]).join(end("v"), ["v", "v_first", "v_words"]).select(F.col("u_at").alias("u"), F.col("v_at").alias("v"))
     same = components(alike)
-    held = stretch.select("node", F.col("lead").alias("at")).distinct().join(same, F.col("at") == same.node, "left").select(stretch.node, F.coalesce("root", "at").alias("passage"))
+    held = each.select("node", F.xxhash64("node", "nth").alias("at")).distinct().join(same, F.col("at") == same.node, "left").select(each.node, F.coalesce("root", "at").alias("passage"))
     counted = partners(held)
     known = with_least(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "class_id")
     known = known.join(listed, "node", "left").join(counted, "node", "left").where("n > 1 OR n_links > 0")
