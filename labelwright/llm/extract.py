@@ -25,9 +25,8 @@ from pyspark.sql import types as T
 
 from labelwright.llm.common import Words, text_pieces
 
-#: Pages of the table that the labeller learns from, at most (those of the smallest hash), and characters and blocks of one of them.
+#: Pages of the table that the labeller learns from, at most (those of the smallest hash), and blocks of a training sequence: a longer page is several.
 TRAIN_PAGES = 240
-TRAIN_CHARS = 60_000
 TRAIN_BLOCKS = 60
 PATH_SIZE, WORD_SIZE, FIGURES, HIDDEN = 96, 48, 6, 16
 #: Entries of the path memo before it is emptied, and blocks that one pass of the network holds.
@@ -50,8 +49,17 @@ OTHER_BOXES = (
 )
 FILLER = "the of and a to in is it that was for on are with as be this by at from or an have not but they which you were her all she there would their we him been has when who will more no if out so".split()
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<raw>script|style|noscript|xmp)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|$)""", re.S | re.I)
-_MARKS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose content up to their end tag is no markup.
+RAW = frozenset("script style noscript xmp".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Innermost open elements that a block's path names.
+PATH_DEPTH = 64
+
+_OPEN = re.compile("<(?=[a-zA-Z/!?])")
+#: A tag as browsers read it: names end at white space, / and >; a value is quoted only if the quote comes right behind =.  No part gives back what it took.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+)*+)>""")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|$)", re.I) for name in RAW}
+_MARKS = re.compile(r"""(?<![^\s/])(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))""", re.I)
 
 
 @dataclass
@@ -69,93 +77,142 @@ def _words_of(attrs: str) -> tuple[str, ...]:
     return tuple(x.lower() for m in _MARKS.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split())
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, tag, whether it ends one, attributes), the text standing before the tag; the tag is empty for text alone.
+
+    One pass: every character is looked at a bounded number of times.  Comments, declarations and raw elements are passed
+    over; one that never ends takes the rest of the page, as a tag does.
+    """
+    at = start = 0
+    while (m := _OPEN.search(page, at)) is not None:
+        at = m.start()
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            comment = page.startswith("<!--", at)
+            close = "-->" if comment else "]]>"
+            end = page.find(close, at + (4 if comment else 9))
+            inner = "" if comment else html.escape(page[at + 9 : end if end >= 0 else len(page)])
+            yield page[start:at] + inner, "", False, ""
+            if end < 0:
+                return
+            at = start = end + 3
+        elif page[at + 1] in "!?" or (page[at + 1] == "/" and not page[at + 2 : at + 3].isalpha()):
+            yield page[start:at], "", False, ""
+            end = page.find(">", at)
+            if end < 0:
+                return
+            at = start = end + 1
+        else:
+            tag = _TAG.match(page, at)
+            if tag is None:
+                # letters of other alphabets begin no tag; a tag that the page's end cut off is none
+                if not page[at + 1 : at + 3].lstrip("/")[:1].isascii():
+                    at += 1
+                    continue
+                yield page[start:at], "", False, ""
+                return
+            name = tag[2].lower()
+            yield page[start:at], name, bool(tag[1]), tag[3]
+            at = start = tag.end()
+            if name in RAW and not tag[1]:
+                end = _RAW_END[name].search(page, at)
+                if end is None:
+                    return
+                at = start = end.end()
+                yield "", name, True, ""
+    yield page[start:], "", False, ""
+
+
+class _Open:
+    """The open elements, with what is asked about them kept at hand."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.words: list[tuple[str, ...]] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of elements that are no inline ones
+        self.walls: list[int] = []  # those of them that are no headings either
+        self.unseen = self.links = 0
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.solid.append(len(self.names))
+            if name not in HEADINGS:
+                self.walls.append(len(self.names))
+        self.names.append(name)
+        self.words.append(words)
+        self.unseen += name in UNSEEN
+        self.links += name == "a"
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from ``depth`` on."""
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.words.pop()
+            self.places[name].pop()
+            for some in (self.solid, self.walls):
+                if some and some[-1] == len(self.names):
+                    some.pop()
+            self.unseen -= name in UNSEEN
+            self.links -= name == "a"
+
+    def last(self, name: str) -> int:
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(x for k in self.solid[-PATH_DEPTH:] for x in (self.names[k], *self.words[k]))
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path, text, share of link text) of each block with any text.
 
     A path lists the open elements' names, each followed by its class and id words.  Wrong nesting is mended as browsers
     do for the common cases: a block closes an open paragraph, an end tag closes what it finds open, else nothing.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    found: list[Block] = []
+    stack, found = _Open(), []
     now: Block | None = None
-    unseen = links = 0
-    at = 0
 
     def text(raw: str) -> None:
         nonlocal now
-        if unseen or not raw:
+        if stack.unseen or not raw:
             return
         if now is None:
             if raw.isspace():
                 return
-            now = Block(tuple(x for name, more in stack if name not in INLINE for x in (name, *more)))
+            now = Block(stack.path())
             found.append(now)
         now.parts.append(raw)
-        if links:
+        if stack.links:
             now.linked += len(raw)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text(html.escape(m[0][9:].removesuffix("]]>")))
+    for before, tag, ends, attrs in tokens(page):
+        text(before)
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             text(" ")
-        if tag not in INLINE and tag != "br":
+        elif tag not in INLINE:
             now = None
-        if m["end"]:
-            depth = len(stack) - 1
-            while depth >= 0 and stack[depth][0] != tag:
-                depth -= 1
-            if depth >= 0 and not (tag in INLINE and any(n not in INLINE for n, _ in stack[depth + 1 :])):
-                for name, _ in stack[depth:]:
-                    unseen -= name in UNSEEN
-                    links -= name == "a"
-                del stack[depth:]
+        if ends:
+            depth = stack.last(tag)
+            if depth >= 0 and not (tag in INLINE and stack.solid and stack.solid[-1] > depth):
+                stack.cut(depth)
             continue
-        if tag not in IN_HEAD and (names := [x for x, _ in stack if x in ("head", "template")]) and names[-1] == "head":
-            depth = max(k for k, (x, _) in enumerate(stack) if x == "head")
-            for gone, _ in stack[depth:]:
-                unseen -= gone in UNSEEN
-                links -= gone == "a"
-            del stack[depth:]
+        if tag not in IN_HEAD and stack.last("head") > stack.last("template"):
+            stack.cut(stack.last("head"))
         if tag in VOID:
             continue
-        if tag not in INLINE:
-            closes = "p" if tag not in ("li", "dt", "dd", "tr", "td", "th", "option") else tag
-            for depth in range(len(stack) - 1, -1, -1):
-                name = stack[depth][0]
-                if name == closes or (closes in ("td", "th") and name in ("td", "th")):
-                    for gone, _ in stack[depth:]:
-                        unseen -= gone in UNSEEN
-                        links -= gone == "a"
-                    del stack[depth:]
-                    break
-                if name not in INLINE and name not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    break
+        if tag not in INLINE and stack.walls:
+            closes = (tag,) if tag in ("li", "dt", "dd", "tr", "option") else ("td", "th") if tag in ("td", "th") else ("p",)
+            if stack.names[stack.walls[-1]] in closes:
+                stack.cut(stack.walls[-1])
         if tag == "body":
-            unseen = links = 0
-            stack = [s for s in stack if s[0] == "html"]
-        if m["attrs"].rstrip().endswith("/") and tag not in INLINE and tag in ("svg", "math"):
+            stack.cut(stack.last("html") + 1)
+        if attrs.endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append((tag, _words_of(m["attrs"]) if "=" in m["attrs"] else ()))
-        unseen += tag in UNSEEN
-        links += tag == "a"
-    if at < len(page):
-        rest = page[at:]
-        cut = rest.find("<") if re.match(r"[^<]*<[a-zA-Z/!]", rest) else -1  # a tag that the page's end cut off
-        text(rest if cut < 0 else rest[:cut])
-    out = []
-    for b in found:
-        t = b.text()
-        if t:
-            out.append((b.path, t, b.linked / max(1, sum(map(len, b.parts)))))
-    return out
+        stack.push(tag, _words_of(attrs) if "=" in attrs else ())
+    return [(b.path, t, b.linked / max(1, sum(map(len, b.parts)))) for b in found if (t := b.text())]
 
 
 def _bucket(word: str, size: int) -> int:
@@ -373,12 +430,12 @@ def _path_labels(found: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
 
 
 def fit(pages: DataFrame, column: str = "html", limit: int = TRAIN_PAGES) -> Labeller:
-    """A labeller for the table; at most ``limit`` of its pages come to the driver, each cut to ``TRAIN_CHARS`` for training only."""
+    """A labeller for the table; at most ``limit`` of its pages, whole, come to the driver."""
     key = F.xxhash64(column)
     # the bound on the hash first, so that no task sends pages which others replace
     bound = pages.where(F.col(column).isNotNull()).select(key.alias("k")).distinct().orderBy("k").limit(limit).agg(F.max("k")).first()[0]
     some = pages.where(F.col(column).isNotNull() & (key <= bound)) if bound is not None else pages.limit(0)
-    some = some.select(F.substring(column, 1, TRAIN_CHARS).alias("h"), key.alias("k")).dropDuplicates(["k"]).orderBy("k")
+    some = some.select(F.col(column).alias("h"), key.alias("k")).dropDuplicates(["k"]).orderBy("k")
     seen = [blocks(r.h) for r in some.collect()]  # a page that is there more than once counts once
     made, labels = [], []
     texts, short = [], []
@@ -388,7 +445,7 @@ def fit(pages: DataFrame, column: str = "html", limit: int = TRAIN_PAGES) -> Lab
             made.append(found)
             labels.append(y)
         for (_, t, _), good in zip(found, y if y is not None else [0] * len(found)):
-            (texts if good and len(t) > 80 else short).append(t[:600] if good else t[:80])
+            (texts if good and len(t) > 80 else short).append(t)
     r = np.random.default_rng(3)
     while len(texts) < 200:
         texts.append(" ".join(r.choice(FILLER, int(r.integers(15, 60)))).capitalize() + ".")
@@ -399,7 +456,7 @@ def fit(pages: DataFrame, column: str = "html", limit: int = TRAIN_PAGES) -> Lab
         made.append(found)
         labels.append(_path_labels(found))
     vectors, labeller = Vectors(), Labeller()
-    cut = [(vectors.of(f[:TRAIN_BLOCKS]), y[:TRAIN_BLOCKS]) for f, y in zip(made, labels)]
+    cut = [(vectors.of(f[k : k + TRAIN_BLOCKS]), y[k : k + TRAIN_BLOCKS]) for f, y in zip(made, labels) for k in range(0, len(f), TRAIN_BLOCKS)]
     labeller.train([x for x, _ in cut], [y for _, y in cut])
     return labeller
 

@@ -576,6 +576,31 @@ def test_extract(spark):
     assert extract.op8_extract(pages).count() == len(rows) and extract.op8_extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p title=it's>Hello world</p><p>One don't two</p><p>three</p></article>", ["Hello world", "One don't two", "three"]),
+        ('<p title="a > b" class=\'x "y"\'>one</p><p data-x=">">two', ["one", "two"]),
+        ("<p title=>x</p><p a = 'b>c' >y</p><p / >z", ["x", "y", "z"]),
+        ("<p>a<!-- <p> -->b</p><script>if (a < b) '</p>'</script><p>c<![CDATA[ d<e ]]></p>", ["ab", "c d<e"]),
+        ("<p>5 < 6 and <3 <\u00e9</p><p>cut <a href='x", ["5 < 6 and <3 <\u00e9", "cut"]),
+        ('<p title="never closed>text that stays</p><p>more', ["text that stays", "more"]),
+    ],
+)
+def test_markup_is_read_as_browsers_do(page, want):
+    assert [t for _, t, _ in extract.blocks(page)] == want
+
+
+@pytest.mark.parametrize("unit,tail", [('<a "', ""), ("<div>", ""), ("<b><p>x", ""), ("<div>x", "</span>" * 50_000), ("<a><div>x</a>", ""), ("<p a='", ""), ("<!--", ""), ("<script>", ""), ("x &amp; y <", ""), ("<a b=\">\" ", "")])
+def test_hostile_pages_take_time_in_proportion(unit, tail):
+    import time
+
+    page = (unit * (1_000_000 // len(unit)))[:1_000_000] + tail
+    start = time.process_time()
+    extract.blocks(page)
+    assert time.process_time() - start < 12
+
+
 def test_extract_ends_an_open_head():
     page = '<html><head><title>T</title><meta charset="x"><template><p>no</p></template><article><p>Some words.</p></article></html>'
     assert [t for _, t, _ in extract.blocks(page)] == ["Some words."]
