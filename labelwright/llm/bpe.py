@@ -12,8 +12,12 @@ emits each token that ends at least that bound (and one byte, since the last byt
 the window's end; what stays is bounded, whatever the word's length.  A suffix of a tokenization is the tokenization of
 its bytes, so the window may restart at any emitted boundary.
 
-Decoding goes the other way through a byte-to-text state machine that holds at most three bytes of an unfinished
-character.  Words of up to ``lookahead`` bytes need no window; their results are memoised in a table of bounded size.
+``Transducer`` takes a text in blocks of ``BLOCK`` characters: it holds back what the next block may still change (a
+white-space-free run of up to ``RUN`` characters, or the end of a longer one), splits runs into words, and emits ids as
+soon as they are stable; words longer than the lookahead pass through the window.  ``StreamDecoder`` turns ids back into
+bytes by a table and bytes into text by a state machine that holds at most three bytes of an unfinished character.  Ids
+and decoded bytes go into their digests block by block, so that beside the text itself a task holds a bounded number of
+bytes.  Runs of up to ``RUN`` characters that were seen before come from a memo of bounded size.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +42,16 @@ _NONE = 1 << 60
 _SHIFT = 20
 _LOW = (1 << _SHIFT) - 1
 _SPREAD, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
-#: Fixed values of the vocabulary file's text rules: word pattern and white space.
+#: White space of the vocabulary file's text rules, which is not quite Python's.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
+#: Conjoining vowels and finals, which compose with what stands before them without being marks.
+JOINING = "\u1160-\u11ff\ud7b0-\ud7ff"
 BLANKS = regex.compile("[" + WHITE + "]+")
 ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
-#: Entries of a memo before it is emptied.
-MEMO = 150_000
+#: Entries of a memo before it is emptied, characters of a block, and those of the longest run that is kept in the memo.
+MEMO, BLOCK, RUN = 150_000, 1 << 16, 1024
+#: Where a run may be cut before it is normalised: before what neither composes with nor is reordered among what stands before it.
+_SAFE = regex.compile(r"[^\p{M}" + JOINING + "]")
 
 
 def byte_alphabet() -> list[str]:
@@ -56,6 +64,15 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+def _word_pattern(spec: dict) -> regex.Pattern:
+    """The file's word pattern, with its white space; ValueError for text rules other than those that this module follows."""
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or [r["type"] for r in rest] != ["ByteLevel"]:
+        raise ValueError("a vocabulary file with other text rules")
+    return regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
+
+
 class MergeTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -64,6 +81,7 @@ class MergeTable:
         self.end = model["end_of_word_suffix"] or ""
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.pieces = _word_pattern(spec)
         self.piece = {i: s for s, i in (*vocab.items(), *self.special.items())}
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
@@ -80,8 +98,23 @@ class MergeTable:
                 ordered.append((x, y, z))
         self.lookahead = self._lookahead(ordered)
         self._open = None
+        self._decoding: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    def decoding(self, pieces: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids one after another, where each begins): a space and the vocabulary string, or the word's bytes and a space at its end."""
+        if pieces not in self._decoding:
+            out = []
+            for i in range(max(self.piece) + 1):
+                piece = self.piece.get(i, "")
+                if pieces or piece in self.special:
+                    out.append((" " * pieces + piece).encode())
+                else:
+                    ends = bool(self.end) and piece.endswith(self.end)
+                    out.append(bytes(self.byte_of[c] for c in piece.removesuffix(self.end)) + b" " * ends)
+            self._decoding[pieces] = np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        return self._decoding[pieces]
+
     def _lookahead(self, ordered: list[tuple[int, int, int]]) -> int:
         parts = {}
         for x, y, z in ordered:
@@ -103,6 +136,8 @@ class MergeTable:
         """The symbols merged by rank, leftmost first among equals."""
         get = self.merges.get
         ranks = [get(a << _SHIFT | b, _NONE) for a, b in zip(ids, ids[1:])]
+        if len(ids) > 64:
+            return self._merge_long(ids, ranks)
         while ranks:
             best = min(ranks)
             if best == _NONE:
@@ -117,6 +152,26 @@ class MergeTable:
                 ranks[i] = get(new << _SHIFT | ids[i + 1], _NONE)
         return ids
 
+    def _merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """``merge`` with a heap of pairs; one that changed meanwhile is passed over."""
+        get, n = self.merges.get, len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i) for i, r in enumerate(ranks) if r != _NONE]
+        heapify(heap)
+        while heap:
+            best, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or get(ids[i] << _SHIFT | ids[j], _NONE) != best:
+                continue
+            ids[i], ids[j], k = best & _LOW, -1, after[j]
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+                if (r := get(ids[i] << _SHIFT | ids[k], _NONE)) != _NONE:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << _SHIFT | ids[i], _NONE)) != _NONE:
+                heappush(heap, (r, h))
+        return [x for x in ids if x >= 0]
 
     def _pair_arrays(self) -> tuple[np.ndarray, np.ndarray, int]:
         """An open table over the merges: slot of a pair's key, then its rank and id; at most ``probes`` slots away."""
@@ -225,40 +280,32 @@ class StreamEncoder:
         return self.table.merge([*(self.table.inner[b] for b in w[:-1]), self.table.last[w[-1]]]) if w else []
 
 
-def encode_word(table: MergeTable, word: bytes) -> list[int]:
-    if len(word) <= table.lookahead:
-        return table.merge([*(table.inner[b] for b in word[:-1]), table.last[word[-1]]])
-    s = StreamEncoder(table)
-    return [*s.feed(word), *s.finish()]
-
-
 class StreamDecoder:
-    """Text from ids, a few at a time.
+    """Text from ids, a few at a time; what is held is at most three bytes of a character that is not yet whole.
 
     ``pieces``: as the library decodes this file, which names no decoder: vocabulary strings with a space between.
-    Else the words themselves: bytes to text with U+FFFD for broken sequences, a space after each word's end.
+    Else the words themselves: their bytes, a space after each word's end.  Broken sequences give U+FFFD.
     """
 
     def __init__(self, table: MergeTable, pieces: bool = False):
-        self.table, self.pieces, self.held, self.begun = table, pieces, b"", False
+        self.table, self.held, self.begun = table, b"", False
+        self.pieces = pieces
+        self.flat, self.at = table.decoding(pieces)
+
+    def bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes that these ids add."""
+        if not len(ids):
+            return b""
+        lo, n = self.at[ids], self.at[ids + 1] - self.at[ids]
+        out = self.flat[np.repeat(lo - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]
+        # with pieces each one's table entry begins with the space, which the first of a text goes without
+        skip, self.begun = int(self.pieces and not self.begun), True
+        return out[skip:].tobytes()
 
     def feed(self, ids: Iterable[int]) -> str:
-        if self.pieces:
-            text = " ".join(map(self.table.piece.__getitem__, ids))
-            lead, self.begun = " " * (self.begun and bool(text)), self.begun or bool(text)
-            return lead + text
-        out = []
-        for i in ids:
-            piece = self.table.piece[i]
-            if piece in self.table.special:
-                out.append(self._flush() + piece)
-            else:
-                out.append(self._bytes(bytes(self.table.byte_of[c] for c in piece.removesuffix(self.table.end))))
-                if self.table.end and piece.endswith(self.table.end):
-                    out.append(self._flush() + " ")
-        return "".join(out)
-
-    def _bytes(self, new: bytes) -> str:
+        return self._text(self.bytes(np.fromiter(ids, np.int64)))
+
+    def _text(self, new: bytes) -> str:
         data = self.held + new
         keep = 0
         for back in range(1, min(3, len(data)) + 1):
@@ -271,47 +318,42 @@ class StreamDecoder:
         self.held = data[len(data) - keep :]
         return data[: len(data) - keep].decode("utf-8", "replace")
 
-    def _flush(self) -> str:
+    def finish(self) -> str:
         held, self.held = self.held, b""
         return held.decode("utf-8", "replace")
 
-    def finish(self) -> str:
-        return self._flush()
-
 
 class _Memo:
-    """Of runs without white space: (ids as little-endian bytes, decoded pieces); emptied when full."""
+    """Ids of runs without white space, as little-endian bytes; emptied when full."""
 
     def __init__(self, table: MergeTable):
         self.table, self.runs, self.words = table, {}, {}
 
     def learn(self, runs: set[str]) -> None:
-        """Afterwards ``self.runs`` has all of ``runs``."""
+        """Afterwards ``self.runs`` has all of ``runs``; short words that are new are merged together, long ones pass a window."""
         if len(self.runs) + len(runs) > MEMO:
             self.runs = {}
             self.words = {}
         new = [r for r in runs if r not in self.runs]
-        parts = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[-1] in ".,!|" and r[:-1].isalpha() else PIECES.findall(r) for r in new]
+        split = self.table.pieces.findall
+        parts = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[-1] in ".,!|" and r[:-1].isalpha() else split(r) for r in new]
         words = [w for w in {w for p in parts for w in p} if w not in self.words]
         raw = [w.encode() for w in words]
         short = [i for i, w in enumerate(raw) if len(w) <= 48]
         ids, at = self.table.merge_many([raw[i] for i in short]) if short else ([], [0])
-        ids, at = np.asarray(ids).astype("<u4"), list(at)
-        data, listed = ids.tobytes(), ids.tolist()
-        piece = self.table.piece.__getitem__
+        data, at = np.asarray(ids).astype("<u4").tobytes(), list(at)
         for k, i in enumerate(short):
-            lo, hi = at[k], at[k + 1]
-            self.words[words[i]] = data[4 * lo : 4 * hi], " ".join(map(piece, listed[lo:hi]))
+            self.words[words[i]] = data[4 * at[k] : 4 * at[k + 1]]
         for i, w in enumerate(raw):
             if len(w) > 48:
-                got = encode_word(self.table, w)
-                self.words[words[i]] = b"".join([x.to_bytes(4, "little") for x in got]), StreamDecoder(self.table, pieces=True).feed(got)
+                stream = StreamEncoder(self.table)
+                self.words[words[i]] = _packed([*stream.feed(w), *stream.finish()])
         for r, p in zip(new, parts):
-            if len(p) == 1:
-                self.runs[r] = self.words[p[0]]
-            else:
-                found = [self.words[w] for w in p]
-                self.runs[r] = b"".join([x for x, _ in found]), " ".join([y for _, y in found])
+            self.runs[r] = self.words[p[0]] if len(p) == 1 else b"".join(map(self.words.__getitem__, p))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def normalized(text: str) -> str:
@@ -326,55 +368,155 @@ def _runs(text: str) -> list[str]:
     return [x for x in BLANKS.split(text) if x] if ODD_BLANKS.search(text) else text.split()
 
 
+class Transducer:
+    """Ids of a text that comes in blocks, as little-endian bytes, each as soon as nothing that follows can change it."""
+
+    def __init__(self, memo: _Memo):
+        self.memo, self.table = memo, memo.table
+        self.held = ""  # of a run without white space, not yet normalised
+        self.word: StreamEncoder | None = None  # an open word of a long run
+        self.rest = ""  # of a long run, normalised, behind the open word
+        self.kind = ""  # of the open word: l letters, o other marks
+        self.most = 0
+
+    def feed(self, block: str) -> bytes:
+        """``block`` must hold no special token."""
+        text = self.held + block
+        cut = max((m.end() for m in BLANKS.finditer(text, max(len(text) - RUN, 0))), default=0)
+        if not cut and len(text) > RUN:
+            cut = next((m.end() for m in regex.finditer("(?r)[" + WHITE + "]", text)), 0)
+        out = [self._runs(text[:cut])] if cut else []
+        self.held = text[cut:]
+        if len(self.held) > RUN:
+            out.append(self._long(self.held, False))
+        self.most = max(self.most, len(self.held) + len(self.rest) + len(self.word.window if self.word else b""))
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        text, self.held = self.held, ""
+        return self._runs(text)
+
+    def _runs(self, text: str) -> bytes:
+        """Ids of a part that ends with a run's end; its first run may go on with a long one."""
+        out = []
+        if self.word or self.rest:
+            m = BLANKS.search(text)
+            end = m.start() if m else len(text)
+            out = [self._long(text[:end], True)]
+            text = text[end:]
+        runs = _runs(text)
+        long = [r for r in runs if len(r) > RUN]
+        self.memo.learn({r for r in runs if len(r) <= RUN})
+        if not long:
+            return b"".join([*out, *map(self.memo.runs.__getitem__, runs)])
+        for r in runs:
+            out.append(self.memo.runs[r] if len(r) <= RUN else self._long(r, True, done=True))
+        return b"".join(out)
+
+    def _long(self, text: str, ends: bool, done: bool = False) -> bytes:
+        """A part of a long run: its words go through the window but for what may still change; ``done``: it is normalised."""
+        if not ends:
+            # what stands before a safe character is normalised alike with and without what follows
+            cut = next((m.start() for m in regex.finditer("(?r)" + _SAFE.pattern, text)), 0)
+            text, self.held = text[:cut], text[cut:]
+        out, buffer = [], self.rest + (text if done else normalized(text))
+        at = 0
+        if self.word is not None:
+            more = regex.compile(r"\p{L}*" if self.kind == "l" else r"[^" + WHITE + r"\p{L}\p{N}]*").match(buffer)
+            out += self.word.feed(more[0].encode())
+            at = more.end()
+            if at < len(buffer) or ends:
+                out += self.word.finish()
+                self.word = None
+        if self.word is None:
+            for m in self.table.pieces.finditer(buffer, at):
+                if m.end() == len(buffer) and not ends:
+                    # the last word may go on; a mark may begin a contraction, so three characters decide
+                    if m.end() - m.start() > 3:
+                        self.word, self.kind = StreamEncoder(self.table), "l" if m[0][-1].isalpha() else "o"
+                        out += self.word.feed(m[0].encode())
+                        at = m.end()
+                    else:
+                        at = m.start()
+                    break
+                stream = StreamEncoder(self.table)
+                out += [*stream.feed(m[0].encode()), *stream.finish()]
+                at = m.end()
+        self.rest = "" if ends else buffer[at:]
+        return _packed(out)
+
+
+def id_blocks(memo: _Memo, text: str) -> Iterator[bytes]:
+    """The ids of a text, block by block."""
+    at = 0
+    for m in [*(memo.table.split_special.finditer(text) if memo.table.split_special else ()), None]:
+        end = m.start() if m else len(text)
+        stream = Transducer(memo)
+        for k in range(at, end, BLOCK):
+            yield stream.feed(text[k : min(k + BLOCK, end)])
+        yield stream.finish()
+        if m:
+            yield memo.table.special[m[0]].to_bytes(4, "little")
+            at = m.end()
+
+
+def _plain_runs(table: MergeTable, text: str) -> list[str] | None:
+    """The runs of a text of one block without special tokens and long runs, None of any other."""
+    if len(text) > BLOCK or (table.split_special and table.split_special.search(text)):
+        return None
+    runs = _runs(text)
+    return runs if not runs or max(map(len, runs)) <= RUN else None
+
+
 def encode_texts(path: str, texts: list[str], memo: _Memo | None = None) -> list[tuple[bytes, str]]:
     """Of each text: ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
     memo = memo or _Memo(merge_table(path))
-    split = memo.table.split_special
-    plans: list[list[list[str] | str]] = []
-    for text in texts:
-        plan: list[list[str] | str] = []
-        at = 0
-        for m in split.finditer(text) if split and "<|" in text else ():
-            plan += [_runs(text[at : m.start()]), m[0]]
-            at = m.end()
-        plans.append([*plan, _runs(text[at:] if at else text)])
-    memo.learn({r for plan in plans for runs in plan if isinstance(runs, list) for r in runs})
-    known = memo.runs.__getitem__
     out = []
-    for plan in plans:
-        found = []
-        for runs in plan:
-            found += [(memo.table.special[runs].to_bytes(4, "little"), runs)] if isinstance(runs, str) else map(known, runs)
-        out.append((b"".join([x for x, _ in found]), " ".join([y for _, y in found])))
+    for text in texts:
+        ids = b"".join(id_blocks(memo, text))
+        decoder = StreamDecoder(memo.table, pieces=True)
+        out.append((ids, decoder.feed(np.frombuffer(ids, "<u4")) + decoder.finish()))
     return out
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """``docs`` and n_tokens long, ids_sha256, decoded_sha256 string (and ids array<int>, decoded string if asked).
+    """``docs`` and n_tokens long, ids_sha256, decoded_sha256 string (and ids array<int> if asked).
 
     Columns of those names are replaced.  A null text counts as empty: no tokens, digests of nothing.  Rows are
     independent, so repeated rows and ids, ties and hot sources change nothing; an empty table gives an empty one.
     """
     new = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     if keep_ids:
-        new |= {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+        new |= {"ids": T.ArrayType(T.IntegerType())}
     kept = [c for c in docs.columns if c.lower() not in new]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(k, v) for k, v in new.items()])
 
+    def one(memo: _Memo, value: str, runs: list[str] | None) -> tuple:
+        decoder, n, ids_sha, decoded_sha, whole = StreamDecoder(memo.table, pieces=True), 0, hashlib.sha256(), hashlib.sha256(), []
+        for ids in id_blocks(memo, value) if runs is None else (b"".join(map(memo.runs.__getitem__, runs)),):
+            n += len(ids) // 4
+            ids_sha.update(ids)
+            decoded_sha.update(decoder.bytes(np.frombuffer(ids, "<u4")))
+            if keep_ids:
+                whole.append(ids)
+        return (n, ids_sha.hexdigest(), decoded_sha.hexdigest(), *([np.frombuffer(b"".join(whole), "<u4").astype(np.int32)] if keep_ids else []))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the memo's many small tuples hold no cycles
-        memo = _Memo(merge_table(path))  # the task's own: it goes with the task
-        for batch in text_pieces(batches, text):
-            rows = []
-            for ids, decoded in encode_texts(path, string_rows(batch.column(batch.schema.get_field_index(text))), memo):
-                more = (np.frombuffer(ids, "<u4").astype(np.int32), decoded) if keep_ids else ()
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *more))
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + cols, names=[*kept, *new])
-        del memo
-        gc.enable()
-        give_back()
+        gc.disable()  # the memo's many small values hold no cycles
+        try:
+            memo = _Memo(merge_table(path))  # the task's own: it goes with the task
+            for batch in text_pieces(batches, text):
+                texts = string_rows(batch.column(batch.schema.get_field_index(text)))
+                # of texts of one block the runs are looked up together, so that new words are merged together
+                plain = [_plain_runs(memo.table, t) for t in texts]
+                memo.learn({r for runs in plain if runs is not None for r in runs})
+                rows = [one(memo, t, runs) for t, runs in zip(texts, plain)]
+                types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + cols, names=[*kept, *new])
+        finally:
+            gc.enable()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -94,13 +94,39 @@ def test_bpe_stream_and_decoder():
             assert got + s.finish() == whole
     many = [w.encode() for w in ("hello", "worldly", "aaaa", "x")]
     ids, at = table_.merge_many(many)
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [bpe.encode_word(table_, w) for w in many]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [table_.merge([*(table_.inner[b] for b in w[:-1]), table_.last[w[-1]]]) for w in many]
     d = bpe.StreamDecoder(table_)
     (raw, _), = bpe.encode_texts(queries.word_vocabulary(), ["Grüße 漢字 ok"])
     text = "".join(d.feed([i]) for i in np.frombuffer(raw, "<u4").tolist()) + d.finish()
     assert text == "grüße 漢字 ok "
 
 
+def test_bpe_streams_whole_texts(monkeypatch):
+    """Texts of any make in small blocks equal the library's, with a bounded number of characters held."""
+    from tokenizers import Tokenizer
+
+    path = queries.word_vocabulary()
+    t, memo = Tokenizer.from_file(path), bpe._Memo(bpe.merge_table(path))
+    r = random.Random(3)
+    kinds = ["ab", "abc XYZ ", "it's we'll I'D 'tis ", "e\u0301o\u0308\u0323 ", "\u1112\u1161\u11ab\uac00\u11a8", "\u6f22\u5b57", "!?.,;'\"", "12 3", "\u03a3\u03b1\u03a3 ", "\x1c\x1f \x85\u3000a", "\U0001f600\u200d\u2642\ufe0f"]
+    monkeypatch.setattr(bpe, "BLOCK", 37)
+    monkeypatch.setattr(bpe, "RUN", 11)
+    for k in range(80):
+        text = "".join(r.choice(r.choice(kinds) if r.random() < 0.3 else kinds[k % len(kinds)]) for _ in range(r.randint(0, 400)))
+        if k % 9 == 0:
+            text = text[:50] + "<|endoftext|>" + text[50:]
+        want = t.encode(text, add_special_tokens=False).ids
+        (ids, decoded), = bpe.encode_texts(path, [text], memo)
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == t.decode(want, skip_special_tokens=False), repr(text)
+    monkeypatch.undo()
+    for unit in ("ab'c", "word, ", "\u6f22", "!?"):
+        text = unit * (40_000 // len(unit))
+        s = bpe.Transducer(memo)
+        ids = b"".join([*(s.feed(text[k : k + 7_000]) for k in range(0, len(text), 7_000)), s.finish()])
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert s.most <= bpe.RUN + s.table.lookahead * 3 + 1000
+
+
 def brute_fingerprint(t):
     w = words(t)
     sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
