@@ -41,8 +41,11 @@ LEAST = 8
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential", "private", "client_secret")
 PASSWORDS = ("password", "passwd", "pwd", "secret", "credential")
 PATH_HINTS = ("test", "example", "sample", "mock", "doc", "lock", "readme", ".env", "config", "secret")
+#: Words that stand by digests and identifiers, and beginnings of made-up keys.
+DIGEST_WORDS = ("sha1", "sha256", "sha512", "sha", "md5", "digest", "checksum", "hash", "commit", "revision", "rev", "etag", "integrity", "blob", "tree", "uuid", "guid", "request", "trace", "image", "base64", "fingerprint")
+MADE_UP = ("example", "dummy", "sample", "xxxx", "changeme", "placeholder", "your_", "test")
 #: Formats of issued keys, and of common strings that are none.
-ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
+ISSUED = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,65536}-----END [A-Z ]{0,30}PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
 HARMLESS = re.compile(
     r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{1,3}(?:\.\d{1,3}){3}|\+?[\d() -]{7,15}|\d{13,19}|v?\d+(?:\.\d+)+\w*|\d{4}-\d\d-\d\d\S*|https?://\S+|www\.\S+|[^\W\d_]+[.,;:!?]*\d{0,2}|[\d.,%$€]+"
 )
@@ -58,6 +61,8 @@ _NAME = re.compile(rb"([A-Za-z_][\w.-]{0,40})[=:]+(?!//)(?=.)", re.S)
 _NAMED = re.compile(rb"([A-Za-z_][\w.-]{0,40})[\"'`]?[ \t]{0,3}[=:]+[ \t]{0,3}[\"'`]?$")
 #: Least length of a value that is assigned to a name of KEYWORDS.
 LEAST_ASSIGNED = 4
+_UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_HEXES = re.compile(r"[0-9a-fA-F]+")
 
 FINDING = "start long, end long, candidate string, name string, before string, after string"
 
@@ -173,9 +178,13 @@ def _luhn(digits: str) -> bool:
 
 def rule_label(candidate: str, name: str, before: str) -> int | None:
     """1: an issued key or an assigned credential; 0: a well-known harmless format; None: no rule knows."""
+    said = (name or " ".join(re.findall(r"[A-Za-z_]+\s*[=:]\s*[\"']?$", before)[-1:])).lower()
+    if any(x in candidate.lower() for x in MADE_UP):
+        return 0 if not any(k in said for k in KEYWORDS) or ISSUED.fullmatch(candidate) else None
     if ISSUED.fullmatch(candidate):
         return 1
-    said = (name or " ".join(re.findall(r"[A-Za-z_]+\s*[=:]\s*[\"']?$", before)[-1:])).lower()
+    if not any(k in said for k in KEYWORDS) and (_UUID.fullmatch(candidate) or (_HEXES.fullmatch(candidate) and len(candidate) in (32, 40, 64, 128))):
+        return 0
     if any(k in said for k in KEYWORDS) and re.search(r"\d", candidate) and entropy(candidate) > 2.5:
         return 1
     if name and any(k in said for k in PASSWORDS):
@@ -217,18 +226,47 @@ class Scanner:
         nxt = [x.lower() for x in re.findall(r"[\w=:]+", after)[:2]]
         near = " ".join([*prev, name.lower()])
         hexes = sum(c in "0123456789abcdefABCDEF" for c in candidate)
+        about = re.findall(r"[a-z0-9]+", " ".join([*prev, name.lower(), low[:12]]))
         return [
             math.log(n), *(kinds.count(k) / n for k in "luds"), same / steps, *(changes[a, b] / steps for a, b in (("l", "d"), ("d", "l"), ("u", "d"), ("d", "u"), ("l", "u"), ("u", "l"))),
             float(np.mean([self.pairs[a, b] for a, b in zip(codes, codes[1:])])) if n > 1 else 0.0, entropy(candidate), hexes / n, len(set(candidate)) / n, covered / n, max(map(len, words), default=0) / n,
             float("@" in candidate), candidate.count(".") / n, float("/" in candidate), float(bool(name)), float(any(k in near for k in KEYWORDS)), float(before.rstrip().endswith(("=", ":", '"', "'"))),
             sum(x in self.dictionary for x in prev) / 3, sum(x in self.dictionary for x in nxt) / 2, *(float(h in path.lower()) for h in PATH_HINTS[:6]), float(any(h in path.lower() for h in PATH_HINTS[6:])),
+            float(any(x in DIGEST_WORDS for x in about)), float(_UUID.fullmatch(candidate) is not None), float(hexes == n and n in (32, 40, 64, 128)), float(any(x in low for x in MADE_UP)), float(bool(ISSUED.fullmatch(candidate))),
         ]
 
     def score(self, rows: list[tuple[str, str, str, str, str]]) -> np.ndarray:
         return self.forest.score(np.array([self.features(*r) for r in rows], float)) if rows else np.zeros(0)
 
 
-def example_findings(each: int = 12, seed: int = 3) -> list[tuple[str, str, str, str, str, int]]:
+def hard_negatives(each: int = 40, seed: int = 3) -> list[tuple[str, str, str, str, str, int]]:
+    """Made-up findings that look like secrets and are none, labelled 0: digests, identifiers, encoded data, made-up keys."""
+    r = random.Random(seed)
+    some = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    hexes, mixed, word = "0123456789abcdef", string.ascii_letters + string.digits, lambda: some(r.randint(2, 9), string.ascii_lowercase)
+    uuid = lambda: "-".join(some(k, hexes) for k in (8, 4, 4, 4, 12))
+    kinds = [
+        lambda: (some(40, hexes), r.choice(("", "commit", "revision", "rev", "tree", "blob")), r.choice(("commit ", "at revision ", "merge ", "cherry-picked from ", "")), ""),
+        lambda: (some(64, hexes), r.choice(("", "sha256", "digest", "checksum")), r.choice(("sha256 digest ", "checksum ", "image digest ", "")), ""),
+        lambda: (some(32, hexes), r.choice(("", "md5", "etag", "hash")), r.choice(("md5 sum ", "etag ", "")), ""),
+        lambda: (uuid(), r.choice(("", "id", "uuid", "request_id", "trace_id", "device")), r.choice(("request ", "uuid ", "id ", "")), ""),
+        lambda: ("sha512-" + some(86, mixed + "+/") + "==", r.choice(("", "integrity")), "", r.choice(("package-lock.json", "yarn.lock", ""))),
+        lambda: (some(r.randint(40, 160), mixed + "+/"), "", r.choice(("data:image/png;base64,", "base64 ", "encoded ")), ""),
+        lambda: ("AKIA" + some(9, string.ascii_uppercase) + "EXAMPLE", r.choice(("", "key")), "", r.choice(("docs/readme.md", "test/sample.py", ""))),
+        lambda: ("sk_test_" + some(24, mixed), r.choice(("", "key", "api_key")), "", r.choice(("tests/mock.py", "example.env", ""))),
+        lambda: (r.choice(("your_api_key_here", "changeme123", "example-token-123", "xxxxxxxx1234", "placeholder_secret1")), r.choice(KEYWORDS), "", r.choice(("readme.md", "config.sample", ""))),
+        lambda: (f"{word()}-{some(10, mixed)}.{r.choice(('js', 'css', 'png'))}", "", r.choice(("src ", "href ", "")), ""),
+    ]
+    out = []
+    for make in kinds:
+        for _ in range(each):
+            value, name, before, path = make()
+            inline = bool(name) and r.random() < 0.6
+            out.append((value, name if inline else "", path, f"{word()} {word()} {before}" + (f'{name}: "' if name and not inline else ""), f" {word()} {word()}", 0))
+    return out
+
+
+def example_findings(each: int = 40, seed: int = 3) -> list[tuple[str, str, str, str, str, int]]:
     """Made-up labelled findings of every known format, so that the forest knows those that a table hardly has.
 
     (candidate, name, path, before, after, label); the strings are random, the formats those of the rules above.
@@ -240,7 +278,9 @@ def example_findings(each: int = 12, seed: int = 3) -> list[tuple[str, str, str,
     secret = [
         lambda: ("AKIA" + some(16, upper), ""), lambda: ("ghp_" + some(36, mixed), ""), lambda: ("sk_live_" + some(24, mixed), ""), lambda: ("xoxb-" + some(11, string.digits) + "-" + some(24, mixed), ""), lambda: ("AIza" + some(35, mixed), ""),
         lambda: (f"eyJ{some(17, mixed)}.eyJ{some(40, mixed)}.{some(43, mixed)}", ""), lambda: (some(r.choice((16, 18, 24, 32, 40)), hexes), r.choice(KEYWORDS)), lambda: (some(r.randint(20, 40), mixed), r.choice(KEYWORDS)),
-        lambda: (word().title() + word().title() + word(), r.choice(PASSWORDS)), lambda: (word() + word() + word(), r.choice(PASSWORDS)),
+        lambda: (word().title() + word().title() + word(), r.choice(PASSWORDS)), lambda: (word() + word() + word(), r.choice(PASSWORDS)), lambda: (word() + some(r.randint(1, 3), string.digits), r.choice(PASSWORDS)),
+        lambda: ("-".join(some(k, hexes) for k in (8, 4, 4, 4, 12)), r.choice(("api_key", "client_secret", "auth_token", "secret"))), lambda: (some(r.choice((32, 40, 64)), hexes), r.choice(("api_key", "secret_key", "auth_token", "password"))),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(64, mixed + "+/") for _ in range(r.randint(2, 12))) + "\n-----END RSA PRIVATE KEY-----", ""),
     ]
     harmless = [
         lambda: f"{word()}.{r.randint(1, 99)}@{word()}.example", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: some(16, string.digits), lambda: f"555-{some(4, string.digits)}-{some(3, string.digits)}", lambda: f"20{some(2, '012')}-0{r.randint(1, 9)}-1{r.randint(0, 9)}",
@@ -262,14 +302,14 @@ def fit(findings: DataFrame, label: str = "label", limit: int = TRAIN_FINDINGS)
     """A scanner of at most ``limit`` labelled findings (columns of ``FINDING``, path and a 0/1 label; null labels are left out).
 
     Half of the bound is kept for either label, so that rare secrets are not crowded out.  The dictionary and the letter
-    pairs come from the same findings' neighbouring words.  ``example_findings`` come on top.
+    pairs come from the same findings' neighbouring words.  ``example_findings`` and ``hard_negatives`` come on top.
     """
     key = F.xxhash64("candidate", "name", "before", "after", "path")
     cols = ["candidate", "name", "path", "before", "after", label]
     part = lambda v: findings.where(F.col(label) == v).select(*cols, key.alias("k")).dropDuplicates(["k"]).orderBy("k").limit(limit // 2)
     rows = [tuple(r)[:6] for r in part(1).collect()] + [tuple(r)[:6] for r in part(0).collect()]
     own = len(rows)
-    rows += example_findings()
+    rows += example_findings() + hard_negatives()
     words = Counter(x for r in rows[:own] for s in (r[3], r[4]) for x in re.findall(r"[^\W\d_]+", s.lower()) if len(x) >= 2)
     dictionary = frozenset(x for x, _ in sorted(words.items(), key=lambda p: (-p[1], p[0]))[:DICTIONARY])
     seen = np.ones((27, 27))
@@ -310,8 +350,8 @@ def judged(findings: DataFrame, scanner: Scanner, threshold: float = 0.5) -> Dat
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, scanner: Scanner | None = None) -> DataFrame:
     """Every candidate of ``docs`` with its score and is_secret; without a scanner, one is fitted on rule-labelled findings of a bounded share.
 
-    Null and empty texts have no candidates.  Each row is scanned by itself, so repeated rows and ids give repeated
-    findings and clashing columns are not looked at.
+    Null and empty texts have no candidates.  Each row is scanned by itself and whole, however long, so repeated rows and
+    ids give repeated findings, there are no ties, and clashing columns are not looked at.
     """
     found = checkpointed(find(docs, text, keep, path))
     if scanner is None:
