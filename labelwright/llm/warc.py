@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Records go to shards by range of their key (``SHARD_KEYS`` keys each) and are sorted within a shard, so that the same
-rows give the same bytes whatever the cluster.  A shard rolls to a new file once the compressed size passes
+Records go to shards by range of their key, cut by payload bytes (``SHARD_BYTES`` each), and are sorted within a shard.
+The cuts come from a sample that the keys' hashes choose, so that the same rows give the same bytes whatever the cluster.
+A key, or null keys, of more than a shard's bytes have several shards, by digest.  A shard rolls to a new file once the compressed size passes
 ``ROLL_BYTES``.  Each record is a gzip member of its own; headers and digests are made anew from the payload.  A file is
 written under a temporary name that is the attempt's own and renamed when it is whole; then its line goes to the
 manifest, which Spark commits.  Readers go by the manifest alone, so what a lost executor left behind is never read, and
@@ -21,6 +22,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from labelwright.llm.common import fresh_path
 
-SHARD_KEYS = 1024
+#: Payload bytes of a shard, shards at most (beyond, they grow), and keys of the sample that the cuts come from, about.
+SHARD_BYTES, SHARDS, SAMPLE = 64 << 20, 10_000, 100_000
 ROLL_BYTES = 32 << 20
 REVISIT_BYTES = 1000
 VERSION = b"WARC/1.1"
@@ -115,20 +119,49 @@ class _Roller:
         return line
 
 
+def cuts(records: DataFrame, size: int = SHARD_BYTES) -> tuple[np.ndarray, int]:
+    """(keys at which shards begin, ascending, a key of several shards more than once; shards of null keys)."""
+    small = records.select("key", F.length("payload").alias("n"))
+    known = F.col("key").isNotNull()
+    said = small.agg(F.count_if(known).alias("rows"), F.sum(F.when(known, F.col("n"))).alias("bytes"), F.sum(F.when(~known, F.col("n"))).alias("null_bytes")).first()
+    each = max(size, -(-(said.bytes or 0) // SHARDS))
+    every = max(said.rows // SAMPLE, 1)
+    # a key's bytes are added up before they come to the driver, so that a key of many rows is one row of the sample
+    some = small.where(known & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0)).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()
+    keys, total = np.array([r.key for r in some], np.int64), np.cumsum([0] + [r.n * every for r in some])
+    places = np.arange(each, total[-1], each)
+    return keys[np.searchsorted(total, places, "right") - 1] if len(keys) else keys, max(1, -(-(said.null_bytes or 0) // size))
+
+
+def shard_of(at: np.ndarray, nulls: int, key: Column, digest: Column) -> Column:
+    """The shard of a record, below zero for null keys; among several shards of a key the digest decides."""
+
+    @F.pandas_udf("long")
+    def found(k: pd.Series, h: pd.Series) -> pd.Series:
+        lo, hi = (np.searchsorted(at, k.to_numpy(), side) for side in ("left", "right"))
+        several = np.where(hi - lo > 1, hi - lo, 1)
+        return pd.Series(np.where(hi - lo > 1, lo + 1 + h.to_numpy() % several, hi))
+
+    h = F.pmod(F.xxhash64(digest), F.lit(1 << 40))
+    return F.when(key.isNull(), -1 - F.pmod(h, F.lit(nulls))).otherwise(found(F.coalesce(key, F.lit(0)), h))
+
+
 def write(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", html: str = "html", roll: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Writes an archive of ``pages`` to the folder ``out`` (any file system that pyarrow opens, shared by all executors); returns its manifest.
 
-    A null html is an empty payload; null keys form a shard of their own and refer to nothing; a null url is an empty
+    A null html is an empty payload; null keys have shards of their own and refer to nothing; a null url is an empty
     header.  Rows with equal keys keep their places by url and payload.  An empty table gives an empty manifest.
     """
     system, root = _file_system(out)
     system.create_dir(root, recursive=True)
     records = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), payload(F.col(html)).alias("payload"))
-    shard = F.coalesce(F.floor(F.col("key") / SHARD_KEYS).cast("long"), F.lit(-1))
+    at, nulls = cuts(records)
+    parts = len(at) + 1 + nulls
+    shard = shard_of(at, nulls, F.col("key"), F.col("digest"))
     # decisions travel with the records in one shuffle by shard, and stand before them
-    first = decisions(records.select("key", "payload")).select(shard.alias("shard"), "key", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(None).cast("binary").alias("payload"), "top")
-    rows = first.where("top IS NOT NULL").unionByName(records.select(shard.alias("shard"), "key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("top")))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "key", "kind", "url", "payload")
+    first = decisions(records.select("key", "payload")).where("top IS NOT NULL").select(shard.alias("shard"), "key", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(None).cast("binary").alias("payload"), "top")
+    rows = first.unionByName(records.withColumn("digest", F.sha1("payload")).select(shard.alias("shard"), "key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("top")))
+    rows = rows.repartitionById(parts, (F.col("shard") + nulls).cast("int")).sortWithinPartitions("shard", "key", "kind", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, at, known, given = None, None, {}, set()  # decisions of one key at a time
@@ -216,7 +249,8 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
-    return manifest.repartition(F.col("name")).mapInArrow(run, RECORD)
+    # a task for each file, up to SHARDS; files are of about one size
+    return manifest.repartitionByRange(max(1, min(manifest.count(), SHARDS)), "name").mapInArrow(run, RECORD)
 
 
 def op2_warc(pages: DataFrame) -> DataFrame:
