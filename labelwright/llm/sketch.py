@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,20 +165,38 @@ def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(order, F.coalesce(text, F.lit("")).alias(text))
     ids = docs.select(order)
     cuts = ids.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    bucket = F.when(F.col(order).isNull(), -1).otherwise(bucket)  # null ids come first
-    firsts = ids.select(order, bucket.alias("b")).groupBy("b").agg(F.min(order).alias("first")).orderBy("b").collect()
-    before = {firsts[i].first: firsts[i - 1].b for i in range(len(firsts))}
-    places = F.array(F.struct(bucket.alias("_bucket"), F.lit(0).alias("_seam")))
-    null_seam = F.lit(before.pop(None, None)).cast("int")
-    seam = null_seam
-    if before:
-        known = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])
-        seam = F.when(F.col(order).isNull(), null_seam).otherwise(F.try_element_at(known, F.col(order)))
-    places = F.when(seam.isNull(), places).otherwise(F.array_append(places, F.struct(seam.alias("_bucket"), F.lit(1).alias("_seam"))))
-    both = rows.withColumn("_place", F.explode(places)).select(order, text, "_place.*")
+    at = np.array(sorted(set(cuts)))
+
+    def bucket_of(ids_: np.ndarray) -> np.ndarray:
+        return np.searchsorted(at, ids_, "right") + 1 if len(at) else np.ones(len(ids_), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(values: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(values.to_numpy()).astype(np.int32))
+
+    zero = F.lit(0).cast(docs.schema[order].dataType)
+    # null ids come first, in a range of their own
+    placed = F.when(F.col(order).isNull(), 0).otherwise(bucket(F.coalesce(order, zero)))
+    firsts = ids.select(order, placed.alias("b")).groupBy("b").agg(F.min(order).alias("first")).orderBy("b").collect()
+    before = {firsts[i].b: firsts[i - 1].b for i in range(len(firsts))}
+    first_of = {f.b: f.first for f in firsts}
+
+    @F.pandas_udf("int")
+    def seam_of(values: pd.Series) -> pd.Series:
+        """The range before, if a row has the first id of its own; else -1."""
+        own = bucket_of(values.to_numpy())
+        kinds, which = np.unique(own, return_inverse=True)
+        first = np.array([first_of.get(int(k), 0) for k in kinds])[which] if len(kinds) else own
+        earlier = np.array([before.get(int(k), -1) for k in kinds])[which] if len(kinds) else own
+        return pd.Series(np.where(values.to_numpy() == first, earlier, -1).astype(np.int32))
+
+    seam = F.when(F.col(order).isNull(), F.lit(before.get(0, -1))).otherwise(seam_of(F.coalesce(order, zero)))
+    marked = rows.withColumn("_bucket", placed).withColumn("_before", seam)
+    places = F.array(F.struct(F.col("_bucket"), F.lit(0).alias("_seam")))
+    places = F.when(F.col("_before") < 0, places).otherwise(F.array_append(places, F.struct(F.col("_before").alias("_bucket"), F.lit(1).alias("_seam"))))
+    both = marked.select(order, text, F.explode(places).alias("_place")).select(order, text, "_place.*")
     # rows that share a range's first id all stand at the seam; the first of them in order counts
-    return both.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_seam", order, text)
+    return both.repartitionById(len(at) + 2, F.col("_bucket")).sortWithinPartitions("_bucket", "_seam", order, text)
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
