@@ -94,7 +94,9 @@ def _featured(docs: DataFrame, text: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", text: str = "text", hold_mod: int = 4, hold_rest: int = 2, limit: int = TRAIN_ROWS) -> BoostedTrees:
     """A model of at most ``limit`` labelled documents outside the fold; without any, the score is 0.5."""
     y = F.broadcast(labelled(labels, column, hold_mod, hold_rest, limit))
-    rows = _featured(docs.select("doc_id", text).join(y, "doc_id"), text).toPandas()
+    # one text of an id, the least, so that rows are as many as ids at most
+    one = docs.select("doc_id", text).join(y, "doc_id").groupBy("doc_id", "y").agg(F.min(text).alias(text))
+    rows = _featured(one, text).toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(STATISTICS)))
     order = np.lexsort([*x.T, rows["y"].to_numpy()]) if len(rows) else []
     return BoostedTrees(x[order], rows["y"].to_numpy().astype(float)[order])

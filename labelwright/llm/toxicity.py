@@ -4,7 +4,7 @@ Voters are words, word beginnings and patterns over them.  Candidates for the le
 texts; each chosen term is a voter, and so are patterns such as "two terms or more" and "many terms for its length".  A
 generative label model takes votes as noisy observations of a hidden label: an EM run estimates how often each voter
 fires under either label, and pairwise correlations under the posterior discount voters that repeat each other.  Its
-posterior labels, not the given ones (which are one more noisy voter), train a linear classifier over the term counts, which scores every text.
+posterior labels, not the given ones (which choose the lexicon and say which hidden label is which), train a linear classifier over the term counts, which scores every text.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from labelwright.llm.common import Words, checkpointed, held_out, labelled, mix6
 #: Labelled texts that the lexicon, the label model and the classifier are fitted on, at most.
 TRAIN_ROWS = 8_000
 #: Terms of the lexicon, at most.
-TERMS = 160
+TERMS = 300
 #: Standard errors by which a term's share of toxic texts must lie above the base rate.
-LIFT = 9.0
+LIFT = 6.0
 #: Bytes of the word beginnings that may become terms.
 PREFIXES = (4, 5, 6)
 
@@ -105,6 +105,12 @@ class LabelModel:
             self.weight = 1 / np.maximum(tied.sum(1), 1)
             post = self.posterior(votes)
 
+    def orient(self, votes: np.ndarray, given: np.ndarray) -> None:
+        """Swaps the two labels if label 1 goes with given 0."""
+        post, yes = self.posterior(votes), given > 0.5
+        if yes.any() and not yes.all() and post[yes].mean() < post[~yes].mean():
+            self.one, self.zero, self.prior = self.zero, self.one, 1 - self.prior
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         fires = np.log(self.one / self.zero) * self.weight
         silent = np.log((1 - self.one) / (1 - self.zero)) * self.weight
@@ -157,7 +163,9 @@ def _same_words(counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", text: str = "text", hold_mod: int = 5, hold_rest: int = 0, limit: int = TRAIN_ROWS) -> Model:
     """A model of at most ``limit`` labelled documents outside the fold; without toxic ones among them, every text scores low."""
     y = F.broadcast(labelled(labels, column, hold_mod, hold_rest, limit))
-    train = checkpointed(docs.select("doc_id", text).join(y, "doc_id").select("y", text))
+    # one text of an id, the least, so that rows are as many as ids at most
+    one = docs.select("doc_id", text).join(y, "doc_id").groupBy("doc_id", "y").agg(F.min(text).alias(text))
+    train = checkpointed(one.select("y", text))
     lexicon = _lexicon(train, text)
     size = len(lexicon)
 
@@ -183,9 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", text: str = "
     if not size:
         model.weights[0] = -4.0
         return model
-    # the given label is one more voter, as noisy as the model finds it
-    votes = np.concatenate([_patterns(counts, words, groups), counts > 0, given[:, None]], axis=1)
-    truth = LabelModel(votes, given)
+    # the voters alone make the label model, starting from texts with two hits: the given labels only say which of its two labels is which
+    patterns = _patterns(counts, words, groups)
+    votes = np.concatenate([patterns, counts > 0], axis=1)
+    truth = LabelModel(votes, patterns[:, 1])
+    truth.orient(votes, given)
     model.weights = _linear(model.inputs(counts, words), truth.posterior(votes))
     return model
 
