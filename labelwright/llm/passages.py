@@ -462,12 +462,16 @@ def solved(group: np.ndarray, node: np.ndarray, around: Around) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def links(met: DataFrame) -> DataFrame:
+def chunked(met: DataFrame) -> DataFrame:
+    """key, chunks of the keys of over ``CHUNK`` windows, from ``shared``."""
+    return few(met.where("chunk > 0").groupBy("key").agg((F.max("chunk") + 1).alias("chunks")))
+
+
+def links(met: DataFrame, large: DataFrame) -> DataFrame:
     """u, v, u_first, u_words, v_first, v_words: verified passages that connect, in each key's group, all texts that have one in common there.
 
-    A group of over CHUNK windows is dealt into chunks, each pair of which meets in a task.
+    A group of over CHUNK windows is dealt into chunks (``large`` says how many), each pair of which meets in a task.
     """
-    large = few(met.where("chunk > 0").groupBy("key").agg((F.max("chunk") + 1).alias("chunks")))
     rows = met.join(large, "key", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)))
     rows = rows.where("chunks IS NULL OR chunk <> other")
     rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "c", "left", "right", "near")
@@ -550,7 +554,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
     nodes = checkpointed(texts_.groupBy("node").agg(F.min(doc).alias("least"), F.count("*").alias("n"), F.max("words").alias("words")))
     met = checkpointed(shared(windows(docs, text, twins)))
     with arrow_rows(docs.sparkSession, PYTHON_ROWS):
-        found = checkpointed(links(surrounded(met, docs, text, twins)))
+        found = checkpointed(links(surrounded(met, docs, text, twins), chunked(met)))
     roots = components(found.select("u", "v"))
     # the stretches of each text that others have too; those that overlap are one
     side = lambda a, b: found.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(f"{a}_first").alias("first_word"), F.col(f"{a}_words").alias("n_words"))
