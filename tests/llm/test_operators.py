@@ -713,6 +713,30 @@ def test_stages(spark, docs, none, tiny):
     assert len(got) == len(texts) or len(got) == len(texts) - 1
 
 
+def test_stages_equal_plain_versions(spark, docs, tiny):
+    """Toxicity, secrets and encoding row by row without Spark."""
+    from tokenizers import Tokenizer
+
+    now = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    plain = now.collect()
+    model = toxicity.fit(now, table(spark, tiny, "labels"))
+    want = [r for r in plain if model.score(pa.array([r.text], pa.string()))[0] < 0.5]
+    assert sorted(stages.toxicity(spark, now, tiny).collect(), key=repr) == sorted(want, key=repr)
+    scanner, want = secrets.fit(secrets.rule_labels(secrets.find(now, path="source"))), []
+    for r in plain:
+        text = r.text
+        found = [f for _, f in secrets.candidates(pa.array([r.text], pa.string()))]
+        for f in sorted(found, reverse=True):
+            if scanner.score([(f[2], f[3], r.source, f[4], f[5])])[0] >= 0.5:
+                text = text[: f[0]] + "[secret]" + text[f[1] :]
+        want.append((r.doc_id, text, r.n_chars if text is None else len(text)))
+    got = [(r.doc_id, r.text, r.n_chars) for r in stages.secret_scan(spark, now, tiny).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any("[secret]" in (t or "") for _, t, _ in got)
+    library = Tokenizer.from_file(queries.word_vocabulary())
+    for r in stages.encoding(spark, now, tiny).collect():
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
 def test_near_duplicates_decide_by_row(spark, tiny):
     rows = [(1, ""), (None, "unique text of a null id that stays"), (None, ""), (7, "alpha beta gamma"), (7, "quite another text here"), (8, "alpha beta gamma"), (9, "twice twice"), (9, "twice twice")]
     d = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _gone string")
