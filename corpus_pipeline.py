@@ -17,7 +17,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", stages.encoding),
 ]
 
-#: Trained models and fingerprints are beyond SQL; the tests hold each stage against a brute-force version.
+#: Trained models and fingerprints are beyond SQL; tests/llm holds stages 1, 4 and 5 against versions without Spark, 2 and 3 through their operators.
 ORACLE_SQL = None
 
 
