@@ -6,7 +6,8 @@ weighted Jaccard similarity of at least ``SIMILARITY`` to it over 5-word shingle
 1. Such a window shares at least ceil(SIMILARITY * m) of the item's m shingles, so it has one of any m - ceil(...) + 1
    of them: only the item's rarest so many are looked for.  A bitmap of fixed size goes to every task and passes over
    texts without any of them; what stays are short stretches of word hashes around the hits.
-2. Hits meet items by a shuffle join on the shingle's hash; a benchmark of any size fits.
+2. Hits meet items by a shuffle join on the shingle's hash; a benchmark of any size fits.  The words of a stretch follow
+   once for each item that it may hold, however many hits they share.
 3. Every item-sized window of a stretch that covers a hit gets a SimHash.  Windows and item are compared by
    multi-index Hamming blocks: with more blocks than the radius, fingerprints within it agree on a block.
 4. What is left is verified exactly on the multisets of shingles.
@@ -181,9 +182,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc: str
     if not size.longest:
         return docs.sparkSession.createDataFrame([], out)
     wanted = checkpointed(wanted)
-    rows = stretches(docs, bitmap(wanted), sorted(size.widths), size.longest, text, [doc])
-    rows = rows.withColumn("h", F.explode("hits")).drop("hits").join(wanted, "h").drop("h").distinct()
-    rows = rows.join(known.select("_item", F.col("words").alias("item_words")), "_item")
+    # a stretch's number is written with it, so it is the same in both uses; hits meet items without the words
+    rows = checkpointed(stretches(docs, bitmap(wanted), sorted(size.widths), size.longest, text, [doc]).withColumn("_stretch", F.monotonically_increasing_id()))
+    pairs = rows.select("_stretch", F.explode("hits").alias("h")).join(wanted, "h").select("_stretch", "_item").distinct()
+    rows = rows.select(doc, "_stretch", "first", "words").join(pairs, "_stretch").join(known.select("_item", F.col("words").alias("item_words")), "_item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
