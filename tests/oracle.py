@@ -46,7 +46,9 @@ def differences(spark, sf_dir: str, run, sql: str) -> str:  # noqa: ANN001
 
 
 def main(args: list[str]) -> int:
-    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sys.path.insert(0, root)
+    os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (root, os.environ.get("PYTHONPATH", "")) if x)
     from pyspark.sql import SparkSession
 
     import __spark_entry__ as entry
