@@ -435,6 +435,19 @@ def test_decontaminate_against_brute_force(spark, docs, none):
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_repeated_ids_and_ties(spark):
+    """Rows of one id are one document whatever their texts; equal windows give the first; items that share hits are all found."""
+    r = random.Random(16)
+    a = " ".join(r.choice(VOCAB) for _ in range(30))
+    b = " ".join(r.choice(VOCAB) for _ in range(30))
+    items = spark.createDataFrame([(1, a), (2, a), (3, b), (3, b)], "item_id long, text string")
+    rows = [(7, a), (7, b), (7, b), (8, f"{a} between {a}"), (None, b), (9, "nothing of theirs")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert collections.Counter((x.doc_id, x.item_id, x.first_word) for x in got) == collections.Counter(
+        [(7, 1, 0), (7, 2, 0), (7, 3, 0), (8, 1, 0), (8, 2, 0), (None, 3, 0)]
+    )
+
+
 def test_compact_windows():
     r = np.random.default_rng(1)
     for _ in range(20):
