@@ -51,6 +51,8 @@ NEED = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * _SPAN - 1e-9))
 SIDE, MISSED = _SPAN // 2, _SPAN - NEED
 #: Pairs that are compared at once, and candidates for each text of a group up to which they are listed.
 _PART, _LISTED = 2048, 64
+#: Runs that are compared token by token at once.
+_RUNS = 8192
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -350,10 +352,11 @@ class Around:
             rest = rest[self._there(p[rest], q[rest], beside).any(1)]
             if len(rest):
                 ok = self._windows(self._there(p[rest], q[rest], every), p[rest], q[rest]) >= NEED
-                for j in np.flatnonzero(ok.any(1)):
-                    x, y = self.near[p[rest[j]]], self.near[q[rest[j]]]
-                    for i in np.flatnonzero(ok[j]):
-                        ok[j, i] = common(x[i : i + _SPAN], y[i : i + _SPAN]) >= NEED
+                pair, at = np.nonzero(ok)
+                for w in range(0, len(pair), _RUNS):
+                    i, j = pair[w : w + _RUNS], at[w : w + _RUNS]
+                    run = j[:, None] + np.arange(_SPAN)
+                    ok[i, j] = common(self.near[p[rest[i]][:, None], run], self.near[q[rest[i]][:, None], run]) >= NEED
                 self._note(part, rest, ok, 0)
         return out
 
@@ -370,31 +373,39 @@ class Around:
         return same.argmax(1) - _REACH, _REACH - same[:, ::-1].argmax(1)
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """The tokens that two runs share, each as often as in both."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+def _counted(tokens: np.ndarray) -> np.ndarray:
+    """Each row's tokens, sorted and told apart by how many equal ones the row has before, so that rows share them as multisets."""
+    s = np.sort(tokens.astype(np.int64), axis=1)
+    at = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    begin = np.where(np.diff(s, axis=1, prepend=-1) != 0, at, 0)
+    return s * 128 + (at - np.maximum.accumulate(begin, axis=1))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row, the tokens that the two runs share, each as often as in both."""
+    both = np.sort(np.concatenate([_counted(a), _counted(b)], axis=1), axis=1)
+    return (both[:, 1:] == both[:, :-1]).sum(axis=1)
 
 
 def _probed(around: Around, rows: np.ndarray, group: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, groups left out): pairs of a group's rows of which one is ``apart``, that share one of its rarest tokens on a side.
 
+    A token's second place in a row is another token than its first, so that rows of a few repeated tokens are told apart too.
     ``rows`` are row numbers, ``group`` theirs from 0 on.  Groups with too many such pairs are left out and named.
     """
     keys = around.keys(rows, group)
-    every, at, n = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
-    n = n[at].reshape(keys.shape)
+    counted = _counted(keys)
+    every, n = np.unique(counted, return_counts=True)
     ask = np.flatnonzero(apart)
     probe_key, probe_row = [], []
     for cut, whole in ((slice(_REACH - SIDE, _REACH), around.left[rows[ask]] >= SIDE), (slice(_REACH + 1, _REACH + 1 + SIDE), around.right[rows[ask]] >= SIDE)):
         who = ask[whole]
-        rare = np.argpartition(n[who, cut], MISSED, axis=1)[:, : MISSED + 1]
-        probe_key.append(np.take_along_axis(keys[who, cut], rare, axis=1).ravel())
+        side = _counted(keys[who, cut])
+        rare = np.argpartition(n[np.searchsorted(every, side)], MISSED, axis=1)[:, : MISSED + 1]
+        probe_key.append(np.take_along_axis(side, rare, axis=1).ravel())
         probe_row.append(np.repeat(who, MISSED + 1))
     probe_key, probe_row = np.concatenate(probe_key), np.concatenate(probe_row)
-    flat = np.stack([keys.ravel(), np.repeat(np.arange(len(rows)), keys.shape[1])], axis=1)
+    flat = np.stack([counted.ravel(), np.repeat(np.arange(len(rows)), keys.shape[1])], axis=1)
     order = np.lexsort([flat[:, 1], flat[:, 0]])
     have, who = flat[order, 0], flat[order, 1]
     lo, hi = np.searchsorted(have, probe_key), np.searchsorted(have, probe_key, "right")

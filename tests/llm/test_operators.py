@@ -602,6 +602,27 @@ def test_passages_equal_brute_force(spark, monkeypatch):
         assert {x.doc_id: x.class_id for x in passages.op5_passages(d.repartition(5)).collect()} == want
 
 
+def test_passages_of_few_repeated_tokens():
+    """Groups whose rows repeat a few tokens: shared tokens count as multisets, and classes are those of all pairs."""
+    rng = np.random.default_rng(5)
+    span, wide = passages._SPAN, 2 * passages._REACH + 1
+    a, b = rng.integers(0, 9, (60, span)), rng.integers(0, 9, (60, span))
+    assert passages.common(a, b).tolist() == [sum((collections.Counter(x) & collections.Counter(y)).values()) for x, y in zip(a.tolist(), b.tolist())]
+    seeds = np.array([rng.choice(12, wide, p=rng.dirichlet(np.full(12, 0.4))) for _ in range(15)])
+    near = np.concatenate([seeds, seeds, np.roll(seeds[:6], 1, axis=1)]).astype(np.uint32)
+    noise = rng.random(near.shape) < np.linspace(0, 0.2, len(near))[:, None]
+    near[noise] = rng.integers(20, 90, noise.sum())
+    n = len(near)
+    whole = np.full(n, passages._REACH)
+    u, v, _ = passages.solved(np.zeros(n, np.int64), np.arange(n), passages.Around(near, whole, whole))
+    runs = [[collections.Counter(x[i : i + span].tolist()) for i in range(span)] for x in near]
+    pairs = [(i, j) for i in range(n) for j in range(i) if any(sum((x & y).values()) >= passages.NEED for x, y in zip(runs[i], runs[j]))]
+    # runs must have a token beside the place in common too, which any run alike has
+    want = simhash.spanning(n, *np.array(pairs).T)
+    assert simhash.spanning(n, u, v).tolist() == want.tolist()
+    assert 2 < len(set(want.tolist())) < n
+
+
 def test_passages_count_all_links(spark, monkeypatch):
     r = random.Random(13)
     words_ = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
