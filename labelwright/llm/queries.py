@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwright.llm import bpe, decontaminate, extract, passages, quality, secrets, simhash, sketch, toxicity, warc
+from labelwright.llm import audit, bpe, decontaminate, extract, mixing, passages, quality, secrets, simhash, sketch, toxicity, vectors, warc
 from labelwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op5_passages, op6_toxicity, op7_decontaminate, op8_extract, op9_quality, op10_bpe)}
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.op11_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL}
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.op12_vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op13_mix(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_fingerprints, op2_warc, op3_secrets, op4_simhash, op5_passages, op6_toxicity, op7_decontaminate, op8_extract, op9_quality, op10_bpe,
+    op11_audit, op12_vector_codes, op13_mix,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op11_audit": audit.ORACLE_SQL, "op12_vector_codes": vectors.oracle_sql()}
