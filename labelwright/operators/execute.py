@@ -71,18 +71,25 @@ def revalidated(proposals: DataFrame, present: DataFrame, unresolved: DataFrame,
     return p.withColumn("outcome", outcome).drop("_bad")
 
 
+def made_under(rules_sha: str, provider_fp: str) -> Column:
+    """Aggregate over a set's proposals: whether all were made under this dictionary and these providers (those without any pass)."""
+    providers = (F.coalesce("provider_fp", F.lit("")) == "") | (F.col("provider_fp") == provider_fp) | (F.lit(provider_fp) == "")
+    return F.coalesce(F.bool_and(F.coalesce(F.col("rules_sha") == rules_sha, F.lit(False)) & providers), F.lit(True))
+
+
 def same_inputs(proposals: DataFrame, rules_sha: str, provider_fp: str) -> DataFrame:
-    """One row, ok: a set is dropped whole when it was made under another dictionary or other providers."""
-    return proposals.agg(F.coalesce(F.bool_and((F.col("rules_sha") == rules_sha) & (F.col("provider_fp") == provider_fp)), F.lit(True)).alias("ok"))
+    """proposed_run_id, ok: a set is dropped whole when it was made under another dictionary or other providers."""
+    return proposals.groupBy("proposed_run_id").agg(made_under(rules_sha, provider_fp).alias("ok"))
 
 
 def reconciled(pending: DataFrame, present: DataFrame) -> DataFrame:
     """``pending`` with outcome for each open intent of an interrupted run.
 
-    ``pending``: event_id (unique), item_id, run_id, created_at, after_fp, baseline_fp; event_id decides ties of date and run.  ``present``: item_id, labels_fp, ledger_fp.  Of an
+    ``pending``: event_id (unique), item_id, run_id, created_at, after_fp, baseline_fp, and has_metadata if known; event_id decides ties of date and run.  ``present``: item_id, labels_fp, ledger_fp.  Of an
     item's intents whose result is there now, the newest is adopted if the ledger is as it was recorded (else refused as
     stale, or as unknown without a record) and the others are superseded; without any such intent all are reverted, and
-    so are those of items that are gone.
+    so are those of items that are gone.  That the labels are there does not tell of metadata that the same intent carried:
+    such an adoption is named adopted_with_metadata.
     """
     p = pending.join(present, "item_id", "left")
     match = F.coalesce(F.col("after_fp") == F.col("labels_fp"), F.lit(False))
@@ -96,7 +103,7 @@ def reconciled(pending: DataFrame, present: DataFrame) -> DataFrame:
         .when(~F.col("_match") | (F.col("_nth") > 1), "superseded")
         .when(F.col("baseline_fp").isNull(), "refused_unknown")
         .when(F.col("baseline_fp") != F.col("ledger_fp"), "refused_stale")
-        .otherwise("adopted")
+        .otherwise(F.when(F.coalesce("has_metadata", F.lit(False)), "adopted_with_metadata").otherwise("adopted") if "has_metadata" in pending.columns else "adopted")
     )
     return p.withColumn("outcome", outcome).drop("_match", "_nth", "_any")
 

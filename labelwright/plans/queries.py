@@ -566,7 +566,7 @@ def _revalidated(r: Relations) -> DataFrame:
 def x3_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Relations(spark, sf_dir)
     here = r.items.select("item_id", F.concat(F.lit("set"), (F.col("item_id").cast("long") % 4).cast("string")).alias("labels_fp"), F.lit("base").alias("ledger_fp"))
-    return execute.reconciled(r.pending, here).select("item_id", "event_id", "outcome")
+    return execute.reconciled(r.pending.drop("has_metadata"), here).select("item_id", "event_id", "outcome")
 
 
 WRITES = "w AS (SELECT item_id, CAST(item_id AS BIGINT) AS k FROM items)"

@@ -160,20 +160,6 @@ def test_load_dictionary(spark, tmp_path):
     assert quality.wrong_outputs(d.rules, d.outputs).count() == 0
 
 
-def test_store_versions(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}")
-    s.upsert("t", spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), ["k"])
-    s.upsert("t", spark.createDataFrame([(2, None), (3, "c")], "k long, v string"), ["k"])
-    assert sorted(map(tuple, s.read("t").collect())) == [(1, "a"), (2, None), (3, "c")]
-    s.append("log", spark.createDataFrame([(1,)], "k long"))
-    assert s.append("log", spark.createDataFrame([(2,)], "k long")).count() == 2
-    s.replace_partitions("p", spark.createDataFrame([(1, "x"), (2, "y")], "k long, run string"), "run")
-    assert s.replace_partitions("p", spark.createDataFrame([(9, "y")], "k long, run string"), "run").count() == 2
-    with pytest.raises(ValueError):
-        s.snapshot("../x", spark.range(1))
-    assert spark.read.json(s.snapshot("ok", spark.createDataFrame([("v", "t")], "a string, token string"))).columns == ["a"]
-
-
 def test_rerun_changes_nothing(spark, tiny):
     r = queries.Relations(spark, tiny)
     wanted, authority = queries._wanted(r), r.authority()
@@ -223,8 +209,10 @@ def test_library_run_is_idempotent(spark, tmp_path):
     curate(s, inputs, "run1", "sha", "fp", [], phases=("never_processed",))
     assert rows(s.read("item_labels"), "item_id", "name") == [("1", "Mine"), ("1", "theme: foo"), ("2", "Curation: No Match"), ("2", "Mine"), ("3", "theme: foo")]
     assert rows(s.read("ownership"), "item_id", "label_id") == [("1", "L1"), ("2", "L2"), ("3", "L1")]
-    assert dict(rows(s.read("item_state"), "item_id", "status")) == {"1": "success", "2": "success", "3": "success", "4": "failed"}
-    assert rows(s.read("attempts"), "item_id", "status", "message") == [("1", "success", None), ("2", "success", None), ("3", "success", None), ("4", "failed", "unavailable")]
+    assert dict(rows(s.read("item_state"), "item_id", "status")) == {"1": "success", "2": "success", "3": "success"}
+    assert rows(s.read("attempts"), "item_id", "status", "match_status") == [("1", "success", "UNIQUE"), ("2", "success", "NO_MATCH"), ("3", "success", "UNIQUE"), ("4", "transient", "UNAVAILABLE")]
+    assert rows(s.read("runs"), "run_id", "parent_run_id", "status", "totals") == [("run1", None, "completed", None), ("run1-never_processed", "run1", "completed", '{"apply":3,"transient":1}')]
+    assert {r.item_id: (r.before_metadata, r.after_metadata) for r in s.read("journal").collect()} == {"1": ({"title": " ", "urls": None}, {"title": "New", "urls": '["v"]'}), "2": (None, None), "3": ({"title": None, "urls": "[]"}, {"title": "New", "urls": '["w"]'})}
     assert rows(s.read("journal"), "item_id", "status") == [("1", "applied"), ("2", "applied"), ("3", "applied")]
     assert rows(s.read("item_metadata"), "item_id", "title", "urls") == [("1", "New", ["v"]), ("2", "T", ["u"]), ("3", "New", ["w"])]
     # the label that the library made and nothing uses any more is gone, with an audit row
