@@ -45,19 +45,22 @@ PATH_HINTS = ("test", "example", "sample", "mock", "doc", "lock", "readme", ".en
 DIGEST_WORDS = ("sha1", "sha256", "sha512", "sha", "md5", "digest", "checksum", "hash", "commit", "revision", "rev", "etag", "integrity", "blob", "tree", "uuid", "guid", "request", "trace", "image", "base64", "fingerprint")
 MADE_UP = ("example", "dummy", "sample", "xxxx", "changeme", "placeholder", "your_", "test")
 #: Formats of issued keys, and of common strings that are none.
-ISSUED = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,65536}-----END [A-Z ]{0,30}PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
+_KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}"
+ISSUED = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?s:.*?)-----END [A-Z ]{0,30}PRIVATE KEY-----|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+|" + _KEYS)
 HARMLESS = re.compile(
-    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{1,3}(?:\.\d{1,3}){3}|\+?[\d() -]{7,15}|\d{13,19}|v?\d+(?:\.\d+)+\w*|\d{4}-\d\d-\d\d\S*|https?://\S+|www\.\S+|[^\W\d_]+[.,;:!?]*\d{0,2}|[\d.,%$€]+"
+    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{1,3}(?:\.\d{1,3}){3}|\+?[\d() -]{7,15}|\d{13,19}|v?\d++(?:\.\d++)++\w*+|\d{4}-\d\d-\d\d\S*|https?://\S+|www\.\S+|[^\W\d_]+[.,;:!?]*\d{0,2}|[\d.,%$€]+"
 )
-_ISSUED = re.compile(ISSUED.pattern.encode())
-#: A name of KEYWORDS, what assigns, and the value: quoted, or up to white space or a mark.
+# The patterns that run over whole texts take time in proportion to them: what repeats is possessive, or cannot be met twice.
+_ISSUED = re.compile(_KEYS.encode())
+_EDGE = re.compile(rb"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
+_WEB = re.compile(rb"[\w-]++")
+#: A name with one of KEYWORDS, what assigns, and the value, however long: quoted, or up to white space or a mark.
 _ASSIGNED = re.compile(
-    rb"(?i)(?:passw(?:or)?d|pwd|secret|token|key|auth|bearer|credential|private)[\w.-]{0,40}[\"'`]?[ \t]{0,3}(?:=>|[=:]+)[ \t]{0,3}"
-    rb"(?:\"([^\"\n]{1,200})\"|'([^'\n]{1,200})'|`([^`\n]{1,200})`|[\"'`]?([^\s\"'`,;&{}<>()\[\]]+))"
+    rb"(?i)(?<![\w.-])(?=[\w.-]*?(?:passw(?:or)?d|pwd|secret|token|key|auth|bearer|credential|private))([\w.-]++)[\"'`]?[ \t]{0,3}(?:=>|[=:]++)[ \t]{0,3}"
+    rb"(?:\"([^\"\n]++)\"|'([^'\n]++)'|`([^`\n]++)`|[\"'`]?([^\s\"'`,;&{}<>()\[\]]++))"
 )
-_LEFT = re.compile(rb"[A-Za-z_][\w.-]*$")
 _PART = re.compile(rb"[^\"'`,;&?|{}\[\]()<>]+")
-_NAME = re.compile(rb"([A-Za-z_][\w.-]{0,40})[=:]+(?!//)(?=.)", re.S)
+_NAME = re.compile(rb"([A-Za-z_][\w.-]*+)[=:]+(?!//)(?=.)", re.S)
 _NAMED = re.compile(rb"([A-Za-z_][\w.-]{0,40})[\"'`]?[ \t]{0,3}[=:]+[ \t]{0,3}[\"'`]?$")
 #: Least length of a value that is assigned to a name of KEYWORDS.
 LEAST_ASSIGNED = 4
@@ -67,6 +70,34 @@ _HEXES = re.compile(r"[0-9a-fA-F]+")
 FINDING = "start long, end long, candidate string, name string, before string, after string"
 
 
+def _issued(data: bytes, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Spans of the issued keys of data[lo:hi], in order: private keys from the last beginning before an end, web tokens, and those of one pattern."""
+    out, begin = [m.span() for m in _ISSUED.finditer(data, lo, hi)], -1
+    for m in _EDGE.finditer(data, lo, hi):
+        if m[1] == b"BEGIN":
+            begin = m.start()
+        elif begin >= 0:
+            out.append((begin, m.end()))
+            begin = -1
+    at = data.find(b"eyJ", lo, hi)
+    while at >= 0:
+        ends = [at]
+        for k in range(3):
+            m = _WEB.match(data, ends[-1] + (k > 0), hi)
+            if m is None or k < 2 and (m.end() - m.start() < 4 or data[m.start() : m.start() + 3] != b"eyJ" or data[m.end() : m.end() + 1] != b"." or m.end() >= hi):
+                break
+            ends.append(m.end())
+        if len(ends) == 4:
+            out.append((at, ends[3]))
+        # a later start within the same run has the same end
+        at = data.find(b"eyJ", ends[3] if len(ends) == 4 else _WEB.match(data, at, hi).end(), hi)
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(out, key=lambda x: (x[0], -x[1])):
+        if not kept or a >= kept[-1][1]:
+            kept.append((a, b))
+    return kept
+
+
 def _parts(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, name) of the values within the word data[lo:hi]."""
     for part in _PART.finditer(data, lo, hi):
@@ -82,24 +113,22 @@ def _parts(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
 def _spans(data: bytes, lo: int, hi: int, words: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, name) of the candidates of the text data[lo:hi], sorted; none overlaps another.  words: those to be split."""
     taken: list[tuple[int, int, bytes]] = []
-    for m in _ISSUED.finditer(data, lo, hi):
-        name = _NAMED.search(data[max(lo, m.start() - 50) : m.start()])
-        taken.append((*m.span(), name[1] if name else b""))
+    for a, b in _issued(data, lo, hi):
+        name = _NAMED.search(data[max(lo, a - 50) : a])
+        taken.append((a, b, name[1] if name else b""))
     starts = [x[0] for x in taken]
 
     def free(a: int, b: int) -> bool:
         k = bisect.bisect_left(starts, b)
         return not k or taken[k - 1][1] <= a
 
-    for m in _ASSIGNED.finditer(data, lo, hi):
-        a, b = m.span(m.lastindex)
-        if m.lastindex == 4:
+    for m in _ASSIGNED.finditer(data[lo:hi]):  # of the text alone, as the pattern looks back
+        a, b = (lo + x for x in m.span(m.lastindex))
+        if m.lastindex == 5:
             b -= len(data[a:b]) - len(data[a:b].rstrip(b".!?"))
         if b - a >= LEAST_ASSIGNED and free(a, b):
-            left = _LEFT.search(data[max(lo, m.start() - 40) : m.start()])
-            name = re.match(rb"[\w.-]+", data[m.start() : m.end()])[0]
             k = bisect.bisect_left(starts, a)
-            taken.insert(k, (a, b, (left[0] if left else b"") + name))
+            taken.insert(k, (a, b, m[1]))
             starts.insert(k, a)
     more = []
     for word in words:
@@ -191,7 +220,7 @@ def rule_label(candidate: str, name: str, before: str) -> int | None:
         return None
     if HARMLESS.fullmatch(candidate) or (candidate.isdigit() and _luhn(candidate)):
         return 0
-    if not name and not re.search(r"[=:]", before[-4:]) and re.fullmatch(r"[^\W\d_]+(?:[^\w\s]+[^\W\d_]*)*\d{0,4}", candidate):
+    if not name and not re.search(r"[=:]", before[-4:]) and re.fullmatch(r"[^\W\d_][^\d\s_]*+\d{0,4}", candidate):
         return 0
     return None
 
