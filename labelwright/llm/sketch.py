@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,8 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cut[-1] = True
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
-    para, doc = w.span_hash(w.start[first], w.end[last]), w.doc[first]
+    body, doc = memoryview(w.raw.tobytes()), w.doc[first]
+    para = np.fromiter((xxhash.xxh3_64_intdigest(body[a:b]) for a, b in zip(w.start[first].tolist(), w.end[last].tolist())), np.uint64, len(first))
     order = np.lexsort([np.arange(len(para)), para, doc])
     p, d = para[order], doc[order]
     new = np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])])
@@ -234,6 +236,8 @@ def fingerprinted(docs: DataFrame, text: str = "text", order: str = "doc_id") ->
 def op1_fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs of every document.
 
+    No documents: no rows.  A very long text is one row of one task, and its sketch as small as any other; further columns, whatever
+    their names, are not looked at.
     Null texts count as empty.  Documents follow each other by ascending doc_id (null first), rows of one doc_id by text;
     the first follows the last, a single document itself.  Texts without words have an empty sketch and are alike.
     """
