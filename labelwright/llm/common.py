@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,17 +163,20 @@ class Words:
         s = self.sums()
         return mix64((s[end] - s[start]) * _powers[1][start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def digests(self, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit digests of each text's words, in order."""
-        h = self.hashes() if h is None else h
-        begin = np.concatenate([[0], np.cumsum(self.count)])[:-1]
-        place = np.arange(len(h)) - begin[self.doc]
-        out = []
-        for odd, words in ((0x8CB92BA72F3D8DD7, h), (0xD1B54A32D192ED03, mix64(h ^ np.uint64(0x9E3779B97F4A7C15)))):
-            power = np.cumprod(np.full(int(self.count.max(initial=0)) + 1, odd, np.uint64))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[place], dtype=np.uint64)])
-            out.append(mix64(sums[begin + self.count] - sums[begin] + self.count.astype(np.uint64)))
-        return out[0], out[1]
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of an XXH3 digest of 128 bits of each text's words, in order, with one space between them."""
+        mark = np.zeros(len(self.data) + 1, np.int8)
+        mark[self.start] += 1
+        mark[self.end] -= 1
+        inside = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+        later = self.start[1:][self.doc[1:] == self.doc[:-1]]
+        keep = inside.copy()
+        keep[later - 1] = True
+        body = memoryview(np.where(inside, self.data, np.uint8(32))[keep].tobytes())
+        at = np.concatenate([[0], np.cumsum(keep)])[self.off].tolist()
+        both = b"".join(xxhash.xxh3_128_digest(body[i:j]) for i, j in zip(at, at[1:]))
+        halves = np.frombuffer(both, ">u8").astype(np.uint64).reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)

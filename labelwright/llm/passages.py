@@ -117,11 +117,12 @@ class Tokens:
         whole = np.repeat(w.count >= WIDTH, np.maximum(self.size, (w.count > 0).astype(np.int64)))
         self.tokens = s[whole]
         self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        self.node = digests(w, h, twins)[0]
+        self.node = digests(w, twins=twins)[0]
 
 
 def digests(w: Words, h: np.ndarray | None = None, twins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    node, check = w.digests(h)
+    """Two digests of each text; ``h``, the hashes of its words, is not needed."""
+    node, check = w.digests()
     if twins is not None and len(twins):
         odd = np.isin(node.astype(np.int64), twins)
         node[odd] = mix64(node[odd] ^ check[odd])

@@ -352,7 +352,7 @@ def wide_signatures(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
             for r in range(ROWS):
                 odd = np.uint64(int(mix64(np.array([b * ROWS + r + 1], np.uint64))[0]) | 1)
                 keys[some, b] = mix64(keys[some, b] * np.uint64(0x8CB92BA72F3D8DD7) + np.minimum.reduceat(s * odd, first[some]))
-    node, check = w.digests(h)
+    node, check = w.digests()
     low = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     sets = [np.unique(low[a : a + k]) for a, k in zip(first, n)]
     return fps, keys, node, check, sets
@@ -364,7 +364,7 @@ def wide_near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, ra
     Rows link if they have one root.  Shards are bands of min-hashes, since blocks of bits guarantee nothing at such a
     radius.  Texts of the same words are one from the start; null and empty texts are one another's copies.  Fingerprints
     only choose the pairs to compare: two texts link if their shingle sets have a Jaccard similarity of ``SIMILARITY``.
-    Repeated rows keep their places.  Texts are told apart by two 64-bit digests of their words.
+    Repeated rows keep their places.  Texts are told apart by a digest of 128 bits of their words.
     """
     kept = [spare(docs, "_c") + str(k) for k in range(len(keep))]
     schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(kept, keep)] + T._parse_datatype_string("node long, check long, bits binary, set binary, keys array<long>").fields)
