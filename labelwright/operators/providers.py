@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import blank_to_null, strip
+from labelwright.operators.dictionary import small
 
 #: Outcomes that a later run may change.
 TRANSIENT = ("RATE_LIMITED", "UNAVAILABLE")
@@ -62,24 +63,31 @@ def unique_labels(raw: DataFrame, statuses: DataFrame) -> DataFrame:
 
 
 def candidate_labels(candidates: DataFrame) -> DataFrame:
-    """item_id, provider, raw_label, pos of a candidate's labels (array of (stored_id, name)); blank names are dropped."""
-    each = candidates.select("item_id", "provider", F.posexplode("candidate.labels").alias("pos", "l"))
-    return each.select("item_id", "provider", strip(F.col("l.name")).alias("raw_label"), F.col("pos").cast("long").alias("pos")).where("raw_label <> ''")
+    """item_id, provider, provider_item_id, raw_label, pos of a candidate's labels (array of (stored_id, name)); blank names are dropped."""
+    each = candidates.select("item_id", "provider", F.coalesce("candidate.remote_id", F.lit("")).alias("provider_item_id"), F.posexplode("candidate.labels").alias("pos", "l"))
+    return each.select("item_id", "provider", "provider_item_id", strip(F.col("l.name")).alias("raw_label"), (F.col("pos") + 1).cast("long").alias("pos")).where("raw_label <> ''")
 
 
 def candidate_metadata(candidates: DataFrame) -> DataFrame:
-    """Trimmed scalars, cleaned URLs, the source and the contributors that have a name; empty values become null."""
+    """Trimmed scalars, cleaned URLs, the source and the contributors that have a name; empty values and empty ids become null."""
     c = F.col("candidate")
     urls = F.filter(F.transform(c.urls, strip), lambda u: u != "")
-    people = F.filter(c.contributors, lambda p: F.coalesce(strip(p["name"]), F.lit("")) != "")
-    source = F.when(F.coalesce(strip(c.source["name"]), F.lit("")) != "", c.source)
+    entity = lambda p: F.struct(F.nullif(p["stored_id"], F.lit("")).alias("stored_id"), strip(p["name"]).alias("name"), F.nullif(p["remote_id"], F.lit("")).alias("remote_id"))
+    named = lambda p: F.coalesce(strip(p["name"]), F.lit("")) != ""
+    people = F.transform(F.filter(c.contributors, named), entity)
+    source = F.when(named(c.source), entity(c.source))
     none_if_empty = lambda a: F.when(F.size(a) > 0, a)
     return candidates.select("item_id", "provider", *(blank_to_null(c[f]).alias(f) for f in SCALARS), none_if_empty(urls).alias("urls"), none_if_empty(people).alias("contributors"), source.alias("source"))
 
 
+def of_unique(candidates: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The candidates of providers that matched their item uniquely: one each."""
+    return candidates.join(statuses.where("status = 'UNIQUE'").select("item_id", "provider"), ["item_id", "provider"], "left_semi")
+
+
 def merged_metadata(metadata: DataFrame, ranks: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """item_id and, for each field, the first provider's value that is not null, as (value, provider); lists and structs stay whole."""
-    m = metadata.join(F.broadcast(ranks.select("provider", "rank")), "provider")
+    m = metadata.join(small(ranks.select("provider", "rank")), "provider")
     first = [F.min_by(F.struct(F.col(f).alias("value"), "provider"), F.when(F.col(f).isNotNull(), F.struct("rank", "provider"))).alias(f) for f in fields]
     return m.groupBy("item_id").agg(*first)
 
