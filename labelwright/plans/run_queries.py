@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.operators import cleanup, derive, dictionary, execute, metadata, providers
-from labelwright.plans import curate
-from labelwright.plans.queries import ERAS, LOOKED, ORACLE_SQL, QUERIES, Relations, query
+from labelwright.plans import curate, refresh
+from labelwright.plans.queries import ERAS, KEYED, LOOKED, MISS, ORACLE_SQL, QUERIES, REPORT, Relations, query
 from labelwright.sources import landing
 from labelwright.sources.shared import fresh_path
 from labelwright.sources.tables import Patch, Store, ledger_rows
@@ -370,3 +370,32 @@ def x5_library_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in out[1:]:
         rows = rows.unionByName(part)
     return rows
+
+
+# --- all reports at once -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""+{LOOKED}, {REPORT.removeprefix(KEYED + ", ")}, {MISS.removeprefix(LOOKED + ", ")}, t AS (SELECT run_id, count(*) FILTER (status = 'success') AS s FROM attempts GROUP BY 1),
+    history AS (SELECT run_id, (SELECT coalesce(CAST(sum(s) AS BIGINT), 0) FROM t JOIN runs c USING (run_id) WHERE coalesce(c.parent_run_id, c.run_id) = r.run_id) AS n FROM runs r WHERE parent_run_id IS NULL)
+    SELECT 'dashboard' AS what, 'total' AS name, count(*) AS n FROM items UNION ALL SELECT 'dashboard', 'processed', count(*) FILTER (last_successful_run_id IS NOT NULL AND last_successful_run_id <> '') FROM item_state UNION ALL SELECT 'dashboard', 'failed', count(*) FILTER (status = 'failed') FROM item_state
+    UNION ALL SELECT 'dashboard', 'unmapped_labels', count(DISTINCT raw_label) FROM miss UNION ALL SELECT 'dashboard', 'unmapped_items', count(DISTINCT item_id) FROM miss
+    UNION ALL SELECT 'unmapped_labels', raw_label, n FROM (SELECT raw_label, count(DISTINCT item_id) AS n FROM miss GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100) AS m
+    UNION ALL SELECT 'dictionary', key || ' ' || status, n_items FROM (SELECT * FROM report ORDER BY n_items DESC, key LIMIT 5000) AS d
+    UNION ALL SELECT 'rules_audit', disposition, count(*) FROM dict_rules GROUP BY 2 UNION ALL SELECT 'rules_audit', axis, count(*) FROM dict_canonical GROUP BY 2
+    UNION ALL SELECT 'run_history', run_id, n FROM history
+    UNION ALL SELECT 'proposal_detail', item_id, set_total FROM (SELECT item_id, count(*) OVER (PARTITION BY proposed_run_id) AS set_total, has_change, proposed_run_id FROM proposals ORDER BY has_change DESC, proposed_run_id, item_id LIMIT 500) AS p"""
+)
+def x10_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot of one refresh over a store."""
+    r = Relations(spark, sf_dir)
+    store = Store(spark, fresh_path(spark, "reports"), buckets=4)
+    store.commit({"item_state": Patch(r.item_state, ("item_id",)), "raw_current": Patch(r.raw_labels.select("item_id", "provider", "raw_label"), ("item_id", "provider")), "runs": Patch(r.runs, ("run_id",)), "attempts@all": r.attempts, "proposals@all": r.proposals})
+    phases = r.proposals.select("proposed_run_id", F.substring("proposed_run_id", 4, 9).cast("long").alias("phase_pos")).distinct()
+    refresh.refresh(store, r.dictionary(), r.items.select("item_id"), phases, "cur", "fp")
+    each = lambda what, name, n: store.read(f"snapshot_{what}").select(F.lit(what).alias("what"), name.alias("name"), n.cast("long").alias("n"))
+    totals = F.create_map(*(x for c in ("total", "processed", "failed", "unmapped_labels", "unmapped_items") for x in (F.lit(c), F.col(c))))
+    board = store.read("snapshot_dashboard").select(F.lit("dashboard").alias("what"), F.explode(totals).alias("name", "n"))
+    out = board.unionByName(each("unmapped_labels", F.col("raw_label"), F.col("n_items"))).unionByName(each("dictionary", F.concat_ws(" ", "key", "status"), F.col("n_items")))
+    out = out.unionByName(each("rules_audit", F.col("name"), F.col("n"))).unionByName(each("run_history", F.col("run_id"), F.coalesce("success", F.lit(0))))
+    return out.unionByName(each("proposal_detail", F.col("item_id"), F.col("set_total")))
