@@ -41,6 +41,7 @@ UNSEEN = frozenset("head template textarea select iframe object svg math noframe
 #: Words in tag names, classes and ids that tell article and boilerplate apart in the rule labels.
 ARTICLE_HINTS = ("article", "main", "articlebody", "post-body", "entry-content", "story")
 OTHER_HINTS = ("nav", "menu", "footer", "header", "aside", "sidebar", "ad", "ads", "advert", "promo", "sponsored", "banner", "cookie", "notice", "consent", "popup", "form", "newsletter", "subscribe", "comment", "comments", "reply", "related", "share", "social", "breadcrumb", "widget")
+_HINTS = frozenset(ARTICLE_HINTS + OTHER_HINTS)
 #: Layouts of made pages, as (tag, class or id).
 ARTICLE_BOXES = (("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "entry-content"), ("section", "story"), ("div", "article"), ("article", "post"), ("div", "main"))
 OTHER_BOXES = (
@@ -52,7 +53,7 @@ FILLER = "the of and a to in is it that was for on are with as be this by at fro
 #: Elements whose content up to their end tag is no markup.
 RAW = frozenset("script style noscript xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Innermost open elements that a block's path names.
+#: Innermost open elements that a block's path names in full.
 PATH_DEPTH = 64
 
 _OPEN = re.compile("<(?=[a-zA-Z/!?])")
@@ -131,12 +132,15 @@ class _Open:
         self.places: dict[str, list[int]] = {}
         self.solid: list[int] = []  # places of elements that are no inline ones
         self.walls: list[int] = []  # those of them that are no headings either
+        self.told: list[frozenset[str]] = []  # of each of them and those around it: the names and words that tell article and boilerplate apart
         self.unseen = self.links = 0
 
     def push(self, name: str, words: tuple[str, ...]) -> None:
         self.places.setdefault(name, []).append(len(self.names))
         if name not in INLINE:
             self.solid.append(len(self.names))
+            around, own = self.told[-1] if self.told else frozenset(), _HINTS.intersection((name, *words))
+            self.told.append(around if own <= around else around | own)
             if name not in HEADINGS:
                 self.walls.append(len(self.names))
         self.names.append(name)
@@ -150,9 +154,11 @@ class _Open:
             name = self.names.pop()
             self.words.pop()
             self.places[name].pop()
-            for some in (self.solid, self.walls):
-                if some and some[-1] == len(self.names):
-                    some.pop()
+            if self.solid and self.solid[-1] == len(self.names):
+                self.solid.pop()
+                self.told.pop()
+            if self.walls and self.walls[-1] == len(self.names):
+                self.walls.pop()
             self.unseen -= name in UNSEEN
             self.links -= name == "a"
 
@@ -161,7 +167,9 @@ class _Open:
         return at[-1] if at else -1
 
     def path(self) -> tuple[str, ...]:
-        return tuple(x for k in self.solid[-PATH_DEPTH:] for x in (self.names[k], *self.words[k]))
+        """Of the innermost elements all names and words, before them what tells article and boilerplate apart of the others."""
+        inner = tuple(x for k in self.solid[-PATH_DEPTH:] for x in (self.names[k], *self.words[k]))
+        return (*sorted(self.told[-PATH_DEPTH - 1]), *inner) if len(self.solid) > PATH_DEPTH else inner
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -208,6 +216,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             if stack.names[stack.walls[-1]] in closes:
                 stack.cut(stack.walls[-1])
         if tag == "body":
+            if stack.last("body") >= 0:  # a second one only adds attributes to the first
+                continue
             stack.cut(stack.last("html") + 1)
         if attrs.endswith("/") and tag in ("svg", "math"):
             continue
