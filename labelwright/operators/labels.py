@@ -43,14 +43,12 @@ def desired(current: DataFrame, mapped: DataFrame, derived: DataFrame, markers:
     protected; an additive one only gains; any other keeps its labels and gains markers.  Of names that differ in case
     only the first part's stays.
     """
-    c = current.join(authority, "item_id")
-    kept = c.where("NOT authoritative OR NOT managed").select("item_id", "name", F.lit(KEPT).alias("part"))
-    saved = c.where("authoritative AND managed AND protected").select("item_id", "name", F.lit(PROTECTED).alias("part"))
-    gains = authority.where("authoritative OR additive").select("item_id")
+    held = F.when(~F.col("authoritative") | ~F.col("managed"), KEPT).when(F.col("protected"), PROTECTED)
+    rows = current.join(authority, "item_id").select("item_id", "name", held.alias("part")).where("part IS NOT NULL")
     add = lambda df, part: df.select("item_id", "name", F.lit(part).alias("part"))
-    new = add(mapped, MAPPED).unionByName(add(derived, DERIVED)).join(gains, "item_id", "left_semi")
-    marks = add(markers, MARKER).join(authority.where("NOT additive").select("item_id"), "item_id", "left_semi")
-    rows = kept.unionByName(saved).unionByName(new).unionByName(marks)
+    new = add(mapped, MAPPED).unionByName(add(derived, DERIVED)).unionByName(add(markers, MARKER)).join(authority, "item_id")
+    counts = F.when(F.col("part") == MARKER, ~F.col("additive")).otherwise(F.col("authoritative") | F.col("additive"))
+    rows = rows.unionByName(new.where(counts).select("item_id", "name", "part"))
     first = F.row_number().over(Window.partitionBy("item_id", fold_case(F.col("name"))).orderBy("part", "name"))
     return rows.withColumn("n", first).where("n = 1").drop("n")
 
