@@ -206,5 +206,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc: str
 
 
 def op7_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words of every document that holds a benchmark item."""
+    """doc_id, item_id, similarity, first_word, n_words of every document that holds a benchmark item.
+
+    Null and empty texts hold none, null and empty items are held by none.  Rows of one id are one document, of whose hits the most
+    alike counts.  A very long text is read whole by one task.  No documents or no items: no rows.  Further columns are not
+    looked at.
+    """
     return contaminated(documents, benchmark)

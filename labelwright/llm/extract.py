@@ -493,6 +493,6 @@ def op8_extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A null html is an empty page, and a page without article blocks has an empty text.  Pages are read one by one and
-    whole, so repeated rows and ids, ties and clashing columns change nothing.
+    whole, so repeated rows and ids, ties and clashing columns change nothing.  No pages: no rows.
     """
     return extract(pages, fit(pages))

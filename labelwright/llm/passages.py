@@ -592,5 +592,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
 
 
 def op5_passages(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, passages of every document with a passage that another has too."""
+    """doc_id, class_id, n_links, n_copies, passages of every document with a passage that another has too.
+
+    See ``repeated_passages`` for nulls, repeats and ties.  A very long text is read whole by one task, its windows are sent on
+    in batches.  No documents: no rows.  Further columns, whatever their names, are not looked at.
+    """
     return repeated_passages(documents)

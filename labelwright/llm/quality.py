@@ -120,7 +120,8 @@ def op9_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
     Rows are scored one by one from the text alone, so repeats, ties and clashing columns change nothing.  Null texts
-    score as empty ones.  Labels that are null, contradict each other or have no document are left out.
+    score as empty ones.  Labels that are null, contradict each other or have no document are left out.  A very long text is
+    read whole by one task.  No documents: no rows; no labels: a model that knows nothing.
     """
     out = score(documents, fit(documents, labels))
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -315,7 +315,12 @@ def hex16(fp: Column) -> Column:
 
 
 def op4_simhash(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+    """doc_id, fingerprint (16 hex digits), component_id of every document.
+
+    Null, empty and blank texts have fingerprint zero and link like others.  Repeated rows keep their places, and so do rows of
+    one id with different texts.  A very long text is read whole by one task, cut between words.  No documents: no rows.  Further
+    columns are not looked at.
+    """
     return near_duplicates(documents).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -254,7 +254,11 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
 
 
 def op2_warc(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from an archive written to the shared folder."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from an archive written to the shared folder.
+
+    A null html is an empty payload; rows of one page_id are records of their own.  A very long payload is one record of a shard
+    that it may fill alone.  No pages: no archive and no rows.  Further columns, whatever their names, are not looked at.
+    """
     out = fresh_path(pages.sparkSession, "warc")
     write(pages, out)
     return read(pages.sparkSession, out).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
