@@ -54,11 +54,11 @@ HARMLESS = re.compile(
 _ISSUED = re.compile(_KEYS.encode())
 _EDGE = re.compile(rb"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
 _WEB = re.compile(rb"[\w-]++")
-#: A name with one of KEYWORDS, what assigns, and the value, however long: quoted, or up to white space or a mark.
-_ASSIGNED = re.compile(
-    rb"(?i)(?<![\w.-])(?=[\w.-]*?(?:passw(?:or)?d|pwd|secret|token|key|auth|bearer|credential|private))([\w.-]++)[\"'`]?[ \t]{0,3}(?:=>|[=:]++)[ \t]{0,3}"
-    rb"(?:\"([^\"\n]++)\"|'([^'\n]++)'|`([^`\n]++)`|[\"'`]?([^\s\"'`,;&{}<>()\[\]]++))"
-)
+#: What assigns, the value behind it, however long: quoted, or up to white space or a mark; and what a name must have in it.
+_ASSIGNS = re.compile(rb"=>|[=:]++")
+_VALUE = re.compile(rb"[ \t]{0,3}(?:\"([^\"\n]++)\"|'([^'\n]++)'|`([^`\n]++)`|[\"'`]?([^\s\"'`,;&{}<>()\[\]]++))")
+_TELLS = re.compile(rb"(?i)passw(?:or)?d|pwd|secret|token|key|auth|bearer|credential|private")
+_IN_NAME = frozenset(b"_.-" + string.ascii_letters.encode() + string.digits.encode())
 _PART = re.compile(rb"[^\"'`,;&?|{}\[\]()<>]+")
 _NAME = re.compile(rb"([A-Za-z_][\w.-]*+)[=:]+(?!//)(?=.)", re.S)
 _NAMED = re.compile(rb"([A-Za-z_][\w.-]{0,40})[\"'`]?[ \t]{0,3}[=:]+[ \t]{0,3}[\"'`]?$")
@@ -98,6 +98,29 @@ def _issued(data: bytes, lo: int, hi: int) -> list[tuple[int, int]]:
     return kept
 
 
+def _assigned(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, name) of the values in data[lo:hi] that are assigned to a name with one of KEYWORDS; none overlaps another."""
+    done = lo
+    for m in _ASSIGNS.finditer(data, lo, hi):
+        at = m.start()
+        if at < done:
+            continue
+        end = at
+        while end > done and at - end < 3 and data[end - 1] in b" \t":
+            end -= 1
+        if end > done and data[end - 1] in b"\"'`":
+            end -= 1
+        start = end
+        while start > done and data[start - 1] in _IN_NAME:
+            start -= 1
+        if start < end and _TELLS.search(data, start, end) and (value := _VALUE.match(data, m.end(), hi)):
+            a, b = value.span(value.lastindex)
+            done = value.end()
+            if value.lastindex == 4:
+                b -= len(data[a:b]) - len(data[a:b].rstrip(b".!?"))
+            yield a, b, data[start:end]
+
+
 def _parts(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, name) of the values within the word data[lo:hi]."""
     for part in _PART.finditer(data, lo, hi):
@@ -122,13 +145,10 @@ def _spans(data: bytes, lo: int, hi: int, words: list[tuple[int, int]]) -> list[
         k = bisect.bisect_left(starts, b)
         return not k or taken[k - 1][1] <= a
 
-    for m in _ASSIGNED.finditer(data[lo:hi]):  # of the text alone, as the pattern looks back
-        a, b = (lo + x for x in m.span(m.lastindex))
-        if m.lastindex == 5:
-            b -= len(data[a:b]) - len(data[a:b].rstrip(b".!?"))
+    for a, b, name in _assigned(data, lo, hi):
         if b - a >= LEAST_ASSIGNED and free(a, b):
             k = bisect.bisect_left(starts, a)
-            taken.insert(k, (a, b, m[1]))
+            taken.insert(k, (a, b, name))
             starts.insert(k, a)
     more = []
     for word in words:
