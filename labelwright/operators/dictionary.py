@@ -64,6 +64,12 @@ def mapped_labels(raw: DataFrame, dictionary: Dictionary) -> DataFrame:
     return each.groupBy("item_id", "output").agg(F.min(F.struct("pos", "nth")).alias("at"))
 
 
+def ordered_labels(mapped: DataFrame) -> DataFrame:
+    """item_id, names: the outputs of ``mapped_labels`` of each item as one list, in the order in which its raw labels first gave them."""
+    each = mapped.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "output"))).alias("_each"))
+    return each.select("item_id", F.transform("_each", lambda x: x["output"]).alias("names"))
+
+
 def axis_of(names: DataFrame, dictionary: Dictionary, prefixes: DataFrame, column: str = "name") -> DataFrame:
     """``names`` with axis: that of the canonical name, else that of its prefix up to the first ": "."""
     known = dictionary.canonical.groupBy(F.col("name").alias("_name")).agg(F.min_by("axis", "pos").alias("_axis"))

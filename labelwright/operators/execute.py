@@ -143,6 +143,12 @@ def vanished(targets: DataFrame, items: DataFrame) -> DataFrame:
     return targets.join(items.select("item_id"), "item_id", "left_anti")
 
 
+def fetched(ids: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the items of an explicit list of ids, the ids of the list that are there no more); an id that is listed twice counts once."""
+    wanted = ids.select("item_id").distinct()
+    return items.join(small(wanted), "item_id", "left_semi"), vanished(wanted, items)
+
+
 def settled(proposals: DataFrame, present: DataFrame) -> DataFrame:
     """``proposals`` with open ones of vanished items skipped."""
     here = present.select("item_id").distinct().withColumn("_here", F.lit(True))

@@ -138,6 +138,27 @@ def x7_edit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.select(F.lit("edit").alias("what"), "key", F.col("disposition").alias("said"), F.array_join("outputs", "|").alias("outputs")).unionByName(names.select(F.lit("name").alias("what"), F.col("name").alias("key"), F.col("axis").alias("said"), F.lit("").alias("outputs")))
 
 
+@query(
+    f"""+listed AS (SELECT DISTINCT item_id FROM item_labels UNION SELECT CAST({KEY} + 100000000 AS STRING) FROM items WHERE {KEY} % 9 = 0)
+    SELECT 'found' AS what, item_id, title FROM items WHERE item_id IN (SELECT item_id FROM listed) UNION ALL SELECT 'missing', item_id, NULL FROM listed WHERE item_id NOT IN (SELECT item_id FROM items)"""
+)
+def s4_fetch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    odd = r.items.where(_key() % 9 == 0).select((_key() + 100000000).cast("string").alias("item_id"))
+    found, missing = execute.fetched(r.item_labels.select("item_id").unionByName(odd), r.items)
+    return found.select(F.lit("found").alias("what"), "item_id", "title").unionByName(missing.select(F.lit("missing").alias("what"), "item_id", F.lit(None).cast("string").alias("title")))
+
+
+@query(
+    f"""+{LOOKED}, each AS (SELECT l.item_id, o.output, l.pos, row_number() OVER (PARTITION BY l.item_id, o.output ORDER BY l.pos, o.pos) AS n, o.pos AS nth FROM looked l JOIN dict_outputs o USING (key) WHERE l.disposition IN ('map', 'detail'))
+    SELECT item_id, string_agg(output, '; ' ORDER BY pos, nth, output) AS names FROM each WHERE n = 1 GROUP BY 1"""
+)
+def o8_ordered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Relations(spark, sf_dir)
+    out = dictionary.ordered_labels(dictionary.mapped_labels(r.raw_labels, r.dictionary()))
+    return out.select("item_id", F.array_join("names", "; ").alias("names"))
+
+
 # --- landed JSON -----------------------------------------------------------------------------------------------------------
 
 BROKEN, NAMELESS = 7, 8  # of the keys modulo 50: lines cut short, lines without an id
