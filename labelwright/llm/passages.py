@@ -258,13 +258,14 @@ def contents(docs: DataFrame, bits: np.ndarray, text: str, twins: np.ndarray) ->
 def surrounded(rows: DataFrame, docs: DataFrame, text: str, twins: np.ndarray) -> DataFrame:
     """``shared`` rows with near: the tokens about the place (binary, 2 _REACH + 1 of four bytes), left, right: how many of them lie in the text on either side.
 
-    A text's tokens go before its windows to the task of its digest, once for each part of a task that holds a copy.
+    A text's tokens go before its windows to the task of its digest, once for each part of a task that holds a copy.  Its
+    windows leave in the order of their places, so that what neighbours have in common is compressed away on the way to the keys.
     """
     bits = bitmap(rows.select(F.col("node").alias("h")))
     wanted = rows.select("node", F.lit(None).cast("binary").alias("tokens"), "key", "c", "chunk", F.lit(1).alias("kind"))
     none = F.lit(None).cast("long")
     body = contents(docs, bits, text, twins).select("node", "tokens", none.alias("key"), none.alias("c"), none.alias("chunk"), F.lit(0).alias("kind"))
-    both = body.unionByName(wanted).repartition("node").sortWithinPartitions("node", "kind")
+    both = body.unionByName(wanted).repartition("node").sortWithinPartitions("node", "kind", "c")
     width = 2 * _REACH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
