@@ -178,7 +178,7 @@ def test_buckets(spark):
 def library(spark, path):
     from labelwright.plans.curate import Inputs
 
-    s, make = Store(spark, f"file://{path}"), spark.createDataFrame
+    s, make = Store(spark, f"file://{path}", buckets=2), spark.createDataFrame
     s.commit({
         "item_labels": make([("1", "L9", "Mine"), ("2", "L9", "Mine"), ("1", "L5", "theme: gone")], "item_id string, label_id string, name string"),
         "ownership": make([("1", "L5", None, "run0")], "item_id string, label_id string, acquired_at timestamp, acquired_run_id string"),
