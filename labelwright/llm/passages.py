@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import Words, arrow_rows, checkpointed, few, mix64, text_pieces
+from labelwright.llm.common import Words, arrow_rows, checkpointed, few, let_go, mix64, text_pieces
 from labelwright.llm.decontaminate import BITMAP_BITS, bitmap
 from labelwright.llm.graph import components
 from labelwright.llm.simhash import spanning, with_least
@@ -566,8 +566,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
     texts_ = known.where(f"words >= {LEAST_WORDS}").select(F.col("id").alias(doc), "node", "words").distinct()
     nodes = checkpointed(texts_.groupBy("node").agg(F.min(doc).alias("least"), F.count("*").alias("n"), F.max("words").alias("words")))
     met = checkpointed(shared(windows(docs, text, twins)))
+    let_go(docs.sparkSession)  # of all windows, before those that meet take their surroundings along
     with arrow_rows(docs.sparkSession, PYTHON_ROWS):
         found = checkpointed(links(surrounded(met, docs, text, twins), chunked(met)))
+    let_go(docs.sparkSession)
     roots = components(found.select("u", "v"))
     # the stretches of each text that others have too; those that overlap are one
     side = lambda a, b: found.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(f"{a}_first").alias("first_word"), F.col(f"{a}_words").alias("n_words"))
