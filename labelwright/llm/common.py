@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -31,12 +30,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def let_go(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it holds, jobs that run pass at most so many rows to Python at once: for rows that carry long arrays."""
