@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.functions.redact import redacted
 from labelwright.functions.text import dict_key
 from labelwright.operators.dictionary import Dictionary, audit
 from labelwright.plans import reports
+from labelwright.sources.relations import spread
 from labelwright.sources.tables import Store
 
 #: Rows of the reports that are pages of a longer list.
@@ -19,15 +20,23 @@ PAGES = {"run_history": 50, "unmapped_labels": 100, "dictionary": 5000, "proposa
 
 
 def label_counts(raw_current: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """miss, key, raw_label, disposition, n_items, level: different items by spelling (level 0), by key (1) and of all labels without a rule (2).
+    """miss, disposition, key, raw_label, n_items, n_labels, level: different items by spelling (level 0), by key (1) and of all labels without a rule (2).
 
-    One aggregation with grouping sets over one scan; blank labels are left out.
+    The rows meet once, by item, each spelling of an item once; those that are an item's first of a key, or of the labels without a
+    rule, are counted with the spelling and added up from there.  Blank labels are left out.
     """
-    rows = raw_current.select("raw_label", dict_key(F.col("raw_label")).alias("key"), "item_id").where("key <> ''")
-    rows = rows.join(dictionary.small_lookup().select("key", "disposition"), "key", "left").withColumn("miss", F.col("disposition").isNull())
     by = ("miss", "disposition", "key", "raw_label")
-    out = rows.groupingSets([list(by), list(by[:3]), ["miss"]], *by).agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("raw_label").alias("n_labels"), F.grouping("raw_label").alias("_a"), F.grouping("key").alias("_b"))
-    return out.withColumn("level", (F.col("_a") + F.col("_b")).cast("int")).drop("_a", "_b")
+    each = spread(raw_current.select("item_id", "raw_label"), raw_current.count(), "item_id").distinct()
+    each = each.withColumn("key", dict_key(F.col("raw_label"))).where("key <> ''")
+    each = each.join(dictionary.small_lookup().select("key", "disposition"), "key", "left").withColumn("miss", F.col("disposition").isNull())
+    nth = lambda *cols: F.row_number().over(Window.partitionBy("item_id", *cols).orderBy("raw_label"))
+    each = each.withColumns({"_key": nth(*by[:3]), "_miss": nth("miss")})
+    first = lambda c: F.count(F.when(F.col(c) == 1, F.col("item_id"))).alias(c)
+    spelled = each.groupBy(*by).agg(F.count("item_id").alias("_all"), first("_key"), first("_miss"))
+    level = (F.grouping("raw_label") + F.grouping("key")).cast("int").alias("level")
+    sums = [F.sum(c).alias(c) for c in ("_all", "_key", "_miss")]
+    out = spelled.groupingSets([list(by), list(by[:3]), ["miss"]], *by).agg(*sums, F.count("raw_label").alias("n_labels"), level)
+    return out.select(*by, F.when(F.col("level") == 0, F.col("_all")).when(F.col("level") == 1, F.col("_key")).otherwise(F.col("_miss")).alias("n_items"), "n_labels", "level")
 
 
 def dictionary_entries(counts: DataFrame, dictionary: Dictionary) -> DataFrame:

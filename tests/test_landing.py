@@ -99,3 +99,9 @@ def test_a_report_that_fails_does_not_hold_up_the_others(spark, tmp_path):
     said = refresh.refresh(s, d, make([("1",), ("2",)], "item_id string"), phases, "sha", "fp")
     assert said == {"dashboard": True, "run_history": False, "unmapped_labels": True, "dictionary": True, "rules_audit": True, "proposal_detail": True} and s.version() == base + 1
     assert rows(s.read("snapshot_unmapped_labels"), "raw_label", "n_items") == [("[REDACTED]", 1), ("zz", 1)]
+
+
+def test_items_are_not_multiplied_before_they_are_counted(spark, tiny):
+    r = run_queries.Relations(spark, tiny)
+    plan = refresh.label_counts(r.raw_labels, r.dictionary())._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Expand" in x and "item_id" in x]
