@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelwright.operators import cleanup, derive, dictionary, execute, metadata, providers
 from labelwright.plans import curate, refresh
-from labelwright.plans.queries import ERAS, KEYED, LOOKED, MISS, ORACLE_SQL, QUERIES, REPORT, Relations, query
+from labelwright.plans.queries import ERAS, KEYED, LOOKED, MISS, ORACLE_SQL, QUERIES, REPORT, Relations, in_size, query
 from labelwright.sources import landing
 from labelwright.sources.relations import spread
 from labelwright.sources.shared import fresh_path
@@ -28,7 +28,7 @@ def twin_of(name: str):  # noqa: ANN201
     """Registers a query whose rows are those of a query that has a twin already."""
 
     def register(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = f = in_size(f)
         ORACLE_SQL[f.__name__] = ORACLE_SQL[name]
         return f
 

@@ -290,3 +290,17 @@ def test_open_bounds_and_absent_columns(spark):
     assert rows(quality.era_overlaps(b), "check", "location") == [("bucket_overlap", "era/2")]
     out, issues = derive.derived(spark, {"bad": lambda: b.select("nothing"), "good": lambda: b.select(F.col("label").alias("item_id"), F.lit("n").alias("name"))})
     assert rows(out, "item_id", "name") == [("a", "n"), ("b", "n")] and rows(issues, "derivation") == [("bad",)]
+
+
+def test_queries_run_in_a_session_cut_to_the_folder(spark, tiny, monkeypatch):
+    from labelwright.sources import relations
+
+    before = dict(spark.conf.getAll)
+    monkeypatch.setattr(relations, "TASK_ROWS", 100)
+    out = queries.QUERIES["d3_groups"](spark, tiny)
+    conf = out.sparkSession.conf
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    assert int(conf.get("spark.sql.shuffle.partitions")) == -(-lines // 100)
+    assert conf.get("spark.sql.session.timeZone") == "UTC"
+    assert "BroadcastHashJoin" not in out.select("item_id")._jdf.queryExecution().sparkPlan().toString().replace("BroadcastHashJoin [contributor_id", "").replace("BroadcastHashJoin [norm", "")
+    assert dict(spark.conf.getAll) == before
