@@ -188,7 +188,9 @@ def run_changes(mutations: DataFrame, reasons: DataFrame, run_id: str, limit: in
     """A run's changed items with added and removed names and their reasons, by item; total counts all of them."""
     m = mutations.where(F.col("run_id") == run_id)
     page = m.orderBy("item_id").limit(limit).join(m.agg(F.count("*").alias("total")))
-    r = reasons.groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "reason", "name"))).alias("reasons"))
+    # only the page's reasons are put together
+    shown = reasons.join(F.broadcast(page.select("item_id")), "item_id", "left_semi")
+    r = shown.groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "reason", "name"))).alias("reasons"))
     out = page.join(r, "item_id", "left")
     return out.withColumn("added", F.array_except("after_names", "before_names")).withColumn("removed", F.array_except("before_names", "after_names")).withColumn("truncated", F.col("total") > limit)
 

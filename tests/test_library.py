@@ -304,3 +304,26 @@ def test_queries_run_in_a_session_cut_to_the_folder(spark, tiny, monkeypatch):
     assert conf.get("spark.sql.session.timeZone") == "UTC"
     assert "BroadcastHashJoin" not in out.select("item_id")._jdf.queryExecution().sparkPlan().toString().replace("BroadcastHashJoin [contributor_id", "").replace("BroadcastHashJoin [norm", "")
     assert dict(spark.conf.getAll) == before
+
+
+def test_desired_needs_one_shuffle_by_item(spark):
+    from labelwright.operators import labels
+
+    current = spark.createDataFrame([("1", "Old", True, False), ("1", "KEEP", True, True), ("1", "own", False, False), ("2", "Old", True, False), ("3", "x", True, False), ("9", "no authority", True, False)], "item_id string, name string, managed boolean, protected boolean")
+    names = lambda *rows: spark.createDataFrame(list(rows), "item_id string, name string")
+    authority = spark.createDataFrame([("1", True, False), ("2", False, False), ("3", False, True), ("4", True, False)], "item_id string, authoritative boolean, additive boolean")
+    out = labels.desired(current, names(("1", "OWN"), ("1", "new"), ("2", "new"), ("3", "X"), ("8", "new")), names(("4", "derived")), names(("2", "mark"), ("3", "mark")), authority)
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [("1", "KEEP", 4), ("1", "new", 1), ("1", "own", 0), ("2", "Old", 0), ("2", "mark", 3), ("3", "x", 0), ("4", "derived", 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_reasons_of_a_page_are_not_put_together_for_all(spark):
+    from labelwright.plans import reports
+
+    m = spark.range(50).selectExpr("lpad(id, 2, '0') AS item_id", "'r' AS run_id", "array('a') AS after_names", "array('b') AS before_names")
+    why = spark.range(50).selectExpr("lpad(id, 2, '0') AS item_id", "'added' AS reason", "'a' AS name")
+    out = reports.run_changes(m, why, "r", 3)
+    assert [(r.item_id, r.total, list(r.reasons), r.truncated) for r in out.orderBy("item_id").collect()] == [(f"0{i}", 50, ["added: a"], True) for i in range(3)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
