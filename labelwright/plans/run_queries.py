@@ -171,7 +171,7 @@ def _landed(spark: SparkSession, name: str, rows: DataFrame, key: Column, schema
     path = fresh_path(spark, name)
     line = F.to_json(F.struct(*rows.columns))
     nameless = F.to_json(F.struct(*(c for c in rows.columns if c not in keys)))
-    rows.select(F.when(key % 50 == BROKEN, F.substring(line, F.lit(1), F.length(line) - 6)).when(key % 50 == NAMELESS, nameless).otherwise(line).alias("value")).write.text(path)
+    rows.select(F.when(key % 50 == BROKEN, F.substring(line, F.lit(1), F.length(line) - 6)).when(key % 50 == NAMELESS, nameless).otherwise(line).alias("value")).write.text(path, compression="snappy")  # the lines repeat; as plain text they would be most of what is written
     return landing.read(spark, path, schema, keys)
 
 

@@ -105,3 +105,12 @@ def test_items_are_not_multiplied_before_they_are_counted(spark, tiny):
     r = run_queries.Relations(spark, tiny)
     plan = refresh.label_counts(r.raw_labels, r.dictionary())._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Expand" in x and "item_id" in x]
+
+
+def test_landed_lines_are_written_compressed(spark, tiny, tmp_path, monkeypatch):
+    from labelwright.plans import run_queries
+
+    monkeypatch.setattr(run_queries, "fresh_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    run_queries._answers(spark, tiny)
+    files = [p.name for p in (tmp_path / "answers").iterdir() if p.name.startswith("part-")]
+    assert files and all(n.endswith(".snappy") for n in files)
