@@ -30,6 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``checkpointed``, and the files of the shuffles that led to it are removed as soon as it is written, not when the driver's garbage is collected."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return checkpointed(df.select("*"))  # a plan of its own: ``df`` may be run again
+    finally:
+        conf.set(name, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it holds, jobs that run pass at most so many rows to Python at once: for rows that carry long arrays."""

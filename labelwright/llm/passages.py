@@ -23,6 +23,7 @@ Equal texts are one text throughout, known by two 64-bit digests of their words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import Words, arrow_rows, checkpointed, few, mix64, text_pieces
+from labelwright.llm.common import Words, arrow_rows, checkpointed, few, freed, mix64, text_pieces
 from labelwright.llm.decontaminate import BITMAP_BITS, bitmap
 from labelwright.llm.graph import components
 from labelwright.llm.simhash import spanning, with_least
@@ -43,6 +44,8 @@ WIDTH = 5
 CHUNK, COMMON = 1024, 64
 #: Rows that go to Python at once: texts with all their tokens, or windows with those about their place.
 PYTHON_ROWS = 500
+#: Parts of the keys that meet one after the other: the shuffles of one part, most of the disk that is needed, are gone before the next.
+TURNS = 2
 _SPAN = LEAST_WORDS - WIDTH + 1
 _REACH = _SPAN - 1
 #: Tokens that two runs of the least length must share.
@@ -565,9 +568,12 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc: str = "doc_id")
         known = known.withColumn("node", F.when(odd, second_node(F.col("node"), F.col("check"))).otherwise(F.col("node")))
     texts_ = known.where(f"words >= {LEAST_WORDS}").select(F.col("id").alias(doc), "node", "words").distinct()
     nodes = checkpointed(texts_.groupBy("node").agg(F.min(doc).alias("least"), F.count("*").alias("n"), F.max("words").alias("words")))
-    met = checkpointed(shared(windows(docs, text, twins)))
+    met = freed(shared(windows(docs, text, twins)))
+    large = chunked(met)
     with arrow_rows(docs.sparkSession, PYTHON_ROWS):
-        found = checkpointed(links(surrounded(met, docs, text, twins), chunked(met)))
+        turns = [met.where(F.pmod("key", F.lit(TURNS)) == k) for k in range(TURNS)]
+        found = [freed(links(surrounded(some, docs, text, twins), large)) for some in turns]
+    found = freed(reduce(DataFrame.unionByName, found).distinct())
     roots = components(found.select("u", "v"))
     # the stretches of each text that others have too; those that overlap are one
     side = lambda a, b: found.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col(f"{a}_first").alias("first_word"), F.col(f"{a}_words").alias("n_words"))
