@@ -15,7 +15,7 @@ and one that is equal always.
 Within a group all texts are laid against the first.  What is then still apart meets by a prefix filter: such a run
 covers the ``SIDE`` tokens left or right of the place but for ``MISSED`` of them, so two texts that are alike share one of
 any ``MISSED`` + 1; the rarest of the group are looked for.  Nothing is lost by it.  Where even those are common, each text
-outside the largest class is laid against all texts of other classes.
+outside the largest class is laid against the texts of other classes that have enough tokens in common with it, which are counted.
 
 Equal texts are one text throughout, known by two 64-bit digests of their words.
 """
@@ -42,6 +42,8 @@ FUNCTIONS = 4
 WIDTH = 5
 #: Windows of a group that meet in one task, and texts up to which a passage's pairs are counted one by one.
 CHUNK, COMMON = 1024, 64
+#: Chunks of a key from which on several go together, and how many at most.
+APART, MERGED = 8, 4
 #: Rows that go to Python at once: texts with all their tokens, or windows with those about their place.
 PYTHON_ROWS = 500
 #: Parts of the keys that meet one after the other: the shuffles of one part, most of the disk that is needed, are gone before the next.
@@ -56,6 +58,8 @@ SIDE, MISSED = _SPAN // 2, _SPAN - NEED
 _PART, _LISTED = 2048, 64
 #: Runs that are compared token by token at once.
 _RUNS = 8192
+#: Rows whose tokens are counted against a group's at once, and holders of a token from which on they are counted in a table.
+_BLOCK, _OFTEN = 512, 16
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -425,22 +429,56 @@ def _probed(around: Around, rows: np.ndarray, group: np.ndarray, apart: np.ndarr
     return pair // len(rows), pair % len(rows), np.flatnonzero(left_out)
 
 
-def _laid(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> list[tuple[int, ...]]:
-    """Links and their runs, of a group's rows from ``at`` on, that join what is alike: each row outside the largest class is laid against all of other classes."""
-    out, done = [], np.zeros(len(label), bool)
-    while True:
-        names, n = np.unique(label, return_counts=True)
-        rest = np.flatnonzero((label != names[n.argmax()]) & ~done)
-        if not len(rest):
-            return out
-        x = int(rest[0])
-        done[x] = True
-        y = np.flatnonzero((label != label[x]) & ~done & (node != node[x]))
-        runs = around.alike(np.full(len(y), x + at), y + at)
-        y, runs = y[runs[:, 0] >= 0], runs[runs[:, 0] >= 0]
-        for name, lead in zip(*np.unique(label[y], return_index=True)):
-            out.append((x + at, int(y[lead]) + at, *map(int, runs[lead])))
-            label[label == name] = label[x]
+def _laid(around: Around, node: np.ndarray, at: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links and their runs, of a group's rows from ``at`` on, that join what is alike: rows outside the largest class against all of other classes.
+
+    Rows that are alike have ``NEED`` tokens about the place in common; those that rows share are counted for all of them
+    at once, so that few pairs are left to lay.  Of each class those with most in common come first, more and more in turn.
+    """
+    everyone, none = len(label), 1 << 39
+    tokens = _counted(around.keys(np.arange(at, at + everyone), np.zeros(everyone, np.int64)))
+    every, which, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    which, n = which.reshape(tokens.shape), np.where(every < none, n, 0)  # places outside the text are from ``none`` on
+    often, some = n > _OFTEN, (n > 1) & (n <= _OFTEN)
+    held = np.zeros((everyone, int(often.sum())), np.float32)
+    row, at_token = np.nonzero(often[which])
+    held[row, (np.cumsum(often) - 1)[which[row, at_token]]] = 1
+    holder = np.argsort(which, axis=None, kind="stable") // which.shape[1]
+    before = np.searchsorted(np.sort(which, axis=None), np.arange(len(every)))
+    names, size = np.unique(label, return_counts=True)
+    outside = label != names[size.argmax()]
+    apart, found = np.flatnonzero(outside), []
+    for k in range(0, len(apart), _BLOCK):
+        part = apart[k : k + _BLOCK]
+        alike = held[part] @ held.T
+        row, at_token = np.nonzero(some[which[part]])
+        token = which[part[row], at_token]
+        many = n[token]
+        other = holder[np.repeat(before[token] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        alike += np.bincount(np.repeat(row, many) * everyone + other, minlength=alike.size).reshape(alike.shape)
+        a, b = np.nonzero(alike >= NEED)
+        shared_ = alike[a, b]
+        a = part[a]
+        new = (node[a] != node[b]) & ~(outside[b] & (b < a))  # else they have met the other way round
+        a, b, shared_, width = a[new], b[new], shared_[new], 1
+        while True:
+            new = label[a] != label[b]
+            a, b, shared_ = a[new], b[new], shared_[new]
+            if not len(a):
+                break
+            order = np.lexsort([-shared_, label[a]])
+            a, b, shared_ = a[order], b[order], shared_[order]
+            start, length = _groups(label[a])
+            first = np.arange(len(a)) - np.repeat(start, length) < width
+            runs = around.alike(a[first] + at, b[first] + at)
+            hit = runs[:, 0] >= 0
+            one, two = label[a[first][hit]], label[b[first][hit]]
+            lead = np.unique(np.minimum(one, two) * everyone + np.maximum(one, two), return_index=True)[1]
+            u, v, runs = a[first][hit][lead], b[first][hit][lead], runs[hit][lead]
+            found.append((u + at, v + at, runs))
+            label = spanning(everyone, np.concatenate([np.arange(everyone), u]), np.concatenate([label, v]))
+            a, b, shared_, width = a[~first], b[~first], shared_[~first], width * 4
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (apart[:0], apart[:0], np.zeros((0, 3), np.int64))
 
 
 def solved(group: np.ndarray, node: np.ndarray, around: Around) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -472,9 +510,7 @@ def solved(group: np.ndarray, node: np.ndarray, around: Around) -> tuple[np.ndar
         names = np.flatnonzero(open_)
         for g in names[left]:
             s = slice(start[g], start[g] + size[g])
-            more = _laid(around, node[s], int(start[g]), label[s] - start[g])
-            if more:
-                found.append((np.array([x[0] for x in more]), np.array([x[1] for x in more]), np.array([x[2:] for x in more])))
+            found.append(_laid(around, node[s], int(start[g]), label[s] - start[g]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -483,14 +519,23 @@ def chunked(met: DataFrame) -> DataFrame:
     return few(met.where("chunk > 0").groupBy("key").agg((F.max("chunk") + 1).alias("chunks")))
 
 
+def paired(met: DataFrame, large: DataFrame) -> DataFrame:
+    """``met`` with lo and hi in place of chunk: once for each pair of chunks that a row's chunk is one of, once in all where the key has one.
+
+    ``large`` says how many chunks a key has; of those of over ``APART`` up to ``MERGED`` go together, so that fewer pairs hold more rows.
+    """
+    step = F.least(F.lit(MERGED), F.ceil(F.col("chunks") / APART))
+    rows = met.join(large, "key", "left").withColumns({"chunk": F.coalesce(F.floor(F.col("chunk") / step), "chunk"), "chunks": F.ceil(F.col("chunks") / step)})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))).where("chunks IS NULL OR chunk <> other")
+    return rows.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("chunk", "chunks", "other")
+
+
 def links(met: DataFrame, large: DataFrame) -> DataFrame:
     """u, v, u_first, u_words, v_first, v_words: verified passages that connect, in each key's group, all texts that have one in common there.
 
     A group of over CHUNK windows is dealt into chunks (``large`` says how many), each pair of which meets in a task.
     """
-    rows = met.join(large, "key", "left").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)))
-    rows = rows.where("chunks IS NULL OR chunk <> other")
-    rows = rows.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "c", "left", "right", "near")
+    rows = paired(met, large).select("key", "lo", "hi", "node", "c", "left", "right", "near")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node", "c")
     names = ("key", "lo", "hi", "node", "c", "left", "right")
 

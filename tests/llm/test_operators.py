@@ -623,6 +623,42 @@ def test_passages_of_few_repeated_tokens():
     assert 2 < len(set(want.tolist())) < n
 
 
+def test_passages_of_a_large_class_among_others(monkeypatch):
+    """A group of a large class and as many texts of their own under common tokens: few pairs are laid, and classes are those that were made."""
+    rng = np.random.default_rng(6)
+    wide, each = 2 * passages._REACH + 1, 200
+    alike = np.tile(rng.integers(0, 10**6, wide), (each, 1))
+    alike[np.arange(each), rng.integers(0, wide, each)] = rng.integers(10**6, 10**7, each)
+    own = rng.integers(10**6, 10**7, (each, wide))
+    own[:, passages._REACH - 25 : passages._REACH + 26] = alike[0, passages._REACH - 25 : passages._REACH + 26]
+    own[:, passages._REACH - 25 : passages._REACH + 26 : 3] = rng.integers(10**6, 10**7, (each, 17))
+    near = np.concatenate([own, alike]).astype(np.uint32)
+    laid, alike_ = [], passages.Around.alike
+    monkeypatch.setattr(passages, "_LISTED", 0)
+    monkeypatch.setattr(passages.Around, "alike", lambda self, a, b: laid.append(len(a)) or alike_(self, a, b))
+    whole = np.full(2 * each, passages._REACH)
+    u, v, _ = passages.solved(np.zeros(2 * each, np.int64), np.arange(2 * each), passages.Around(near, whole, whole))
+    assert simhash.spanning(2 * each, u, v).tolist() == [*range(each), *[each] * each]
+    assert sum(laid) <= 10 * 2 * each
+
+
+def test_chunks_of_a_large_key_go_together(spark):
+    rows = [(k, i, i // n) for k, n, size in ((1, 2, 200), (2, 2, 12), (3, 2, 2)) for i in range(size)]
+    met = spark.createDataFrame(rows, "key long, node long, chunk long")
+    out = passages.paired(met, passages.chunked(met)).collect()
+    pairs = lambda key: {frozenset((x.node, y.node)) for same in _by(out, key).values() for x in same for y in same if x.node < y.node}
+    assert all(len(pairs(k)) == n * (n - 1) // 2 for k, n in ((1, 200), (2, 12), (3, 2)))
+    assert sum(x.key == 1 for x in out) == 200 * 24 and sum(x.key == 2 for x in out) == 12 * 5 and sum(x.key == 3 for x in out) == 2
+
+
+def _by(rows, key):
+    out = collections.defaultdict(list)
+    for x in rows:
+        if x.key == key:
+            out[x.lo, x.hi].append(x)
+    return out
+
+
 def test_passages_count_all_links(spark, monkeypatch):
     r = random.Random(13)
     words_ = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
